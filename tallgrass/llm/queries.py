@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences, media, minhash
+from . import decontaminate, licences, media, minhash
 from .common import table
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("h")
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -21,7 +25,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.store_texts(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op6_minhash_near_dedup, op9_license_scans, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op6_minhash_near_dedup, op9_license_scans, op10_media_columns)}
 
 
 def _quoted(text: str) -> str:
@@ -48,5 +52,21 @@ def _licence_sql() -> str:
         FROM whole w LEFT JOIN texts t ON sha256(c) = t.d LEFT JOIN found f ON w.doc_id = f.doc_id"""
 
 
+def _decontaminate_sql() -> str:
+    words = lambda c: f"regexp_extract_all(translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{decontaminate.WORD}')"
+    return f"""
+        WITH d AS (SELECT doc_id, {words('text')} AS w FROM documents),
+        i AS (SELECT item_id, {words('text')} AS w FROM benchmark),
+        wins AS (SELECT DISTINCT item_id, n, w[s:s + n - 1] AS win FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM (SELECT item_id, w, least(13, len(w)) AS n FROM i WHERE len(w) > 0))),
+        sizes AS (SELECT DISTINCT n FROM wins),
+        places AS (SELECT doc_id, n, p, w[p:p + n - 1] AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, sizes WHERE len(w) >= n)),
+        found AS (SELECT doc_id, item_id, p, places.n AS n FROM places JOIN wins ON places.n = wins.n AND places.win = wins.win),
+        hit AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS k FROM found) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN items ON d.doc_id = items.doc_id"""
+
+
 def sql() -> dict[str, str]:
-    return {"op9_license_scans": _licence_sql()}
+    return {"op2_benchmark_decontamination": _decontaminate_sql(), "op9_license_scans": _licence_sql()}
