@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licences, media, minhash
+from . import decontaminate, licences, media, minhash, packing, token_store
 from .common import table
 
 
@@ -13,10 +13,18 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("h")
 
 
+def op4_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"), licences.known(spark, licences.TEXTS))
 
@@ -25,7 +33,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.store_texts(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op6_minhash_near_dedup, op9_license_scans, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op4_token_id_output, op6_minhash_near_dedup, op8_best_fit_packing, op9_license_scans, op10_media_columns)}
 
 
 def _quoted(text: str) -> str:
