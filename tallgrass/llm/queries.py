@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licences, media, minhash, packing, token_store
+from . import decontaminate, licences, line_dedup, media, minhash, packing, token_store
 from .common import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("h")
 
@@ -33,7 +38,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.store_texts(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op4_token_id_output, op6_minhash_near_dedup, op8_best_fit_packing, op9_license_scans, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_benchmark_decontamination, op4_token_id_output, op6_minhash_near_dedup, op8_best_fit_packing, op9_license_scans, op10_media_columns)}
 
 
 def _quoted(text: str) -> str:
@@ -76,5 +81,18 @@ def _decontaminate_sql() -> str:
         FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN items ON d.doc_id = items.doc_id"""
 
 
+def _line_dedup_sql() -> str:
+    return """
+        WITH l AS (SELECT doc_id, unnest(range(len(s))) AS line, unnest(s) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
+        w AS (SELECT doc_id, line, t, list_sort(list_distinct(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'))) AS s FROM l),
+        c AS (SELECT s, len(s) AS n, min((doc_id, line)) AS pl, row_number() OVER () AS id FROM w WHERE len(s) > 0 GROUP BY s),
+        x AS (SELECT id, n, pl, unnest(s) AS word FROM c),
+        p AS (SELECT a.id AS id, min(b.pl) AS pl FROM (SELECT a.id AS a, b.id AS b FROM x a JOIN x b ON a.word = b.word AND a.id <> b.id AND b.pl < a.pl AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n GROUP BY a.id, b.id, a.n, b.n HAVING 5 * count(*) >= 4 * (a.n + b.n - count(*))) q JOIN c a ON a.id = q.a JOIN c b ON b.id = q.b GROUP BY a.id),
+        m AS (SELECT c.s, least(c.pl, coalesce(p.pl, c.pl)) AS pl FROM c LEFT JOIN p ON c.id = p.id),
+        f AS (SELECT w.doc_id, w.line, w.t, m.pl IS NOT NULL AND (w.doc_id, w.line) > m.pl AS gone FROM w LEFT JOIN m ON w.s = m.s)
+        SELECT d.doc_id, count(f.line) AS n_lines, count(*) FILTER (gone) AS n_removed, CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(string_agg(f.t, chr(10) ORDER BY f.line) FILTER (NOT gone), '')) END AS text_sha256
+        FROM documents d LEFT JOIN f ON d.doc_id = f.doc_id GROUP BY d.doc_id, d.text"""
+
+
 def sql() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": _decontaminate_sql(), "op9_license_scans": _licence_sql()}
+    return {"op1_line_dedup": _line_dedup_sql(), "op2_benchmark_decontamination": _decontaminate_sql(), "op9_license_scans": _licence_sql()}
