@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licences, line_dedup, media, minhash, packing, token_store
+from . import decontaminate, langid, licences, line_dedup, media, minhash, packing, quality, token_store
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("h")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(table(spark, sf_dir, "documents"))
+
+
 def op4_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,10 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("h")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -38,7 +46,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.store_texts(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_benchmark_decontamination, op4_token_id_output, op6_minhash_near_dedup, op8_best_fit_packing, op9_license_scans, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_benchmark_decontamination, op3_language_id, op4_token_id_output, op6_minhash_near_dedup, op7_quality_classifier, op8_best_fit_packing, op9_license_scans, op10_media_columns)}
 
 
 def _quoted(text: str) -> str:
