@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licences, line_dedup, media, minhash, packing, quality, token_store
+from . import ctw, decontaminate, langid, licences, line_dedup, media, minhash, packing, quality, token_store
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op4_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.scores(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -46,7 +50,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.store_texts(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_benchmark_decontamination, op3_language_id, op4_token_id_output, op6_minhash_near_dedup, op7_quality_classifier, op8_best_fit_packing, op9_license_scans, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_benchmark_decontamination, op3_language_id, op4_token_id_output, op5_lm_scoring, op6_minhash_near_dedup, op7_quality_classifier, op8_best_fit_packing, op9_license_scans, op10_media_columns)}
 
 
 def _quoted(text: str) -> str:
