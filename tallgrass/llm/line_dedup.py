@@ -302,3 +302,14 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     made = {"text": F.when(F.col("_gone").isNull(), docs["text"]).otherwise(kept), "n_lines": F.when(docs["text"].isNull(), 0).otherwise(F.size(split)).cast("long"), "n_removed": F.when(F.col("_gone").isNull() | docs["text"].isNull(), 0).otherwise(n).cast("long")}
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     return out.select(*[made[c].alias(c) if c == "text" else docs[c] for c in names], made["n_lines"].alias("n_lines"), made["n_removed"].alias("n_removed"))
+
+
+def without_repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """docs with their columns, less removed lines; a document that loses its last line with words goes too.
+
+    n_chars, if there is one, follows the text.
+    """
+    out = dedup_lines(docs, percent).filter("n_removed = 0 or text rlike '[^ \\t\\n\\x0B\\f\\r]'")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)

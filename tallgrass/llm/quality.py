@@ -167,6 +167,22 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(rows, "doc_id long, h long, score double")
 
 
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs with a score of THRESHOLD or more, with all their columns."""
+    model, text = learn(docs, labels.filter(~held_out())), docs.columns.index("text")
+    if "p" in model:
+        return docs if model["p"] >= THRESHOLD else docs.limit(0)
+
+    def rows(batches):
+        for b in batches:
+            buf, off = V.text_bytes(b.column(text))
+            for i, j in V.spans(off):
+                p = forward(model, *passages(buf[off[i] : off[j]], off[i : j + 1] - off[i]))["p"]
+                yield b.slice(i, j - i).filter(pa.array(p >= THRESHOLD))
+
+    return docs.mapInArrow(rows, docs.schema)
+
+
 def held_out():
     return F.coalesce(crc_of_id(F.col("doc_id")) % 5 == 0, F.lit(False))
 

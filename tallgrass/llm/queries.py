@@ -31,7 +31,7 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85).drop("h", "first")
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
