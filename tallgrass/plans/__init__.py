@@ -1,0 +1,4 @@
+"""The library's operators as named queries over whole tables."""
+
+from . import chunks  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
