@@ -1,4 +1,4 @@
 """The library's operators as named queries over whole tables."""
 
-from . import chunks, labels  # noqa: F401
+from . import chunks, knowledge, labels  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
