@@ -1,4 +1,4 @@
 """The library's operators as named queries over whole tables."""
 
-from . import chunks, knowledge, labels, searching  # noqa: F401
+from . import chunks, files, knowledge, labels, searching  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
