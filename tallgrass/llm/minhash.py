@@ -8,9 +8,13 @@ similarity are linked, and linked documents make a component.
    of its signature's bands. Equal sets are one class from here on, so that a group of
    copies, however large, costs one row.
 2. Each class is compared with the first class of a bucket it is in (a star), on full sets.
-3. Buckets that still hold several components are then settled completely: the sets of
-   their members come together, in blocks where a bucket is large, and every pair that
-   is in different components is compared. Only links are emitted, one for each union.
+3. Buckets that still hold several components are then settled completely, in blocks where
+   a bucket is large: members that may be similar to one of another component, by their
+   signatures, come together with their sets, and every such pair is compared. Only links
+   are emitted, one for each union.
+
+Before sets are fetched a pair must agree in a share of signature places of at least
+``SLACK`` below the similarity, 4.5 standard deviations at 0.85.
 
 With 16 bands of 4 a pair at 0.85 shares no bucket with a chance of 7e-6; at 0.8 of 2e-4.
 Sets are compared as sets of 64-bit hashes.
@@ -30,10 +34,10 @@ from pyspark.sql import functions as F
 
 from . import vectors as V
 from .common import bloom, settle
-from .components import Forest, components
+from .components import components
 
 #: Length of a signature, rows of a band, and members of a block of a large bucket.
-LENGTH, ROWS, BLOCK = 64, 4, 512
+LENGTH, ROWS, BLOCK, SLACK = 64, 4, 512, 0.2
 EMPTY = np.uint64(V.M64)
 
 
@@ -85,37 +89,38 @@ def fold(h: np.ndarray, off: np.ndarray, seed: int) -> np.ndarray:
 
 
 def _batches(batches, width: int, make):
+    """make() of the columns before the text, and of the sets, about a megabyte at a time."""
     for b in batches:
-        buf, off = V.text_bytes(b.column(1))
+        buf, off = V.text_bytes(b.columns[-1])
         for i, j in V.spans(off):
             with np.errstate(over="ignore"):
                 h, o = sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], width)
-                yield make(b.column(0).slice(i, j - i), h, o)
+                yield make([c.slice(i, j - i) for c in b.columns[:-1]], h, o)
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (size of the set), f1 and f2 (its fingerprint), bands."""
+    """doc_id, h (a hash of the text), n (size of the set), f1 and f2 (its fingerprint), bands, sketch (a byte of each place)."""
     bands = LENGTH // ROWS
 
-    def make(ids, h, o):
-        sig = super_minhash(h, o)
-        key = np.zeros((len(ids), bands), np.uint64)
+    def make(first, h, o):
+        sig, rows = super_minhash(h, o), len(o) - 1
+        key = np.zeros((rows, bands), np.uint64)
         for r in range(ROWS):
             key = V.mix(key * np.uint64(31) + sig[:, r::ROWS] + np.uint64(r))
-        out = [ids, pa.array(np.diff(o)), pa.array(fold(h, o, 0x5851F42D4C957F2D).view(np.int64)), pa.array(fold(h, o, 0x14057B7EF767814F).view(np.int64)), V.lists(key.ravel(), np.arange(len(ids) + 1) * bands)]
-        return pa.RecordBatch.from_arrays(out, ["doc_id", "n", "f1", "f2", "bands"])
+        out = [*first, pa.array(np.diff(o)), pa.array(fold(h, o, 0x5851F42D4C957F2D).view(np.int64)), pa.array(fold(h, o, 0x14057B7EF767814F).view(np.int64)), V.lists(key.ravel(), np.arange(rows + 1) * bands), pa.array([x.tobytes() for x in (V.mix(sig) & np.uint64(255)).astype(np.uint8)], pa.binary())]
+        return pa.RecordBatch.from_arrays(out, ["doc_id", "h", "n", "f1", "f2", "bands", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(lambda it: _batches(it, width, make), "doc_id long, n long, f1 long, f2 long, bands array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(lambda it: _batches(it, width, make), "doc_id long, h long, n long, f1 long, f2 long, bands array<long>, sketch binary")
 
 
-def set_rows(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id and its set as bytes of sorted 64-bit values."""
+def set_rows(rows: DataFrame, width: int) -> DataFrame:
+    """u and the set of text as bytes of sorted 64-bit values."""
 
-    def make(ids, h, o):
+    def make(first, h, o):
         raw = h.tobytes()
-        return pa.RecordBatch.from_arrays([ids, pa.array([raw[a * 8 : b * 8] for a, b in zip(o[:-1], o[1:])], pa.binary())], ["doc_id", "hashes"])
+        return pa.RecordBatch.from_arrays([*first, pa.array([raw[a * 8 : b * 8] for a, b in zip(o[:-1], o[1:])], pa.binary())], ["u", "hashes"])
 
-    return docs.select("doc_id", "text").mapInArrow(lambda it: _batches(it, width, make), "doc_id long, hashes binary")
+    return rows.select("u", "text").mapInArrow(lambda it: _batches(it, width, make), "u long, hashes binary")
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -127,7 +132,7 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def verified(pairs: DataFrame, sets_of: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (u, v) whose sets reach the similarity."""
-    named = lambda k: sets_of.select(F.col("doc_id").alias(k), F.col("hashes").alias(f"h{k}"))
+    named = lambda k: sets_of.select(F.col("u").alias(k), F.col("hashes").alias(f"h{k}"))
 
     def rows(batches):
         for b in batches:
@@ -138,26 +143,65 @@ def verified(pairs: DataFrame, sets_of: DataFrame, percent: int) -> DataFrame:
     return pairs.join(named("v"), "v").join(named("u"), "u").select("u", "v", "hu", "hv").mapInArrow(rows, "u long, v long")
 
 
+def promising(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (u, v) whose signatures and sizes allow the similarity."""
+    named = lambda k: reps.select(F.col("u").alias(k), F.col("sketch").alias(f"s{k}"), F.col("n").alias(f"n{k}"))
+
+    def rows(batches):
+        for b in batches:
+            s, t = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, LENGTH) for k in (2, 3))
+            n, m = b.column(4).to_numpy(), b.column(5).to_numpy()
+            good = ((s == t).mean(axis=1) >= percent / 100 - SLACK) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+            yield pa.RecordBatch.from_arrays(b.columns[:2], ["u", "v"]).filter(pa.array(good))
+
+    return pairs.join(named("v"), "v").join(named("u"), "u").select("u", "v", "su", "sv", "nu", "nv").mapInArrow(rows, "u long, v long")
+
+
+def _members(t: pa.Table, percent: int):
+    """The members of one bucket, or of two blocks of it, and which pairs of them are to be compared there."""
+    t = t.sort_by("u")
+    band, i, j = (t.column(c)[0].as_py() for c in ("band", "i", "j"))
+    block, n = t.column("block").to_numpy(), t.column("n").to_numpy()
+    bands = np.array(t.column("bands").to_pylist(), np.int64)
+
+    def can(a: int, comp: np.ndarray) -> np.ndarray:
+        ok = (comp != comp[a]) & (100 * n >= percent * n[a]) & (100 * n[a] >= percent * n)
+        ok[: a + 1] = False
+        if i != j:
+            ok &= block != block[a]
+        if band and ok.any():  # a pair is compared in the first bucket that it shares
+            ok &= ~(bands[:, :band] == bands[a, :band]).any(axis=1)
+        return ok
+
+    return t, can
+
+
+def _hopeful(percent: int):
+    """Members with a pair in different components that their signatures allow."""
+
+    def pick(t: pa.Table) -> pa.Table:
+        t, can = _members(t, percent)
+        comp, sketch = t.column("comp").to_numpy(), np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, LENGTH)
+        some = np.zeros(len(comp), bool)
+        for a in range(len(comp)):
+            b = np.flatnonzero(can(a, comp))
+            b = b[(sketch[b] == sketch[a]).mean(axis=1) >= percent / 100 - SLACK]
+            some[b] = True
+            some[a] |= len(b) > 0
+        return t.drop_columns(["sketch"]).filter(pa.array(some))
+
+    return pick
+
+
 def _settle_block(percent: int):
     """Links between members of one bucket (or of two blocks of it) in different components."""
 
     def links(t: pa.Table) -> pa.Table:
-        t = t.sort_by("doc_id")
-        band, i, j = (t.column(c)[0].as_py() for c in ("band", "i", "j"))
-        ids, block = t.column("doc_id").to_numpy(), t.column("block").to_numpy()
-        n = t.column("n").to_numpy()
-        bands = np.array(t.column("bands").to_pylist(), np.int64)
-        own = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
-        forest, found = Forest(), []
-        comp = np.array([forest.root(x) for x in t.column("comp").to_pylist()])
+        t, can = _members(t, percent)
+        ids, comp = t.column("u").to_numpy(), t.column("comp").to_numpy().copy()
+        own, found = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()], []
         for a in range(len(ids)):
-            can = (comp != comp[a]) & (100 * n >= percent * n[a]) & (100 * n[a] >= percent * n)
-            can[: a + 1] = False
-            if i != j:
-                can &= block != block[a]
-            if band:
-                can &= ~(bands[:, :band] == bands[a, :band]).any(axis=1)
-            for b in np.flatnonzero(can):
+            for b in np.flatnonzero(can(a, comp)):
                 if comp[a] != comp[b] and _similar(own[a], own[b], percent):
                     found.append((ids[b], ids[a]))
                     comp[comp == comp[b]] = comp[a]
@@ -167,31 +211,55 @@ def _settle_block(percent: int):
     return links
 
 
+def _sets_of(docs: DataFrame, sig: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """u and set of each u wanted; a row is found again by its id and the hash of its text."""
+    keys = settle(sig.select("u", "doc_id", "h").join(wanted.distinct(), "u"), "wanted")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    return settle(set_rows(bloom(texts, F.xxhash64("doc_id", "h"), keys, F.xxhash64("doc_id", "h")).join(keys, ["doc_id", "h"]), width).dropDuplicates(["u"]), "sets")
+
+
+MEMBER = "band int, hash long, i int, j int, block int, u long, n long, comp long, bands array<long>"
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest linked id) and kept, one row for each of docs."""
+    """A row for each of docs: doc_id, h (a hash of the text), n_shingles, component_id (the smallest linked id), kept
+    (doc_id is component_id) and first (true for one row of each component)."""
     docs = docs.select("doc_id", "text")
-    sig = settle(signatures(docs, width), "signatures")
+    sig = settle(signatures(docs, width).withColumn("u", F.monotonically_increasing_id()), "signatures")
     some = sig.filter("n > 0 and doc_id is not null")
-    first = some.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
+    first = some.groupBy("f1", "f2", "n").agg(F.min("u").alias("rep"))
     copies = some.join(first, ["f1", "f2", "n"])
-    reps = copies.filter("doc_id = rep").select("doc_id", "n", "bands").dropDuplicates(["doc_id", "n", "bands"])
-    rows = settle(reps.select("doc_id", "n", "bands", F.posexplode("bands").alias("band", "hash")).select("doc_id", "n", "band", "hash"), "bands")
-    buckets = rows.groupBy("band", "hash").agg(F.min("doc_id").alias("lead"), F.count("*").alias("members")).filter("members > 1")
+    reps = settle(copies.filter("u = rep").select("u", "n", "bands", "sketch"), "classes")
+    rows = reps.select("u", F.posexplode("bands").alias("band", "hash"))
+    buckets = rows.groupBy("band", "hash").agg(F.min("u").alias("lead"), F.count("*").alias("members")).filter("members > 1")
     shared = settle(rows.join(buckets, ["band", "hash"]), "buckets")
-    near = shared.select("doc_id").distinct()
-    sets_of = settle(set_rows(bloom(docs, F.col("doc_id"), near, F.col("doc_id")).join(near, "doc_id", "left_semi"), width).distinct(), "sets")
-    star = shared.filter("doc_id <> lead").groupBy("doc_id").agg(F.min("lead").alias("v")).select(F.col("doc_id").alias("u"), "v")
-    links = settle(verified(star, sets_of, percent), "links")
+    star = shared.filter("u <> lead").groupBy("u").agg(F.min("lead").alias("v"))
+    star = settle(promising(star, reps, percent), "stars")
+    links = settle(verified(star, _sets_of(docs, sig, star.select("u").union(star.select("v")), width), percent), "links")
     comp = settle(components(links), "components")
-    open_members = shared.join(comp.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
+    open_members = shared.join(comp.select(F.col("node").alias("u"), "component"), "u", "left").withColumn("comp", F.coalesce("component", "u"))
     still = open_members.groupBy("band", "hash").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("band", "hash")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    members = open_members.join(still, ["band", "hash"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id", "hash"), "blocks").cast("int"))
+    members = open_members.join(still, ["band", "hash"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("u", "hash"), "blocks").cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    wide = members.join(sets_of, "doc_id").join(reps.select("doc_id", "bands").dropDuplicates(["doc_id"]), "doc_id").select("band", "hash", "i", "j", "block", "doc_id", "n", "comp", "bands", "hashes")
+    members = members.join(reps, "u").select(*[x.split()[0] for x in MEMBER.split(", ")], "sketch")
+    hopeful = settle(members.groupBy("band", "hash", "i", "j").applyInArrow(_hopeful(percent), MEMBER), "hopeful")
+    wide = hopeful.join(_sets_of(docs, sig, hopeful.select("u"), width), "u").select(*hopeful.columns, "hashes")
     more = wide.groupBy("band", "hash", "i", "j").applyInArrow(_settle_block(percent), "u long, v long")
-    edges = links.unionByName(more).unionByName(copies.filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
-    final = components(settle(edges, "edges"))
-    out = sig.select("doc_id", F.col("n").alias("n_shingles")).join(final.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    again = some.groupBy("doc_id").agg(F.min("u").alias("v"), F.max("u").alias("u")).filter("u <> v").select("doc_id", "v")
+    same_id = some.select("doc_id", "u").join(again, "doc_id").filter("u <> v").select("u", "v")
+    edges = links.unionByName(more).unionByName(copies.filter("u <> rep").select("u", F.col("rep").alias("v"))).unionByName(same_id)
+    final = settle(components(settle(edges, "edges")).join(sig.select(F.col("u").alias("node"), "doc_id"), "node"), "components")
+    names = final.groupBy("component").agg(F.min(F.struct("doc_id", F.col("node").alias("u"))).alias("least"))
+    named = final.join(names, "component").select(F.col("node").alias("u"), F.col("least.doc_id").alias("component_id"), (F.col("node") == F.col("least.u")).alias("first"))
+    out = sig.select("u", "doc_id", "h", F.col("n").alias("n_shingles")).join(named, "u", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    kept, first = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)), F.coalesce("first", F.lit(True))
+    return out.select("doc_id", "h", "n_shingles", "component_id", kept.alias("kept"), first.alias("first"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component, that with the smallest id, with all columns of docs; rows without an id stay."""
+    same = F.xxhash64(docs["text"])
+    out = near_duplicates(docs, width, percent).filter("first and doc_id is not null").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).distinct()
+    some = docs.withColumn("_same", same).join(out, (docs["doc_id"] == F.col("_d")) & (F.col("_same") == F.col("_h")), "left_semi")
+    return some.dropDuplicates(["doc_id", "_same"]).drop("_same").unionByName(docs.filter(docs["doc_id"].isNull()))
