@@ -36,6 +36,7 @@ from .common import scratch
 
 SAMPLE, DICTIONARY, SHARD, LEVEL = 512, 112_640, 4 << 20, 3
 NO_ID = -(1 << 63)
+SHARDS = "part int, shard int, first_id long, last_id long, docs long, ids long, width string, dictionary string, index binary, payload binary"
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<i8"), ("length", "<i8"), ("ids", "<i8")])
 
 
@@ -53,6 +54,12 @@ def _dictionary(docs: DataFrame, path: str, end_id: int, width: str) -> DataFram
     return sample.repartition(1).mapInArrow(train, "bytes binary, sha256 string")
 
 
+def _stored_dictionary(spark: SparkSession, folder: str) -> tuple[bytes, str]:
+    """The dictionary and its hash; an empty one for a store without documents."""
+    row = spark.read.schema("bytes binary, sha256 string").parquet(f"{folder}/dictionary").first()
+    return (bytes(row.bytes), row.sha256) if row else (b"", hashlib.sha256(b"").hexdigest())
+
+
 def _zdict(raw: bytes):
     return zstandard.ZstdCompressionDict(raw) if raw else None
 
@@ -62,7 +69,7 @@ def write(docs: DataFrame, folder: str, path: str = tokens.BYTE_BPE, end_id: int
     width = "<u2" if max(vocabulary, end_id + 1) <= 1 << 16 else "<u4"
     spark = docs.sparkSession
     _dictionary(docs, path, end_id, width).write.parquet(f"{folder}/dictionary")
-    raw, digest = spark.read.parquet(f"{folder}/dictionary").first()
+    raw, digest = _stored_dictionary(spark, folder)
 
     def frames(batches):
         z = zstandard.ZstdCompressor(level=LEVEL, dict_data=_zdict(raw))
@@ -96,7 +103,7 @@ def write(docs: DataFrame, folder: str, path: str = tokens.BYTE_BPE, end_id: int
     encoded.write.parquet(f"{folder}/_frames")
     made = spark.read.schema("doc_id long, ids long, frame binary").parquet(f"{folder}/_frames")
     ranged = made.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions(F.col("doc_id"), F.xxhash64("frame"))
-    ranged.mapInArrow(shards, "part int, shard int, first_id long, last_id long, docs long, ids long, width string, dictionary string, index binary, payload binary").write.parquet(f"{folder}/shards")
+    ranged.mapInArrow(shards, SHARDS).write.parquet(f"{folder}/shards")
     gone = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_frames")
     gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
@@ -127,8 +134,8 @@ def read(spark: SparkSession, folder: str, doc_ids: list[int] | None = None) ->
 
     Only shards whose range of ids holds a wanted one are read, and of them only its frames.
     """
-    raw, digest = spark.read.parquet(f"{folder}/dictionary").first()
-    shards = spark.read.parquet(f"{folder}/shards")
+    raw, digest = _stored_dictionary(spark, folder)
+    shards = spark.read.schema(SHARDS).parquet(f"{folder}/shards")
     totals = {r.part: r.n for r in shards.groupBy("part").agg(F.sum("ids").alias("n")).collect()}  # as many as write() had partitions
     first, at = [], 0
     for part in sorted(totals):
