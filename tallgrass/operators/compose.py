@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 
 from tallgrass.functions.text import lits
 
-#: Words of service names, first those that a network may need, then private ones.
+#: Words of service names, first those that a network may need, then private ones; texts of suggestions; file names.
 LAN_NAMES = ("homepage", "homarr", "dashy", "heimdall", "immich", "syncthing", "jellyfin", "plex", "navidrome", "nextcloud", "vaultwarden")
 PRIVATE_NAMES = ("postgres", "postgresql", "mariadb", "mysql", "redis", "meili", "meilisearch", "qdrant", "ollama", "searx", "searxng", "adminer", "pgadmin", "n8n", "linkwarden", "worker", "db", "database", "machine_learning")
+SUGGEST_LONG = "Review long syntax manually; set host_ip: 127.0.0.1 if private."
+SUGGEST_NOTHING = "Already loopback-only."
+SUGGEST_LAN = "May need LAN access. Keep exposed only if you actually use it from phone/LAN, or put behind Tailscale/reverse proxy."
+SUGGEST_LOCAL = "Consider changing to: 127.0.0.1:"
 COMPOSE_FILES = ("docker-compose.yml", "docker-compose.yaml", "compose.yml", "compose.yaml")
 
 
@@ -48,11 +52,11 @@ def volume(raw: Column) -> Column:
 def suggestion(port: Column, category: Column) -> Column:
     """What to do about a port that short_port() took apart."""
     tail = F.when(port.proto != "tcp", F.concat(F.lit("/"), port.proto)).otherwise("")
-    local = F.concat(F.lit("Consider changing to: 127.0.0.1:"), port.host_port, F.lit(":"), port.container_port, tail)
+    local = F.concat(F.lit(SUGGEST_LOCAL), port.host_port, F.lit(":"), port.container_port, tail)
     return (
-        F.when(port.isNull(), "Review long syntax manually; set host_ip: 127.0.0.1 if private.")
-        .when(exposure(port.host_ip) == "LOOPBACK_ONLY", "Already loopback-only.")
-        .when(category == "probably LAN-needed", "May need LAN access. Keep exposed only if you actually use it from phone/LAN, or put behind Tailscale/reverse proxy.")
+        F.when(port.isNull(), SUGGEST_LONG)
+        .when(exposure(port.host_ip) == "LOOPBACK_ONLY", SUGGEST_NOTHING)
+        .when(category == "probably LAN-needed", SUGGEST_LAN)
         .otherwise(local)
     )
 
