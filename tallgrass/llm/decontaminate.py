@@ -80,7 +80,7 @@ def hits(docs: DataFrame, items: DataFrame, width: int = WIDTH, broadcast_rows:
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: int = 20, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, h, n_words, n_hit, n_items, items_sha256 and contaminated (n_hit > 0 and share * n_hit >= n_words)."""
-    found = hits(docs, items, width, broadcast_rows)
+    found = settle(hits(docs, items, width, broadcast_rows), "hits")  # read twice below, and small against the texts
     before = F.max("hi").over(W.partitionBy("doc_id", "h").orderBy("lo", "hi").rowsBetween(W.unboundedPreceding, -1))
     new = F.greatest(F.lit(0), F.col("hi") - F.greatest(F.col("lo"), F.coalesce(before, F.col("lo"))))
     spans = found.groupBy("doc_id", "h", "lo").agg(F.max("hi").alias("hi")).withColumn("new", new).groupBy("doc_id", "h").agg(F.sum("new").alias("n_hit"))
