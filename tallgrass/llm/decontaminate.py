@@ -52,14 +52,17 @@ def checked(df: DataFrame, most: int) -> DataFrame:
 def anchors(docs: DataFrame, items: DataFrame, width: int, broadcast_rows: int) -> DataFrame:
     """w, item_id, need, left (nearest word first) and right of each place of an item that is some window's rarest word."""
     own = items.filter("item_id is not null").select("item_id", words(F.col("text")).alias("iw")).filter("size(iw) > 0").distinct()
+    own = settle(own.withColumn("k", F.monotonically_increasing_id()), "items")
     vocabulary = checked(settle(own.select(F.explode("iw").alias("w")).distinct(), "vocabulary"), broadcast_rows)
     counts = docs.select(F.explode(words(F.col("text"))).alias("w")).join(vocabulary, "w").groupBy("w").agg(F.count("*").alias("n"))
-    places = own.withColumn("k", F.monotonically_increasing_id()).select("item_id", "iw", F.posexplode("iw").alias("q", "w")).join(counts, "w")
     need = F.least(F.lit(width), F.size("iw"))
-    # A place lies in windows that start at q - need + 1 .. q, as far as the item goes.
-    starts = F.sequence(F.greatest(F.lit(0), F.col("q") - need + 1), F.least(F.col("q"), F.size("iw") - need))
-    per_window = places.withColumn("start", F.explode(starts)).groupBy("item_id", "iw", "start").agg(F.min(F.struct("n", "w", "q")).alias("least"), F.count("*").alias("found"))
-    best = per_window.filter(F.col("found") == need).select("item_id", "iw", F.col("least.w").alias("w"), F.col("least.q").alias("q")).distinct()
+    # Of windows of an item with the same words one is enough.
+    every = own.select("item_id", "k", need.alias("need"), F.explode(F.sequence(F.lit(0), F.size("iw") - need)).alias("start"), "iw")
+    windows = every.select("item_id", "k", "start", F.slice("iw", F.col("start") + 1, F.col("need")).alias("win"))
+    windows = windows.groupBy("item_id", F.array_join("win", " ").alias("win")).agg(F.min(F.struct("k", "start")).alias("at")).select("at.k", "at.start", F.split("win", " ").alias("win"))
+    places = windows.select("k", "start", F.size("win").alias("need"), F.posexplode("win").alias("j", "w")).join(counts, "w")
+    per_window = places.groupBy("k", "start", "need").agg(F.min(F.struct("n", "w", (F.col("start") + F.col("j")).alias("q"))).alias("least"), F.count("*").alias("found"))
+    best = per_window.filter(F.col("found") == F.col("need")).select("k", F.col("least.w").alias("w"), F.col("least.q").alias("q")).distinct().join(own, "k")
     left = F.reverse(F.slice("iw", F.greatest(F.lit(1), F.col("q") - width + 2), F.least(F.col("q"), F.lit(width - 1))))
     return best.select("w", "item_id", need.alias("need"), left.alias("left"), F.slice("iw", F.col("q") + 2, width - 1).alias("right"))
 
