@@ -1,30 +1,38 @@
 """Token ids of whole texts with public tokenizer files and the tokenizers library.
 
-A text is cut before single spaces and line ends that stand between two other signs;
-the two tokenizers used here never join signs across such a place, so the ids of the
-parts, one after the other, are those of the whole. Each worker keeps the ids of parts
-it has met (``CACHE`` of them at most; then it starts anew), since most parts recur.
+A text is cut where these tokenizers never join signs: before single spaces and line ends
+that stand between two other signs, and before a full stop or comma that follows an ASCII
+letter and ends a word. The ids of the parts, one after the other, are those of the whole.
+A worker keeps the ids of the parts it has met (``CACHE`` of them at most; then it starts
+anew), since most recur. A text in which white space does not stand alone, or that has
+white space beyond ASCII, is encoded whole.
+
+Parts are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import array
 import os
-import re
 from functools import lru_cache
 
 import numpy as np
 
-CACHE = 500_000
-#: Tokenizer files, the end id of each use, and whether white space is dropped.
+from . import vectors as V
+
+CACHE = 1_000_000
+#: Names of tokenizer files.
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
-_RUN = re.compile(r"\s\s")
-_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+LETTER = np.zeros(256, bool)
+LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+#: Bytes that only texts have that are encoded whole: controls that some take as white space.
+ODD = np.zeros(256, bool)
+ODD[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F]] = True
+END, STOP, COMMA = (np.uint64(x) for x in (0x51ED270B0A1F3C4D, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25))
 
 
 class Encoder:
-    def __init__(self, path: str, drops_space: bool) -> None:
+    def __init__(self, path: str, drops_space: bool, end_id: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -34,42 +42,142 @@ class Encoder:
             path = public_tokenizers.path(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.drops_space, self.known = drops_space, {}
-
-    def parts(self, text: str) -> list[str]:
-        """Parts that can be encoded alone; with space kept, each part carries the sign before it."""
-        if self.drops_space:
-            return text.replace("\n", " ").split(" ")
-        if not text or text[0].isspace() or text[-1].isspace() or _RUN.search(text):
-            return _CUT.split(text) if text else []
-        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") if "\0" not in text else _CUT.split(text)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        split, new = [self.parts(t) for t in texts], set()
-        for p in split:
-            new.update(p)
-        if len(self.known) + len(new) > CACHE:
-            self.known = {}
-        missing = list(new.difference(self.known))
-        for k in range(0, len(missing), 20_000):
-            some = missing[k : k + 20_000]
-            for word, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[word] = array.array("I", e.ids).tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in split]
+        self.drops_space, self.end_id = drops_space, end_id
+        vocabulary = self.tokenizer.get_vocab()
+        # Where one of many words that were encoded together ends (a suffix) or begins (a marked space).
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.edge[[i for t, i in vocabulary.items() if (t.endswith("</w>") if drops_space else t.startswith("Ġ"))]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.known, self.flat, self.used = {}, np.zeros(1 << 16, np.uint32), 0
+        self.start, self.size = np.zeros(CACHE + 16, np.int64), np.zeros(CACHE + 16, np.int32)
+        marks = [[self.end_id], self.ids("."), self.ids(",")]
+        self.add([int(END), int(STOP), int(COMMA)], *self.joined(marks))
+
+    @staticmethod
+    def joined(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        return np.array([i for x in lists for i in x], np.uint32), np.cumsum([0, *map(len, lists)])
+
+    def ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def add(self, keys: list[int], ids: np.ndarray, bounds: np.ndarray) -> None:
+        """Keep ids[bounds[k]:bounds[k + 1]] as those of keys[k]."""
+        n = len(self.known)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[n : n + len(keys)], self.size[n : n + len(keys)] = self.used + bounds[:-1], np.diff(bounds)
+        self.known.update(zip(keys, range(n, n + len(keys))))
+        self.used += len(ids)
+
+    def learn(self, keys: list[int], parts: list[bytes], lead: list[int]) -> None:
+        """Encode new parts: words of letters alone together, others one by one."""
+        texts, together, alone = [p.decode() for p in parts], [], []
+        for k, t in enumerate(texts):
+            (together if t.isalpha() and (self.drops_space or lead[k] == 1) else alone).append(k)
+        for i in range(0, len(together), 20_000):
+            some = together[i : i + 20_000]
+            ids = np.array(self.ids(" " + " ".join(texts[k] for k in some)), np.uint32)
+            at = np.flatnonzero(self.edge[ids])
+            if len(at) == len(some):
+                bounds = np.concatenate(([0], at + 1)) if self.drops_space else np.append(at, len(ids))
+                self.add([keys[k] for k in some], ids, bounds)
+            else:  # a sign that the library takes otherwise than Python does
+                alone += some
+        before = ("", " ", "\n")
+        for i in range(0, len(alone), 20_000):
+            some = alone[i : i + 20_000]
+            found = self.tokenizer.encode_batch_fast([before[lead[k]] + texts[k] for k in some], add_special_tokens=False)
+            self.add([keys[k] for k in some], *self.joined([e.ids for e in found]))
+
+    def whole(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Rows that must be encoded whole."""
+        if not len(buf):
+            return np.zeros(len(off) - 1, bool)
+        space = (buf == 0x20) | (buf == 0x0A)
+        odd = ODD[buf].copy()
+        b, c = buf[:-1], buf[1:]
+        odd[1:] |= ((b == 0xC2) & ((c == 0x85) | (c == 0xA0))) | ((b == 0xE1) & (c == 0x9A)) | ((b == 0xE2) & ((c == 0x80) | (c == 0x81))) | ((b == 0xE3) & (c == 0x80))
+        if not self.drops_space:
+            odd[1:] |= space[:-1] & space[1:]
+            some = off[1:] > off[:-1]
+            ends = np.concatenate((off[:-1][some], off[1:][some] - 1))
+            odd[ends] |= space[ends]
+        run = np.concatenate(([0], np.cumsum(odd)))
+        return run[off[1:]] > run[off[:-1]]
+
+    def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows, one after the other, each with the end id; offsets of rows)."""
+        rows, whole = len(off) - 1, self.whole(buf, off)
+        s, e, row = V.words(buf, off)
+        keep = ~whole[row]
+        s, e, row = s[keep], e[keep], row[keep]
+        last = buf[e - 1]
+        tail = ((last == 0x2E) | (last == 0x2C)) & (e - s > 1) & LETTER[buf[e - 2]]
+        e = e - tail
+        with np.errstate(over="ignore"):
+            key = V.hashes(buf, s, e, V.BYTE_LOWER if self.drops_space else V.BYTE)
+            lead = np.zeros(len(s), np.int8)
+            if not self.drops_space:
+                inner = s > off[row]
+                lead[inner] = np.where(buf[s[inner] - 1] == 0x0A, 2, 1)
+                key = V.mix(key + lead.astype(np.uint64))
+        # Places of words, of stops and commas after them, and of the ends of rows.
+        n = np.bincount(row, 1 + tail, minlength=rows).astype(np.int64) + 1
+        first = np.concatenate(([0], np.cumsum(n)))
+        before = np.cumsum(1 + tail) - (1 + tail)
+        place = before + row
+        every = np.full(first[-1], END, np.uint64)
+        every[place] = key
+        every[place[tail] + 1] = np.where(last[tail] == 0x2E, STOP, COMMA)
+        u, at, back = np.unique(every, return_index=True, return_inverse=True)
+        if len(self.known) + len(u) > CACHE:
+            self.clear()
+        get = self.known.get
+        number = [get(k) for k in u.tolist()]
+        missing = [k for k, x in enumerate(number) if x is None]
+        if len(missing) + len(self.known) > CACHE:
+            return self._halves(buf, off)
+        if missing:
+            w = np.searchsorted(place, at[missing])
+            self.learn(u[missing].tolist(), [buf[a:b].tobytes() for a, b in zip(s[w].tolist(), e[w].tolist())], lead[w].tolist())
+            for k in missing:
+                number[k] = self.known[int(u[k])]
+        w = np.array(number, np.int64)[back]
+        size = self.size[w].astype(np.int64)
+        ends = np.concatenate(([0], np.cumsum(size)))
+        ids = self.flat[np.repeat(self.start[w] - ends[:-1], size) + np.arange(ends[-1])]
+        out = ends[first]
+        if whole.any():
+            parts = [ids[a:b] for a, b in zip(out[:-1], out[1:])]
+            for k in np.flatnonzero(whole):
+                parts[k] = np.array([*self.ids(buf[off[k] : off[k + 1]].tobytes().decode()), self.end_id], np.uint32)
+            ids, out = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+        return ids, out
+
+    def _halves(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For more new words at once than are kept: a long text whole, several rows apart."""
+        if len(off) == 2:
+            ids = np.array([*self.ids(buf.tobytes().decode()), self.end_id], np.uint32)
+            return ids, np.array([0, len(ids)])
+        m = len(off) // 2
+        (a, p), (b, q) = self.encode(buf[: off[m]], off[: m + 1]), self.encode(buf[off[m] :], off[m:] - off[m])
+        return np.concatenate((a, b)), np.concatenate((p, q[1:] + p[-1]))
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, drops_space: bool) -> Encoder:
+def encoder(path: str, drops_space: bool, end_id: int) -> Encoder:
     """One encoder for each file in a worker, kept from task to task."""
-    return Encoder(path, drops_space)
+    return Encoder(path, drops_space, end_id)
 
 
-def encoded(batch, column: int, path: str, drops_space: bool, end_id: int, texts_at_once: int = 256):
-    """(row, ids with the end id as a numpy array) for each row of a batch; a null text is empty."""
-    enc, end = encoder(path, drops_space), np.array([end_id], "<u4").tobytes()
-    col = batch.column(column)
-    for i in range(0, len(col), texts_at_once):
-        for k, raw in enumerate(enc.encode([x or "" for x in col.slice(i, texts_at_once).to_pylist()])):
-            yield i + k, np.frombuffer(raw + end, "<u4")
+def encoded(batch, column: int, path: str, drops_space: bool, end_id: int):
+    """(row, ids with the end id as an array) for each row of a batch; a null text is empty."""
+    enc = encoder(path, drops_space, end_id)
+    buf, off = V.text_bytes(batch.column(column))
+    for i, j in V.spans(off):
+        ids, at = enc.encode(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+        for k in range(j - i):
+            yield i + k, ids[at[k] : at[k + 1]]
