@@ -5,8 +5,8 @@ A store is a folder with two Parquet tables, written by Spark's own committers:
 - ``dictionary``: one row, the bytes of the zstandard dictionary and their SHA-256. It is
   trained on the serialized id arrays of at most ``SAMPLE`` documents, those with the
   smallest hash of id and text.
-- ``shards``: rows of about ``SHARD`` bytes in ascending doc_id order. Each has the dictionary's
-  hash, a payload of frames, and an index of 32 bytes for each document: doc_id, offset
+- ``shards``: rows of about ``SHARD`` bytes in ascending doc_id order, in parts that follow each
+  other. Each has the dictionary's hash, how many ids its part holds before it, a payload of frames, and an index of 32 bytes for each document: doc_id, offset
   and length in the payload, number of ids (all little-endian), so one document is read
   by decompressing its frame alone.
 
@@ -29,14 +29,13 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from . import tokens
 from .common import scratch
 
 SAMPLE, DICTIONARY, SHARD, LEVEL = 512, 112_640, 4 << 20, 3
 NO_ID = -(1 << 63)
-SHARDS = "part int, shard int, first_id long, last_id long, docs long, ids long, width string, dictionary string, index binary, payload binary"
+SHARDS = "part int, shard int, first_id long, last_id long, docs long, ids long, before long, width string, dictionary string, index binary, payload binary"
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<i8"), ("length", "<i8"), ("ids", "<i8")])
 
 
@@ -81,12 +80,12 @@ def write(docs: DataFrame, folder: str, path: str = tokens.BYTE_BPE, end_id: int
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "ids", "frame"])
 
     def shards(batches):
-        part, k, rows, payload, size = TaskContext.get().partitionId(), 0, [], [], 0
+        part, k, before, rows, payload, size = TaskContext.get().partitionId(), 0, 0, [], [], 0
 
         def flush():
             index = np.array(rows, INDEX)
-            values = {"part": part, "shard": k, "first_id": None if rows[0][0] == NO_ID else rows[0][0], "last_id": None if rows[-1][0] == NO_ID else rows[-1][0], "docs": len(rows), "ids": int(index["ids"].sum()), "width": width, "dictionary": digest, "index": index.tobytes(), "payload": b"".join(payload)}
-            return pa.RecordBatch.from_pylist([values], pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64()), ("width", pa.string()), ("dictionary", pa.string()), ("index", pa.binary()), ("payload", pa.binary())]))
+            values = {"part": part, "shard": k, "first_id": None if rows[0][0] == NO_ID else rows[0][0], "last_id": None if rows[-1][0] == NO_ID else rows[-1][0], "docs": len(rows), "ids": int(index["ids"].sum()), "before": before, "width": width, "dictionary": digest, "index": index.tobytes(), "payload": b"".join(payload)}
+            return pa.RecordBatch.from_pylist([values], pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64()), ("before", pa.int64()), ("width", pa.string()), ("dictionary", pa.string()), ("index", pa.binary()), ("payload", pa.binary())]))
 
         for b in batches:
             for doc, ids, frame in zip(*(c.to_pylist() for c in b.columns[:3])):
@@ -95,6 +94,7 @@ def write(docs: DataFrame, folder: str, path: str = tokens.BYTE_BPE, end_id: int
                 size += len(frame)
                 if size >= SHARD:
                     yield flush()
+                    before += sum(r[3] for r in rows)
                     k, rows, payload, size = k + 1, [], [], 0
         if rows:
             yield flush()
@@ -108,14 +108,14 @@ def write(docs: DataFrame, folder: str, path: str = tokens.BYTE_BPE, end_id: int
     gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
 
-def _decode(dictionary: bytes, digest: str, wanted: set | None = None):
+def _decode(dictionary: bytes, digest: str, base: dict[int, int], wanted: set | None = None):
     def rows(batches):
         z = zstandard.ZstdDecompressor(dict_data=_zdict(dictionary))
         for b in batches:
             for r in b.to_pylist():
                 if r["dictionary"] != digest:
                     raise ValueError("a shard names another dictionary")
-                at, out = r["start"], []
+                at, out = base[r["part"]] + r["before"], []
                 for doc, offset, length, n in np.frombuffer(r["index"], INDEX).tolist():
                     if wanted is None or doc in wanted:
                         ids = np.frombuffer(z.decompress(r["payload"][offset : offset + length]), r["width"])
@@ -137,20 +137,17 @@ def read(spark: SparkSession, folder: str, doc_ids: list[int] | None = None) ->
     raw, digest = _stored_dictionary(spark, folder)
     shards = spark.read.schema(SHARDS).parquet(f"{folder}/shards")
     totals = {r.part: r.n for r in shards.groupBy("part").agg(F.sum("ids").alias("n")).collect()}  # as many as write() had partitions
-    first, at = [], 0
+    base, at = {}, 0
     for part in sorted(totals):
-        first.append((part, at))
+        base[part] = at
         at += totals[part]
-    before = F.coalesce(F.sum("ids").over(W.partitionBy("part").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = shards.select("part", "shard", before.alias("before")).join(F.broadcast(spark.createDataFrame(first, "part int, base long")), "part").select("part", "shard", (F.col("base") + F.col("before")).alias("start"))
     if doc_ids is not None:
         near = [(F.col("first_id") <= i) & (F.col("last_id") >= i) for i in doc_ids]
         some = near[0] if near else F.lit(False)
         for c in near[1:]:
             some |= c
         shards = shards.filter(some)
-    rows = shards.select("part", "shard", "width", "dictionary", "index", "payload").join(starts, ["part", "shard"])
-    return rows.select("start", "width", "dictionary", "index", "payload").mapInArrow(_decode(raw, digest, None if doc_ids is None else set(doc_ids)), "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
+    return shards.select("part", "before", "width", "dictionary", "index", "payload").mapInArrow(_decode(raw, digest, base, None if doc_ids is None else set(doc_ids)), "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
