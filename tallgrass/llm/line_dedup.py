@@ -29,13 +29,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectors as V
 from .common import bloom, settle
 
-COMMON, BLOCK, AT_ONCE, PERCENT = 1 << 16, 1 << 13, 8, 80
+COMMON, BLOCK, MOST_BLOCKS, AT_ONCE, PERCENT, PART, LONG = 1 << 16, 1 << 13, 1 << 12, 8, 80, 1 << 21, 80
+PAIR_BITS = np.uint64((1 << 40) - 1)
 TOP = np.uint64(1 << 63)
 NO_ID = -(1 << 63)
 
@@ -49,8 +51,8 @@ def _slices(batches):
             yield ids[i:j], buf[off[i] : off[j]], off[i : j + 1] - off[i], b.slice(i, j - i)
 
 
-def common_words(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """(hashes sorted, rank by count of each, count of all words): at most COMMON words."""
+def common_words(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(hashes sorted, rank by count of each, counts by rank, count of all words): at most COMMON words."""
 
     def rows(batches):
         held, total = [], 0
@@ -72,7 +74,7 @@ def common_words(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     top = top.sort_values(["n", "h"])
     h, n = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     order = np.argsort(h)
-    return h[order], order.astype(np.uint64), n
+    return h[order], order.astype(np.uint64), n, total
 
 
 def _sum(held):
@@ -111,11 +113,18 @@ def fingerprints(x: np.ndarray, o: np.ndarray) -> np.ndarray:
     return V.mix(total[o[1:]] - total[o[:-1]] + np.diff(o).astype(np.uint64)).view(np.int64)
 
 
-def parity(x: np.ndarray, o: np.ndarray) -> np.ndarray:
-    """64 bits for each line; every word flips one."""
-    bits = np.uint64(1) << (V.mix(x ^ np.uint64(0x632BE59BD9B4E019)) >> np.uint64(58))
-    run = np.concatenate((np.zeros(1, np.uint64), np.bitwise_xor.accumulate(bits) if len(bits) else bits))
-    return (run[o[1:]] ^ run[o[:-1]]).view(np.int64)
+def parity(x: np.ndarray, o: np.ndarray) -> dict[str, np.ndarray]:
+    """256 bits for each line, of which every word flips one, in four columns; a line of at most
+    LONG words has them folded into the first, so the others pack to nothing."""
+    h = V.mix(x ^ np.uint64(0x632BE59BD9B4E019))
+    word, bit = h >> np.uint64(62), np.uint64(1) << (h >> np.uint64(56) & np.uint64(63))
+    short = np.repeat(np.diff(o) <= LONG, np.diff(o))
+    out = {}
+    for k in range(4):
+        mine = np.where(short | (word == 0) if k == 0 else ~short & (word == k), bit, np.uint64(0))
+        run = np.concatenate((np.zeros(1, np.uint64), np.bitwise_xor.accumulate(mine) if len(mine) else mine))
+        out[f"b{k}"] = run[o[1:]] ^ run[o[:-1]]
+    return out
 
 
 def all_lines(docs: DataFrame, ranks) -> DataFrame:
@@ -131,26 +140,57 @@ def all_lines(docs: DataFrame, ranks) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, line int, f long")
 
 
-POSTING = "token long, i int, j int, own int, doc_id long, line int, n int, pos int, f long, bits long"
+#: Columns of a posting, and how many are held before they are dealt out.
+POSTING = {"token": np.uint64, "place": np.uint64, "doc_id": np.int64, "line": np.int32, "n": np.int32, "pos": np.int32, "f": np.int64, "b0": np.uint64, "b1": np.uint64, "b2": np.uint64, "b3": np.uint64}
+HELD = 1 << 20
 
 
-def postings(docs: DataFrame, ranks, counts: np.ndarray, percent: int) -> DataFrame:
-    """The rows that meet by their token (and block): the rarest words of each class."""
+def packed(t: dict) -> bytes:
+    """Postings as bytes, column by column; tokens, which are sorted, as steps."""
+    steps = np.diff(t["token"], prepend=np.uint64(0))
+    return zstandard.compress(b"".join((steps if k == "token" else t[k]).tobytes() for k in POSTING), 1)
+
+
+def unpacked(raw: bytes) -> dict:
+    data, out, at = zstandard.decompress(raw), {}, 0
+    rows = len(data) // sum(np.dtype(d).itemsize for d in POSTING.values())
+    for k, d in POSTING.items():
+        out[k] = np.frombuffer(data, d, rows, at)
+        at += rows * np.dtype(d).itemsize
+    out["token"] = np.cumsum(out["token"], dtype=np.uint64)
+    return out
+
+
+def postings(docs: DataFrame, ranks, counts: np.ndarray, percent: int, parts: int) -> DataFrame:
+    """part and bytes of the postings that meet there: the rarest words of each class. A word's
+    postings, or those of one pair of its blocks, are in the same part."""
+
+    def deal(held: list[dict]):
+        t = {k: np.concatenate([x[k] for x in held]) for k in POSTING}
+        with np.errstate(over="ignore"):
+            part = (V.mix(t["token"] + V.mix(t["place"] & PAIR_BITS)) % np.uint64(parts)).astype(np.int32)
+        order = np.lexsort((t["token"], part))
+        t, part = {k: v[order] for k, v in t.items()}, part[order]
+        edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
+        blobs = [packed({k: v[a:b] for k, v in t.items()}) for a, b in zip(edge[:-1], edge[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(part[edge[:-1]]), pa.array(blobs, pa.binary())], ["part", "rows"])
 
     def rows(batches):
-        seen: set[int] = set()
+        seen: dict[int, tuple[int, int]] = {}
+        held, size = [], 0
         for ids, buf, off, _ in _slices(batches):
             with np.errstate(over="ignore"):
                 x, o, doc, number = line_sets(buf, off, ranks)
                 n, f, bits = np.diff(o), fingerprints(x, o), parity(x, o)
+                # A class met before in this task posts again only from an earlier line; ids may come in any order.
                 new = np.zeros(len(n), bool)
-                for k in np.flatnonzero(n > 0):  # ids come in any order, so the earliest of a class may be in another task
-                    key = (int(f[k]), 0)
-                    if key not in seen:
-                        seen.add(key)
+                for k in np.flatnonzero(n > 0):
+                    at, key = (int(ids[doc[k]]), int(number[k])), int(f[k])
+                    if key not in seen or at < seen[key]:
                         new[k] = True
-                if len(seen) > 2_000_000:
-                    seen = set()
+                        seen[key] = at
+                if len(seen) > 500_000:
+                    seen = {}
                 at = np.flatnonzero(new)
                 take = n[at] - -(-percent * n[at] // 100) + 1
                 line = np.repeat(at, take)
@@ -159,77 +199,74 @@ def postings(docs: DataFrame, ranks, counts: np.ndarray, percent: int) -> DataFr
                 blocks = np.ones(len(line), np.int64)
                 top = np.flatnonzero(token >= TOP)
                 if len(top):
-                    blocks[top] = -(-counts[(token[top] ^ TOP).astype(np.int64)] // BLOCK)
+                    blocks[top] = np.minimum(MOST_BLOCKS, -(-counts[(token[top] ^ TOP).astype(np.int64)] // BLOCK))
                 own = (V.mix(f[line].view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
                 rep = np.repeat(np.arange(len(line)), blocks)
                 other = np.arange(len(rep)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                mine = own[rep]
-                line, pos, token = line[rep], pos[rep], token[rep]
-                cols = [token.view(np.int64), np.minimum(mine, other).astype(np.int32), np.maximum(mine, other).astype(np.int32), mine.astype(np.int32), ids[doc[line]], number[line].astype(np.int32), n[line].astype(np.int32), pos.astype(np.int32), f[line], bits[line]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [c.split()[0] for c in POSTING.split(", ")])
+                mine, line, pos, token = own[rep], line[rep], pos[rep], token[rep]
+                place = np.minimum(mine, other) | np.maximum(mine, other) << 20 | mine << 40
+                held.append({"token": token, "place": place.astype(np.uint64), "doc_id": ids[doc[line]], "line": number[line].astype(np.int32), "n": n[line].astype(np.int32), "pos": pos.astype(np.int32), "f": f[line], **{c: v[line] for c, v in bits.items()}})
+                size += len(token)
+            if size >= HELD:
+                yield deal(held)
+                held, size = [], 0
+        if size:
+            yield deal(held)
 
-    return docs.select("doc_id", "text").mapInArrow(rows, POSTING)
+    return docs.select("doc_id", "text").mapInArrow(rows, "part int, rows binary")
 
 
 PAIR = "c long, c_doc long, c_line int, d long, d_doc long, d_line int, more boolean"
 
 
-def _pairs(percent: int, at_once: int | None):
-    """Pairs of a later line c and an earlier d that pass the bounds, from rows sorted by token, block and length."""
-
-    def find(t: dict) -> pa.RecordBatch:
-        g = np.zeros(len(t["token"]), np.int64)
-        g[1:] = np.cumsum((t["token"][1:] != t["token"][:-1]) | (t["i"][1:] != t["i"][:-1]) | (t["j"][1:] != t["j"][:-1]))
-        first = np.ones(len(g), bool)
-        first[1:] = (g[1:] != g[:-1]) | (t["f"][1:] != t["f"][:-1]) | (t["n"][1:] != t["n"][:-1])
-        t, g = {k: v[first] for k, v in t.items()}, g[first]
-        n, a, k, later, earlier = t["n"].astype(np.int64), np.arange(len(g)), 0, [], []
-        while len(a):
-            k += 1
-            a = a[a + k < len(g)]
-            a = a[(g[a + k] == g[a]) & (100 * n[a] >= percent * n[a + k])]
-            b = a + k
-            need = -(-percent * (n[a] + n[b]) // (100 + percent))
-            ok = (np.minimum(n[a] - t["pos"][a], n[b] - t["pos"][b]) >= need) & (np.bitwise_count((t["bits"][a] ^ t["bits"][b]).view(np.uint64)) <= n[a] + n[b] - 2 * need)
-            ok &= (t["i"][a] == t["j"][a]) | (t["own"][a] != t["own"][b])
-            x, y = a[ok], b[ok]
-            tie = (t["doc_id"][x] == t["doc_id"][y]) & (t["line"][x] == t["line"][y])
-            x, y = x[~tie], y[~tie]
-            y_later = (t["doc_id"][y] > t["doc_id"][x]) | ((t["doc_id"][y] == t["doc_id"][x]) & (t["line"][y] > t["line"][x]))
-            later.append(np.where(y_later, y, x))
-            earlier.append(np.where(y_later, x, y))
-        c, d = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (later, earlier))
-        order = np.lexsort((t["line"][d], t["doc_id"][d], c))
-        c, d = c[order], d[order]
-        nth = np.arange(len(c)) - np.searchsorted(c, c)
-        more = np.bincount(c, minlength=len(g))[c] > (at_once or len(g))
-        if at_once:
-            c, d, more = c[nth < at_once], d[nth < at_once], more[nth < at_once]
-        return pa.RecordBatch.from_arrays([pa.array(v) for v in (t["f"][c], t["doc_id"][c], t["line"][c], t["f"][d], t["doc_id"][d], t["line"][d], more)], [x.split()[0] for x in PAIR.split(", ")])
-
-    def rows(batches):
-        rest: dict | None = None
-        for b in batches:
-            t = {name: b.column(k).to_numpy() for k, name in enumerate(b.schema.names)}
-            if rest is not None:
-                t = {k: np.concatenate((rest[k], v)) for k, v in t.items()}
-            if not len(t["token"]):
-                continue
-            last = (t["token"] == t["token"][-1]) & (t["i"] == t["i"][-1]) & (t["j"] == t["j"][-1])
-            whole = {k: v[~last] for k, v in t.items()}
-            rest = {k: v[last] for k, v in t.items()}
-            if len(whole["token"]):
-                yield find(whole)
-        if rest is not None and len(rest["token"]):
-            yield find(rest)
-
-    return rows
+def find(t: dict, percent: int, at_once: int | None) -> pa.RecordBatch:
+    """Pairs of a later line c and an earlier d that pass the bounds, among all postings of a part."""
+    with np.errstate(over="ignore"):
+        key = V.mix(t["token"] + V.mix(t["place"] & PAIR_BITS))
+    order = np.lexsort((t["line"], t["doc_id"], t["f"], t["n"], key))
+    key, t = key[order], {k: v[order] for k, v in t.items() if k != "token"}
+    g = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
+    first = np.ones(len(g), bool)
+    first[1:] = (g[1:] != g[:-1]) | (t["f"][1:] != t["f"][:-1]) | (t["n"][1:] != t["n"][:-1])
+    t, g = {k: v[first] for k, v in t.items()}, g[first]
+    n, own, a, k, later, earlier = t["n"].astype(np.int64), t["place"] >> np.uint64(40), np.arange(len(g)), 0, [], []
+    apart = (t["place"] & np.uint64(0xFFFFF)) != (t["place"] >> np.uint64(20) & np.uint64(0xFFFFF))
+    fold = t["b0"] ^ t["b1"] ^ t["b2"] ^ t["b3"]
+
+    def differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        wide = sum(np.bitwise_count(t[c][a] ^ t[c][b]).astype(np.int64) for c in ("b0", "b1", "b2", "b3"))
+        return np.where((n[a] > LONG) & (n[b] > LONG), wide, np.bitwise_count(fold[a] ^ fold[b]))
+
+    while len(a):
+        k += 1
+        a = a[a + k < len(g)]
+        a = a[(g[a + k] == g[a]) & (100 * n[a] >= percent * n[a + k])]
+        b = a + k
+        need = -(-percent * (n[a] + n[b]) // (100 + percent))
+        ok = (np.minimum(n[a] - t["pos"][a], n[b] - t["pos"][b]) >= need) & (differ(a, b) <= n[a] + n[b] - 2 * need)
+        ok &= ~apart[a] | (own[a] != own[b])
+        x, y = a[ok], b[ok]
+        tie = (t["doc_id"][x] == t["doc_id"][y]) & (t["line"][x] == t["line"][y])
+        x, y = x[~tie], y[~tie]
+        y_later = (t["doc_id"][y] > t["doc_id"][x]) | ((t["doc_id"][y] == t["doc_id"][x]) & (t["line"][y] > t["line"][x]))
+        later.append(np.where(y_later, y, x))
+        earlier.append(np.where(y_later, x, y))
+    c, d = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (later, earlier))
+    order = np.lexsort((t["line"][d], t["doc_id"][d], c))
+    c, d = c[order], d[order]
+    nth = np.arange(len(c)) - np.searchsorted(c, c)
+    more = np.bincount(c, minlength=len(g))[c] > (at_once or len(g))
+    if at_once:
+        c, d, more = c[nth < at_once], d[nth < at_once], more[nth < at_once]
+    return pa.RecordBatch.from_arrays([pa.array(v) for v in (t["f"][c], t["doc_id"][c], t["line"][c], t["f"][d], t["doc_id"][d], t["line"][d], more)], [x.split()[0] for x in PAIR.split(", ")])
 
 
 def candidates(posted: DataFrame, percent: int, at_once: int | None) -> DataFrame:
-    parts = int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = posted.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "f", "doc_id", "line")
-    return near.mapInArrow(_pairs(percent, at_once), PAIR)
+    def meet(t: pa.Table) -> pa.Table:
+        blobs = [unpacked(x.as_py()) for x in t.column("rows")]
+        return pa.Table.from_batches([find({k: np.concatenate([b[k] for b in blobs]) for k in POSTING}, percent, at_once)])
+
+    return posted.groupBy("part").applyInArrow(meet, PAIR)
 
 
 def class_sets(docs: DataFrame, ranks, wanted: DataFrame) -> DataFrame:
@@ -274,11 +311,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, ranks, percent: int) -> DataFra
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id (NO_ID for none) and line of each line that has an earlier match."""
     docs = docs.select("doc_id", "text")
-    hashes, ranks, counts = common_words(docs)
+    hashes, ranks, counts, total = common_words(docs)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // PART)
     known = (hashes, ranks)
     lines = settle(all_lines(docs, known), "lines")
     first = lines.groupBy("f").agg(F.min(F.struct("doc_id", "line")).alias("at"))
-    posted = postings(docs, known, counts, percent)
+    posted = postings(docs, known, counts, percent, parts)
     pairs = settle(candidates(posted, percent, AT_ONCE), "pairs")
     found = settle(_verified(pairs, docs, known, percent), "matches")
     again = settle(pairs.filter("more").select("c").distinct().join(found.select("c").distinct(), "c", "left_anti"), "again")
