@@ -30,6 +30,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,19 +128,6 @@ def parity(x: np.ndarray, o: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def all_lines(docs: DataFrame, ranks) -> DataFrame:
-    """doc_id, line and f (its class) of each line that has words."""
-
-    def rows(batches):
-        for ids, buf, off, _ in _slices(batches):
-            with np.errstate(over="ignore"):
-                x, o, doc, number = line_sets(buf, off, ranks)
-                some = np.diff(o) > 0
-                yield pa.RecordBatch.from_arrays([pa.array(ids[doc[some]]), pa.array(number[some].astype(np.int32)), pa.array(fingerprints(x, o)[some])], ["doc_id", "line", "f"])
-
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, line int, f long")
-
-
 #: Columns of a posting, and how many are held before they are dealt out.
 POSTING = {"token": np.uint64, "place": np.uint64, "doc_id": np.int64, "line": np.int32, "n": np.int32, "pos": np.int32, "f": np.int64, "b0": np.uint64, "b1": np.uint64, "b2": np.uint64, "b3": np.uint64}
 HELD = 1 << 20
@@ -161,11 +149,41 @@ def unpacked(raw: bytes) -> dict:
     return out
 
 
-def postings(docs: DataFrame, ranks, counts: np.ndarray, percent: int, parts: int) -> DataFrame:
-    """part and bytes of the postings that meet there: the rarest words of each class. A word's
-    postings, or those of one pair of its blocks, are in the same part."""
+class Marks:
+    """A set of 64-bit values as 2 ** 24 bits: it may hold more than was put in, never less."""
+
+    def __init__(self, values: DataFrame) -> None:
+        """values: rows of c and token; tokens, and pairs of both, are put in."""
+
+        def slots(batches):
+            for b in batches:
+                c, token = (b.column(k).to_numpy().view(np.uint64) for k in range(2))
+                at = np.unique(np.concatenate((self.slot(token), self.slot(self.pair(c, token)))))
+                yield pa.RecordBatch.from_arrays([pa.array((at >> 6).astype(np.int32)), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["w", "b"])
+
+        found = values.select("c", "token").mapInArrow(slots, "w int, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # 2 ** 18 rows at most
+        self.bits = np.zeros(1 << 18, np.uint64)
+        self.bits[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64).view(np.uint64)
 
-    def deal(held: list[dict]):
+    @staticmethod
+    def slot(x: np.ndarray) -> np.ndarray:
+        return (V.mix(x) >> np.uint64(40)).astype(np.int64)
+
+    @staticmethod
+    def pair(c: np.ndarray, token: np.ndarray) -> np.ndarray:
+        return c ^ V.mix(token + np.uint64(1))
+
+    def has(self, x: np.ndarray) -> np.ndarray:
+        at = self.slot(x)
+        return (self.bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
+def postings(docs: DataFrame, ranks, counts: np.ndarray, percent: int, parts: int, only: Marks | None = None) -> DataFrame:
+    """part, rows (bytes of the postings that meet there: the rarest words of each class) and lines
+    (bytes of doc_id, line and class of every line, in any part). A word's postings, or those of one
+    pair of its blocks, are in the same part. With only, just the postings of its tokens."""
+
+    def deal(held: list[dict], lines: list[tuple], turn: int):
         t = {k: np.concatenate([x[k] for x in held]) for k in POSTING}
         with np.errstate(over="ignore"):
             part = (V.mix(t["token"] + V.mix(t["place"] & PAIR_BITS)) % np.uint64(parts)).astype(np.int32)
@@ -173,15 +191,24 @@ def postings(docs: DataFrame, ranks, counts: np.ndarray, percent: int, parts: in
         t, part = {k: v[order] for k, v in t.items()}, part[order]
         edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
         blobs = [packed({k: v[a:b] for k, v in t.items()}) for a, b in zip(edge[:-1], edge[1:])]
-        return pa.RecordBatch.from_arrays([pa.array(part[edge[:-1]]), pa.array(blobs, pa.binary())], ["part", "rows"])
+        places = part[edge[:-1]].tolist()
+        own = [None] * len(places)
+        if lines:
+            places.append(turn % parts)
+            blobs.append(None)
+            own.append(zstandard.compress(b"".join(np.concatenate(x).tobytes() for x in zip(*lines)), 1))
+        return pa.RecordBatch.from_arrays([pa.array(places, pa.int32()), pa.array(blobs, pa.binary()), pa.array(own, pa.binary())], ["part", "rows", "lines"])
 
     def rows(batches):
         seen: dict[int, tuple[int, int]] = {}
-        held, size = [], 0
+        held, lines, size, turn = [], [], 0, TaskContext.get().partitionId() * 7919
         for ids, buf, off, _ in _slices(batches):
             with np.errstate(over="ignore"):
                 x, o, doc, number = line_sets(buf, off, ranks)
                 n, f, bits = np.diff(o), fingerprints(x, o), parity(x, o)
+                if only is None:
+                    some = n > 0
+                    lines.append((ids[doc[some]], f[some], number[some].astype(np.int32)))
                 # A class met before in this task posts again only from an earlier line; ids may come in any order.
                 new = np.zeros(len(n), bool)
                 for k in np.flatnonzero(n > 0):
@@ -196,6 +223,9 @@ def postings(docs: DataFrame, ranks, counts: np.ndarray, percent: int, parts: in
                 line = np.repeat(at, take)
                 pos = np.arange(len(line)) - np.repeat(np.cumsum(take) - take, take)
                 token = x[o[line] + pos]
+                if only is not None:
+                    keep = only.has(token)
+                    line, pos, token = line[keep], pos[keep], token[keep]
                 blocks = np.ones(len(line), np.int64)
                 top = np.flatnonzero(token >= TOP)
                 if len(top):
@@ -208,23 +238,25 @@ def postings(docs: DataFrame, ranks, counts: np.ndarray, percent: int, parts: in
                 held.append({"token": token, "place": place.astype(np.uint64), "doc_id": ids[doc[line]], "line": number[line].astype(np.int32), "n": n[line].astype(np.int32), "pos": pos.astype(np.int32), "f": f[line], **{c: v[line] for c, v in bits.items()}})
                 size += len(token)
             if size >= HELD:
-                yield deal(held)
-                held, size = [], 0
-        if size:
-            yield deal(held)
+                yield deal(held, lines, turn)
+                held, lines, size, turn = [], [], 0, turn + 1
+        if held:
+            yield deal(held, lines, turn)
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "part int, rows binary")
+    return docs.select("doc_id", "text").mapInArrow(rows, "part int, rows binary, lines binary")
 
 
-PAIR = "c long, c_doc long, c_line int, d long, d_doc long, d_line int, more boolean"
+#: A pair of classes with their lines and the word they share; a row with c alone is a line.
+PAIR = "c long, c_doc long, c_line int, d long, d_doc long, d_line int, more boolean, token long"
 
 
-def find(t: dict, percent: int, at_once: int | None) -> pa.RecordBatch:
-    """Pairs of a later line c and an earlier d that pass the bounds, among all postings of a part."""
+def find(t: dict, percent: int, only: Marks | None) -> pa.RecordBatch:
+    """Pairs of a later line c and an earlier d that pass the bounds, among all postings of a part:
+    the AT_ONCE earliest of each c and word, or with only all of the c and words it has."""
     with np.errstate(over="ignore"):
         key = V.mix(t["token"] + V.mix(t["place"] & PAIR_BITS))
     order = np.lexsort((t["line"], t["doc_id"], t["f"], t["n"], key))
-    key, t = key[order], {k: v[order] for k, v in t.items() if k != "token"}
+    key, t = key[order], {k: v[order] for k, v in t.items()}
     g = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
     first = np.ones(len(g), bool)
     first[1:] = (g[1:] != g[:-1]) | (t["f"][1:] != t["f"][:-1]) | (t["n"][1:] != t["n"][:-1])
@@ -252,19 +284,37 @@ def find(t: dict, percent: int, at_once: int | None) -> pa.RecordBatch:
         later.append(np.where(y_later, y, x))
         earlier.append(np.where(y_later, x, y))
     c, d = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (later, earlier))
-    order = np.lexsort((t["line"][d], t["doc_id"][d], c))
-    c, d = c[order], d[order]
-    nth = np.arange(len(c)) - np.searchsorted(c, c)
-    more = np.bincount(c, minlength=len(g))[c] > (at_once or len(g))
-    if at_once:
-        c, d, more = c[nth < at_once], d[nth < at_once], more[nth < at_once]
-    return pa.RecordBatch.from_arrays([pa.array(v) for v in (t["f"][c], t["doc_id"][c], t["line"][c], t["f"][d], t["doc_id"][d], t["line"][d], more)], [x.split()[0] for x in PAIR.split(", ")])
+    if only is not None:
+        with np.errstate(over="ignore"):
+            keep = only.has(only.pair(t["f"][c].view(np.uint64), t["token"][c]))
+        c, d, more = c[keep], d[keep], np.zeros(int(keep.sum()), bool)
+    else:
+        order = np.lexsort((t["line"][d], t["doc_id"][d], c))
+        c, d = c[order], d[order]
+        nth = np.arange(len(c)) - np.searchsorted(c, c)
+        more = np.bincount(c, minlength=len(g))[c] > AT_ONCE
+        c, d, more = c[nth < AT_ONCE], d[nth < AT_ONCE], more[nth < AT_ONCE]
+    return pa.RecordBatch.from_arrays([pa.array(v) for v in (t["f"][c], t["doc_id"][c], t["line"][c], t["f"][d], t["doc_id"][d], t["line"][d], more, t["token"][c].view(np.int64))], [x.split()[0] for x in PAIR.split(", ")])
+
+
+def _line_rows(raw: bytes) -> pa.RecordBatch:
+    """Lines as rows of PAIR."""
+    data = zstandard.decompress(raw)
+    n = len(data) // 20
+    doc, f, line = np.frombuffer(data, np.int64, n), np.frombuffer(data, np.int64, n, 8 * n), np.frombuffer(data, np.int32, n, 16 * n)
+    none = lambda kind: pa.nulls(n, kind)
+    return pa.RecordBatch.from_arrays([pa.array(f), pa.array(doc), pa.array(line), none(pa.int64()), none(pa.int64()), none(pa.int32()), pa.array(np.zeros(n, bool)), none(pa.int64())], [x.split()[0] for x in PAIR.split(", ")])
+
 
+def candidates(posted: DataFrame, percent: int, only: Marks | None = None) -> DataFrame:
+    """Rows of PAIR: pairs, and unless only is given all lines."""
 
-def candidates(posted: DataFrame, percent: int, at_once: int | None) -> DataFrame:
     def meet(t: pa.Table) -> pa.Table:
-        blobs = [unpacked(x.as_py()) for x in t.column("rows")]
-        return pa.Table.from_batches([find({k: np.concatenate([b[k] for b in blobs]) for k in POSTING}, percent, at_once)])
+        blobs = [unpacked(x) for x in t.column("rows").to_pylist() if x is not None]
+        out = [_line_rows(x) for x in t.column("lines").to_pylist() if x is not None]
+        if blobs:
+            out.append(find({k: np.concatenate([b[k] for b in blobs]) for k in POSTING}, percent, only))
+        return pa.Table.from_batches(out)
 
     return posted.groupBy("part").applyInArrow(meet, PAIR)
 
@@ -314,14 +364,14 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     hashes, ranks, counts, total = common_words(docs)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // PART)
     known = (hashes, ranks)
-    lines = settle(all_lines(docs, known), "lines")
+    met = settle(candidates(postings(docs, known, counts, percent, parts), percent), "pairs")
+    lines, pairs = met.filter("d is null").select(F.col("c_doc").alias("doc_id"), F.col("c_line").alias("line"), F.col("c").alias("f")), met.filter("d is not null")
     first = lines.groupBy("f").agg(F.min(F.struct("doc_id", "line")).alias("at"))
-    posted = postings(docs, known, counts, percent, parts)
-    pairs = settle(candidates(posted, percent, AT_ONCE), "pairs")
     found = settle(_verified(pairs, docs, known, percent), "matches")
-    again = settle(pairs.filter("more").select("c").distinct().join(found.select("c").distinct(), "c", "left_anti"), "again")
+    again = settle(pairs.filter("more").select("c", "token").distinct().join(found.select("c").distinct(), "c", "left_anti"), "again")
     if not again.isEmpty():
-        rest = candidates(posted, percent, None).join(again, "c", "left_semi")
+        only = Marks(again)
+        rest = candidates(postings(docs, known, counts, percent, parts, only), percent, only).join(again.select("c").distinct(), "c", "left_semi")
         found = found.unionByName(settle(_verified(settle(rest, "pairs"), docs, known, percent), "matches"))
     best = found.groupBy("c").agg(F.min(F.struct(F.col("d_doc").alias("doc_id"), F.col("d_line").alias("line"))).alias("match"))
     least = first.join(best, first["f"] == best["c"], "left").select("f", F.least("at", F.coalesce("match", "at")).alias("least"))
