@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from . import vectors as V
 from .common import bloom, settle
 
-COMMON, BLOCK, MOST_BLOCKS, AT_ONCE, PERCENT, PART, LONG = 1 << 16, 1 << 13, 1 << 12, 8, 80, 1 << 21, 80
+COMMON, BLOCK, MOST_BLOCKS, AT_ONCE, PERCENT, PART, LONG = 1 << 16, 1 << 13, 1 << 12, 8, 80, 1 << 20, 80
 PAIR_BITS = np.uint64((1 << 40) - 1)
 TOP = np.uint64(1 << 63)
 NO_ID = -(1 << 63)
@@ -130,7 +130,7 @@ def parity(x: np.ndarray, o: np.ndarray) -> dict[str, np.ndarray]:
 
 #: Columns of a posting, and how many are held before they are dealt out.
 POSTING = {"token": np.uint64, "place": np.uint64, "doc_id": np.int64, "line": np.int32, "n": np.int32, "pos": np.int32, "f": np.int64, "b0": np.uint64, "b1": np.uint64, "b2": np.uint64, "b3": np.uint64}
-HELD = 1 << 20
+HELD = 1 << 18
 
 
 def packed(t: dict) -> bytes:
@@ -188,6 +188,7 @@ def postings(docs: DataFrame, ranks, counts: np.ndarray, percent: int, parts: in
         with np.errstate(over="ignore"):
             part = (V.mix(t["token"] + V.mix(t["place"] & PAIR_BITS)) % np.uint64(parts)).astype(np.int32)
         order = np.lexsort((t["token"], part))
+        held.clear()
         t, part = {k: v[order] for k, v in t.items()}, part[order]
         edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
         blobs = [packed({k: v[a:b] for k, v in t.items()}) for a, b in zip(edge[:-1], edge[1:])]
@@ -216,7 +217,7 @@ def postings(docs: DataFrame, ranks, counts: np.ndarray, percent: int, parts: in
                     if key not in seen or at < seen[key]:
                         new[k] = True
                         seen[key] = at
-                if len(seen) > 500_000:
+                if len(seen) > 100_000:
                     seen = {}
                 at = np.flatnonzero(new)
                 take = n[at] - -(-percent * n[at] // 100) + 1
@@ -310,10 +311,11 @@ def candidates(posted: DataFrame, percent: int, only: Marks | None = None) -> Da
     """Rows of PAIR: pairs, and unless only is given all lines."""
 
     def meet(t: pa.Table) -> pa.Table:
-        blobs = [unpacked(x) for x in t.column("rows").to_pylist() if x is not None]
         out = [_line_rows(x) for x in t.column("lines").to_pylist() if x is not None]
+        blobs = [unpacked(x) for x in t.column("rows").to_pylist() if x is not None]
         if blobs:
-            out.append(find({k: np.concatenate([b[k] for b in blobs]) for k in POSTING}, percent, only))
+            every = {k: np.concatenate([b.pop(k) for b in blobs]) for k in POSTING}
+            out.append(find(every, percent, only))
         return pa.Table.from_batches(out)
 
     return posted.groupBy("part").applyInArrow(meet, PAIR)
