@@ -1,8 +1,8 @@
 """Line dedup: an exact set-similarity join of lines.
 
 A line's set holds its distinct words (A-Z lower-cased). A line is removed if an earlier
-one, in the order of doc_id and line number, has a Jaccard similarity of ``percent`` or
-more with it, whether or not that one is removed too.
+one, in the order of doc_id, line number and row, has a Jaccard similarity of ``percent``
+or more with it, whether or not that one is removed too.
 
 1. Word counts of all documents give the rarity of words: those with a 1 / ``COMMON``
    share of all words, so at most ``COMMON`` of them, are ranked by count; all others are
@@ -21,8 +21,10 @@ Sets are compared as sets of 63-bit hashes.
 
 Defined results. A null or empty text has no lines. Lines without words are never removed.
 Rows equal in id and text are one document given several times, and are treated alike;
-rows that share an id alone do not come before each other line for line. A row without an
-id comes first. Columns other than doc_id and text are passed on as they are.
+texts that share an id are told apart by their 64-bit hashes (``row``), which order lines
+of one number among them. Rows without an id come first; each is a document of its own,
+in the order in which they were read. Columns other than doc_id and text are passed on as
+they are.
 """
 
 from __future__ import annotations
@@ -52,6 +54,15 @@ def _slices(batches):
             yield ids[i:j], buf[off[i] : off[j]], off[i : j + 1] - off[i], b.slice(i, j - i)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with _row, which tells rows apart that share an id: the hash of the text, or a
+    number from a written table where there is no id."""
+    if "_row" in docs.columns:
+        return docs
+    unnamed = settle(docs.filter("doc_id is null").withColumn("_row", F.monotonically_increasing_id()), "unnamed")
+    return docs.filter("doc_id is not null").withColumn("_row", F.xxhash64("text")).unionByName(unnamed)
+
+
 def common_words(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(hashes sorted, rank by count of each, counts by rank, count of all words): at most COMMON words."""
 
@@ -129,7 +140,7 @@ def parity(x: np.ndarray, o: np.ndarray) -> dict[str, np.ndarray]:
 
 
 #: Columns of a posting, and how many are held before they are dealt out.
-POSTING = {"token": np.uint64, "place": np.uint64, "doc_id": np.int64, "line": np.int32, "n": np.int32, "pos": np.int32, "f": np.int64, "b0": np.uint64, "b1": np.uint64, "b2": np.uint64, "b3": np.uint64}
+POSTING = {"token": np.uint64, "place": np.uint64, "doc_id": np.int64, "row": np.int64, "line": np.int32, "n": np.int32, "pos": np.int32, "f": np.int64, "b0": np.uint64, "b1": np.uint64, "b2": np.uint64, "b3": np.uint64}
 HELD = 1 << 18
 
 
@@ -139,16 +150,27 @@ def packed(t: dict) -> bytes:
     return zstandard.compress(b"".join((steps if k == "token" else t[k]).tobytes() for k in POSTING), 1)
 
 
-def unpacked(raw: bytes) -> dict:
-    data, out, at = zstandard.decompress(raw), {}, 0
-    rows = len(data) // sum(np.dtype(d).itemsize for d in POSTING.values())
-    for k, d in POSTING.items():
-        out[k] = np.frombuffer(data, d, rows, at)
-        at += rows * np.dtype(d).itemsize
-    out["token"] = np.cumsum(out["token"], dtype=np.uint64)
+def unpacked(blobs: list[bytes]) -> dict:
+    """Postings of all blobs, column by column; one blob at a time is held beside them."""
+    wide = sum(np.dtype(d).itemsize for d in POSTING.values())
+    sizes = [zstandard.frame_content_size(raw) // wide for raw in blobs]
+    out, first = {k: np.empty(sum(sizes), d) for k, d in POSTING.items()}, 0
+    for raw, rows in zip(blobs, sizes):
+        data, at = zstandard.decompress(raw), 0
+        for k, d in POSTING.items():
+            some = np.frombuffer(data, d, rows, at)
+            out[k][first : first + rows] = np.cumsum(some, dtype=np.uint64) if k == "token" else some
+            at += rows * np.dtype(d).itemsize
+        first += rows
     return out
 
 
+def _take(t: dict, at: np.ndarray) -> None:
+    """Keep the rows at, in place, so that only one column is held twice."""
+    for k in t:
+        t[k] = t[k][at]
+
+
 class Marks:
     """A set of 64-bit values as 2 ** 24 bits: it may hold more than was put in, never less."""
 
@@ -180,17 +202,18 @@ class Marks:
 
 def postings(docs: DataFrame, ranks, counts: np.ndarray, percent: int, parts: int, only: Marks | None = None) -> DataFrame:
     """part, rows (bytes of the postings that meet there: the rarest words of each class) and lines
-    (bytes of doc_id, line and class of every line, in any part). A word's postings, or those of one
+    (bytes of doc_id, row, class and line number of every line, in any part). A word's postings, or those of one
     pair of its blocks, are in the same part. With only, just the postings of its tokens."""
 
     def deal(held: list[dict], lines: list[tuple], turn: int):
-        t = {k: np.concatenate([x[k] for x in held]) for k in POSTING}
+        t = {k: np.concatenate([x.pop(k) for x in held]) for k in POSTING}
         with np.errstate(over="ignore"):
             part = (V.mix(t["token"] + V.mix(t["place"] & PAIR_BITS)) % np.uint64(parts)).astype(np.int32)
         order = np.lexsort((t["token"], part))
         held.clear()
-        t, part = {k: v[order] for k, v in t.items()}, part[order]
-        edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
+        part = part[order]
+        _take(t, order)
+        edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))[: len(part) + 1]  # a task may have no words
         blobs = [packed({k: v[a:b] for k, v in t.items()}) for a, b in zip(edge[:-1], edge[1:])]
         places = part[edge[:-1]].tolist()
         own = [None] * len(places)
@@ -201,19 +224,20 @@ def postings(docs: DataFrame, ranks, counts: np.ndarray, percent: int, parts: in
         return pa.RecordBatch.from_arrays([pa.array(places, pa.int32()), pa.array(blobs, pa.binary()), pa.array(own, pa.binary())], ["part", "rows", "lines"])
 
     def rows(batches):
-        seen: dict[int, tuple[int, int]] = {}
+        seen: dict[int, tuple[int, int, int]] = {}
         held, lines, size, turn = [], [], 0, TaskContext.get().partitionId() * 7919
-        for ids, buf, off, _ in _slices(batches):
+        for ids, buf, off, b in _slices(batches):
+            row = b.column(2).to_numpy()
             with np.errstate(over="ignore"):
                 x, o, doc, number = line_sets(buf, off, ranks)
                 n, f, bits = np.diff(o), fingerprints(x, o), parity(x, o)
                 if only is None:
                     some = n > 0
-                    lines.append((ids[doc[some]], f[some], number[some].astype(np.int32)))
+                    lines.append((ids[doc[some]], row[doc[some]], f[some], number[some].astype(np.int32)))
                 # A class met before in this task posts again only from an earlier line; ids may come in any order.
                 new = np.zeros(len(n), bool)
                 for k in np.flatnonzero(n > 0):
-                    at, key = (int(ids[doc[k]]), int(number[k])), int(f[k])
+                    at, key = (int(ids[doc[k]]), int(number[k]), int(row[doc[k]])), int(f[k])
                     if key not in seen or at < seen[key]:
                         new[k] = True
                         seen[key] = at
@@ -236,7 +260,7 @@ def postings(docs: DataFrame, ranks, counts: np.ndarray, percent: int, parts: in
                 other = np.arange(len(rep)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
                 mine, line, pos, token = own[rep], line[rep], pos[rep], token[rep]
                 place = np.minimum(mine, other) | np.maximum(mine, other) << 20 | mine << 40
-                held.append({"token": token, "place": place.astype(np.uint64), "doc_id": ids[doc[line]], "line": number[line].astype(np.int32), "n": n[line].astype(np.int32), "pos": pos.astype(np.int32), "f": f[line], **{c: v[line] for c, v in bits.items()}})
+                held.append({"token": token, "place": place.astype(np.uint64), "doc_id": ids[doc[line]], "row": row[doc[line]], "line": number[line].astype(np.int32), "n": n[line].astype(np.int32), "pos": pos.astype(np.int32), "f": f[line], **{c: v[line] for c, v in bits.items()}})
                 size += len(token)
             if size >= HELD:
                 yield deal(held, lines, turn)
@@ -244,11 +268,11 @@ def postings(docs: DataFrame, ranks, counts: np.ndarray, percent: int, parts: in
         if held:
             yield deal(held, lines, turn)
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "part int, rows binary, lines binary")
+    return docs.select("doc_id", "text", "_row").mapInArrow(rows, "part int, rows binary, lines binary")
 
 
 #: A pair of classes with their lines and the word they share; a row with c alone is a line.
-PAIR = "c long, c_doc long, c_line int, d long, d_doc long, d_line int, more boolean, token long"
+PAIR = "c long, c_doc long, c_row long, c_line int, d long, d_doc long, d_row long, d_line int, more boolean, token long"
 
 
 def find(t: dict, percent: int, only: Marks | None) -> pa.RecordBatch:
@@ -256,12 +280,14 @@ def find(t: dict, percent: int, only: Marks | None) -> pa.RecordBatch:
     the AT_ONCE earliest of each c and word, or with only all of the c and words it has."""
     with np.errstate(over="ignore"):
         key = V.mix(t["token"] + V.mix(t["place"] & PAIR_BITS))
-    order = np.lexsort((t["line"], t["doc_id"], t["f"], t["n"], key))
-    key, t = key[order], {k: v[order] for k, v in t.items()}
+    order = np.lexsort((t["row"], t["line"], t["doc_id"], t["f"], t["n"], key))
+    key = key[order]
+    _take(t, order)
     g = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
     first = np.ones(len(g), bool)
     first[1:] = (g[1:] != g[:-1]) | (t["f"][1:] != t["f"][:-1]) | (t["n"][1:] != t["n"][:-1])
-    t, g = {k: v[first] for k, v in t.items()}, g[first]
+    _take(t, first)
+    g = g[first]
     n, own, a, k, later, earlier = t["n"].astype(np.int64), t["place"] >> np.uint64(40), np.arange(len(g)), 0, [], []
     apart = (t["place"] & np.uint64(0xFFFFF)) != (t["place"] >> np.uint64(20) & np.uint64(0xFFFFF))
     fold = t["b0"] ^ t["b1"] ^ t["b2"] ^ t["b3"]
@@ -279,9 +305,10 @@ def find(t: dict, percent: int, only: Marks | None) -> pa.RecordBatch:
         ok = (np.minimum(n[a] - t["pos"][a], n[b] - t["pos"][b]) >= need) & (differ(a, b) <= n[a] + n[b] - 2 * need)
         ok &= ~apart[a] | (own[a] != own[b])
         x, y = a[ok], b[ok]
-        tie = (t["doc_id"][x] == t["doc_id"][y]) & (t["line"][x] == t["line"][y])
-        x, y = x[~tie], y[~tie]
-        y_later = (t["doc_id"][y] > t["doc_id"][x]) | ((t["doc_id"][y] == t["doc_id"][x]) & (t["line"][y] > t["line"][x]))
+        same = (t["doc_id"][x] == t["doc_id"][y]) & (t["line"][x] == t["line"][y])
+        tie = same & (t["row"][x] == t["row"][y])
+        x, y, same = x[~tie], y[~tie], same[~tie]
+        y_later = (t["doc_id"][y] > t["doc_id"][x]) | ((t["doc_id"][y] == t["doc_id"][x]) & (t["line"][y] > t["line"][x])) | (same & (t["row"][y] > t["row"][x]))
         later.append(np.where(y_later, y, x))
         earlier.append(np.where(y_later, x, y))
     c, d = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (later, earlier))
@@ -290,21 +317,22 @@ def find(t: dict, percent: int, only: Marks | None) -> pa.RecordBatch:
             keep = only.has(only.pair(t["f"][c].view(np.uint64), t["token"][c]))
         c, d, more = c[keep], d[keep], np.zeros(int(keep.sum()), bool)
     else:
-        order = np.lexsort((t["line"][d], t["doc_id"][d], c))
+        order = np.lexsort((t["row"][d], t["line"][d], t["doc_id"][d], c))
         c, d = c[order], d[order]
         nth = np.arange(len(c)) - np.searchsorted(c, c)
         more = np.bincount(c, minlength=len(g))[c] > AT_ONCE
         c, d, more = c[nth < AT_ONCE], d[nth < AT_ONCE], more[nth < AT_ONCE]
-    return pa.RecordBatch.from_arrays([pa.array(v) for v in (t["f"][c], t["doc_id"][c], t["line"][c], t["f"][d], t["doc_id"][d], t["line"][d], more, t["token"][c].view(np.int64))], [x.split()[0] for x in PAIR.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array(v) for v in (t["f"][c], t["doc_id"][c], t["row"][c], t["line"][c], t["f"][d], t["doc_id"][d], t["row"][d], t["line"][d], more, t["token"][c].view(np.int64))], [x.split()[0] for x in PAIR.split(", ")])
 
 
 def _line_rows(raw: bytes) -> pa.RecordBatch:
     """Lines as rows of PAIR."""
     data = zstandard.decompress(raw)
-    n = len(data) // 20
-    doc, f, line = np.frombuffer(data, np.int64, n), np.frombuffer(data, np.int64, n, 8 * n), np.frombuffer(data, np.int32, n, 16 * n)
+    n = len(data) // 28
+    doc, row, f = (np.frombuffer(data, np.int64, n, k * n) for k in (0, 8, 16))
+    line = np.frombuffer(data, np.int32, n, 24 * n)
     none = lambda kind: pa.nulls(n, kind)
-    return pa.RecordBatch.from_arrays([pa.array(f), pa.array(doc), pa.array(line), none(pa.int64()), none(pa.int64()), none(pa.int32()), pa.array(np.zeros(n, bool)), none(pa.int64())], [x.split()[0] for x in PAIR.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array(f), pa.array(doc), pa.array(row), pa.array(line), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.int32()), pa.array(np.zeros(n, bool)), none(pa.int64())], [x.split()[0] for x in PAIR.split(", ")])
 
 
 def candidates(posted: DataFrame, percent: int, only: Marks | None = None) -> DataFrame:
@@ -312,85 +340,83 @@ def candidates(posted: DataFrame, percent: int, only: Marks | None = None) -> Da
 
     def meet(t: pa.Table) -> pa.Table:
         out = [_line_rows(x) for x in t.column("lines").to_pylist() if x is not None]
-        blobs = [unpacked(x) for x in t.column("rows").to_pylist() if x is not None]
+        blobs = [x for x in t.column("rows").to_pylist() if x is not None]
         if blobs:
-            every = {k: np.concatenate([b.pop(k) for b in blobs]) for k in POSTING}
-            out.append(find(every, percent, only))
+            out.append(find(unpacked(blobs), percent, only))
         return pa.Table.from_batches(out)
 
     return posted.groupBy("part").applyInArrow(meet, PAIR)
 
 
 def class_sets(docs: DataFrame, ranks, wanted: DataFrame) -> DataFrame:
-    """f and the set (bytes) of each class whose line (doc_id, line) is wanted."""
-    need = wanted.groupBy("doc_id").agg(F.collect_set("line").alias("need"))
+    """f and the set (bytes) of each class whose line (doc_id, row, line) is wanted."""
+    need = wanted.groupBy("doc_id", "row").agg(F.collect_set("line").alias("need"))
 
     def rows(batches):
         for ids, buf, off, b in _slices(batches):
             with np.errstate(over="ignore"):
                 x, o, doc, number = line_sets(buf, off, ranks)
                 f = fingerprints(x, o)
-            lists = b.column(2)
+            lists = b.column(3)
             sizes, flat = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
             asked = set(zip(np.repeat(np.arange(len(ids)), sizes).tolist(), flat.tolist()))
             pick = [k for k, key in enumerate(zip(doc.tolist(), number.tolist())) if key in asked]
             yield pa.RecordBatch.from_arrays([pa.array(f[pick]), pa.array([x[o[k] : o[k + 1]].tobytes() for k in pick], pa.binary())], ["f", "words"])
 
-    base = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
-    some = bloom(base, F.col("doc_id"), need, F.col("doc_id")).join(need, "doc_id")
-    return some.select("doc_id", "text", "need").mapInArrow(rows, "f long, words binary").dropDuplicates(["f"])
+    base = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", F.col("_row").alias("row"))
+    some = bloom(base, F.col("row"), need, F.col("row")).join(need, ["doc_id", "row"])
+    return some.select("doc_id", "text", "row", "need").mapInArrow(rows, "f long, words binary").dropDuplicates(["f"])
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, ranks, percent: int) -> DataFrame:
-    wanted = pairs.select(F.col("c_doc").alias("doc_id"), F.col("c_line").alias("line")).union(pairs.select("d_doc", "d_line")).distinct()
+    wanted = pairs.select(F.col("c_doc").alias("doc_id"), F.col("c_row").alias("row"), F.col("c_line").alias("line")).union(pairs.select("d_doc", "d_row", "d_line")).distinct()
     sets = settle(class_sets(docs, ranks, wanted), "line-sets")
 
     def rows(batches):
         for b in batches:
             good = []
-            for p, q in zip(b.column(3), b.column(4)):
+            for p, q in zip(b.column(4), b.column(5)):
                 x, y = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
                 both = V.overlap(x, y)
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays(b.columns[:3], ["c", "d_doc", "d_line"]).filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(b.columns[:4], ["c", "d_doc", "d_line", "d_row"]).filter(pa.array(good, pa.bool_()))
 
     named = lambda k: sets.select(F.col("f").alias(k), F.col("words").alias(f"w{k}"))
-    unique = pairs.select("c", "d", "d_doc", "d_line").groupBy("c", "d").agg(F.min(F.struct("d_doc", "d_line")).alias("at"))
+    unique = pairs.groupBy("c", "d").agg(F.min(F.struct("d_doc", "d_line", "d_row")).alias("at"))
     both = unique.select("c", "d", "at.*").join(named("c"), "c").join(named("d"), "d")
-    return both.select("c", "d_doc", "d_line", "wc", "wd").mapInArrow(rows, "c long, d_doc long, d_line int")
+    return both.select("c", "d_doc", "d_line", "d_row", "wc", "wd").mapInArrow(rows, "c long, d_doc long, d_line int, d_row long")
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id (NO_ID for none) and line of each line that has an earlier match."""
-    docs = docs.select("doc_id", "text")
+    """doc_id (NO_ID for none), row (as by keyed()) and line of each line that has an earlier match."""
+    docs = keyed(docs).select("doc_id", "text", "_row")
     hashes, ranks, counts, total = common_words(docs)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // PART)
     known = (hashes, ranks)
     met = settle(candidates(postings(docs, known, counts, percent, parts), percent), "pairs")
-    lines, pairs = met.filter("d is null").select(F.col("c_doc").alias("doc_id"), F.col("c_line").alias("line"), F.col("c").alias("f")), met.filter("d is not null")
-    first = lines.groupBy("f").agg(F.min(F.struct("doc_id", "line")).alias("at"))
+    lines, pairs = met.filter("d is null").select(F.col("c_doc").alias("doc_id"), F.col("c_line").alias("line"), F.col("c_row").alias("row"), F.col("c").alias("f")), met.filter("d is not null")
+    first = lines.groupBy("f").agg(F.min(F.struct("doc_id", "line", "row")).alias("at"))
     found = settle(_verified(pairs, docs, known, percent), "matches")
     again = settle(pairs.filter("more").select("c", "token").distinct().join(found.select("c").distinct(), "c", "left_anti"), "again")
     if not again.isEmpty():
         only = Marks(again)
         rest = candidates(postings(docs, known, counts, percent, parts, only), percent, only).join(again.select("c").distinct(), "c", "left_semi")
         found = found.unionByName(settle(_verified(settle(rest, "pairs"), docs, known, percent), "matches"))
-    best = found.groupBy("c").agg(F.min(F.struct(F.col("d_doc").alias("doc_id"), F.col("d_line").alias("line"))).alias("match"))
+    best = found.groupBy("c").agg(F.min(F.struct(F.col("d_doc").alias("doc_id"), F.col("d_line").alias("line"), F.col("d_row").alias("row"))).alias("match"))
     least = first.join(best, first["f"] == best["c"], "left").select("f", F.least("at", F.coalesce("match", "at")).alias("least"))
-    return lines.join(least, "f").filter(F.struct("doc_id", "line") > F.col("least")).select("doc_id", "line").distinct()
+    return lines.join(least, "f").filter(F.struct("doc_id", "line", "row") > F.col("least")).select("doc_id", "row", "line").distinct()
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs with their text less the removed lines, and n_lines and n_removed."""
-    gone = settle(removed_lines(docs, percent), "removed").groupBy("doc_id").agg(F.collect_set("line").alias("_gone"))
-    gone = gone.select(F.col("doc_id").alias("_id"), "_gone")
-    out = docs.join(gone, F.coalesce(docs["doc_id"], F.lit(NO_ID)) == F.col("_id"), "left")
+    columns, docs = docs.columns, keyed(docs)
+    gone = settle(removed_lines(docs, percent), "removed").groupBy("doc_id", "row").agg(F.collect_set("line").alias("_gone"))
+    gone = gone.select(F.col("doc_id").alias("_id"), F.col("row").alias("_of"), "_gone")
+    out = docs.join(gone, (F.coalesce(docs["doc_id"], F.lit(NO_ID)) == F.col("_id")) & (docs["_row"] == F.col("_of")), "left")
     split = F.split(docs["text"], "\n", -1)
     kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    # Rows that share an id may differ in text, so a number beyond a text's lines counts for nothing.
-    n = F.coalesce(F.size(F.array_intersect("_gone", F.sequence(F.lit(0), F.size(split) - 1))), F.lit(0))
-    made = {"text": F.when(F.col("_gone").isNull(), docs["text"]).otherwise(kept), "n_lines": F.when(docs["text"].isNull(), 0).otherwise(F.size(split)).cast("long"), "n_removed": F.when(F.col("_gone").isNull() | docs["text"].isNull(), 0).otherwise(n).cast("long")}
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    made = {"text": F.when(F.col("_gone").isNull(), docs["text"]).otherwise(kept), "n_lines": F.when(docs["text"].isNull(), 0).otherwise(F.size(split)).cast("long"), "n_removed": F.when(F.col("_gone").isNull() | docs["text"].isNull(), 0).otherwise(F.size("_gone")).cast("long")}
+    names = [c for c in columns if c not in ("n_lines", "n_removed")]
     return out.select(*[made[c].alias(c) if c == "text" else docs[c] for c in names], made["n_lines"].alias("n_lines"), made["n_removed"].alias("n_removed"))
 
 

@@ -104,6 +104,18 @@ def test_line_dedup_keeps_rows_and_columns(edges, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_tells_rows_of_one_id_apart(spark):
+    alone = [(7, "third start here\nunlike anything else given"), (None, "north south\neast west up")]
+    rows = [(1, "first of them\nalpha beta gamma delta"), (7, "another start\nalpha beta gamma delta"), (None, "red green blue\nred green blue"), *alone]
+    twins = [(None, "kappa lambda mu nu"), (None, "kappa lambda mu nu\nxi omicron pi"), (None, "kappa lambda mu nu"), (9, "rho sigma tau\nchi"), (9, "rho sigma tau\npsi")]
+    got = [(r.doc_id, r.text) for r in line_dedup.dedup_lines(spark.createDataFrame(rows + twins, SCHEMA).repartition(3)).collect()]
+    assert set(alone) < set(got) and (7, "another start") in got and (None, "red green blue") in got and len(got) == len(rows + twins)
+    lines = [x for _, t in got for x in t.split("\n")]
+    assert lines.count("kappa lambda mu nu") == lines.count("rho sigma tau") == 1 and {"xi omicron pi", "chi", "psi"} < set(lines)
+    kept = {(r.doc_id, r.text) for r in line_dedup.without_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert set(alone) < kept
+
+
 def test_line_dedup_with_many_candidates(spark):
     base = [f"w{k}" for k in range(20)]
     rows = [(k, " ".join(base[:19] + [f"v{k % 40}"]) + "\n" + " ".join(base[:12] + [f"x{k}_{j}" for j in range(8)])) for k in range(300)]
