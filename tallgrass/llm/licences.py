@@ -29,6 +29,9 @@ SPELLINGS = [
     ("sub license", "sublicense"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "wilfull"),
 ]
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A copyright notice: a line with a year or a sign after the word, not a sentence that wrapping starts with it.
+NOTICE_LINE = r"(?m)^[ \t*#/]*(copyright[ \t]*(\(c\)|©|:|[12][0-9]{3})|(\(c\)|©)[ \t]*(copyright[ \t]*)?[12][0-9]{3}|all rights reserved[. \t\r]*$)[^\n]*$"
+#: The wider form of the SQL, which leaves out any line that starts with the word.
 COPYRIGHT = r"(?m)^[ \t*#/]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
 
 _WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
@@ -42,6 +45,21 @@ TEXTS = [
     ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
 ]
+_CONDITIONS = [
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+]
+_BSD = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_bsd = lambda n, mark: " ".join(["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", *[mark.format(k + 1) + x for k, x in enumerate(_CONDITIONS[:n])], _BSD])
+#: More whole texts, with numbers before their conditions and without.
+FURTHER = [(f"BSD-{n}-Clause", _bsd(n, mark)) for n in (2, 3) for mark in ("{}. ", "* ")]
+#: What a whole text may have as its first line.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "MIT-0": ["MIT No Attribution", "MIT No Attribution License"], "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License"], "Zlib": ["zlib License", "The zlib License", "zlib/libpng license"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License"], "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License"],
+}
 NOTICES = [
     ("MIT", "Released under the MIT License."), ("MIT", "Licensed under the MIT License."), ("MIT", "SPDX-License-Identifier: MIT"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
@@ -52,7 +70,7 @@ NOTICES = [
 
 def canonical(text: Column) -> Column:
     """The canonical form; empty if no letter or digit is left."""
-    c = F.regexp_replace(lower_ascii(text), COPYRIGHT, " ")
+    c = F.regexp_replace(lower_ascii(text), NOTICE_LINE, " ")
     c = F.concat(F.lit(" "), F.trim(F.regexp_replace(c, NOT_WORD, " ")), F.lit(" "))
     for was, now in SPELLINGS:
         c = F.replace(c, F.lit(was), F.lit(now))
@@ -65,8 +83,9 @@ def digest(text: Column) -> Column:
 
 
 def known(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
-    """(license_id, digest) of licence texts; a list of a few, so safe to broadcast."""
-    return spark.createDataFrame(texts, "license_id string, _t string").select("license_id", digest(F.col("_t")).alias("digest")).distinct()
+    """(license_id, digest) of licence texts, with and without titles; a list of a few, so safe to broadcast."""
+    titled = [(name, f"{title}\n{text}") for name, text in texts for title in TITLES.get(name, [])]
+    return spark.createDataFrame([*texts, *titled], "license_id string, _t string").select("license_id", digest(F.col("_t")).alias("digest")).distinct()
 
 
 def scan(docs: DataFrame, texts: DataFrame, notices: list[tuple[str, str]] = NOTICES) -> DataFrame:

@@ -43,7 +43,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.scan(table(spark, sf_dir, "documents"), licences.known(spark, licences.TEXTS))
+    return licences.scan(table(spark, sf_dir, "documents"), licences.known(spark, licences.TEXTS + licences.FURTHER))
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -408,6 +408,15 @@ def test_licences(spark, edges, empty):
     assert licences.scan(edges, known).count() == len(EDGES) and licences.scan(empty, known).count() == 0
 
 
+def test_licence_files_as_published(spark):
+    texts = dict(licences.TEXTS + licences.FURTHER[::-1])
+    wrapped = texts["MIT"].replace("COPYRIGHT HOLDERS BE", "\nCOPYRIGHT HOLDERS BE").replace("The above", "\n\nThe above")
+    rows = [(1, f"MIT License\n\nCopyright (c) 2020 Someone\n\n{wrapped}"), (2, f"ISC License\n\nCopyright 2021, A. Person\n\n{texts['ISC']}"), (3, f"Copyright (c) 2019, A\nAll rights reserved.\n\n{texts['BSD-3-Clause']}"), (4, f"BSD 2-Clause License\n\n{texts['BSD-2-Clause']}")]
+    known = licences.known(spark, licences.TEXTS + licences.FURTHER)
+    got = {r.doc_id: r.license_id for r in licences.scan(spark.createDataFrame(rows, SCHEMA), known).collect()}
+    assert got == {1: "MIT", 2: "ISC", 3: "BSD-3-Clause", 4: "BSD-2-Clause"} and known.count() == known.select("digest").distinct().count()
+
+
 def test_media(spark, edges, empty):
     got = media.digests(media.store_texts(edges)).collect()
     assert len(got) == len(EDGES) and media.digests(media.store_texts(empty)).count() == 0
