@@ -146,13 +146,12 @@ def like(items: DataFrame, needle: str, project: str | None = None, category: st
     return items.filter(keep).orderBy(F.desc("created_at"), "id").limit(limit)
 
 
-#: Words of an error search, and older categories for it.
+#: Words of an error search.
 ERROR_WORDS = "error OR failure OR failed OR bug OR broken OR issue"
-ERROR_CATEGORIES = ("known_issue", "failed_approach")
 
 
 def errors(items: DataFrame, words: str = ERROR_WORDS, category: str = "error", limit: int = 50) -> DataFrame:
-    """Items of the error category with any of words; of the older categories where it has none of them."""
+    """Items of the error category with any of words; none where it has none of them."""
     return full_text(items.filter(F.col("category") == category), words, ["statement", "evidence"], "or", limit)
 
 
