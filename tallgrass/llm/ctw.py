@@ -34,8 +34,6 @@ DEPTH, CONTEXTS, SHARE, COMMON = 6, 16_384, 1 / 65_536, 1 << 20
 END_BYTE = 255
 NODES = 16
 END_WORD = np.uint64(0x6A09E667F3BCC909)
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[0x41:0x5B] += 32
 
 
 def _slices(batch, column: int):
@@ -49,7 +47,7 @@ def framed(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     rows, size = len(off) - 1, np.diff(off)
     out = np.zeros(len(buf) + rows * (DEPTH + 1), np.uint8)
     row = np.repeat(np.arange(rows), size)
-    out[np.arange(len(buf)) + row * (DEPTH + 1) + DEPTH] = LOWER[buf]
+    out[np.arange(len(buf)) + row * (DEPTH + 1) + DEPTH] = V.LOWER[buf]
     ends = off[1:] + np.arange(1, rows + 1) * (DEPTH + 1) - 1
     out[ends] = END_BYTE
     mask = np.ones(len(out), bool)

@@ -7,7 +7,9 @@ A worker keeps the ids of the parts it has met (``CACHE`` of them at most; then
 anew), since most recur. A text in which white space does not stand alone, or that has
 white space beyond ASCII, is encoded whole.
 
-Parts are told apart by 64-bit hashes.
+Parts are looked up by 64-bit hashes, and the bytes of each part are compared with those of
+the part that was met; a text in which they differ is encoded whole, and so is one with a
+part of more than ``vectors.LONG`` bytes.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ import numpy as np
 
 from . import vectors as V
 
-CACHE = 1_000_000
+#: Parts that are kept, and eighths of their bytes.
+CACHE, TEXT = 1_000_000, 1 << 22
 #: Names of tokenizer files.
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -52,9 +55,29 @@ class Encoder:
     def clear(self) -> None:
         self.known, self.flat, self.used = {}, np.zeros(1 << 16, np.uint32), 0
         self.start, self.size = np.zeros(CACHE + 16, np.int64), np.zeros(CACHE + 16, np.int32)
+        # The bytes of each part, eight to a number, and their length with the sign before them (-1: no part).
+        self.text, self.held, self.at, self.length = np.zeros(1 << 16, np.uint64), 0, np.zeros(CACHE + 16, np.int64), np.full(CACHE + 16, -1, np.int64)
         marks = [[self.end_id], self.ids("."), self.ids(",")]
         self.add([int(END), int(STOP), int(COMMA)], *self.joined(marks))
 
+    def remember(self, keys: list[int], parts: list[bytes], lead: np.ndarray) -> None:
+        for key, part, sign in zip(keys, parts, lead.tolist()):
+            k, n = self.known[key], -(-len(part) // 8)
+            if self.held + n > len(self.text):
+                self.text = np.concatenate((self.text, np.zeros_like(self.text)))
+            self.text[self.held : self.held + n] = np.frombuffer(part.ljust(8 * n, b"\0"), "<u8")
+            self.at[k], self.length[k], self.held = self.held, len(part) << 2 | sign, self.held + n
+
+    def same(self, k: np.ndarray, buf: np.ndarray, s: np.ndarray, n: np.ndarray, lead: np.ndarray) -> np.ndarray:
+        """Which of buf[s:s + n] are the parts k, byte for byte."""
+        ok, step = self.length[k] == (n << 2 | lead), 0
+        a, here = np.flatnonzero(ok), V.eights(buf) if len(buf) else np.zeros(0, np.uint64)
+        while len(a):
+            ok[a] = (here[s[a] + step] & V.KEEP[np.minimum(n[a] - step, 8)]) == self.text[self.at[k[a]] + step // 8]
+            step += 8
+            a = a[(n[a] > step) & ok[a]]
+        return ok
+
     @staticmethod
     def joined(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         return np.array([i for x in lists for i in x], np.uint32), np.cumsum([0, *map(len, lists)])
@@ -112,13 +135,15 @@ class Encoder:
         """(ids of all rows, one after the other, each with the end id; offsets of rows)."""
         rows, whole = len(off) - 1, self.whole(buf, off)
         s, e, row = V.words(buf, off)
+        whole[row[e - s > V.LONG]] = True
         keep = ~whole[row]
         s, e, row = s[keep], e[keep], row[keep]
         last = buf[e - 1]
         tail = ((last == 0x2E) | (last == 0x2C)) & (e - s > 1) & LETTER[buf[e - 2]]
         e = e - tail
         with np.errstate(over="ignore"):
-            key = V.hashes(buf, s, e, V.BYTE_LOWER if self.drops_space else V.BYTE)
+            text = V.LOWER[buf] if self.drops_space else buf
+            key = V.hashes(text, s, e, False)
             lead = np.zeros(len(s), np.int8)
             if not self.drops_space:
                 inner = s > off[row]
@@ -133,7 +158,7 @@ class Encoder:
         every[place] = key
         every[place[tail] + 1] = np.where(last[tail] == 0x2E, STOP, COMMA)
         u, at, back = np.unique(every, return_index=True, return_inverse=True)
-        if len(self.known) + len(u) > CACHE:
+        if len(self.known) + len(u) > CACHE or self.held > TEXT:
             self.clear()
         get = self.known.get
         number = [get(k) for k in u.tolist()]
@@ -142,10 +167,13 @@ class Encoder:
             return self._halves(buf, off)
         if missing:
             w = np.searchsorted(place, at[missing])
-            self.learn(u[missing].tolist(), [buf[a:b].tobytes() for a, b in zip(s[w].tolist(), e[w].tolist())], lead[w].tolist())
+            keys = u[missing].tolist()
+            self.learn(keys, [buf[a:b].tobytes() for a, b in zip(s[w].tolist(), e[w].tolist())], lead[w].tolist())
+            self.remember(keys, [text[a:b].tobytes() for a, b in zip(s[w].tolist(), e[w].tolist())], lead[w])
             for k in missing:
                 number[k] = self.known[int(u[k])]
         w = np.array(number, np.int64)[back]
+        whole[row[~self.same(w[place], text, s, e - s, lead)]] = True
         size = self.size[w].astype(np.int64)
         ends = np.concatenate(([0], np.cumsum(size)))
         ids = self.flat[np.repeat(self.start[w] - ends[:-1], size) + np.arange(ends[-1])]

@@ -1,11 +1,13 @@
 """Whole Arrow batches of texts as numpy arrays: words, word hashes, shingles.
 
-Words are hashed to 64 bits with a polynomial over their bytes followed by a mixing
-step; two of n different words share a hash with a chance of n * n / 2 ** 65.
+Words are hashed to 64 bits eight bytes at a time, each step mixing the bytes into all that
+came before, so that no family of words shares a hash by its form; two of n different words
+that were not made for it do with a chance of n * n / 2 ** 65.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +18,12 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 ALNUM = np.ones(256, bool)  # separators of words of letters, digits and all beyond ASCII
 ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
-BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
-UNBASE = np.uint64(pow(int(BASE), -1, 1 << 64))
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 32
+#: Longer words, which are rare, are hashed one by one.
+LONG = 1024
+#: The low 0 to 8 bytes of a number.
+KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,22 +34,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-BYTE = mix(np.arange(1, 257, dtype=np.uint64))
-BYTE_LOWER = BYTE.copy()
-BYTE_LOWER[0x41:0x5B] = BYTE[0x61:0x7B]
-_powers = {"p": np.ones(1, np.uint64), "u": np.ones(1, np.uint64)}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["p"]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, base in (("p", BASE), ("u", UNBASE)):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            _powers[k] = np.multiply.accumulate(x)
-    return _powers["p"][:n], _powers["u"]
-
-
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary array; a null is an empty text."""
     if isinstance(col, pa.ChunkedArray):
@@ -85,14 +75,28 @@ def words(buf: np.ndarray, off: np.ndarray, sep: np.ndarray = SPACE, cut: np.nda
     return s, e, np.searchsorted(off, s, "right") - 1
 
 
-def hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray, byte: np.ndarray = BYTE_LOWER) -> np.ndarray:
-    """A hash of each buf[s:e]."""
+def eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of buf on as a number, with zeros beyond its end."""
+    return np.ndarray(len(buf), "<u8", np.concatenate((buf, np.zeros(8, np.uint8))), strides=(1,))
+
+
+def hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray, lower: bool = True) -> np.ndarray:
+    """A hash of each buf[s:e], by default with A-Z lower-cased."""
     if not len(s):
         return np.zeros(0, np.uint64)
-    p, u = powers(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(byte[buf] * p[: len(buf)], out=sums[1:])
-    return mix((sums[e] - sums[s]) * u[s] + (e - s).astype(np.uint64))
+    if lower:
+        buf = LOWER[buf]
+    from_here, n = eights(buf), e - s
+    with np.errstate(over="ignore"):
+        out = mix((from_here[s] & KEEP[np.minimum(n, 8)]) + mix(n.astype(np.uint64)))
+        a, k = np.flatnonzero((n > 8) & (n <= LONG)), 8
+        while len(a):
+            out[a] = mix(out[a] * np.uint64(0xD6E8FEB86659FD93) + (from_here[s[a] + k] & KEEP[np.minimum(n[a] - k, 8)]))
+            k += 8
+            a = a[n[a] > k]
+    for i in np.flatnonzero(n > LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(buf[s[i] : e[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def shingles(h: np.ndarray, row: np.ndarray, rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,15 +120,29 @@ def shingles(h: np.ndarray, row: np.ndarray, rows: int, k: int) -> tuple[np.ndar
 
 def distinct(h: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct hashes of each row one after the other, offsets of rows)."""
-    order = np.argsort(row, kind="stable")
-    h, n = h[order], np.bincount(row, minlength=rows)
+    if len(row) and (row[1:] < row[:-1]).any():
+        order = np.argsort(row, kind="stable")
+        h, row = h[order], row[order]
+    else:
+        h = h.copy()
+    n = np.bincount(row, minlength=rows)
     at = np.concatenate(([0], np.cumsum(n)))
-    for i in np.flatnonzero(n > 1):
-        h[at[i] : at[i + 1]].sort()
-    r = np.repeat(np.arange(rows), n)
+    # Rows of one size are sorted together; large ones, whose sizes differ, one by one.
+    order = np.argsort(n, kind="stable")
+    edge = np.flatnonzero(np.diff(n[order], prepend=-1))
+    for i, j in zip(edge, np.append(edge[1:], rows)):
+        size = n[order[i]] if rows else 0
+        if size < 2:
+            continue
+        if j - i < 3:
+            for k in order[i:j]:
+                h[at[k] : at[k + 1]].sort()
+        else:
+            place = at[order[i:j]][:, None] + np.arange(size)
+            h[place] = np.sort(h[place], axis=1)
     new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-    return h[new], np.concatenate(([0], np.cumsum(np.bincount(r[new], minlength=rows))))
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[new], np.concatenate(([0], np.cumsum(np.bincount(row[new], minlength=rows))))
 
 
 def lists(values: np.ndarray, off: np.ndarray) -> pa.ListArray:
