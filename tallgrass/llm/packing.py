@@ -4,15 +4,20 @@ Texts are encoded and cut into pieces of ``CAPACITY`` ids at most. A full piece
 sequence of its own. The others are dealt at random into batches of about ``BATCH``
 pieces; each batch is solved on several islands:
 
-- A solution is a list of bins. The first of an island is best-fit decreasing, the
-  others the same with the order disturbed.
-- Crossover takes whole well-filled bins of one parent into the other, empties the bins
-  that held the same pieces, and puts the pieces so displaced back by best fit.
-- After an epoch each island sends its best solution to the next island of its batch.
+- A solution is a list of bins. Those of a new island put the pieces one after the other,
+  in orders from large to small that are disturbed more and more, until a bin is full
+  (next fit), so at the start none is good.
+- In each generation two solutions of the better half are crossed: whole well-filled bins
+  of one are taken into the other, bins that held the same pieces are emptied, and so are
+  the emptiest others; the displaced pieces are put back by best fit. A child takes the
+  place of the worst solution if it is better and no copy.
+- After an epoch each island sends its best solutions to the next island of its batch.
 
 The best solution of a batch stands, except that the pieces of its emptiest bin go on to a
-last round, in which those of all batches are packed together. Fitness is the mean square
-of how full bins are. An island stops early at the least possible number of bins.
+last round, in which those of all batches are packed together. Fitness is the number of
+bins, then the mean square of how full they are. ``generation`` says when the solution
+that a sequence is from was made (0: a start), ``crossovers`` how many its island had made
+by then, and ``migrants`` how many of its batch's solutions came from another island.
 
 Defined results. A null or empty text is its end id alone. Repeated rows and rows without
 an id are packed one for one. An empty table gives no pieces. Columns other than doc_id
@@ -30,9 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import settle
+from .common import settle, trimmed
 
-CAPACITY, BATCH, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 4096, 4000, 2, 2, 4, 6
+CAPACITY, BATCH, ISLANDS, EPOCHS, POPULATION, GENERATIONS, ELITE = 4096, 4000, 3, 2, 6, 10, 2
 
 
 def best_fit(size: np.ndarray, order: np.ndarray, bins: np.ndarray, free: list[tuple[int, int]], next_bin: int, capacity: int) -> int:
@@ -61,68 +66,87 @@ def fitness(size: np.ndarray, bins: np.ndarray, capacity: int) -> tuple[int, flo
     return len(fill), -float((fill**2).mean())
 
 
+def next_fit(size: np.ndarray, order: np.ndarray, capacity: int) -> np.ndarray:
+    """The pieces in order, each in the bin of the one before while it fits there."""
+    ends = np.concatenate(([0], np.cumsum(size[order])))
+    bins, at, k = np.zeros(len(size), np.int32), 0, 0
+    while at < len(order):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + capacity, "right")) - 1)
+        bins[order[at:to]], at, k = k, to, k + 1
+    return bins
+
+
 def cross(size: np.ndarray, a: np.ndarray, b: np.ndarray, capacity: int, rng) -> np.ndarray:
     """A child of a, with well-filled whole bins of b."""
     fill = np.bincount(b, size)
     good = np.flatnonzero(fill >= np.quantile(fill, 0.5))
-    taken = rng.choice(good, max(1, len(good) // 4), replace=False)
-    moved = np.isin(b, taken)
+    taken = np.zeros(len(fill), bool)
+    taken[rng.choice(good, max(1, len(good) // 4), replace=False)] = True
+    moved = taken[b]
     hurt = np.zeros(a.max() + 1, bool)
     hurt[a[moved]] = True
+    left = np.bincount(a, size)
+    rest = np.flatnonzero(~hurt)
+    hurt[rest[np.argsort(left[rest] * rng.normal(1, 0.05, len(rest)))[: 1 + len(rest) // 10]]] = True
     child = np.full(len(size), -1, np.int64)
     stay = ~hurt[a]
     child[stay] = a[stay]
     child[moved] = b[moved] + a.max() + 1
     out = np.flatnonzero(child < 0)
     top = int(a.max() + b.max() + 2)
-    load = np.bincount(child[child >= 0], size[child >= 0], minlength=top)
-    used = np.flatnonzero(load)
-    free = [(int(capacity - load[k]), int(k)) for k in used if load[k] < capacity]
-    best_fit(size, out[np.argsort(-size[out], kind="stable")], child, free, top, capacity)
+    load = np.bincount(child[child >= 0], size[child >= 0], minlength=top).astype(np.int64)
+    used = np.flatnonzero((load > 0) & (load < capacity))
+    best_fit(size, out[np.argsort(-size[out], kind="stable")], child, list(zip((capacity - load[used]).tolist(), used.tolist())), top, capacity)
     return tidy(child)
 
 
-def evolve(size: np.ndarray, start: list[np.ndarray], seed: int, capacity: int = CAPACITY) -> np.ndarray:
-    """The best solution of one island after an epoch; start holds solutions that came to it."""
-    rng, least = np.random.default_rng(seed), -(-int(size.sum()) // capacity)
-    herd = list(start)
-    while len(herd) < POPULATION and not (herd and fitness(size, herd[-1], capacity)[0] == least):
-        noise = rng.normal(1, 0.02 * len(herd), len(size)) if herd else 1
-        bins = np.zeros(len(size), np.int64)
-        best_fit(size, np.argsort(-size * noise, kind="stable"), bins, [], 0, capacity)
-        herd.append(tidy(bins))
-    herd = sorted(((fitness(size, x, capacity), k, x) for k, x in enumerate(herd)), key=lambda t: t[:2])
-    for g in range(GENERATIONS):
-        if herd[0][0][0] == least or len(herd) < 2:
-            break
-        i, j = sorted(rng.choice(len(herd), 2, replace=False))
-        child = cross(size, herd[i][2], herd[j][2], capacity, rng)
-        herd.append((fitness(size, child, capacity), POPULATION + g, child))
-        herd = sorted(herd, key=lambda t: t[:2])[:POPULATION]
-    return herd[0][2]
-
-
-def _epoch(capacity: int):
-    """One row for each island and batch: size (bytes), came (solutions) to the same with its best."""
+#: A solution: its fitness, its bins, the generation that made it and the crossovers of its island by then, and if it came from another one.
+Solution = tuple[tuple[int, float], np.ndarray, int, int, bool]
+
+
+def evolve(size: np.ndarray, came: list[Solution], epoch: int, seed: int, capacity: int = CAPACITY) -> list[Solution]:
+    """The solutions of one island after an epoch, the best first; came holds those it had and those sent to it."""
+    rng, herd = np.random.default_rng(seed), list(came)
+    for k in range(len(herd), POPULATION):
+        bins = next_fit(size, np.argsort(-size * rng.lognormal(0, 0.3 * (k + 1), len(size)), kind="stable"), capacity)
+        herd.append((fitness(size, bins, capacity), bins, 0, 0, False))
+    herd.sort(key=lambda s: s[0])
+    del herd[POPULATION:]
+    for g in range(epoch * GENERATIONS + 1, (epoch + 1) * GENERATIONS + 1):
+        i, j = rng.choice(max(2, POPULATION // 2), 2, replace=False)
+        child = cross(size, herd[i][1], herd[j][1], capacity, rng)
+        fit = fitness(size, child, capacity)
+        if fit < herd[-1][0] and all(fit != s[0] for s in herd):
+            herd[-1] = (fit, child, g, g, herd[i][4] or herd[j][4])
+            herd.sort(key=lambda s: s[0])
+    return herd
+
+
+HERD = "array<struct<bins:binary,generation:int,crossovers:int,migrant:boolean>>"
+SOLVED = f"batch long, island int, ids binary, size binary, bins int, score double, herd {HERD}"
+_SOLUTION = pa.struct([("bins", pa.binary()), ("generation", pa.int32()), ("crossovers", pa.int32()), ("migrant", pa.bool_())])
+
+
+def _epoch(capacity: int, epoch: int):
+    """One row for each island of a batch to the same after an epoch, its best solution first in herd."""
 
     def rows(batches):
         for b in batches:
             out = []
             for r in b.to_pylist():
-                size = np.frombuffer(r["size"], np.int32).astype(np.int64)
-                came = [np.frombuffer(x, np.int32) for x in r["came"]]
-                best = evolve(size, came, r["batch"] * 1009 + r["island"] * 31 + r["epoch"], capacity)
-                n, score = fitness(size, best, capacity)
-                out.append({"batch": r["batch"], "island": r["island"], "ids": r["ids"], "size": r["size"], "bins": n, "score": score, "best": best.astype(np.int32).tobytes()})
+                size, came = np.frombuffer(r["size"], np.int32).astype(np.int64), []
+                for s in r["herd"]:
+                    bins = np.frombuffer(s["bins"], np.int32)
+                    came.append((fitness(size, bins, capacity), bins, s["generation"], s["crossovers"], s["migrant"]))
+                herd = evolve(size, came, epoch, r["batch"] * 1009 + r["island"] * 31 + epoch, capacity)
+                kept = [{"bins": s[1].astype(np.int32).tobytes(), "generation": s[2], "crossovers": s[3], "migrant": s[4]} for s in herd]
+                out.append({"batch": r["batch"], "island": r["island"], "ids": r["ids"], "size": r["size"], "bins": herd[0][0][0], "score": herd[0][0][1], "herd": kept})
             if out:
-                yield pa.RecordBatch.from_pylist(out, pa.schema([("batch", pa.int64()), ("island", pa.int32()), ("ids", pa.binary()), ("size", pa.binary()), ("bins", pa.int32()), ("score", pa.float64()), ("best", pa.binary())]))
+                yield pa.RecordBatch.from_pylist(out, pa.schema([("batch", pa.int64()), ("island", pa.int32()), ("ids", pa.binary()), ("size", pa.binary()), ("bins", pa.int32()), ("score", pa.float64()), ("herd", pa.list_(_SOLUTION))]))
 
     return rows
 
 
-SOLVED = "batch long, island int, ids binary, size binary, bins int, score double, best binary"
-
-
 def _gather(items: DataFrame, batch: int, name: str) -> DataFrame:
     """One row for each batch: its pieces' numbers and sizes as bytes."""
     n = items.count()
@@ -136,15 +160,19 @@ def _gather(items: DataFrame, batch: int, name: str) -> DataFrame:
 
 
 def solve(items: DataFrame, capacity: int, name: str) -> DataFrame:
-    """batch, ids, size, best: the best solution of any island for each batch of items (u, length)."""
+    """batch, ids, size, best (a solution) and migrants: the best solution of any island for each batch of items (u, length)."""
     islands = F.explode(F.array(*[F.lit(k) for k in range(ISLANDS)])).alias("island")
     parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    now = _gather(items, BATCH, name).select("batch", "ids", "size", islands).withColumn("came", F.array().cast("array<binary>"))
+    now = _gather(items, BATCH, name).select("batch", "ids", "size", islands).withColumn("herd", F.array().cast(HERD))
     for epoch in range(EPOCHS):
-        done = settle(now.withColumn("epoch", F.lit(epoch)).repartition(parts, "batch", "island").mapInArrow(_epoch(capacity), SOLVED), f"{name}-epoch")
-        sent = done.select("batch", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("best").alias("guest"))
-        now = done.join(sent, ["batch", "island"]).select("batch", "ids", "size", "island", F.array("best", "guest").alias("came"))
-    return done.groupBy("batch").agg(F.min_by(F.struct("ids", "size", "best"), F.struct("bins", "score", "island")).alias("x")).select("batch", "x.*")
+        dealt = now.select("batch", "island", "ids", "size", "herd").repartition(parts, "batch", "island")
+        done = settle(dealt.mapInArrow(trimmed(_epoch(capacity, epoch)), SOLVED), f"{name}-epoch")
+        guests = F.transform(F.slice("herd", 1, ELITE), lambda s: s.withField("migrant", F.lit(True)))
+        sent = done.select("batch", ((F.col("island") + 1) % ISLANDS).alias("island"), guests.alias("guests"))
+        now = done.join(sent, ["batch", "island"]).select("batch", "island", "ids", "size", F.concat(F.slice("herd", 1, POPULATION - ELITE), "guests").alias("herd"))
+    moved = F.sum(F.size(F.filter("herd", lambda s: s.migrant))).cast("int").alias("migrants")
+    best = F.min_by(F.struct("ids", "size", F.get("herd", F.lit(0)).alias("best")), F.struct("bins", "score", "island")).alias("x")
+    return done.groupBy("batch").agg(best, moved).select("batch", "x.*", "migrants")
 
 
 def _places(capacity: int, keep_open: bool, base: int):
@@ -153,7 +181,7 @@ def _places(capacity: int, keep_open: bool, base: int):
     def rows(batches):
         for b in batches:
             for r in b.to_pylist():
-                u, size, bins = (np.frombuffer(r[k], t) for k, t in (("ids", np.int64), ("size", np.int32), ("best", np.int32)))
+                u, size, bins = (np.frombuffer(x, t) for x, t in ((r["ids"], np.int64), (r["size"], np.int32), (r["best"]["bins"], np.int32)))
                 order = np.argsort(bins, kind="stable")
                 s, g = size[order].astype(np.int64), bins[order]
                 first = np.concatenate(([0], np.cumsum(s)[:-1]))
@@ -161,12 +189,13 @@ def _places(capacity: int, keep_open: bool, base: int):
                 load = np.bincount(bins, size)
                 seq = g.astype(np.int64) + base + r["batch"] * (2 * BATCH)
                 open_bin = (g == load.argmin()) & (load.min() < capacity) & (not keep_open)
-                yield pa.RecordBatch.from_arrays([pa.array(u[order]), pa.array(s), pa.array(seq, mask=open_bin), pa.array(at)], ["u", "length", "sequence_id", "offset"])
+                yield pa.RecordBatch.from_arrays([pa.array(u[order]), pa.array(s), pa.array(seq, mask=open_bin), pa.array(at), *(pa.array(np.full(len(u), x, np.int32)) for x in (r["best"]["generation"], r["best"]["crossovers"], r["migrants"]))], ["u", "length", "sequence_id", "offset", "generation", "crossovers", "migrants"])
 
     return rows
 
 
-PLACED = "u long, length long, sequence_id long, offset long"
+MADE = ["generation", "crossovers", "migrants"]
+PLACED = "u long, length long, sequence_id long, offset long, generation int, crossovers int, migrants int"
 
 
 def pieces(docs: DataFrame, capacity: int, path: str, end_id: int) -> DataFrame:
@@ -180,17 +209,18 @@ def pieces(docs: DataFrame, capacity: int, path: str, end_id: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    cut = docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    cut = docs.select("doc_id", "text").mapInArrow(trimmed(rows), "doc_id long, piece int, start long, length long, ids_crc32 long")
     return settle(cut.withColumn("u", F.monotonically_increasing_id()), "pieces")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, path: str = tokens.WORD_BPE, end_id: int = 1) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of each piece of each text."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of each piece of each text, and generation,
+    crossovers and migrants of the search that placed it (null for a full piece)."""
     every = pieces(docs, capacity, path, end_id)
-    full = every.filter(F.col("length") == capacity).withColumns({"sequence_id": -F.col("u") - 1, "offset": F.lit(0).cast("long")})
+    full = every.filter(F.col("length") == capacity).withColumns({"sequence_id": -F.col("u") - 1, "offset": F.lit(0).cast("long"), **{c: F.lit(None).cast("int") for c in MADE}})
     rest = every.filter(F.col("length") < capacity)
     placed = settle(solve(rest.select("u", "length"), capacity, "batches").mapInArrow(_places(capacity, False, 0), PLACED), "placed")
     last = solve(placed.filter("sequence_id is null").select("u", "length"), capacity, "last").mapInArrow(_places(capacity, True, 1 << 60), PLACED)
-    spots = placed.filter("sequence_id is not null").unionByName(last).select("u", "sequence_id", "offset")
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    spots = placed.filter("sequence_id is not null").unionByName(last).select("u", "sequence_id", "offset", *MADE)
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *MADE]
     return rest.join(spots, "u").select(*columns).unionByName(full.select(*columns))
