@@ -29,9 +29,11 @@ FRAME = 576
 RATE = 48_000
 #: Frames to a chunk, and from one keyframe to the next, of files that wrap() makes.
 CHUNK, SYNC = 8, 10
-#: Boxes that hold boxes.
+#: Boxes that hold boxes, and how deep files nest them at most.
 NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta"}
+DEEPEST = 32
 
+RANGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 PROBED = "codec string, timescale long, duration long, samples long, keyframes array<struct<start:long,end:long>>, media_bytes long, error string"
 
 
@@ -84,10 +86,13 @@ def wrap(payload: bytes) -> bytes:
     return b"".join((brand, moov(start), struct.pack(">I4sQ", 1, b"mdat", 16 + len(payload)), payload))
 
 
-def walk(data: bytes, at: int, end: int, path: tuple = ()) -> Iterator[tuple[tuple, int, int]]:
-    """(path of kinds with the number of each track, body start, body end) of each box."""
-    tracks = 0
-    while at + 8 <= end:
+def walk(data: bytes) -> Iterator[tuple[tuple, int, int]]:
+    """(path of kinds with the number of each track, body start, body end) of each box, a box before what it holds."""
+    open_boxes, tracks = [(0, len(data), ())], 0
+    while open_boxes:
+        at, end, path = open_boxes.pop()
+        if at + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, at)
         body = at + 8
         if size == 1:
@@ -97,10 +102,12 @@ def walk(data: bytes, at: int, end: int, path: tuple = ()) -> Iterator[tuple[tup
             raise ValueError(f"box {kind!r} at {at} overruns")
         tracks += kind == b"trak"
         here = (*path, (kind, tracks) if kind == b"trak" else kind)
+        if len(here) > DEEPEST:
+            raise ValueError(f"boxes nested more than {DEEPEST} deep")
         yield here, body, stop
+        open_boxes.append((stop, end, path))
         if kind in NESTED:
-            yield from walk(data, body, stop, here)
-        at = stop
+            open_boxes.append((body, stop, here))
 
 
 def series(data: bytes, at: int, end: int, per: int = 1, form: str = "I") -> list[tuple]:
@@ -113,17 +120,20 @@ def series(data: bytes, at: int, end: int, per: int = 1, form: str = "I") -> lis
 
 
 def sample_ranges(data: bytes, t: dict[bytes, tuple[int, int]]) -> list[tuple[int, int]]:
-    """Byte range of each sample of a track, from its tables."""
+    """Byte range of each sample of a track, from its tables. No list outgrows the file: sizes
+    that are all alike are counted against its length, others and their chunks lie in it."""
     at, end = t[b"stsz"]
     even, n = struct.unpack_from(">II", data, at + 4)
-    if not even and at + 12 + 4 * n > end:
-        raise ValueError("table overruns its box")
+    if n * even > len(data) or (not even and at + 12 + 4 * n > end):
+        raise ValueError("more samples than the file can hold")
     sizes = [even] * n if even else [x for (x,) in struct.iter_unpack(">I", data[at + 12 : at + 12 + 4 * n])]
     offsets = [x for (x,) in (series(data, *t[b"co64"], form="Q") if b"co64" in t else series(data, *t[b"stco"]))]
     runs = series(data, *t[b"stsc"], per=3)
     out: list[tuple[int, int]] = []
     for k, (first, per, _) in enumerate(runs):
         last = runs[k + 1][0] if k + 1 < len(runs) else len(offsets) + 1
+        if not 1 <= first <= last <= len(offsets) + 1:
+            raise ValueError("a run of chunks that the file lacks")
         for place in offsets[first - 1 : last - 1]:
             for size in sizes[len(out) : len(out) + per]:
                 out.append((place, place + size))
@@ -133,6 +143,16 @@ def sample_ranges(data: bytes, t: dict[bytes, tuple[int, int]]) -> list[tuple[in
     return out
 
 
+def key_ranges(data: bytes, t: dict[bytes, tuple[int, int]], ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of ranges those of sync samples; all where the track has no table of them."""
+    if b"stss" not in t:
+        return ranges
+    found = [k for (k,) in series(data, *t[b"stss"])]
+    if any(not 1 <= k <= len(ranges) for k in found):
+        raise ValueError("a sync sample that the track lacks")
+    return [ranges[k - 1] for k in found]
+
+
 def describe(data: bytes | None) -> dict:
     """What the columns of PROBED say of one file: its first track that has samples."""
     none = dict.fromkeys(("codec", "timescale", "duration", "samples", "keyframes"))
@@ -140,7 +160,7 @@ def describe(data: bytes | None) -> dict:
         return none | {"media_bytes": None, "error": "null"}
     try:
         tracks: dict[int, dict[bytes, tuple[int, int]]] = {}
-        for path, at, end in walk(data, 0, len(data)):
+        for path, at, end in walk(data):
             if len(path) > 2 and path[0] == b"moov" and isinstance(path[1], tuple):
                 tracks.setdefault(path[1][1], {}).setdefault(path[-1], (at, end))
         for _, t in sorted(tracks.items()):
@@ -149,7 +169,7 @@ def describe(data: bytes | None) -> dict:
             at = t[b"mdhd"][0]
             scale, ticks = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
             ranges = sample_ranges(data, t)
-            keys = [ranges[k - 1] for (k,) in series(data, *t[b"stss"])] if b"stss" in t else ranges
+            keys = key_ranges(data, t, ranges)
             codec = data[t[b"stsd"][0] + 12 : t[b"stsd"][0] + 16].decode("latin-1")
             return {"codec": codec, "timescale": scale, "duration": ticks, "samples": len(ranges), "keyframes": [{"start": a, "end": b} for a, b in keys], "media_bytes": len(data), "error": None}
         return none | {"media_bytes": len(data), "error": "no track with samples"}
@@ -165,8 +185,7 @@ def probe(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
         for b in batches:
             found = [describe(x.as_py()) for x in b.column(len(keep))]
             out = {c: b.column(k) for k, c in enumerate(keep)}
-            keys = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            kinds = {"codec": pa.string(), "keyframes": keys, "error": pa.string()}
+            kinds = {"codec": pa.string(), "keyframes": RANGES, "error": pa.string()}
             out |= {c: pa.array([x[c] for x in found], kinds.get(c, pa.int64())) for c in found[0]} if found else {}
             if found:
                 yield pa.RecordBatch.from_pydict(out)
@@ -194,13 +213,13 @@ def store_texts(docs: DataFrame) -> DataFrame:
 def read_payload(data: bytes) -> bytes:
     """The samples of the first track, joined; they are found by the tables alone."""
     t: dict[bytes, tuple[int, int]] = {}
-    for path, at, end in walk(data, 0, len(data)):
+    for path, at, end in walk(data):
         if len(path) > 2 and path[:2] == (b"moov", (b"trak", 1)):
             t.setdefault(path[-1], (at, end))
     return b"".join(data[a:b] for a, b in sample_ranges(data, t))
 
 
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_keyframes long"
+DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, timescale long, duration long, samples long, keyframes array<struct<start:long,end:long>>"
 
 
 def digests(stored: DataFrame) -> DataFrame:
@@ -213,9 +232,9 @@ def digests(stored: DataFrame) -> DataFrame:
                 d, p = describe(m), read_payload(m)
                 ranges = hashlib.sha256(",".join(f"{k['start']}-{k['end']}" for k in d["keyframes"]).encode()).hexdigest()
                 feature = f"codec={d['codec'].strip()};seconds={d['duration'] / d['timescale']:.6f};samples={d['samples']};keyframes={len(d['keyframes'])};ranges={ranges[:32]}"
-                out.append((doc, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature, len(d["keyframes"])))
+                out.append((doc, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature, *(d[c] for c in ("codec", "timescale", "duration", "samples", "keyframes"))))
             if out:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.int64()] * 3, RANGES]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], [c.split()[0] for c in DIGEST.split(", ")])
 
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(rows, DIGEST)
