@@ -43,7 +43,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.scan(table(spark, sf_dir, "documents"), licences.known(spark, licences.TEXTS + licences.FURTHER))
+    return licences.scan(table(spark, sf_dir, "documents"), licences.known(spark, licences.TEXTS + licences.FURTHER, licences.DIGESTS))
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,17 +58,19 @@ def _quoted(text: str) -> str:
 
 
 def _canonical_sql(text: str) -> str:
-    c = f"regexp_replace(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{licences.COPYRIGHT}', ' ', 'g')"
-    c = f"concat(' ', trim(regexp_replace({c}, '{licences.NOT_WORD}', ' ', 'g')), ' ')"
-    for was, now in licences.SPELLINGS:
-        c = f"replace({c}, '{was}', '{now}')"
-    return f"trim({c})"
+    c = f"regexp_replace(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{licences.NOTICE_LINE}', ' ', 'g')"
+    c = f"concat('  ', trim(regexp_replace({c}, '{licences.NOT_WORD}', '  ', 'g')), '  ')"
+    for was, now in licences.RULES:
+        c = f"replace({c}, '{licences.spaced(was)}', '{licences.spaced(now)}')"
+    return f"trim(replace({c}, '  ', ' '))"
 
 
 def _licence_sql() -> str:
+    texts = licences.TEXTS + licences.FURTHER
+    texts = texts + [(n, f"{title}\n{t}") for n, t in texts for title in licences.TITLES.get(n, [])]
     rows = lambda pairs: ", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in pairs)
     return f"""
-        WITH texts AS (SELECT n AS license_id, sha256({_canonical_sql('t')}) AS d FROM (VALUES {rows(licences.TEXTS)}) v(n, t)),
+        WITH texts AS (SELECT DISTINCT n AS license_id, sha256({_canonical_sql('t')}) AS d FROM (VALUES {rows(texts)}) v(n, t) UNION VALUES {rows(licences.DIGESTS)}),
         notices AS (SELECT DISTINCT n, sha256({_canonical_sql('t')}) AS d FROM (VALUES {rows(licences.NOTICES)}) v(n, t)),
         whole AS (SELECT doc_id, {_canonical_sql('text')} AS c, text FROM documents),
         lines AS (SELECT doc_id, l FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE l ILIKE '%license%' OR l ILIKE '%licence%'),
