@@ -7,8 +7,8 @@ one before, and its mean word length. An encoder makes a vector of it; gated att
 (tanh times sigmoid, softmax over the bag) weighs the passages; a logistic layer scores the
 weighted sum. All of it is learned together, by Adam, from document labels.
 
-The model is fitted in one task on at most ``SAMPLE`` labelled documents, those with the
-smallest hash of their id; every document is scored.
+The model is fitted in one task on at most ``SAMPLE`` labelled texts, of the ids with the
+smallest hashes, a repeated row once; every document is scored.
 
 Defined results. A null or empty text, and one without words, is one passage of zeros.
 Without labels of both kinds every score is the share of label 1 (0.5 without labels). Of
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectors as V
-from .common import bloom, crc_of_id, settle
+from .common import bloom, crc_of_id, fresh, release, settle, trimmed
 
 PASSAGE, SAMPLE, HIDDEN, GATE, EPOCHS, BAGS, RATE, DECAY, SEED = 50, 3000, 32, 16, 30, 64, 0.004, 1e-4, 7
 THRESHOLD = 0.3
@@ -147,7 +147,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     rows = known.select("text", F.when(F.col("quality") > 0, 1).otherwise(0).alias("y"), F.xxhash64("doc_id", "text").alias("h"))
-    made = rows.repartition(1).sortWithinPartitions("h").select("text", "y").mapInArrow(train, "model binary").first()
+    made = rows.dropDuplicates(["h"]).orderBy("h").limit(SAMPLE).select("text", "y").mapInArrow(trimmed(train), "model binary").first()
     return pickle.loads(made.model) if made else {"p": 0.5}  # without rows there is no task
 
 
@@ -164,23 +164,24 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                     p = forward(model, *passages(buf[off[i] : off[j]], off[i : j + 1] - off[i]))["p"].astype(np.float64)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(p)], ["doc_id", "h", "score"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(rows, "doc_id long, h long, score double")
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(trimmed(rows), "doc_id long, h long, score double")
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs with a score of THRESHOLD or more, with all their columns."""
-    model, text = learn(docs, labels.filter(~held_out())), docs.columns.index("text")
+    model = learn(docs, labels.filter(~held_out()))
     if "p" in model:
         return docs if model["p"] >= THRESHOLD else docs.limit(0)
 
-    def rows(batches):
-        for b in batches:
-            buf, off = V.text_bytes(b.column(text))
-            for i, j in V.spans(off):
-                p = forward(model, *passages(buf[off[i] : off[j]], off[i : j + 1] - off[i]))["p"]
-                yield b.slice(i, j - i).filter(pa.array(p >= THRESHOLD))
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        buf, off = V.text_bytes(texts)
+        out = [forward(model, *passages(buf[off[i] : off[j]], off[i : j + 1] - off[i]))["p"] for i, j in V.spans(off)]
+        release()
+        return pa.array(np.concatenate(out).astype(np.float64) if out else np.zeros(0))
 
-    return docs.mapInArrow(rows, docs.schema)
+    (mark,) = fresh(docs, "mark")  # only texts go to Python, and only scores come back
+    return docs.withColumn(mark, scored("text")).filter(F.col(mark) >= THRESHOLD).drop(mark)
 
 
 def held_out():
