@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectors as V
-from .common import bloom, settle
+from .common import bloom, fresh, settle, trimmed
 from .components import components
 
 #: Length of a signature, rows of a band, and members of a block of a large bucket.
@@ -110,7 +110,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
         out = [*first, pa.array(np.diff(o)), pa.array(fold(h, o, 0x5851F42D4C957F2D).view(np.int64)), pa.array(fold(h, o, 0x14057B7EF767814F).view(np.int64)), V.lists(key.ravel(), np.arange(rows + 1) * bands), pa.array([x.tobytes() for x in (V.mix(sig) & np.uint64(255)).astype(np.uint8)], pa.binary())]
         return pa.RecordBatch.from_arrays(out, ["doc_id", "h", "n", "f1", "f2", "bands", "sketch"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(lambda it: _batches(it, width, make), "doc_id long, h long, n long, f1 long, f2 long, bands array<long>, sketch binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(trimmed(lambda it: _batches(it, width, make)), "doc_id long, h long, n long, f1 long, f2 long, bands array<long>, sketch binary")
 
 
 def set_rows(rows: DataFrame, width: int) -> DataFrame:
@@ -120,7 +120,7 @@ def set_rows(rows: DataFrame, width: int) -> DataFrame:
         raw = h.tobytes()
         return pa.RecordBatch.from_arrays([*first, pa.array([raw[a * 8 : b * 8] for a, b in zip(o[:-1], o[1:])], pa.binary())], ["u", "hashes"])
 
-    return rows.select("u", "text").mapInArrow(lambda it: _batches(it, width, make), "u long, hashes binary")
+    return rows.select("u", "text").mapInArrow(trimmed(lambda it: _batches(it, width, make)), "u long, hashes binary")
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -259,7 +259,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row of each component, that with the smallest id, with all columns of docs; rows without an id stay."""
-    same = F.xxhash64(docs["text"])
-    out = near_duplicates(docs, width, percent).filter("first and doc_id is not null").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).distinct()
-    some = docs.withColumn("_same", same).join(out, (docs["doc_id"] == F.col("_d")) & (F.col("_same") == F.col("_h")), "left_semi")
-    return some.dropDuplicates(["doc_id", "_same"]).drop("_same").unionByName(docs.filter(docs["doc_id"].isNull()))
+    same, d, h = fresh(docs, "same", "d", "h")
+    out = near_duplicates(docs, width, percent).filter("first and doc_id is not null").select(F.col("doc_id").alias(d), F.col("h").alias(h)).distinct()
+    some = docs.withColumn(same, F.xxhash64("text")).join(out, (docs["doc_id"] == F.col(d)) & (F.col(same) == F.col(h)), "left_semi")
+    return some.dropDuplicates(["doc_id", same]).drop(same).unionByName(docs.filter(docs["doc_id"].isNull()))

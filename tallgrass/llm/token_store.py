@@ -5,8 +5,8 @@ A store is a folder with two Parquet tables, written by Spark's own committers:
 - ``dictionary``: one row, the bytes of the zstandard dictionary and their SHA-256. It is
   trained on the serialized id arrays of at most ``SAMPLE`` documents, those with the
   smallest hash of id and text.
-- ``shards``: rows of about ``SHARD`` bytes in ascending doc_id order, in parts that follow each
-  other. Each has the dictionary's hash, how many ids its part holds before it, a payload of frames, and an index of 32 bytes for each document: doc_id, offset
+- ``shards``: rows of about ``SHARD`` bytes in ascending doc_id order, in parts of about ``PART``
+  bytes that follow each other. Each has the dictionary's hash, how many ids its part holds before it, a payload of frames, and an index of 32 bytes for each document: doc_id, offset
   and length in the payload, number of ids (all little-endian), so one document is read
   by decompressing its frame alone.
 
@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import scratch
+from .common import scratch, trimmed
 
-SAMPLE, DICTIONARY, SHARD, LEVEL = 512, 112_640, 4 << 20, 3
+SAMPLE, DICTIONARY, SHARD, PART, LEVEL = 512, 112_640, 4 << 20, 64 << 20, 3
 NO_ID = -(1 << 63)
 SHARDS = "part int, shard int, first_id long, last_id long, docs long, ids long, before long, width string, dictionary string, index binary, payload binary"
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<i8"), ("length", "<i8"), ("ids", "<i8")])
@@ -99,10 +99,12 @@ def write(docs: DataFrame, folder: str, path: str = tokens.BYTE_BPE, end_id: int
         if rows:
             yield flush()
 
-    encoded = docs.select("doc_id", "text").mapInArrow(frames, "doc_id long, ids long, frame binary")
+    encoded = docs.select("doc_id", "text").mapInArrow(trimmed(frames), "doc_id long, ids long, frame binary")
     encoded.write.parquet(f"{folder}/_frames")
     made = spark.read.schema("doc_id long, ids long, frame binary").parquet(f"{folder}/_frames")
-    ranged = made.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions(F.col("doc_id"), F.xxhash64("frame"))
+    size = made.agg(F.sum(F.length("frame") + 40)).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART))
+    ranged = made.repartitionByRange(parts, "doc_id").sortWithinPartitions(F.col("doc_id"), F.xxhash64("frame"))
     ranged.mapInArrow(shards, SHARDS).write.parquet(f"{folder}/shards")
     gone = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_frames")
     gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
