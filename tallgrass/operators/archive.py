@@ -78,22 +78,41 @@ def first_wins(df: DataFrame, key: str, *order: Column) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*order))).filter("_n = 1").drop("_n")
 
 
-def diff(incoming: DataFrame, stored: DataFrame, key: str = "conversation_id", digest: str = "digest") -> DataFrame:
-    """incoming with change: added, updated or unchanged. Only keys and digests of stored are shuffled."""
-    old = stored.select(F.col(key).alias("_key"), F.col(digest).alias("_digest"))
+#: Fixed value: the version of digest().
+HASH_VERSION = "analysis-v1"
+
+
+def diff(incoming: DataFrame, stored: DataFrame, key: str = "conversation_id", digest: str = "digest", again: Column | None = None) -> DataFrame:
+    """incoming with change: added, updated or unchanged. Only keys and digests of stored are shuffled. A stored
+    digest that is missing, or whose hash_version is another, is made anew by again, an expression of stored."""
+    was = F.col(digest)
+    if again is not None:
+        was = F.when((F.col("hash_version") == HASH_VERSION) & (F.coalesce(was, F.lit("")) != ""), was).otherwise(again)
+    old = stored.select(F.col(key).alias("_key"), was.alias("_digest"))
     change = F.when(F.col("_key").isNull(), "added").when(F.col("_digest") == F.col(digest), "unchanged").otherwise("updated")
     return incoming.join(old, incoming[key] == F.col("_key"), "left").withColumn("change", change).drop("_key", "_digest")
 
 
-def merge(incoming: DataFrame, stored: DataFrame, key: str = "conversation_id") -> DataFrame:
-    """The new snapshot. Unchanged rows keep their state and get new titles; updated ones start again;
-    rows that the import lacks stay."""
-    new, old = diff(incoming, stored, key).alias("n"), stored.alias("s")
+#: Columns that say how far a conversation is, and what they start with.
+STATE = {"state": "pending", "attempts": 0, "last_error": None, "claimed_at": None, "processed_at": None}
+
+
+def merge(incoming: DataFrame, stored: DataFrame, key: str = "conversation_id", again: Column | None = None) -> DataFrame:
+    """The new snapshot, with all columns of stored. What the import says of titles, dates, files, texts and priority
+    holds; unchanged rows keep their state, updated ones start again; rows that the import lacks stay."""
+    new, old = diff(incoming, stored, key, again=again).alias("n"), stored.alias("s")
     same = F.col("n.change") == "unchanged"
     joined = new.join(old, F.col(f"n.{key}") == F.col(f"s.{key}"), "full_outer")
-    pick = lambda c: F.when(F.col(f"n.{key}").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"s.{c}")).alias(c)
-    keep = lambda c, start: F.when(F.col(f"n.{key}").isNull() | same, F.col(f"s.{c}")).otherwise(start).alias(c)
-    return joined.select(pick(key), pick("title"), pick("digest"), keep("state", F.lit("pending")), keep("attempts", F.lit(0)), keep("last_error", F.lit(None).cast("string")))
+    kinds = dict(stored.dtypes)
+
+    def column(c: str) -> Column:
+        if c in STATE:
+            return F.when(F.col(f"n.{key}").isNull() | same, F.col(f"s.{c}")).otherwise(F.lit(STATE[c]).cast(kinds[c])).alias(c)
+        if c in incoming.columns:
+            return F.when(F.col(f"n.{key}").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"s.{c}")).alias(c)
+        return F.col(f"s.{c}")
+
+    return joined.select(*[column(c) for c in stored.columns])
 
 
 def invalidate(derived: DataFrame, changed: DataFrame, key: str = "conversation_id") -> DataFrame:
@@ -106,6 +125,13 @@ def insert_or_ignore(incoming: DataFrame, stored: DataFrame, key: str, *order: C
     return first_wins(incoming, key, *order).join(stored.select(key), key, "left_anti")
 
 
+def with_new_priority(stored: DataFrame, incoming: DataFrame, key: str = "conversation_id") -> DataFrame:
+    """stored with the priority that incoming gives to conversations that are still pending."""
+    new = incoming.groupBy(F.col(key).alias("_key")).agg(F.max("priority").alias("_new"))
+    priority = F.when(F.col("state") == "pending", F.coalesce("_new", "priority")).otherwise(F.col("priority"))
+    return stored.join(new, stored[key] == F.col("_key"), "left").select(*[priority.cast(stored.schema[c].dataType).alias(c) if c == "priority" else stored[c] for c in stored.columns])
+
+
 def without_done(candidates: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
     return candidates.join(done.select(*keys), list(keys), "left_anti")
 

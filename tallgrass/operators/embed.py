@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import numpy as np
@@ -10,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Fixed value: signs of a text that are embedded.
-INPUT = 8_000
+#: Signs of a text that are embedded, codes of answers after which a call is made again, and the longest wait.
+INPUT, TRANSIENT, LONGEST = 8_000, frozenset((429, 500, 502, 503, 504)), 8
 
 
 def _joined(*parts: Column) -> Column:
@@ -50,22 +51,34 @@ def hashing_embedder(dim: int = 64) -> Embedder:
     return embed
 
 
-def embedded(df: DataFrame, text: str, embedder: Embedder, name: str = "embedding", tries: int = 4) -> DataFrame:
-    """df with a vector for the first INPUT signs of text; a call that fails is tried again."""
+def embedded(df: DataFrame, text: str, embedder: Embedder, name: str = "embedding", tries: int = 4, pause: float = 1.0) -> DataFrame:
+    """df with a vector for the first INPUT signs of text. A call that fails in passing (without a code, or with one
+    of TRANSIENT) is made again after 1, 2, 4 and at most LONGEST times pause seconds."""
 
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
         for k in range(tries):
             try:
                 return pd.Series(embedder(texts.fillna("")))
-            except OSError:
-                if k == tries - 1:
+            except OSError as e:
+                code = getattr(e, "code", None)
+                if k == tries - 1 or (code is not None and code not in TRANSIENT):
                     raise
+                time.sleep(pause * min(2**k, LONGEST))
         raise AssertionError
 
     return df.withColumn(name, run(F.substring(text, 1, INPUT)))
 
 
+def embed_missing(chunks: DataFrame, text: str, embedder: Embedder, model: str) -> DataFrame:
+    """chunks with vectors where they have none, but for chunks whose content_kind is metadata alone."""
+    wanted = F.col("embedding").isNull()
+    if "content_kind" in chunks.columns:
+        wanted = wanted & (F.coalesce("content_kind", F.lit("")) != "metadata")
+    made = embedded(chunks.filter(wanted).drop("embedding", "embedding_model"), text, embedder).withColumn("embedding_model", F.lit(model))
+    return chunks.filter(~wanted).unionByName(made, allowMissingColumns=True)
+
+
 def last_of_hash(chunks: DataFrame, source: str = "source_id") -> DataFrame:
     """Of chunks of one source with the same hash, the one with the last index."""
     w = W.partitionBy(source, "chunk_hash").orderBy(F.desc("chunk_index"))
@@ -80,9 +93,11 @@ def reuse(new: DataFrame, old: DataFrame, model: str, embedding_on: bool = True)
     return joined.select(*new.columns, F.when(fits, F.col("_old.embedding")).alias("embedding"), F.when(fits, F.col("_old.embedding_model")).otherwise(F.lit(model)).alias("embedding_model"), fits.alias("reused"))
 
 
-def replace_sources(new: DataFrame, stored: DataFrame, source: str = "source_id") -> DataFrame:
-    """The chunk table after an import: all chunks of touched sources are the new ones."""
-    return stored.join(new.select(source).distinct(), source, "left_anti").unionByName(new, allowMissingColumns=True)
+def replace_sources(new: DataFrame, stored: DataFrame, source: str = "source_id", touched: DataFrame | None = None) -> DataFrame:
+    """The chunk table after an import: all chunks of touched sources (those of new if none are named) are the new
+    ones, so a touched source without chunks loses those it had."""
+    keys = (new if touched is None else touched).select(source).distinct()
+    return stored.join(keys, source, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
 def keep_vector(new: DataFrame, stored: DataFrame, key: str) -> DataFrame:

@@ -29,7 +29,7 @@ def exports(df: DataFrame) -> DataFrame:
         text_of_parts(get(v, "$.message.content.parts", "array<variant>")).alias("text"), get(v, "$.message.create_time").alias("created_at"), get(v, "$.message").alias("message"),
     )
     nodes = F.transform(F.map_entries("mapping"), lambda e: node(e.key, e.value))
-    named = df.select(F.coalesce("id", "conversation_id").alias("conversation_id"), F.coalesce("title", F.lit("")).alias("title"), "create_time", "update_time", "current_node", nodes.alias("nodes"), F.col("_metadata.file_path").alias("source_file"))
+    named = df.select(F.coalesce("id", "conversation_id").alias("conversation_id"), F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled")).alias("title"), "create_time", "update_time", "current_node", nodes.alias("nodes"), F.col("_metadata.file_path").alias("source_file"))
     return named.filter("conversation_id is not null").select("conversation_id", "title", iso("create_time").alias("created_at"), iso("update_time").alias("updated_at"), "current_node", "nodes", "source_file")
 
 

@@ -8,10 +8,13 @@ from pyspark.sql import Window as W
 
 
 def upserted(stored: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
-    """One row for each key: the one with the largest order, or else new before stored."""
+    """One row for each key: the one with the largest order, or else new before stored, of which only keys that
+    new lacks are kept, so no more than new is put in order."""
+    if not order:
+        first = new.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(key))).filter("_n = 1").drop("_n")
+        return stored.join(new.select(key).distinct(), key, "left_anti").select(*stored.columns).unionByName(first, allowMissingColumns=True)
     both = stored.withColumn("_rank", F.lit(0)).unionByName(new.withColumn("_rank", F.lit(1)), allowMissingColumns=True)
-    by = [F.desc(order)] if order else []
-    w = W.partitionBy(key).orderBy(*by, F.desc("_rank"))
+    w = W.partitionBy(key).orderBy(F.desc(order), F.desc("_rank"))
     return both.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_rank")
 
 
@@ -20,9 +23,15 @@ def log_event(df: DataFrame, path: str) -> None:
     df.withColumn("metadata", F.to_json("metadata") if dict(df.dtypes)["metadata"] != "string" else F.col("metadata")).write.mode("append").parquet(path)
 
 
-def write_dossiers(bodies: DataFrame, path: str, *keys: str) -> None:
-    """A folder for each key with the text of body."""
-    bodies.select(*keys, "body").write.mode("overwrite").partitionBy(*keys).text(path)
+#: Rows of a key that go into one file of a dossier.
+FILE_ROWS = 10_000
+
+
+def write_dossiers(rows: DataFrame, path: str, keys: list[str], order: str, body: str) -> None:
+    """A folder for each key with the texts of its rows in order, in files of FILE_ROWS at most that are named in
+    order. Keys are dealt by ranges of keys and order, so a large one goes to several tasks."""
+    ranged = rows.select(*keys, order, body).repartitionByRange(*keys, order).sortWithinPartitions(*keys, order)
+    ranged.select(*keys, body).write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).partitionBy(*keys).text(path)
 
 
 def metrics_row(import_id: str, metrics: DataFrame) -> DataFrame:

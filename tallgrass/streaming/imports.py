@@ -1,4 +1,4 @@
-"""An incremental import: new conversations arrive, each run merges them and keeps the chunk index."""
+"""An incremental import: new conversations arrive, each run merges them and keeps what is derived from them."""
 
 from __future__ import annotations
 
@@ -7,8 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.operators import archive, chunking, embed
-from tallgrass.sources.tables import upserted
+from tallgrass.operators import archive, chunking, classify, embed
+
+#: Parts of each table by the hash of a conversation's id; a run writes those again that it touches, and no others.
+BUCKETS = 64
+KEY = "conversation_id"
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
@@ -20,45 +23,81 @@ def _read(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def import_batch(new: DataFrame, folder: str, model: str = "hash") -> None:
-    """Merge conversations (conversation_id, title, messages) into the tables in folder. Snapshots are
-    written whole under a new name, which a one-row table then points to; a run that is repeated
-    after a loss finds equal digests and changes nothing."""
+def _paths(spark: SparkSession, folder: str, table: str, buckets: list[int] | None = None) -> list[str]:
+    """The newest folder of each bucket of a table."""
+    log = _read(spark, f"{folder}/current")
+    if log is None:
+        return []
+    rows = log.filter(F.col("table") == table).groupBy("bucket").agg(F.max_by("path", "version").alias("path")).collect()  # BUCKETS rows
+    return [f"{r.path}/bucket={r.bucket}" for r in rows if buckets is None or r.bucket in buckets]
+
+
+def _bucket(key: str):
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def _stored(spark: SparkSession, folder: str, table: str, buckets: list[int], schema) -> DataFrame:
+    paths = _paths(spark, folder, table, buckets)
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+STATE = "state string, attempts int, last_error string"
+
+
+def import_batch(new: DataFrame, folder: str, model: str = "hash", derived: tuple[str, ...] = ()) -> None:
+    """Merge conversations (conversation_id, title, created_at, messages) into the tables in folder: conversations with
+    their state, and chunks with their vectors. Rows of tables named in derived (with a conversation_id) go where a
+    conversation has changed. Buckets are written under a new name, to which a log then points; a run that is
+    repeated after a loss finds equal digests and changes nothing."""
     spark = new.sparkSession
-    now = new.withColumn("digest", archive.digest(F.col("title"), F.col("messages")))
-    now = archive.last_wins(now, "conversation_id", F.col("digest"))
-    pointer = _read(spark, f"{folder}/current")
-    name = pointer.orderBy(F.desc("version")).first() if pointer else None
-    version = name.version + 1 if name else 1
+    now = new.withColumn("digest", archive.digest(F.col("title"), F.col("messages"))).withColumn("hash_version", F.lit(archive.HASH_VERSION))
+    now = archive.last_wins(now, KEY, F.col("digest")).withColumn("priority", classify.priority(F.col("title"), archive.user_text(F.col("messages"))))
+    log = _read(spark, f"{folder}/current")
+    version = (log.agg(F.max("version")).first()[0] if log is not None else 0) + 1
     target = f"{folder}/v{version}-{uuid.uuid4().hex}"
-    chunks = chunking.chunk_conversations(now).select(F.col("conversation_id").alias("source_id"), "chunk_index", "text").withColumn("chunk_hash", embed.asset_hash(F.col("source_id"), F.col("text")))
-    chunks = embed.last_of_hash(chunks)
-    if name:
-        old, old_chunks = spark.read.parquet(f"{name.path}/conversations"), spark.read.parquet(f"{name.path}/chunks")
-        changed = archive.diff(now, old).filter("change <> 'unchanged'").select("conversation_id")
-        chunks = embed.reuse(chunks.join(changed.withColumnRenamed("conversation_id", "source_id"), "source_id", "left_semi"), old_chunks, model)
-    else:
-        old = old_chunks = None
-        chunks = chunks.withColumns({"embedding": F.lit(None).cast("array<float>"), "embedding_model": F.lit(model), "reused": F.lit(False)})
-    fresh = embed.embedded(chunks.filter("embedding is null").drop("embedding"), "text", embed.hashing_embedder())
-    made = chunks.filter("embedding is not null").unionByName(fresh).drop("reused")
-    (upserted(old, now, "conversation_id") if old else now).write.parquet(f"{target}/conversations")
-    (embed.replace_sources(made, old_chunks) if old_chunks else made).write.parquet(f"{target}/chunks")
-    spark.createDataFrame([(version, target)], "version long, path string").write.mode("append").parquet(f"{folder}/current")
-
-
-def run(turns_folder: str, folder: str, spark: SparkSession, schema, files_at_once: int = 1) -> None:
+    touched = [r[0] for r in now.select(_bucket(KEY)).distinct().collect()]  # BUCKETS at most
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in now.schema) + ", " + STATE
+    old = _stored(spark, folder, "conversations", touched, kind)
+    changes = archive.diff(now, old, again=archive.digest(F.col("title"), F.col("messages")))
+    changed = changes.filter("change <> 'unchanged'").select(KEY)
+    chunks = chunking.chunk_conversations(now.join(changed, KEY, "left_semi")).withColumn("source_id", F.col(KEY)).withColumn("chunk_hash", embed.chat_hash(F.col(KEY), F.col("first_message"), F.col("last_message"), F.col("text")))
+    key = now.schema[KEY].dataType.simpleString()
+    old_chunks = _stored(spark, folder, "chunks", touched, f"{KEY} {key}, chunk_index int, first_message int, last_message int, text string, source_id {key}, chunk_hash string, embedding array<float>, embedding_model string")
+    reused = embed.reuse(embed.last_of_hash(chunks), old_chunks, model).drop("reused")
+    made = embed.embed_missing(reused, "text", embed.hashing_embedder(), model)
+    tables = {"conversations": archive.merge(now, old, again=archive.digest(F.col("title"), F.col("messages"))), "chunks": embed.replace_sources(made, old_chunks, touched=changed.withColumnRenamed(KEY, "source_id"))}
+    for name in derived:
+        paths = _paths(spark, folder, name, touched)
+        if paths:
+            tables[name] = archive.invalidate(spark.read.parquet(*paths), changes)
+    for name, df in tables.items():
+        put(df, folder, name, touched, version, target)
+
+
+def put(df: DataFrame, folder: str, table: str, buckets: list[int] | None = None, version: int = 0, target: str | None = None) -> None:
+    """Write df as the buckets of a table (all of them if none are named), and point to them."""
+    spark, target = df.sparkSession, f"{target or f'{folder}/v{version}-{uuid.uuid4().hex}'}/{table}"
+    buckets = list(range(BUCKETS)) if buckets is None else buckets
+    dealt = df.withColumn("bucket", _bucket(KEY)).repartition("bucket")
+    # A bucket without rows still has a folder.
+    dealt.write.partitionBy("bucket").parquet(target)
+    kept = {r[0] for r in spark.read.schema(dealt.schema).parquet(target).select("bucket").distinct().collect()} if buckets else set()
+    for k in set(buckets) - kept:
+        df.limit(0).write.parquet(f"{target}/bucket={k}")
+    spark.createDataFrame([(table, k, version, target) for k in buckets], "table string, bucket int, version long, path string").coalesce(1).write.mode("append").parquet(f"{folder}/current")
+
+
+def run(turns_folder: str, folder: str, spark: SparkSession, schema, files_at_once: int = 100, derived: tuple[str, ...] = ()) -> None:
     """Take all turns files (conv_id, turn, role, text) that have come since the last run."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(turns_folder)
 
     def merge(batch: DataFrame, _: int) -> None:
-        c = archive.as_messages(batch, "conv_id").withColumn("title", F.concat(F.lit("conversation "), F.col("conversation_id").cast("string")))
-        import_batch(c, folder)
+        c = archive.as_messages(batch, "conv_id").withColumns({"title": F.concat(F.lit("conversation "), F.col(KEY).cast("string")), "created_at": F.lit("")})
+        import_batch(c, folder, derived=derived)
 
     q = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
 
 
 def current(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    path = spark.read.parquet(f"{folder}/current").orderBy(F.desc("version")).first().path
-    return spark.read.parquet(f"{path}/{table}")
+    return spark.read.parquet(*_paths(spark, folder, table))
