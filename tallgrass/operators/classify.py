@@ -11,26 +11,33 @@ from pyspark.sql import Window as W
 
 from tallgrass.functions.text import hits, lits, safe_list, trim
 
-#: General words of the two vocabularies; users add the names of their own projects.
-TECHNICAL = ("ai agent", "coding", "cybersecurity", "docker", "ethical hacking", "git", "github", "homelab", "kvm", "linux", "local llm", "networking", "programming", "qemu", "self-host", "server", "software development", "ssh", "system administration", "virt-manager", "virtualization", "vm")
-CREATIVE = ("angel", "artwork", "character design", "coloring book", "create an image", "emo", "facial feature", "fashion", "generate an image", "glitter", "graphic design", "image generation", "make an image", "photo edit", "scene aesthetic", "visual pose", "wallpaper", "wings", "wireframe character", "y2k")
+#: Words of the two vocabularies, without names of single users' projects, which users add.
+TECHNICAL = ("linux", "linux mint", "xfce", "cinnamon", "cachyos", "kali", "server", "docker", "self-host", "ollama", "local llm", "ai agent", "coding", "programming", "github", "git", "qemu", "kvm", "virt-manager", "cybersecurity", "ethical hacking", "networking", "ssh", "tailscale", "homelab", "system administration", "macbook", "virtualization", "vm", "software development")
+CREATIVE = ("image generation", "graphic design", "character design", "wireframe character", "angel", "fashion", "y2k", "emo", "scene aesthetic", "coloring book", "photo edit", "facial feature", "capcut", "firefly", "wallpaper", "glitter", "wings", "visual pose", "artwork", "make an image", "generate an image", "create an image", "emo girl", "fortnite image")
 #: Fact categories and levels of confidence.
 CATEGORIES = ("important_fact", "system_state", "project_status", "architecture_decision", "decision_reason", "successful_command", "failed_approach", "known_issue", "lesson_learned", "configuration", "workflow", "user_preference")
 LEVELS = ("HIGH", "MEDIUM", "LOW")
+#: Fixed value: signs of a promoted fact.
+FACT = 800
 
 
 def by_keywords(text: Column, a: Iterable[str] = TECHNICAL, b: Iterable[str] = CREATIVE, names: tuple[str, str] = ("TECHNICAL", "CREATIVE")) -> Column:
     """struct(label, confidence, reasons): a side wins with two hits or more and twice the other's."""
-    ha, hb = hits(text, a), hits(text, b)
-    na, nb = F.size(ha), F.size(hb)
     answer = lambda label, confidence, reasons: F.struct(F.lit(label).alias("label"), F.round(confidence, 2).alias("confidence"), F.slice(F.array_sort(reasons), 1, 6).alias("reasons"))
     sure = lambda n: F.least(F.lit(0.98), F.lit(0.70) + 0.08 * n)
-    return (
-        F.when((na >= 2) & (na >= 2 * nb), answer(names[0], sure(na), ha))
-        .when((nb >= 2) & (nb >= 2 * na), answer(names[1], sure(nb), hb))
-        .when((na > 0) & (nb > 0), answer("SHARED", F.lit(0.55), F.concat(ha, hb)))
-        .otherwise(answer("UNKNOWN", F.lit(0.25), F.concat(ha, hb)))
-    )
+
+    def judged(found: Column) -> Column:
+        ha, hb = found.a, found.b
+        na, nb = F.size(ha), F.size(hb)
+        return (
+            F.when((na >= 2) & (na >= 2 * nb), answer(names[0], sure(na), ha))
+            .when((nb >= 2) & (nb >= 2 * na), answer(names[1], sure(nb), hb))
+            .when((na > 0) & (nb > 0), answer("SHARED", F.lit(0.55), F.concat(ha, hb)))
+            .otherwise(answer("UNKNOWN", F.lit(0.25), F.concat(ha, hb)))
+        )
+
+    # In an array of one the hits are found once, whichever branch is taken.
+    return F.get(F.transform(F.array(F.struct(hits(text, a).alias("a"), hits(text, b).alias("b"))), judged), F.lit(0))
 
 
 def priority(title: Column, text: Column, a: Iterable[str] = TECHNICAL, b: Iterable[str] = CREATIVE) -> Column:
@@ -49,13 +56,14 @@ def projects_for(given: Column, text: Column, patterns: dict[str, tuple[str, ...
 
 
 def guarded(label: Column, confidence: Column, fallback: Column, labels: tuple[str, str] = ("TECHNICAL", "CREATIVE")) -> Column:
-    """struct(label, confidence) of a model's answer held against by_keywords()."""
+    """struct(label, confidence) of a model's answer held against by_keywords(): the label in any case, a
+    confidence of 0 as none, and no more than .69 where the fallback knew nothing and the answer does."""
     a, b = labels
-    valid = label.isin(a, b, "SHARED", "UNKNOWN")
-    named = F.when(valid, label).otherwise(fallback.label)
-    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(confidence, fallback.confidence)))
+    said = F.upper(label)
+    named = F.when(said.isin(a, b, "SHARED", "UNKNOWN"), said).otherwise(fallback.label)
+    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.nullif(confidence, F.lit(0.0)), fallback.confidence)))
     against = ((named == a) & (fallback.label == b)) | ((named == b) & (fallback.label == a))
-    weak = fallback.label.isin("UNKNOWN", "SHARED") & named.isin(a, b)
+    weak = (fallback.label == "UNKNOWN") & (named != "UNKNOWN")
     return F.struct(F.when(against, "UNKNOWN").otherwise(named).alias("label"), F.when(against, 0.30).when(weak, F.least(sure, F.lit(0.69))).otherwise(sure).alias("confidence"))
 
 
@@ -64,28 +72,38 @@ def capped(c: Column, limit: int = 12) -> Column:
 
 
 def promoted(analyses: DataFrame, label: str = "TECHNICAL", least: float = 0.80, most: int = 10) -> DataFrame:
-    """Memories of sure analyses: the first most of each conversation, without repeats."""
-    rows = analyses.filter((F.col("label") == label) & (F.col("confidence") >= least)).select("conversation_id", F.posexplode(F.slice("memories", 1, most)).alias("pos", "m"))
-    level = F.upper(F.coalesce("m.confidence", F.lit("")))
-    facts = rows.select("conversation_id", "pos", trim(F.col("m.fact")).alias("fact"), F.when(level.isin(*LEVELS), level).otherwise("MEDIUM").alias("confidence")).filter("fact <> ''")
+    """Memories (fact, fact_type, temporal_status, confidence) of sure analyses, which have title, created_at and
+    source_file too: the first most of each conversation, without repeats, and where they are from."""
+    origin = F.to_json(F.struct("conversation_id", "title", "created_at", "source_file"), {"ignoreNullFields": "false"})
+    sure = analyses.filter((F.col("label") == label) & (F.col("confidence") >= least))
+    rows = sure.select("conversation_id", F.lower("label").alias("namespace"), origin.alias("provenance"), F.posexplode(F.slice("memories", 1, most)).alias("pos", "m")).filter("m.fact is not null")
+    level = F.upper(F.coalesce("m.confidence", F.lit("MEDIUM")))
+    cut = lambda c, default: F.substring(F.coalesce(F.col(f"m.{c}"), F.lit(default)), 1, 80).alias(c)
+    facts = rows.select("conversation_id", "namespace", "pos", F.substring("m.fact", 1, FACT).alias("fact"), cut("fact_type", "technical"), cut("temporal_status", "dated"), F.when(level.isin(*LEVELS), level).otherwise("MEDIUM").alias("confidence"), "provenance")
     return facts.withColumn("_n", F.row_number().over(W.partitionBy("conversation_id", "fact").orderBy("pos"))).filter("_n = 1").drop("_n")
 
 
-def normal_facts(df: DataFrame, facts: str, projects: Iterable[str] | str, limit: int = 30, size: int = 1200, categories: Iterable[str] = CATEGORIES) -> DataFrame:
+def normal_facts(df: DataFrame, facts: str, projects: Iterable[str] | str, limit: int = 30, size: int = 1200, categories: Iterable[str] = CATEGORIES, dated: bool = False) -> DataFrame:
     """Rows of an array of (project, category, statement, evidence, confidence): at most limit of
     each, trimmed and cut, with a statement, evidence and an allowed project and category. projects
-    is a list, or the name of an array column with the projects of the row."""
+    is a list, or the name of an array column with the projects of the row. With dated, facts have
+    a temporal_status ('historical' where none is given), and those whose confidence is no level go."""
     cut = lambda c, n: F.substring(trim(F.coalesce(F.col(f"f.{c}"), F.lit(""))), 1, n)
     level = F.upper(F.coalesce("f.confidence", F.lit("MEDIUM")))
     others = [c for c in df.columns if c != facts]
     rows = df.select(*others, F.posexplode(F.slice(facts, 1, limit)).alias("pos", "f"))
-    out = rows.select(*others, "pos", cut("project", 80).alias("project"), trim(F.coalesce("f.category", F.lit(""))).alias("category"), cut("statement", size).alias("statement"), cut("evidence", size).alias("evidence"), F.when(level.isin(*LEVELS), level).otherwise("MEDIUM").alias("confidence"))
+    out = rows.select(*others, "pos", cut("project", 80).alias("project"), trim(F.coalesce("f.category", F.lit(""))).alias("category"), cut("statement", size).alias("statement"), cut("evidence", size).alias("evidence"), F.when(level.isin(*LEVELS), level).otherwise("MEDIUM").alias("confidence"), *([F.substring(trim(F.coalesce("f.temporal_status", F.lit("historical"))), 1, 80).alias("temporal_status"), level.isin(*LEVELS).alias("_known")] if dated else []))
+    if dated:
+        out = out.filter("_known").drop("_known")
     allowed = F.array_contains(projects, F.col("project")) if isinstance(projects, str) else F.col("project").isin(*projects)
     return out.filter((F.col("statement") != "") & (F.col("evidence") != "") & allowed & F.col("category").isin(*categories))
 
 
-def replace_facts(stored: DataFrame, new: DataFrame, key: str = "conversation_id") -> DataFrame:
-    """stored with all facts of the conversations in new replaced."""
+def replace_facts(stored: DataFrame, new: DataFrame, key: str = "conversation_id", analyses: DataFrame | None = None, label: str = "TECHNICAL") -> DataFrame:
+    """stored with all facts of the conversations in new replaced; with analyses (key, label), only of those that
+    have the label, and what new says of others is left out."""
+    if analyses is not None:
+        new = new.join(analyses.filter(F.col("label") == label).select(key).distinct(), key, "left_semi")
     return stored.join(new.select(key).distinct(), key, "left_anti").unionByName(new.select(*stored.columns))
 
 

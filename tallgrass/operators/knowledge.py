@@ -34,17 +34,19 @@ def links(analyses: DataFrame, projects: DataFrame) -> DataFrame:
     each = analyses.select("conversation_id", "label", "confidence", "reasons", F.explode("projects").alias("name")).withColumn("slug", slugify(F.col("name")))
     known = each.join(projects.select("slug"), "slug", "left_semi")
     relevance = F.greatest(F.lit(0.05), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.5))))
-    out = known.select("conversation_id", "slug", relevance.alias("relevance"), F.array_join(F.slice("reasons", 1, 3), "; ").alias("rationale"), F.concat(F.lit("analysis:"), "label").alias("source"))
+    out = known.select("conversation_id", "slug", relevance.alias("relevance"), F.array_join(F.slice("reasons", 1, 3), "; ").alias("rationale"), F.concat(F.lit("analysis:"), F.lower("label")).alias("source"))
     return out.dropDuplicates(["conversation_id", "slug"])
 
 
 def items(*facts: DataFrame) -> DataFrame:
-    """Facts of all tables with one set of categories; of the same fact the first by table and id."""
+    """Facts of all tables with one set of categories; of the same fact the first by table and id. Facts of a table
+    without temporal_status have an unknown one."""
+    given = lambda c, default: F.coalesce(F.nullif(c, F.lit("")), F.lit(default))
     rows = None
     for rank, df in enumerate(facts):
         one = df.withColumn("rank", F.lit(rank))
         rows = one if rows is None else rows.unionByName(one, allowMissingColumns=True)
-    rows = rows.withColumns({"category": category(F.col("category")), "status": F.coalesce("temporal_status", F.lit("historical")), "confidence": F.coalesce("confidence", F.lit("MEDIUM"))})
+    rows = rows.withColumns({"category": category(F.col("category")), "status": given("temporal_status", "unknown"), "confidence": given("confidence", "UNKNOWN"), "source_date": given("source_date", ""), "title": F.lit(""), "project_slug": slugify(F.col("project"))})
     w = W.partitionBy("source_conversation_id", "project", "category", "statement").orderBy("rank", "id")
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "temporal_status")
 
@@ -53,14 +55,23 @@ def fingerprint(conversation: Column, slug: Column, kind: Column, statement: Col
     return F.sha2(F.concat_ws("\x1f", conversation, slug, kind, statement), 256)
 
 
+#: Columns of an item that stay as they were first, and those that the last fact gives.
+FIRST, LAST = ("source_conversation_id", "slug", "category", "title", "statement"), ("evidence", "status", "confidence", "source_date")
+
+
+def populated(normal: DataFrame) -> DataFrame:
+    """One row, items: how many facts an upsert of normal takes in, whether or not they have been stored before."""
+    return normal.agg(F.count("*").alias("items"))
+
+
 def upsert(normal: DataFrame, stored: DataFrame) -> DataFrame:
-    """The item table after normal: a fingerprint's first title, category and project stay; its last evidence, status,
-    confidence and date win."""
-    new = normal.withColumn("slug", slugify(F.col("project"))).withColumn("fingerprint", fingerprint(F.col("source_conversation_id"), F.col("slug"), F.col("category"), F.col("statement")))
+    """The item table (fingerprint, FIRST, LAST) after normal: a fingerprint's first title, category and project stay;
+    its last evidence, status, confidence and date win."""
+    new = normal.withColumnRenamed("project_slug", "slug").withColumn("fingerprint", fingerprint(F.col("source_conversation_id"), F.col("slug"), F.col("category"), F.col("statement")))
     seq = F.struct("rank", "id")
-    last = new.groupBy("fingerprint").agg(F.min_by(F.struct("source_conversation_id", "slug", "category", "statement"), seq).alias("a"), F.max_by(F.struct("evidence", "status", "confidence", "source_date"), seq).alias("b")).select("fingerprint", "a.*", "b.*")
-    old = stored.select("fingerprint", F.struct("source_conversation_id", "slug", "category", "statement").alias("_a"), F.struct("evidence", "status", "confidence", "source_date").alias("_b"))
-    both = last.select("fingerprint", F.struct("source_conversation_id", "slug", "category", "statement").alias("a"), F.struct("evidence", "status", "confidence", "source_date").alias("b")).join(old, "fingerprint", "full_outer")
+    last = new.groupBy("fingerprint").agg(F.min_by(F.struct(*FIRST), seq).alias("a"), F.max_by(F.struct(*LAST), seq).alias("b"))
+    old = stored.select("fingerprint", F.struct(*FIRST).alias("_a"), F.struct(*LAST).alias("_b"))
+    both = last.join(old, "fingerprint", "full_outer")
     return both.select("fingerprint", F.coalesce("_a", "a").alias("x"), F.coalesce("b", "_b").alias("y")).select("fingerprint", "x.*", "y.*")
 
 

@@ -22,6 +22,14 @@ def status(state: DataFrame, *groups: str) -> DataFrame:
     return rows
 
 
+def overview(conversations: DataFrame, analyses: DataFrame, label: str) -> DataFrame:
+    """Rows of status(): how many projects the analyses of a label name, and which conversation was done last."""
+    found = analyses.filter(F.col("label") == label).select(F.explode("projects").alias("p")).agg(F.countDistinct("p").alias("n")).select(F.lit("projects").alias("what"), F.lit("").alias("value"), "n")
+    done = conversations.filter("state = 'done'").orderBy(F.desc("processed_at"), "conversation_id").limit(1)
+    name = F.replace(F.replace(F.concat(F.col("conversation_id").cast("string"), F.lit(" — "), "title"), F.lit("\n"), F.lit(" ")), F.lit("|"), F.lit("\\|"))
+    return found.unionByName(done.select(F.lit("last done").alias("what"), name.alias("value"), F.lit(1).cast("long").alias("n")))
+
+
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     rows = None
     for name, df in tables.items():
@@ -59,16 +67,28 @@ def changed_lines(pairs: DataFrame, group: str) -> DataFrame:
 
 
 def dossier(items: DataFrame, keys: list[str], line: Column, *order: str) -> DataFrame:
-    """One text for each key, a line for each item in order, and how many there are."""
-    lines = F.transform(F.array_sort(F.collect_list(F.struct(*order, line.alias("_line")))), lambda x: x["_line"])
-    return items.groupBy(*keys).agg(F.count("*").alias("items"), F.array_join(lines, "\n").alias("body"))
+    """Texts for each key, a line for each item in order, in pages of PAGE items at most, and how many there are."""
+    return _paged(items.select(*keys, *order, line.alias("_line")), keys, order, "_line").withColumnRenamed("n", "items")
+
+
+#: Items of a page of a report; longer reports have several, so no text grows with its key.
+PAGE = 1000
+
+
+def _paged(rows: DataFrame, keys: list[str], order: tuple[str, ...], line: str) -> DataFrame:
+    """keys, page (from 0), n and body of rows."""
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(*order, line))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("_place", F.col(line).alias("_text")))), lambda x: x["_text"])
+    numbered = rows.withColumn("_place", place).withColumn("page", F.floor((F.col("_place") - 1) / PAGE).cast("int"))
+    return numbered.groupBy(*keys, "page").agg(F.count("*").alias("n"), F.array_join(lines, "\n").alias("body"))
 
 
 def routed(facts: DataFrame, documents: dict[str, tuple[str, ...]], projects: DataFrame, empty: str = "Nothing recorded yet.") -> DataFrame:
-    """A body for each project and document, from the facts of the document's categories."""
+    """Bodies for each project and document, page by page, from the facts of the document's categories."""
     wanted = projects.select("project", F.explode(F.array(*[F.lit(d) for d in documents])).alias("document"))
-    body = facts.join(F.broadcast(_documents(facts, documents)), "category").groupBy("project", "document").agg(F.array_join(F.array_sort(F.collect_list(F.struct("id", "statement")))["statement"], "\n").alias("body"))
-    return wanted.join(body, ["project", "document"], "left").withColumn("body", F.coalesce("body", F.lit(empty)))
+    named = facts.join(F.broadcast(_documents(facts, documents)), "category").select("project", "document", "id", "statement")
+    body = _paged(named, ["project", "document"], ("id",), "statement").drop("n")
+    return wanted.join(body, ["project", "document"], "left").select("project", "document", F.coalesce("page", F.lit(0)).alias("page"), F.coalesce("body", F.lit(empty)).alias("body"))
 
 
 def _documents(facts: DataFrame, documents: dict[str, tuple[str, ...]]) -> DataFrame:

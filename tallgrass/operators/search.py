@@ -14,6 +14,8 @@ from tallgrass.functions.text import keyword_score, lits, occurrences
 
 #: Weight of the cosine, results of a search, and the constants of BM25.
 WEIGHT, LIMIT, K1, B, LEAST_IDF = 10.0, 8, 1.2, 0.75, 1e-6
+#: Queries that a task compares with a batch of chunks at once.
+AT_ONCE = 256
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -73,10 +75,15 @@ def _best(shared, limit: int):
             chunk = b.column(0).to_numpy()[good]
             norm = np.linalg.norm(x, axis=1)
             x, chunk = x[norm > 0] / norm[norm > 0, None], chunk[norm > 0]
-            for k, s in enumerate(q @ x.T if len(x) else []):
-                c, v = (chunk, s) if top[k] is None else (np.append(top[k][0], chunk), np.append(top[k][1], s))
-                order = np.lexsort((c, -np.round(v, 9)))[:limit]
-                top[k] = (c[order], v[order])
+            for i in range(0, len(ids) if len(x) else 0, AT_ONCE):
+                near = np.round(q[i : i + AT_ONCE] @ x.T, 9)
+                # All that reach the limit-th best of a row, so that ties are settled by chunk.
+                least = np.partition(near, -limit, axis=1)[:, -limit] if near.shape[1] > limit else np.full(len(near), -2.0)
+                for k, (s, low) in enumerate(zip(near, least), i):
+                    good = np.flatnonzero(s >= low)
+                    c, v = (chunk[good], s[good]) if top[k] is None else (np.append(top[k][0], chunk[good]), np.append(top[k][1], s[good]))
+                    order = np.lexsort((c, -v))[:limit]
+                    top[k] = (c[order], v[order])
         found = [(i, c, s) for i, t in zip(ids, top) if t is not None for c, s in zip(*t)]
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "chunk_id", "score"])
@@ -115,14 +122,17 @@ def _times(words: Column, word: str) -> Column:
     return F.size(F.filter(words, lambda x: x == word))
 
 
-def full_text(items: DataFrame, query: str, columns: list[str], mode: str = "and", limit: int = 20) -> DataFrame:
+def full_text(items: DataFrame, query: str, columns: list[str], mode: str = "and", limit: int = 20, keep: Column | None = None, conversations: DataFrame | None = None) -> DataFrame:
     """id and rank (negative, best first) of the items that have all or any of the query's words, by BM25.
 
-    An item's words are those of all columns. Only their counts are gathered, in one row.
+    An item's words are those of all columns. Only their counts are gathered, in one row, over all items;
+    keep then says which are wanted. With conversations (conversation_id, title, created_at), items have
+    conversation_title and created_at, and those of no conversation are left out.
     """
     words = sorted({w for w in "".join(c if c.isalnum() and c.isascii() else " " for c in query.lower()).split() if mode == "and" or w != "or"})
     text = F.concat_ws(" ", *[F.col(c) for c in columns])
-    base = items.select("id", tokens(text).alias("_t")).select("id", F.size("_t").alias("_len"), *[_times(F.col("_t"), w).alias(f"_{k}") for k, w in enumerate(words)])
+    carried = ["_keep", *(["source_conversation_id"] if conversations is not None else [])]
+    base = items.withColumn("_keep", F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))).select("id", *carried, tokens(text).alias("_t")).select("id", *carried, F.size("_t").alias("_len"), *[_times(F.col("_t"), w).alias(f"_{k}") for k, w in enumerate(words)])
     n = base.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(f"_{k}") > 0).alias(f"_d{k}") for k in range(len(words))]).first()
     has = [F.col(f"_{k}") > 0 for k in range(len(words))]
     wanted = has[0] if has else F.lit(False)
@@ -133,7 +143,24 @@ def full_text(items: DataFrame, query: str, columns: list[str], mode: str = "and
         tf, df = F.col(f"_{k}"), n[f"_d{k}"]
         idf = max(LEAST_IDF, math.log((n["_n"] - df + 0.5) / (df + 0.5)))
         rank = rank - idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / F.lit(n["_avg"] or 1.0)))
-    return base.filter(wanted).select("id", rank.alias("rank")).orderBy("rank", "id").limit(limit)
+    found = base.filter(wanted & F.col("_keep")).select("id", *carried[1:], F.round(rank, 12).alias("rank"))
+    if conversations is not None:
+        c = conversations.select(F.col("conversation_id").alias("source_conversation_id"), F.col("title").alias("conversation_title"), "created_at")
+        found = found.join(c, "source_conversation_id")
+    return found.orderBy("rank", "id").limit(limit)
+
+
+#: Columns of knowledge items that full-text search looks at.
+ITEM_COLUMNS = ["project_slug", "category", "title", "statement", "evidence"]
+
+
+def search_items(items: DataFrame, conversations: DataFrame, query: str, project: str | None = None, category: str | None = None, limit: int = 20, mode: str = "and") -> DataFrame:
+    """full_text() over knowledge items and their conversations, for a project (a slug) and a category where they are named."""
+    keep = F.lit(True)
+    for name, value in (("project_slug", project), ("category", category)):
+        if value is not None:
+            keep = keep & (F.col(name) == value)
+    return full_text(items, query, ITEM_COLUMNS, mode, limit, keep, conversations)
 
 
 def like(items: DataFrame, needle: str, project: str | None = None, category: str | None = None, limit: int = 20) -> DataFrame:
@@ -150,9 +177,9 @@ def like(items: DataFrame, needle: str, project: str | None = None, category: st
 ERROR_WORDS = "error OR failure OR failed OR bug OR broken OR issue"
 
 
-def errors(items: DataFrame, words: str = ERROR_WORDS, category: str = "error", limit: int = 50) -> DataFrame:
+def errors(items: DataFrame, conversations: DataFrame, words: str = ERROR_WORDS, project: str | None = None, category: str = "error", limit: int = 50) -> DataFrame:
     """Items of the error category with any of words; none where it has none of them."""
-    return full_text(items.filter(F.col("category") == category), words, ["statement", "evidence"], "or", limit)
+    return search_items(items, conversations, words, project, category, limit, "or")
 
 
 def resolve(names: DataFrame, projects: DataFrame) -> DataFrame:
@@ -161,8 +188,20 @@ def resolve(names: DataFrame, projects: DataFrame) -> DataFrame:
     return names.join(p, (F.lower(names["name"]) == F.col("_k")), "left").select(*names.columns, F.coalesce("_slug", "name").alias("slug"))
 
 
+def chat_chunks(chunks: DataFrame, conversations: DataFrame, scheme: str = "chatgpt") -> DataFrame:
+    """Chunks (conversation_id, first_message, last_message, text, embedding) of known conversations as search takes
+    them: with the address of their messages, a title (the id where there is none), date, file and range."""
+    c = conversations.select("conversation_id", F.col("title").alias("_title"), F.col("created_at").alias("date"), "source_file")
+    span = F.concat(F.col("first_message").cast("string"), F.lit("-"), F.col("last_message").cast("string"))
+    cid = F.col("conversation_id").cast("string")
+    return chunks.join(c, "conversation_id").select(
+        F.lit("chat").alias("source_type"), F.concat(F.lit(f"{scheme}://conversation/"), cid, F.lit("#messages="), span).alias("source"),
+        F.coalesce(F.nullif("_title", F.lit("")), cid).alias("title"), "text", "embedding", "conversation_id", "date", "source_file", span.alias("message_range"),
+    )
+
+
 def titled_assets(chunks: DataFrame, assets: DataFrame, references: DataFrame) -> DataFrame:
-    """Asset chunks with a title: the first original name of the asset, or else its id."""
+    """Asset chunks with a title: the first original name of the asset, or else its file name."""
     first = references.filter("original_name is not null").groupBy("asset_id").agg(F.min_by("original_name", "seq").alias("_name"))
-    out = chunks.join(assets.select("asset_id", "mime"), "asset_id").join(first, "asset_id", "left")
-    return out.withColumn("title", F.coalesce("_name", "asset_id")).drop("_name")
+    out = chunks.join(assets.select("asset_id", "mime", "ext"), "asset_id").join(first, "asset_id", "left")
+    return out.withColumn("title", F.coalesce("_name", F.concat(F.lit("file_"), "asset_id", "ext"))).drop("_name")
