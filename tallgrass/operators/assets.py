@@ -100,30 +100,40 @@ def aliases(deduped: DataFrame) -> DataFrame:
     return deduped.groupBy("alias").agg(F.max_by("asset_id", "path").alias("asset_id"))
 
 
-_HINTS = ("asset_pointer", "file_id", "name", "filename", "file_name", "mime_type", "size")
-_META = ("id", *_HINTS)
+#: Keys that mark the description of a file, and keys of it that are kept.
+HINTS = ("asset_pointer", "file_id", "name", "filename", "file_name", "mime_type", "size")
+META = ("id", "file_id", "asset_pointer", "name", "filename", "file_name", "mime_type", "size")
+
+
+def said(message: dict) -> str:
+    """What a message says: its parts that are text, or have some, trimmed."""
+    content = message.get("content")
+    parts = content.get("parts") if isinstance(content, dict) else None
+    texts = [p if isinstance(p, str) else p.get("text") if isinstance(p, dict) else None for p in parts or []]
+    return "\n".join(t for t in texts if isinstance(t, str) and t).strip()
 
 
 def references(message: dict) -> list[tuple[str, dict]]:
-    """(file id, metadata of the object it is in) of each attachment that a message names anywhere."""
+    """(file id, metadata of the object it is in) of each attachment that a message names anywhere, in order."""
     out: list[tuple[str, dict]] = []
     todo = [(message, None, None)]
     while todo:
-        value, parent, key = todo.pop(0)
+        value, parent, key = todo.pop()
         if isinstance(value, dict):
-            todo += [(v, value, k) for k, v in value.items()]
+            todo += [(v, value, k) for k, v in reversed(value.items())]
         elif isinstance(value, list):
-            todo += [(v, parent, key) for v in value]
+            todo += [(v, parent, key) for v in reversed(value)]
         elif isinstance(value, str):
-            pointer = parent is not None and key in ("asset_pointer", "file_id", "id") and any(h in parent for h in _HINTS)
+            pointer = parent is not None and key in ("asset_pointer", "file_id", "id") and any(h in parent for h in HINTS)
             if pointer or "file-service://" in value.lower():
-                meta = {k: str(parent[k]) for k in _META if parent and parent.get(k) not in (None, "")}
+                meta = {k: parent[k] for k in META if parent and parent.get(k) not in (None, "")}
                 out += [(m.lower(), meta) for m in re.findall(FILE_ID, value, re.I)]
     return out
 
 
 def found_references(nodes: DataFrame) -> DataFrame:
-    """A row for each file id in nodes (conversation_id, node_id, message as JSON): every node, not the active branch alone."""
+    """A row for each file id in nodes (conversation_id, node_id, message as JSON): every node, not the active branch
+    alone. meta has values as JSON, context what the message says."""
     kind = nodes.schema["conversation_id"].dataType.simpleString()
 
     def rows(batches):
@@ -137,20 +147,30 @@ def found_references(nodes: DataFrame) -> DataFrame:
                 except ValueError:
                     continue
                 if isinstance(message, dict):
-                    out += [(c, n, str(message.get("id") or n), k, f, list(meta.items())) for k, (f, meta) in enumerate(references(message))]
-            types = [b.schema.field(0).type, pa.string(), pa.string(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out) if out else [[]] * 6, types)], ["conversation_id", "node_id", "message_id", "seq", "alias", "meta"])
+                    context = said(message)
+                    out += [(c, n, str(message.get("id") or n), k, f, [(x, json.dumps(v, ensure_ascii=False)) for x, v in meta.items()], context) for k, (f, meta) in enumerate(references(message))]
+            types = [b.schema.field(0).type, pa.string(), pa.string(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out) if out else [[]] * 7, types)], ["conversation_id", "node_id", "message_id", "seq", "alias", "meta", "context"])
 
-    return nodes.select("conversation_id", "node_id", "message").mapInArrow(rows, f"conversation_id {kind}, node_id string, message_id string, seq int, alias string, meta map<string,string>")
+    return nodes.select("conversation_id", "node_id", "message").mapInArrow(rows, f"conversation_id {kind}, node_id string, message_id string, seq int, alias string, meta map<string,string>, context string")
 
 
 def linked(found: DataFrame, alias: DataFrame) -> DataFrame:
-    """One reference for each asset, conversation, node and message, with the first value of each metadata key."""
+    """One reference for each asset, conversation, node and message, with the first value of each metadata key (also
+    all of them as JSON, with sorted keys) and what the message says."""
     keys = ["asset_id", "conversation_id", "node_id", "message_id"]
     rows = found.join(alias, "alias")
-    first = [F.min_by(F.col("meta")[k], F.when(F.col("meta")[k].isNotNull(), F.col("seq"))).alias(k) for k in ("name", "filename", "file_name", "mime_type")]
-    out = rows.groupBy(*keys).agg(*first)
-    return out.select(*keys, F.coalesce("name", "filename", "file_name").alias("original_name"), "mime_type", F.sha2(F.concat_ws("\0", *keys), 256).alias("reference_hash"))
+    first = [F.min_by(F.col("meta")[k], F.when(F.col("meta")[k].isNotNull(), F.col("seq"))).alias(k) for k in META]
+    out = rows.groupBy(*keys).agg(*first, F.min("context").alias("context"))
+    text = lambda k: F.when(F.startswith(k, F.lit('"')), F.get_json_object(F.concat(F.lit('{"v":'), F.col(k), F.lit("}")), "$.v"))
+    pairs = [F.concat(F.lit(f'"{k}": '), F.col(k)) for k in sorted(META)]
+    every = F.concat(F.lit("{"), F.concat_ws(", ", *pairs), F.lit("}"))
+    return out.select(*keys, F.coalesce(*map(text, ("name", "filename", "file_name"))).alias("original_name"), text("mime_type").alias("mime_type"), "context", every.alias("metadata_json"), F.sha2(F.concat_ws("\0", *keys), 256).alias("reference_hash"))
+
+
+def of_conversations(linked: DataFrame, conversations: DataFrame) -> DataFrame:
+    """References with the title and date of their conversation, as asset_texts() takes them."""
+    return linked.join(conversations.select("conversation_id", "title", "created_at"), "conversation_id")
 
 
 def asset_texts(assets: DataFrame, refs: DataFrame) -> DataFrame:

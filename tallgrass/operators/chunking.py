@@ -15,15 +15,23 @@ MESSAGE, TARGET, MOST = 3_200, 2_600, 4_200
 
 def fixed_windows(text: Column, size: int = EXTRACT) -> Column:
     """Windows that together are the text; one empty window for an empty text."""
-    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(size))
-    return F.transform(starts, lambda s: F.substring(text, s + 1, F.lit(size)))
+    return F.when(text == "", F.array(F.lit(""))).otherwise(_steps(text, size))
+
+
+def _steps(text: Column, size: int) -> Column:
+    """The text cut into pieces of size, in one pass over it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
 
 
 def overlapping(text: Column, size: int = CHUNK, overlap: int = OVERLAP, trim_first: bool = True) -> Column:
     """Windows of size that share overlap signs, to the end of the text, trimmed, blank ones left out."""
     t = trim(text) if trim_first else text
-    starts = F.sequence(F.lit(0), F.greatest(F.length(t) - 1, F.lit(0)), F.lit(size - overlap))
-    many = F.transform(starts, lambda s: trim(F.substring(t, s + 1, F.lit(size))))
+    # A window is a step of the text and what it shares with the steps after it, which are lined up beside it.
+    step = size - overlap
+    steps = _steps(t, step)
+    after = [F.slice(steps, k + 1, 1 << 30) for k in range(1, -(-overlap // step) + 1)]
+    zipped = F.arrays_zip(*[s.alias(f"s{k}") for k, s in enumerate([steps, *after])])
+    many = F.transform(zipped, lambda z: trim(F.substring(F.concat_ws("", *[z[f"s{k}"] for k in range(len(after) + 1)]), 1, size)))
     return F.filter(F.when(F.length(t) <= size, F.array(trim(t))).otherwise(many), lambda c: c != "")
 
 

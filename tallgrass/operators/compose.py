@@ -17,6 +17,10 @@ SUGGEST_LONG = "Review long syntax manually; set host_ip: 127.0.0.1 if private."
 SUGGEST_NOTHING = "Already loopback-only."
 SUGGEST_LAN = "May need LAN access. Keep exposed only if you actually use it from phone/LAN, or put behind Tailscale/reverse proxy."
 SUGGEST_LOCAL = "Consider changing to: 127.0.0.1:"
+SUGGEST_LAN_LONG = "May need LAN access. Keep exposed only if needed or place behind controlled entry point."
+SUGGEST_LOCAL_LONG = "Consider long syntax host_ip: 127.0.0.1 for published port "
+#: Keys of a long port.
+PORT_KEYS = ("target", "published", "host_ip", "protocol")
 COMPOSE_FILES = ("docker-compose.yml", "docker-compose.yaml", "compose.yml", "compose.yaml")
 
 
@@ -61,6 +65,10 @@ def suggestion(port: Column, category: Column) -> Column:
     )
 
 
+def long_suggestion(port: Column, category: Column) -> Column:
+    return F.when(exposure(port.host_ip) == "LOOPBACK_ONLY", SUGGEST_NOTHING).when(category == "probably LAN-needed", SUGGEST_LAN_LONG).otherwise(F.concat(F.lit(SUGGEST_LOCAL_LONG), port.host_port, F.lit(".")))
+
+
 def container_exposure(ports: Column) -> Column:
     """Of a container's list of ports as text."""
     has = lambda *xs: F.exists(lits(xs), lambda x: F.contains(ports, x))
@@ -81,17 +89,17 @@ def _uncomment(line: str) -> str:
 
 
 def read_compose(text: str) -> list[dict]:
-    """Services, ports and mounts with line numbers, by indentation; long port entries become short ones."""
+    """Services, ports and mounts with line numbers, by indentation. A long port begins with its target, and is left
+    out without one or if nothing is published."""
     out: list[dict] = []
     top, service, section, step, entry = "", "", "", 0, None
 
     def close():
         nonlocal entry
-        if entry and entry.get("target"):
-            ip = entry.get("host_ip", "")
-            ip = f"[{ip}]" if ":" in ip else ip
-            raw = ":".join(x for x in (ip, entry.get("published", ""), entry["target"]) if x)
-            out.append({"service": service, "kind": "port", "raw": raw + (f"/{entry['protocol']}" if entry.get("protocol", "tcp") != "tcp" else ""), "line_no": entry["line_no"]})
+        if entry and entry.get("target") and entry.get("published"):
+            long = {"host_ip": entry.get("host_ip", ""), "host_port": entry["published"], "container_port": entry["target"], "proto": entry.get("protocol", "tcp")}
+            raw = f"host_ip={long['host_ip'] or '*'} published={long['host_port']} target={long['container_port']}/{long['proto']}"
+            out.append({"service": service, "kind": "port", "raw": raw, "line_no": entry["line_no"], "long": long})
         entry = None
 
     for n, full in enumerate(text.splitlines(), 1):
@@ -115,32 +123,34 @@ def read_compose(text: str) -> list[dict]:
             section = bare.split(":")[0]
         elif section in ("ports", "volumes"):
             item = bare[1:].strip() if bare.startswith("-") else bare
-            key = re.match(r"(target|published|host_ip|protocol|mode|type|source|app_protocol|name)\s*:\s*(.*)$", item)
+            name, colon, value = item.partition(":")
             if bare.startswith("-"):
                 close()
-            if key and section == "ports":
-                entry = entry or {"line_no": n}
-                entry[key[1]] = key[2].strip().strip("\"'")
-            elif bare.startswith("-") and not key:
+                if section == "ports" and name == "target" and colon:
+                    entry = {"line_no": n}
+            if entry is not None and colon and name.strip() in PORT_KEYS:
+                entry[name.strip()] = value.strip().strip("\"'")
+            elif bare.startswith("-"):
                 out.append({"service": service, "kind": section[:-1], "raw": item.strip("\"'"), "line_no": n})
     close()
     return out
 
 
 def parse(files: DataFrame) -> DataFrame:
-    """compose_file, service, kind (service, port or volume), raw and line_no of files (path, text)."""
+    """compose_file, service, kind (service, port or volume), raw, line_no and long (a port in long form) of files (path, text)."""
 
     def rows(batches):
         for b in batches:
+            long = pa.struct([(c, pa.string()) for c in ("host_ip", "host_port", "container_port", "proto")])
             found = [{"compose_file": p} | x for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in read_compose(t or "")]
-            yield pa.RecordBatch.from_pylist(found, pa.schema([("compose_file", pa.string()), ("service", pa.string()), ("kind", pa.string()), ("raw", pa.string()), ("line_no", pa.int32())]))
+            yield pa.RecordBatch.from_pylist(found, pa.schema([("compose_file", pa.string()), ("service", pa.string()), ("kind", pa.string()), ("raw", pa.string()), ("line_no", pa.int32()), ("long", long)]))
 
-    return files.select("path", "text").mapInArrow(rows, "compose_file string, service string, kind string, raw string, line_no int")
+    return files.select("path", "text").mapInArrow(rows, "compose_file string, service string, kind string, raw string, line_no int, long struct<host_ip:string,host_port:string,container_port:string,proto:string>")
 
 
 def ports(parsed: DataFrame) -> DataFrame:
-    p = parsed.filter("kind = 'port'").withColumn("p", short_port(F.col("raw"))).filter("p is not null").withColumn("category", service_category(F.col("service")))
-    return p.select("compose_file", "service", "line_no", "raw", "p.*", exposure(F.col("p.host_ip")).alias("exposure"), "category", suggestion(F.col("p"), F.col("category")).alias("suggestion"))
+    p = parsed.filter("kind = 'port'").withColumn("p", F.coalesce("long", short_port(F.col("raw")))).filter("p is not null").withColumn("category", service_category(F.col("service")))
+    return p.select("compose_file", "service", "line_no", "raw", "p.*", exposure(F.col("p.host_ip")).alias("exposure"), "category", F.when(F.col("long").isNull(), suggestion(F.col("p"), F.col("category"))).otherwise(long_suggestion(F.col("p"), F.col("category"))).alias("suggestion"))
 
 
 def volumes(parsed: DataFrame) -> DataFrame:

@@ -45,8 +45,18 @@ def skipped(path: Column, parts=SKIP_PARTS, suffixes=NOTE_SUFFIXES, words=NOTE_W
     return F.arrays_overlap(F.split(path, "/"), lits(parts)) | ~suffix(path).isin(*suffixes) | F.lower(path).rlike("|".join(words))
 
 
+def _head(inventory: DataFrame, first: int) -> DataFrame:
+    return inventory.orderBy("category", "name", "path", "size").limit(first)
+
+
+def sensitive_files(inventory: DataFrame, first: int = 1000, most: int = 150) -> DataFrame:
+    """Of the same first files those that are sensitive, which no plan moves: the first most of them."""
+    head = _head(inventory, first).filter("sensitive = 1")
+    return head.orderBy("category", "name", "path", "size").limit(most).select("name", "path", "category")
+
+
 def sort_plan(inventory: DataFrame, first: int = 1000, most: int = 75) -> DataFrame:
     """Of the first files by category and name, those that are not sensitive, most of each category."""
-    head = inventory.orderBy("category", "name", "path", "size").limit(first).filter("sensitive = 0")
+    head = _head(inventory, first).filter("sensitive = 0")
     k = F.row_number().over(W.partitionBy("category").orderBy("name", "path", "size"))
     return head.select("category", "name", "path", k.alias("place"), F.round(F.col("size") / 1024, 1).alias("kb")).filter(F.col("place") <= most)

@@ -13,28 +13,37 @@ from tallgrass.streaming import imports
 from .registry import query
 
 
+#: Rows that share a file on average: there are more files where there are more rows.
+IN_FILE = 500
+
+
+def _buckets(df):
+    return df.count() // IN_FILE + 1
+
+
 def _written(t, df, name):
-    """A folder with one text file for each source: its texts in order, each with a line end."""
+    """A folder with text files for each source, a bucket of its texts in each: in order, each with a line end."""
     path = scratch(t.spark, name)
-    df.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "text").write.partitionBy("source").text(path)
+    rows = df.withColumn("bucket", F.col("doc_id") % F.lit(_buckets(df)))
+    rows.repartition("source", "bucket").sortWithinPartitions("source", "bucket", "doc_id").select("source", "bucket", "text").write.partitionBy("source", "bucket").text(path)
     return path
 
 
 def _source():
-    return F.regexp_extract("path", "source=([^/]*)", 1).alias("source")
+    return [F.regexp_extract("path", f"{k}=([^/]*)", 1).alias(k) for k in ("source", "bucket")]
 
 
-_WHOLE = "SELECT source, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS whole FROM documents GROUP BY source"
+_WHOLE = f"SELECT source, bucket::VARCHAR AS bucket, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS whole FROM (SELECT *, doc_id % (SELECT count(*) // {IN_FILE} + 1 FROM documents) AS bucket FROM documents) GROUP BY source, bucket"
 
 
-@query("SRC1_chat_exports", "SELECT 'c' || conv_id AS conversation_id, 't' || conv_id AS title, string_agg('[' || role || '] ' || trim(text), chr(10) || chr(10) ORDER BY turn) AS transcript, '1970-01-01T00:00:00.500000+00:00' AS created_at FROM conversations GROUP BY conv_id")
+@query("SRC1_chat_exports", "SELECT 'c' || conv_id AS conversation_id, CASE WHEN conv_id % 5 = 0 THEN 'Untitled' ELSE 't' || conv_id END AS title, string_agg('[' || role || '] ' || trim(text), chr(10) || chr(10) ORDER BY turn) AS transcript, '1970-01-01T00:00:00.500000+00:00' AS created_at FROM conversations GROUP BY conv_id")
 def chat_exports(t):
     node = lambda n: F.concat(F.lit("n"), n.cast("string"))
     message = F.struct(F.struct("role").alias("author"), F.struct(F.array("text").alias("parts")).alias("content"))
     value = F.struct(F.when(F.col("turn") > 0, node(F.col("turn") - 1)).alias("parent"), message.alias("message"))
     c = t.conversations.groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct(node(F.col("turn")), value))).alias("mapping"), F.max("turn").alias("last"))
-    record = F.struct(F.concat(F.lit("c"), "conv_id").alias("id"), F.concat(F.lit("t"), "conv_id").alias("title"), F.lit(0.5).alias("create_time"), node(F.col("last")).alias("current_node"), "mapping")
-    files = c.groupBy((F.col("conv_id") % 4).alias("k")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(record)), ","), F.lit("]")).alias("value"))
+    record = F.struct(F.concat(F.lit("c"), "conv_id").alias("id"), F.when(F.col("conv_id") % 10 == 0, "").when(F.col("conv_id") % 5 > 0, F.concat(F.lit("t"), "conv_id")).alias("title"), F.lit(0.5).alias("create_time"), node(F.col("last")).alias("current_node"), "mapping")
+    files = c.groupBy((F.col("conv_id") % F.lit(_buckets(t.conversations))).alias("k")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(record)), ","), F.lit("]")).alias("value"))
     path = scratch(t.spark, "exports")
     files.select("k", "value").repartition("k").write.partitionBy("k").text(path)
     got = readers.chat_exports(t.spark, path, "*.txt")
@@ -42,19 +51,19 @@ def chat_exports(t):
     return got.select("conversation_id", "title", "created_at").join(flat, "conversation_id")
 
 
-@query("SRC2_notes", f"SELECT source, whole AS text FROM ({_WHOLE})")
+@query("SRC2_notes", f"SELECT source, bucket, whole AS text FROM ({_WHOLE})")
 def notes(t):
-    return readers.notes(t.spark, _written(t, t.documents, "notes")).select(_source(), "text")
+    return readers.notes(t.spark, _written(t, t.documents, "notes")).select(*_source(), "text")
 
 
-@query("SRC3_attachments", f"SELECT source, sha256(whole) AS sha, strlen(whole) AS size FROM ({_WHOLE})")
+@query("SRC3_attachments", f"SELECT source, bucket, sha256(whole) AS sha, strlen(whole) AS size FROM ({_WHOLE})")
 def attachments(t):
-    return readers.attachments(t.spark, _written(t, t.documents, "attachments")).select(_source(), "sha", F.octet_length("content").cast("long").alias("size"))
+    return readers.attachments(t.spark, _written(t, t.documents, "attachments")).select(*_source(), "sha", F.octet_length("content").cast("long").alias("size"))
 
 
-@query("SRC4_inventory", f"SELECT source, strlen(whole) AS size, 'Documents' AS category, 0 AS sensitive FROM ({_WHOLE})")
+@query("SRC4_inventory", f"SELECT source, bucket, strlen(whole) AS size, 'Documents' AS category, 0 AS sensitive FROM ({_WHOLE})")
 def inventory(t):
-    return readers.inventory(t.spark, _written(t, t.documents, "inventory")).select(_source(), "size", "category", "sensitive")
+    return readers.inventory(t.spark, _written(t, t.documents, "inventory")).select(*_source(), "size", "category", "sensitive")
 
 
 @query("SNK2_event_log", "SELECT event_type AS kind, count(*) AS n, sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS k FROM events GROUP BY event_type")
@@ -69,8 +78,7 @@ def event_log(t):
 @query("SNK3_dossier_files", "SELECT source, lang, unnest(string_split(string_agg(text, chr(10) ORDER BY doc_id), chr(10))) AS line FROM documents GROUP BY source, lang")
 def dossier_files(t):
     path = scratch(t.spark, "dossiers")
-    bodies = t.documents.groupBy("source", "lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x.text), "\n").alias("body"))
-    tables.write_dossiers(bodies, path, "source", "lang")
+    tables.write_dossiers(t.documents, path, ["source", "lang"], "doc_id", "text")
     return t.spark.read.text(path).select("source", "lang", F.col("value").alias("line"))
 
 
@@ -149,20 +157,20 @@ def found(t):
     return assets.found_references(_nodes(t)).groupBy("conversation_id", "node_id", "message_id", "alias").agg(F.count("*").cast("int").alias("n"))
 
 
-@query("AST7_references", "SELECT 'asset' || conv_id % 50 AS asset_id, conv_id AS conversation_id, 'n' || turn AS node_id, 'm' || turn AS message_id, CASE WHEN turn % 3 = 1 THEN 'photo' || conv_id % 50 || '.png' END AS original_name, CASE WHEN turn % 3 = 1 THEN 'image/png' END AS mime_type FROM conversations WHERE turn % 3 < 2 AND conv_id % 50 < 40")
+@query("AST7_references", "SELECT 'asset' || conv_id % 50 AS asset_id, conv_id AS conversation_id, 'n' || turn AS node_id, 'm' || turn AS message_id, CASE WHEN turn % 3 = 1 THEN 'photo' || conv_id % 50 || '.png' END AS original_name, CASE WHEN turn % 3 = 1 THEN 'image/png' END AS mime_type, 'file-service://file-AbCdEf' || lpad((conv_id % 50)::VARCHAR, 2, '0') AS context, CASE WHEN turn % 3 = 1 THEN '{\"id\": \"file-AbCdEf' || lpad((conv_id % 50)::VARCHAR, 2, '0') || '\", \"mime_type\": \"image/png\", \"name\": \"photo' || conv_id % 50 || '.png\"}' ELSE '{}' END AS metadata_json FROM conversations WHERE turn % 3 < 2 AND conv_id % 50 < 40")
 def references(t):
     alias = t.conversations.select((F.col("conv_id") % 50).alias("k")).distinct().filter("k < 40").select(F.concat(F.lit("abcdef"), F.lpad(F.col("k").cast("string"), 2, "0")).alias("alias"), F.concat(F.lit("asset"), "k").alias("asset_id"))
     return assets.linked(assets.found_references(_nodes(t)), alias).drop("reference_hash")
 
 
-@query("AST8_asset_texts", """WITH a AS (SELECT 'x' || p_partkey AS asset_id, '.png' AS ext, p_type AS mime, CASE WHEN p_partkey % 5 = 0 THEN p_name ELSE '' END AS text FROM part WHERE p_partkey < 400),
-    r AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY created_at, conversation_id) AS n FROM (SELECT 'x' || event_id % 300 AS asset_id, CASE WHEN event_id % 2 = 0 THEN 'n' || event_id END AS original_name, 't' || user_id AS title, lpad(event_id::VARCHAR, 8, '0') AS created_at, event_id AS conversation_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE props END AS context FROM events WHERE event_type <> 'view')),
+@query("AST8_asset_texts", """WITH a AS (SELECT 'x' || p_partkey AS asset_id, '.png' AS ext, p_type AS mime, CASE WHEN p_partkey % 5 = 0 THEN p_name ELSE '' END AS text FROM part),
+    r AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY created_at, conversation_id) AS n FROM (SELECT 'x' || (event_id % (SELECT count(*) FROM part) + 1) AS asset_id, CASE WHEN event_id % 2 = 0 THEN 'n' || event_id END AS original_name, 't' || user_id AS title, lpad(event_id::VARCHAR, 8, '0') AS created_at, event_id AS conversation_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE props END AS context FROM events WHERE event_type <> 'view')),
     s AS (SELECT asset_id, string_agg(concat_ws(chr(10), 'Original name: ' || original_name, 'Conversation: ' || title || ' (' || created_at || ') id=' || conversation_id, CASE WHEN context <> '' THEN context END), chr(10) ORDER BY n) AS refs FROM r WHERE n <= 20 GROUP BY asset_id)
     SELECT a.asset_id, CASE WHEN text <> '' THEN 'extracted_text' WHEN refs IS NOT NULL THEN 'conversation_context' ELSE 'metadata' END AS content_kind, 'Asset file_' || a.asset_id || ext || chr(10) || 'MIME type: ' || mime || CASE WHEN text <> '' THEN chr(10) || chr(10) || 'Extracted content:' || chr(10) || text ELSE '' END || coalesce(chr(10) || chr(10) || 'Conversation references:' || chr(10) || refs, '') AS text FROM a LEFT JOIN s ON a.asset_id = s.asset_id""")
 def asset_texts(t):
     e, x = F.col("event_id"), lambda c: F.concat(F.lit("x"), c).alias("asset_id")
-    a = t.part.filter("p_partkey < 400").select(x(F.col("p_partkey")), F.lit(".png").alias("ext"), F.col("p_type").alias("mime"), F.when(F.col("p_partkey") % 5 == 0, F.col("p_name")).otherwise("").alias("text"))
-    r = t.events.filter("event_type <> 'view'").select(x(e % 300), F.when(e % 2 == 0, F.concat(F.lit("n"), e)).alias("original_name"), F.concat(F.lit("t"), "user_id").alias("title"), F.lpad(e.cast("string"), 8, "0").alias("created_at"), e.alias("conversation_id"), F.when(e % 3 == 0, "").otherwise(F.col("props")).alias("context"))
+    a = t.part.select(x(F.col("p_partkey")), F.lit(".png").alias("ext"), F.col("p_type").alias("mime"), F.when(F.col("p_partkey") % 5 == 0, F.col("p_name")).otherwise("").alias("text"))
+    r = t.events.filter("event_type <> 'view'").select(x(e % F.lit(t.part.count()) + 1), F.when(e % 2 == 0, F.concat(F.lit("n"), e)).alias("original_name"), F.concat(F.lit("t"), "user_id").alias("title"), F.lpad(e.cast("string"), 8, "0").alias("created_at"), e.alias("conversation_id"), F.when(e % 3 == 0, "").otherwise(F.col("props")).alias("context"))
     return assets.asset_texts(a, r)
 
 
@@ -184,10 +192,11 @@ def note_names(t):
     return t.pages.select("page_id", T.note_name(F.col("html")).alias("name"), F.substring("html", 1, 1500).alias("excerpt"))
 
 
-# Compose files: one for each brand, with a service for each part.
+# Compose files: some for each brand, with a service for each part.
 _IPS = ("", "127.0.0.1:", "0.0.0.0:", "[::1]:", "192.168.1.5:", "none")
 _SERVICE = "replace(p_name, ' ', '_') || '_' || ['db', 'plex', 'app'][p_partkey % 3 + 1] || p_partkey"
-_PORTS = f"""ports AS (SELECT p_brand AS compose_file, {_SERVICE} AS service, ['', '127.0.0.1', '0.0.0.0', '[::1]', '192.168.1.5'][p_partkey % 6 + 1] AS host_ip, (8000 + p_partkey)::VARCHAR AS host_port, '80' AS container_port, CASE WHEN p_partkey % 7 = 0 THEN 'udp' ELSE 'tcp' END AS proto,
+_FILE = f"p_brand || '/' || p_partkey % (SELECT count(*) // {IN_FILE} + 1 FROM part)"
+_PORTS = f"""ports AS (SELECT {_FILE} AS compose_file, {_SERVICE} AS service, ['', '127.0.0.1', '0.0.0.0', '[::1]', '192.168.1.5'][p_partkey % 6 + 1] AS host_ip, (8000 + p_partkey)::VARCHAR AS host_port, '80' AS container_port, CASE WHEN p_partkey % 7 = 0 THEN 'udp' ELSE 'tcp' END AS proto,
     CASE p_partkey % 6 WHEN 1 THEN 'LOOPBACK_ONLY' WHEN 3 THEN 'LOOPBACK_ONLY' WHEN 4 THEN 'SPECIFIC_INTERFACE' ELSE 'LAN_EXPOSED' END AS exposure, CASE p_partkey % 3 WHEN 0 THEN 'probably private' WHEN 1 THEN 'probably LAN-needed' ELSE 'review manually' END AS category, p_partkey FROM part WHERE p_partkey % 6 < 5)"""
 
 
@@ -200,11 +209,12 @@ def _compose(t):
     mount = F.when(k % 4 == 0, F.concat(F.lit("\n    volumes:\n      - /srv/"), "p_type", F.lit(":/data\n      - kept:/kept"))).otherwise("")
     block = F.concat(F.lit("  "), service, F.lit(":\n    image: x\n    ports:\n"), item, mount)
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), block.alias("b")))), lambda x: x.b), "\n")
-    files = t.part.groupBy(F.col("p_brand").alias("path")).agg(F.concat(F.lit("services:\n"), body, F.lit("\nvolumes:\n  kept:\n")).alias("text"))
+    path = F.concat("p_brand", F.lit("/"), k % F.lit(_buckets(t.part)))
+    files = t.part.groupBy(path.alias("path")).agg(F.concat(F.lit("services:\n"), body, F.lit("\nvolumes:\n  kept:\n")).alias("text"))
     return files
 
 
-@query("CMP1_parse", f"SELECT p_brand AS compose_file, {_SERVICE} AS service, 2 + CASE WHEN p_partkey % 4 = 0 THEN 2 ELSE 0 END AS n FROM part")
+@query("CMP1_parse", f"SELECT {_FILE} AS compose_file, {_SERVICE} AS service, 2 + CASE WHEN p_partkey % 4 = 0 THEN 2 ELSE 0 END AS n FROM part")
 def parse(t):
     return compose.parse(_compose(t)).groupBy("compose_file", "service").agg(F.count("*").cast("int").alias("n"))
 
@@ -214,7 +224,7 @@ def ports(t):
     return compose.ports(compose.parse(_compose(t))).select("compose_file", "service", "host_ip", "host_port", "container_port", "proto")
 
 
-@query("CMP2_volumes", f"SELECT p_brand AS compose_file, {_SERVICE} AS service, '/srv/' || p_type AS host_path, '/data' AS target FROM part WHERE p_partkey % 4 = 0")
+@query("CMP2_volumes", f"SELECT {_FILE} AS compose_file, {_SERVICE} AS service, '/srv/' || p_type AS host_path, '/data' AS target FROM part WHERE p_partkey % 4 = 0")
 def volumes(t):
     return compose.volumes(compose.parse(_compose(t))).drop("line_no")
 
@@ -230,12 +240,12 @@ def container_exposure(t):
     return t.events.select("event_id", compose.container_exposure(said).alias("exposure"))
 
 
-@query("CMP5_services_map", f"""WITH {_PORTS} SELECT p_brand AS compose_file, {_SERVICE} AS service, coalesce('http://' || CASE WHEN exposure = 'LOOPBACK_ONLY' THEN '127.0.0.1' WHEN host_ip = '' THEN 'LAN IP' ELSE host_ip END || ':' || host_port, '-') AS urls, coalesce(exposure, 'NO_PUBLISHED_PORTS') AS exposure, CASE WHEN part.p_partkey % 4 = 0 THEN '/srv/' || p_type ELSE '-' END AS data FROM part LEFT JOIN ports ON part.p_partkey = ports.p_partkey""".replace(_SERVICE + " AS service, coalesce(", _SERVICE.replace("p_partkey", "part.p_partkey") + " AS service, coalesce("))
+@query("CMP5_services_map", f"""WITH {_PORTS} SELECT {_FILE.replace("p_partkey", "part.p_partkey")} AS compose_file, {_SERVICE} AS service, coalesce('http://' || CASE WHEN exposure = 'LOOPBACK_ONLY' THEN '127.0.0.1' WHEN host_ip = '' THEN 'LAN IP' ELSE host_ip END || ':' || host_port, '-') AS urls, coalesce(exposure, 'NO_PUBLISHED_PORTS') AS exposure, CASE WHEN part.p_partkey % 4 = 0 THEN '/srv/' || p_type ELSE '-' END AS data FROM part LEFT JOIN ports ON part.p_partkey = ports.p_partkey""".replace(_SERVICE + " AS service, coalesce(", _SERVICE.replace("p_partkey", "part.p_partkey") + " AS service, coalesce("))
 def services_map(t):
     return compose.services_map(compose.parse(_compose(t)))
 
 
-@query("CMP6_summary", f"WITH {_PORTS} SELECT (SELECT count(DISTINCT p_brand) FROM part) AS files, (SELECT count(*) FROM part) AS services, count(*) AS ports, count(*) FILTER (exposure = 'LAN_EXPOSED') AS exposed, count(*) FILTER (exposure = 'LAN_EXPOSED' AND category = 'probably private') AS private_exposed FROM ports")
+@query("CMP6_summary", f"WITH {_PORTS} SELECT (SELECT count(DISTINCT {_FILE}) FROM part) AS files, (SELECT count(*) FROM part) AS services, count(*) AS ports, count(*) FILTER (exposure = 'LAN_EXPOSED') AS exposed, count(*) FILTER (exposure = 'LAN_EXPOSED' AND category = 'probably private') AS private_exposed FROM ports")
 def summary(t):
     return compose.summary(compose.parse(_compose(t)))
 
@@ -245,12 +255,14 @@ def candidates(t):
     return compose.candidates(compose.parse(_compose(t))).select("priority", "service", "compose_file")
 
 
-@query("SRC5_compose_files", "SELECT replace(p_brand, '#', '-') AS brand, count(*) AS services FROM part GROUP BY p_brand")
+@query("SRC5_compose_files", f"SELECT replace({_FILE}, '#', '-') AS brand, count(*) AS services FROM part GROUP BY ALL")
 def compose_files(t):
     path = scratch(t.spark, "compose")
-    _compose(t).withColumn("brand", F.replace("path", F.lit("#"), F.lit("-"))).select("brand", "text").repartition("brand").write.partitionBy("brand").text(path)
+    named = F.split(F.replace("path", F.lit("#"), F.lit("-")), "/")
+    _compose(t).select(F.get(named, F.lit(0)).alias("brand"), F.get(named, F.lit(1)).alias("part"), "text").repartition("brand", "part").write.partitionBy("brand", "part").text(path)
     got = compose.parse(readers.compose_files(t.spark, path, "*.txt", ()))
-    return got.filter("kind = 'service'").groupBy(F.regexp_extract("compose_file", "brand=([^/]*)", 1).alias("brand")).agg(F.count("*").alias("services"))
+    name = F.concat(F.regexp_extract("compose_file", "brand=([^/]*)", 1), F.lit("/"), F.regexp_extract("compose_file", "part=([^/]*)", 1))
+    return got.filter("kind = 'service'").groupBy(name.alias("brand")).agg(F.count("*").alias("services"))
 
 
 @query("STR1_incremental_import", "SELECT conv_id AS conversation_id, count(*)::INT AS messages FROM conversations GROUP BY conv_id")

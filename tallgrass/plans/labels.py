@@ -42,25 +42,26 @@ def projects(t):
     return t.documents.select("doc_id", classify.projects_for(F.array("source"), F.col("text"), NAMES).alias("projects"))
 
 
-_MODEL = "CASE doc_id % 5 WHEN 0 THEN 'TECHNICAL' WHEN 1 THEN 'CREATIVE' WHEN 2 THEN 'SHARED' WHEN 3 THEN 'NONSENSE' ELSE 'UNKNOWN' END"
+_MODEL = "CASE doc_id % 5 WHEN 0 THEN 'TECHNICAL' WHEN 1 THEN 'CREATIVE' WHEN 2 THEN 'shared' WHEN 3 THEN 'NONSENSE' ELSE 'UNKNOWN' END"
 
 
 @query("CLS4_guarded_label", f"""SELECT doc_id, CASE WHEN (m = 'TECHNICAL' AND label = 'CREATIVE') OR (m = 'CREATIVE' AND label = 'TECHNICAL') THEN 'UNKNOWN' ELSE m END AS label,
-    round(CASE WHEN (m = 'TECHNICAL' AND label = 'CREATIVE') OR (m = 'CREATIVE' AND label = 'TECHNICAL') THEN 0.30 WHEN label IN ('UNKNOWN', 'SHARED') AND m IN ('TECHNICAL', 'CREATIVE') THEN least(c, 0.69) ELSE c END, 6) AS confidence
-    FROM (SELECT doc_id, label, CASE WHEN doc_id % 5 = 3 THEN label ELSE {_MODEL} END AS m, CAST(greatest(0, least(1, coalesce(CASE WHEN doc_id % 7 = 0 THEN NULL ELSE (doc_id % 15) / 10.0 END, confidence))) AS DOUBLE) AS c FROM ({_LABEL}))""")
+    round(CASE WHEN (m = 'TECHNICAL' AND label = 'CREATIVE') OR (m = 'CREATIVE' AND label = 'TECHNICAL') THEN 0.30 WHEN label = 'UNKNOWN' AND m <> 'UNKNOWN' THEN least(c, 0.69) ELSE c END, 6) AS confidence
+    FROM (SELECT doc_id, label, CASE WHEN doc_id % 5 = 3 THEN label ELSE upper({_MODEL}) END AS m, CAST(greatest(0, least(1, CASE WHEN doc_id % 7 = 0 OR doc_id % 15 = 0 THEN confidence ELSE (doc_id % 15) / 10.0 END)) AS DOUBLE) AS c FROM ({_LABEL}))""")
 def guarded(t):
     model, sure = F.expr(_MODEL), F.when(F.col("doc_id") % 7 != 0, (F.col("doc_id") % 15) / 10.0)
     d = t.documents.select("doc_id", model.alias("m"), sure.alias("c"), classify.by_keywords(F.col("text"), A, B).alias("k"))
     return d.select("doc_id", classify.guarded(F.col("m"), F.col("c"), F.col("k")).alias("g")).select("doc_id", "g.label", F.round("g.confidence", 6).alias("confidence"))
 
 
-@query("CLS5_promotion", f"""WITH a AS (SELECT doc_id AS conversation_id, string_split(text, '.')[1:10] AS m FROM ({_LABEL}) WHERE label = 'TECHNICAL' AND confidence >= 0.80),
-    r AS (SELECT conversation_id, unnest(range(len(m))) AS pos, unnest(m) AS f FROM a),
-    s AS (SELECT conversation_id, pos, regexp_replace(f, '^\\s+|\\s+$', '', 'g') AS fact, CASE WHEN length(f) % 3 = 0 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence FROM r)
-    SELECT conversation_id, pos, fact, confidence FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id, fact ORDER BY pos) AS n FROM s WHERE fact <> '') WHERE n = 1""")
+@query("CLS5_promotion", f"""WITH a AS (SELECT doc_id AS conversation_id, source, string_split(text, '.')[1:10] AS m FROM ({_LABEL}) WHERE label = 'TECHNICAL' AND confidence >= 0.80),
+    r AS (SELECT conversation_id, source, unnest(range(len(m))) AS pos, unnest(m) AS f FROM a),
+    s AS (SELECT conversation_id, source, pos, substring(f, 1, 800) AS fact, CASE WHEN pos % 2 = 0 THEN 'setting' ELSE 'technical' END AS fact_type, CASE WHEN pos % 3 = 0 THEN 'current' ELSE 'dated' END AS temporal_status, CASE WHEN length(f) % 3 = 0 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence FROM r WHERE length(f) % 7 <> 0)
+    SELECT conversation_id, 'technical' AS namespace, pos, fact, fact_type, temporal_status, confidence, '{{"conversation_id":' || conversation_id || ',"title":"t' || conversation_id || '","created_at":null,"source_file":"' || source || '"}}' AS provenance FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id, fact ORDER BY pos) AS n FROM s) WHERE n = 1""")
 def promotion(t):
-    memories = F.transform(F.split("text", "[.]"), lambda x: F.struct(x.alias("fact"), F.when(F.length(x) % 3 == 0, "high").otherwise("sure").alias("confidence")))
-    a = t.documents.select(F.col("doc_id").alias("conversation_id"), classify.by_keywords(F.col("text"), A, B).alias("k"), memories.alias("memories")).select("conversation_id", "k.label", "k.confidence", "memories")
+    memories = F.transform(F.split("text", "[.]"), lambda x, i: F.struct(F.when(F.length(x) % 7 != 0, x).alias("fact"), F.when(i % 2 == 0, "setting").alias("fact_type"), F.when(i % 3 == 0, "current").alias("temporal_status"), F.when(F.length(x) % 3 == 0, "high").otherwise("sure").alias("confidence")))
+    origin = [F.concat(F.lit("t"), "doc_id").alias("title"), F.lit(None).cast("string").alias("created_at"), F.col("source").alias("source_file")]
+    a = t.documents.select(F.col("doc_id").alias("conversation_id"), *origin, classify.by_keywords(F.col("text"), A, B).alias("k"), memories.alias("memories")).select("conversation_id", "title", "created_at", "source_file", "k.label", "k.confidence", "memories")
     return classify.promoted(a)
 
 
@@ -73,7 +74,7 @@ _NORMAL = """WITH r AS (SELECT doc_id, source, unnest(range(len(s))) AS pos, unn
 
 def _facts(t, project):
     cats = F.array(*[F.lit(c) for c in (*classify.CATEGORIES, "other")])
-    fact = lambda x, i: F.struct(project(i).alias("project"), F.element_at(cats, ((i + F.col("doc_id")) % 13 + 1).cast("int")).alias("category"), x.alias("statement"), F.expr("''").alias("_e"), F.substring(x, 10, 1_000_000).alias("evidence"), F.when(i % 4 == 0, "high").when(i % 4 == 1, "LOW").when(i % 4 == 2, F.lit(None)).otherwise("maybe").alias("confidence"))
+    fact = lambda x, i: F.struct(project(i).alias("project"), F.element_at(cats, ((i + F.col("doc_id")) % 13 + 1).cast("int")).alias("category"), x.alias("statement"), F.expr("''").alias("_e"), F.substring(x, 10, 1_000_000).alias("evidence"), F.when(i % 4 == 0, "high").when(i % 4 == 1, "LOW").when(i % 4 == 2, F.lit(None)).otherwise("maybe").alias("confidence"), F.when(i % 3 == 0, " current ").alias("temporal_status"))
     return t.documents.select("doc_id", "source", F.transform(F.split("text", "[.]"), fact).alias("facts"))
 
 
@@ -82,22 +83,23 @@ def deep(t):
     return classify.normal_facts(_facts(t, lambda i: F.when(i % 3 == 0, "Alpha").when(i % 3 == 1, "Beta").otherwise("Other")), "facts", ["Alpha", "Beta"], size=120).drop("source")
 
 
-@query("CLS7_project_facts", _NORMAL.format(limit=10, size=160, raw=_RAW, project="CASE pos % 2 WHEN 0 THEN source ELSE 'src1' END", allowed="(project = source OR (doc_id % 2 = 0 AND project = 'src1'))").replace("confidence FROM f", "confidence, 'historical' AS temporal_status FROM f"))
+@query("CLS7_project_facts", _NORMAL.format(limit=10, size=160, raw=_RAW, project="CASE pos % 2 WHEN 0 THEN source ELSE 'src1' END", allowed="(project = source OR (doc_id % 2 = 0 AND project = 'src1'))").replace("confidence FROM f", "confidence, CASE WHEN pos % 3 = 0 THEN 'current' ELSE 'historical' END AS temporal_status FROM f") + " AND pos % 4 < 3")
 def routed(t):
     d = _facts(t, lambda i: F.when(i % 2 == 0, F.col("source")).otherwise("src1"))
     d = d.withColumn("assigned", F.when(F.col("doc_id") % 2 == 0, F.array("source", F.lit("src1"))).otherwise(F.array("source")))
-    return classify.normal_facts(d, "facts", "assigned", limit=10, size=160).drop("source", "assigned").withColumn("temporal_status", F.lit("historical"))
+    return classify.normal_facts(d, "facts", "assigned", limit=10, size=160, dated=True).drop("source", "assigned")
 
 
 @query("CLS8_record_facts", """WITH stored AS (SELECT doc_id AS conversation_id, source AS project, lang AS statement, 'old' AS evidence FROM documents WHERE doc_id % 3 < 2),
     new AS (SELECT doc_id AS conversation_id, source AS project, CASE WHEN doc_id % 4 = 0 THEN lang ELSE substring(text, 1, 20) END AS statement, 'new' AS evidence FROM documents WHERE doc_id % 3 > 0)
-    SELECT 'replace' AS how, * FROM (SELECT * FROM stored WHERE conversation_id NOT IN (SELECT conversation_id FROM new) UNION ALL SELECT * FROM new)
+    SELECT 'replace' AS how, * FROM (SELECT * FROM stored WHERE conversation_id NOT IN (SELECT conversation_id FROM new WHERE conversation_id % 5 > 0) UNION ALL SELECT * FROM new WHERE conversation_id % 5 > 0)
     UNION ALL SELECT 'add', * FROM (SELECT * FROM stored UNION ALL SELECT * FROM new n WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.conversation_id = n.conversation_id AND s.project = n.project AND s.statement = n.statement))""")
 def record(t):
     cols = [F.col("doc_id").alias("conversation_id"), F.col("source").alias("project")]
     stored = t.documents.filter("doc_id % 3 < 2").select(*cols, F.col("lang").alias("statement"), F.lit("old").alias("evidence"))
     new = t.documents.filter("doc_id % 3 > 0").select(*cols, F.when(F.col("doc_id") % 4 == 0, F.col("lang")).otherwise(F.substring("text", 1, 20)).alias("statement"), F.lit("new").alias("evidence"))
-    both = classify.replace_facts(stored, new).withColumn("how", F.lit("replace"))
+    analyses = t.documents.select(F.col("doc_id").alias("conversation_id"), F.when(F.col("doc_id") % 5 > 0, "TECHNICAL").otherwise("SHARED").alias("label"))
+    both = classify.replace_facts(stored, new, analyses=analyses).withColumn("how", F.lit("replace"))
     return both.unionByName(classify.add_facts(stored, new, ["conversation_id", "project", "statement"], "evidence").withColumn("how", F.lit("add")))
 
 
@@ -181,6 +183,11 @@ def sort_plan(t):
     return files.sort_plan(_inventory(t).withColumn("size", F.col("p_size") * 100))
 
 
+@query("FIL4_sensitive_files", f"SELECT name, path, category FROM (SELECT * FROM ({_FILES}) ORDER BY category, name, path, p_size LIMIT 1000) WHERE sensitive = 1 ORDER BY category, name, path, p_size LIMIT 150")
+def sensitive_files(t):
+    return files.sensitive_files(_inventory(t).withColumn("size", F.col("p_size") * 100))
+
+
 @query("FIL5_skip_rule", f"SELECT p_partkey, CAST(NOT (lower(regexp_extract(name, '(\\.[^./]*)$', 1)) IN ('.md', '.txt')) OR p_brand = 'Brand#7' OR regexp_matches(lower(path), 'red|wallet') AS INT) AS skipped FROM ({_FILES})")
 def skip_rule(t):
     return _inventory(t).select("p_partkey", files.skipped(F.col("path"), parts=("Brand#7", ".git"), words=("red", "wallet")).cast("int").alias("skipped"))

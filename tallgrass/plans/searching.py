@@ -49,12 +49,22 @@ def hybrid(t):
     return search.search(_chunks(t), QUERY, _VECTOR).select("source", "chunk_id", F.round("score", 6).alias("score"), T.excerpt(F.col("text")).alias("excerpt"))
 
 
-@query("SEA4_asset_titles", "SELECT c.chunk_id, c.asset_id, a.mime, coalesce((SELECT arg_min(r.name, r.seq) FROM (SELECT 'a' || event_id % 300 AS asset_id, event_id AS seq, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'n' || event_id END AS name FROM events WHERE event_type = 'view') r WHERE r.asset_id = c.asset_id AND r.name IS NOT NULL), c.asset_id) AS title FROM (SELECT doc_id AS chunk_id, 'a' || doc_id % 500 AS asset_id FROM documents) c JOIN (SELECT 'a' || p_partkey AS asset_id, p_type AS mime FROM part) a ON a.asset_id = c.asset_id")
+@query("SEA4_asset_titles", "SELECT c.chunk_id, c.asset_id, a.mime, coalesce((SELECT arg_min(r.name, r.seq) FROM (SELECT 'a' || event_id % (SELECT count(*) FROM part) AS asset_id, event_id AS seq, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'n' || event_id END AS name FROM events WHERE event_type = 'view') r WHERE r.asset_id = c.asset_id AND r.name IS NOT NULL), 'file_' || c.asset_id || '.png') AS title FROM (SELECT doc_id AS chunk_id, 'a' || doc_id % (SELECT count(*) FROM part) AS asset_id FROM documents) c JOIN (SELECT 'a' || p_partkey AS asset_id, p_type AS mime FROM part) a ON a.asset_id = c.asset_id")
 def asset_titles(t):
     a = lambda c: F.concat(F.lit("a"), c.cast("string")).alias("asset_id")
-    chunks = t.documents.select(F.col("doc_id").alias("chunk_id"), a(F.col("doc_id") % 500))
-    refs = t.events.filter("event_type = 'view'").select(a(F.col("event_id") % 300), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("n"), F.col("event_id").cast("string"))).alias("original_name"))
-    return search.titled_assets(chunks, t.part.select(a(F.col("p_partkey")), F.col("p_type").alias("mime")), refs).select("chunk_id", "asset_id", "mime", "title")
+    n = F.lit(t.part.count())
+    chunks = t.documents.select(F.col("doc_id").alias("chunk_id"), a(F.col("doc_id") % n))
+    refs = t.events.filter("event_type = 'view'").select(a(F.col("event_id") % n), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("n"), F.col("event_id").cast("string"))).alias("original_name"))
+    return search.titled_assets(chunks, t.part.select(a(F.col("p_partkey")), F.col("p_type").alias("mime"), F.lit(".png").alias("ext")), refs).select("chunk_id", "asset_id", "mime", "title")
+
+
+@query("SEA4_chat_chunks", "SELECT 'chat' AS source_type, 'chatgpt://conversation/' || conv_id || '#messages=' || turn || '-' || (turn + 1) AS source, CASE WHEN conv_id % 3 = 0 THEN conv_id::VARCHAR ELSE 't' || conv_id END AS title, text, conv_id AS conversation_id, 'd' || conv_id % 9 AS date, 'f' || conv_id % 5 AS source_file, turn || '-' || (turn + 1) AS message_range FROM conversations WHERE conv_id % 4 > 0")
+def chat_chunks(t):
+    k = F.col("conv_id")
+    chunks = t.conversations.select(k.alias("conversation_id"), F.col("turn").alias("first_message"), (F.col("turn") + 1).alias("last_message"), "text", F.lit(None).cast("array<float>").alias("embedding"))
+    title = F.when(k % 3 == 0, F.when(k % 2 == 0, "").otherwise(F.lit(None))).otherwise(F.concat(F.lit("t"), k))
+    known = t.conversations.filter("conv_id % 4 > 0").select("conv_id").distinct().select(k.alias("conversation_id"), title.alias("title"), F.concat(F.lit("d"), k % 9).alias("created_at"), F.concat(F.lit("f"), k % 5).alias("source_file"))
+    return search.chat_chunks(chunks, known).drop("embedding")
 
 
 @query("SEA5_batch_search", f"""SELECT query_id, chunk_id, place FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS place FROM (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id,
@@ -74,16 +84,39 @@ def layered(t):
     return search.layered(f, c, "Thatth onhe zz")
 
 
-def _bm25(words, join, table, limit):
+def _bm25(words, join, keep, limit):
     w = ", ".join(f"('{x}')" for x in words)
-    return f"""WITH {FACTS}, base AS (SELECT id, list_filter(regexp_split_to_array(lower(concat_ws(' ', statement, evidence)), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM {table}), q(w) AS (VALUES {w}),
+    return f"""WITH {FACTS}, base AS (SELECT id, list_filter(regexp_split_to_array(lower(concat_ws(' ', {SLUG('project')}, category, '', statement, evidence)), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM facts), q(w) AS (VALUES {w}),
         tf AS (SELECT id, len(t) AS n, w, len(list_filter(t, lambda x: x = w)) AS tf FROM base, q), s AS (SELECT count(*) AS total, avg(len(t)) AS mean FROM base), df AS (SELECT w, count(*) FILTER (tf > 0) AS df FROM tf GROUP BY w)
-        SELECT id, round(-sum(greatest(1e-6, ln((total - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS rank FROM tf JOIN df USING (w), s GROUP BY id HAVING {join} ORDER BY rank, id LIMIT {limit}"""
+        SELECT id, round(-sum(greatest(1e-6, ln((total - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 12) AS rank FROM tf JOIN df USING (w), s WHERE id IN (SELECT id FROM facts WHERE {keep}) GROUP BY id HAVING {join} ORDER BY rank, id LIMIT {limit}"""
+
+
+#: Conversations that facts are from: some are missing.
+_CONVERSATIONS = "SELECT DISTINCT 'c' || conv_id AS conversation_id, 't' || conv_id AS conversation_title, conv_id AS created_at FROM conversations WHERE conv_id % 3 > 0"
+
+
+def _conversations(t):
+    c = t.conversations.filter("conv_id % 3 > 0").select("conv_id").distinct()
+    return c.select(F.concat(F.lit("c"), "conv_id").alias("conversation_id"), F.concat(F.lit("t"), "conv_id").alias("title"), F.col("conv_id").alias("created_at"))
+
+
+def _found(words, join, keep, limit):
+    """_bm25() with the conversation of each item."""
+    return f"SELECT id, round(rank, 6) AS rank, conversation_title, created_at FROM ({_bm25(words, join, keep + f' AND source_conversation_id IN (SELECT conversation_id FROM ({_CONVERSATIONS}))', limit)}) r JOIN (SELECT id, source_conversation_id AS conversation_id FROM {'(WITH ' + FACTS + ' SELECT * FROM facts)'}) USING (id) JOIN ({_CONVERSATIONS}) USING (conversation_id)"
+
 
+def _searchable(t):
+    return facts(t).withColumns({"project_slug": T.slugify(F.col("project")), "title": F.lit("")})
 
-@query("SEA7_full_text", _bm25(("of", "the"), "count(*) FILTER (tf > 0) = 2", "facts", 20))
+
+@query("SEA7_full_text", f'SELECT id, round(rank, 6) AS rank FROM ({_bm25(("of", "the"), "count(*) FILTER (tf > 0) = 2", "true", 20)})')
 def full_text(t):
-    return search.full_text(facts(t), "The of", ["statement", "evidence"]).select("id", F.round("rank", 6).alias("rank"))
+    return search.full_text(_searchable(t), "The of", search.ITEM_COLUMNS).select("id", F.round("rank", 6).alias("rank"))
+
+
+@query("SEA7_filtered", _found(("in", "the"), "count(*) FILTER (tf > 0) = 2", f"category = 'workflow' AND {SLUG('project')} = 'src1'", 20))
+def filtered(t):
+    return search.search_items(_searchable(t), _conversations(t), "The in", "src1", "workflow").select("id", F.round("rank", 6).alias("rank"), "conversation_title", "created_at")
 
 
 @query("SEA8_like", f"WITH {FACTS} SELECT id, statement FROM facts WHERE (statement ILIKE '%E_a%' OR evidence ILIKE '%E_a%') AND category = 'workflow' ORDER BY CAST(source_date AS BIGINT) DESC, id LIMIT 20")
@@ -91,9 +124,9 @@ def like(t):
     return search.like(facts(t).withColumn("created_at", F.col("source_date").cast("long")), "E_a", category="workflow").select("id", "statement")
 
 
-@query("SEA9_errors", _bm25(("en", "of", "the"), "count(*) FILTER (tf > 0) > 0", "(SELECT * FROM facts WHERE category = 'error')", 50))
+@query("SEA9_errors", _found(("en", "of", "the"), "count(*) FILTER (tf > 0) > 0", "category = 'error'", 50))
 def errors(t):
-    return search.errors(facts(t), "the OR of OR en").select("id", F.round("rank", 6).alias("rank"))
+    return search.errors(_searchable(t), _conversations(t), "the OR of OR en").select("id", F.round("rank", 6).alias("rank"), "conversation_title", "created_at")
 
 
 @query("SEA10_resolve", f"WITH p AS (SELECT DISTINCT source AS name, {SLUG('source')} || '-x' AS slug FROM documents), n AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'SRC' || p_partkey % 30 WHEN 1 THEN 'src' || p_partkey % 30 || '-x' ELSE p_name END AS name FROM part) SELECT p_partkey, n.name, coalesce(p.slug, n.name) AS slug FROM n LEFT JOIN p ON lower(n.name) = lower(p.name) OR lower(n.name) = p.slug")
@@ -110,41 +143,60 @@ def excerpt(t):
 
 
 # Imports: the stored side is made from the same table, with other ids and other texts.
-STORED = "stored AS (SELECT doc_id AS conversation_id, 't' || doc_id % 5 AS title, CASE WHEN doc_id % 7 = 0 THEN 'edited' ELSE md5(text) END AS digest, CASE doc_id % 4 WHEN 0 THEN 'done' WHEN 1 THEN 'processing' ELSE 'pending' END AS state, CAST(doc_id % 4 AS INT) AS attempts, CASE WHEN doc_id % 9 = 0 THEN 'e' END AS last_error, n_chars AS created_at, CAST(doc_id % 120 AS INT) AS priority FROM documents WHERE doc_id % 10 <> 3)"
-INCOMING = "incoming AS (SELECT doc_id AS conversation_id, source AS title, md5(text) AS digest FROM documents WHERE doc_id % 10 <> 5)"
-CHANGES = "changes AS (SELECT i.*, CASE WHEN s.conversation_id IS NULL THEN 'added' WHEN s.digest = i.digest THEN 'unchanged' ELSE 'updated' END AS change FROM incoming i LEFT JOIN stored s USING (conversation_id))"
+_RAW = "CASE WHEN doc_id % 7 = 0 THEN 'edited' ELSE text END"
+STORED = f"""stored AS (SELECT doc_id AS conversation_id, 't' || doc_id % 5 AS title, n_chars AS created_at, n_chars + 1 AS updated_at, 'old.json' AS source_file, {_RAW} AS raw_json, CASE WHEN doc_id % 6 = 0 THEN 'x' ELSE md5({_RAW}) END AS digest, CASE WHEN doc_id % 6 = 0 THEN 'v0' ELSE 'analysis-v1' END AS hash_version,
+    CAST(doc_id % 120 AS INT) AS priority, CASE doc_id % 4 WHEN 0 THEN 'done' WHEN 1 THEN 'processing' ELSE 'pending' END AS state, CAST(doc_id % 4 AS INT) AS attempts, CASE WHEN doc_id % 9 = 0 THEN 'e' END AS last_error, CASE WHEN doc_id % 4 < 2 THEN 'then' END AS claimed_at, CASE WHEN doc_id % 4 = 0 THEN 'later' END AS processed_at FROM documents WHERE doc_id % 10 <> 3)"""
+INCOMING = "incoming AS (SELECT doc_id AS conversation_id, source AS title, n_chars + 2 AS created_at, n_chars + 3 AS updated_at, 'new.json' AS source_file, text AS raw_json, md5(text) AS digest, 'analysis-v1' AS hash_version, CAST(doc_id % 77 AS INT) AS priority FROM documents WHERE doc_id % 10 <> 5)"
+CHANGES = "changes AS (SELECT i.*, CASE WHEN s.conversation_id IS NULL THEN 'added' WHEN CASE WHEN s.hash_version = 'analysis-v1' THEN s.digest ELSE md5(s.raw_json) END = i.digest THEN 'unchanged' ELSE 'updated' END AS change FROM incoming i LEFT JOIN stored s USING (conversation_id))"
+
+
+def _again():
+    """The digest of stored rows made anew."""
+    return F.md5("raw_json")
 
 
 def _stored(t):
     k = F.col("doc_id")
+    raw = F.when(k % 7 == 0, "edited").otherwise(F.col("text"))
     state = F.when(k % 4 == 0, "done").when(k % 4 == 1, "processing").otherwise("pending")
-    return t.documents.filter("doc_id % 10 <> 3").select(k.alias("conversation_id"), F.concat(F.lit("t"), k % 5).alias("title"), F.when(k % 7 == 0, "edited").otherwise(F.md5("text")).alias("digest"), state.alias("state"), (k % 4).cast("int").alias("attempts"), F.when(k % 9 == 0, "e").alias("last_error"), F.col("n_chars").alias("created_at"), (k % 120).cast("int").alias("priority"))
+    return t.documents.filter("doc_id % 10 <> 3").select(
+        k.alias("conversation_id"), F.concat(F.lit("t"), k % 5).alias("title"), F.col("n_chars").alias("created_at"), (F.col("n_chars") + 1).alias("updated_at"), F.lit("old.json").alias("source_file"), raw.alias("raw_json"),
+        F.when(k % 6 == 0, "x").otherwise(F.md5(raw)).alias("digest"), F.when(k % 6 == 0, "v0").otherwise(archive.HASH_VERSION).alias("hash_version"), (k % 120).cast("int").alias("priority"), state.alias("state"), (k % 4).cast("int").alias("attempts"),
+        F.when(k % 9 == 0, "e").alias("last_error"), F.when(k % 4 < 2, "then").alias("claimed_at"), F.when(k % 4 == 0, "later").alias("processed_at"),
+    )
 
 
 def _incoming(t):
-    return t.documents.filter("doc_id % 10 <> 5").select(F.col("doc_id").alias("conversation_id"), F.col("source").alias("title"), F.md5("text").alias("digest"))
+    return t.documents.filter("doc_id % 10 <> 5").select(
+        F.col("doc_id").alias("conversation_id"), F.col("source").alias("title"), (F.col("n_chars") + 2).alias("created_at"), (F.col("n_chars") + 3).alias("updated_at"), F.lit("new.json").alias("source_file"), F.col("text").alias("raw_json"),
+        F.md5("text").alias("digest"), F.lit(archive.HASH_VERSION).alias("hash_version"), (F.col("doc_id") % 77).cast("int").alias("priority"),
+    )
 
 
-@query("ARC5_digest", """SELECT conv_id, sha256('{"title":"t' || conv_id || '","messages":[' || string_agg('{"pos":' || turn || ',"role":"' || role || '","text":"' || length(text) || '"}', ',' ORDER BY turn) || ']}') AS digest FROM conversations GROUP BY conv_id""")
+@query("ARC5_digest", """SELECT conv_id, sha256('{"title":"t' || conv_id || '","messages":[' || string_agg('{"pos":' || turn || ',"role":"' || role || '","text":' || to_json(text) || '}', ',' ORDER BY turn) || ']}') AS digest FROM conversations GROUP BY conv_id""")
 def digest(t):
-    m = archive.as_messages(t.conversations.withColumn("text", F.length("text").cast("string")), "conv_id")
+    m = archive.as_messages(t.conversations, "conv_id")
     return m.select(F.col("conversation_id").alias("conv_id"), archive.digest(F.concat(F.lit("t"), "conversation_id"), F.col("messages")).alias("digest"))
 
 
 @query("ARC6_import_diff", f"WITH {STORED}, {INCOMING}, {CHANGES} SELECT change, count(*) AS n FROM changes GROUP BY change")
 def import_diff(t):
-    return archive.diff(_incoming(t), _stored(t)).groupBy("change").agg(F.count("*").alias("n"))
+    return archive.diff(_incoming(t), _stored(t), again=_again()).groupBy("change").agg(F.count("*").alias("n"))
 
 
-@query("ARC7_merge", f"""WITH {STORED}, {INCOMING}, {CHANGES} SELECT coalesce(c.conversation_id, s.conversation_id) AS conversation_id, coalesce(c.title, s.title) AS title, coalesce(c.digest, s.digest) AS digest,
-    CASE WHEN c.change IS NULL OR c.change = 'unchanged' THEN s.state ELSE 'pending' END AS state, CASE WHEN c.change IS NULL OR c.change = 'unchanged' THEN s.attempts ELSE 0 END AS attempts, CASE WHEN c.change IS NULL OR c.change = 'unchanged' THEN s.last_error END AS last_error FROM changes c FULL JOIN stored s ON c.conversation_id = s.conversation_id""")
+_SAME = "c.change IS NULL OR c.change = 'unchanged'"
+_TAKEN = ", ".join(f"coalesce(c.{x}, s.{x}) AS {x}" for x in ("conversation_id", "title", "created_at", "updated_at", "source_file", "raw_json", "digest", "hash_version", "priority"))
+_KEPT = ", ".join(f"CASE WHEN {_SAME} THEN s.{x} ELSE {start} END AS {x}" for x, start in (("state", "'pending'"), ("attempts", "0"), ("last_error", "NULL"), ("claimed_at", "NULL"), ("processed_at", "NULL")))
+
+
+@query("ARC7_merge", f"WITH {STORED}, {INCOMING}, {CHANGES} SELECT {_TAKEN}, {_KEPT} FROM changes c FULL JOIN stored s ON c.conversation_id = s.conversation_id")
 def merge(t):
-    return archive.merge(_incoming(t), _stored(t))
+    return archive.merge(_incoming(t), _stored(t), again=_again())
 
 
 @query("ARC8_invalidate", f"WITH {STORED}, {INCOMING}, {CHANGES} SELECT doc_id AS conversation_id, quality FROM labels WHERE doc_id NOT IN (SELECT conversation_id FROM changes WHERE change = 'updated')")
 def invalidate(t):
-    return archive.invalidate(t.labels.select(F.col("doc_id").alias("conversation_id"), "quality"), archive.diff(_incoming(t), _stored(t)))
+    return archive.invalidate(t.labels.select(F.col("doc_id").alias("conversation_id"), "quality"), archive.diff(_incoming(t), _stored(t), again=_again()))
 
 
 @query("ARC9_insert_or_ignore", f"WITH {STORED} SELECT c AS conversation_id, min(turn) AS turn FROM (SELECT conv_id + 900 AS c, turn FROM conversations) WHERE c NOT IN (SELECT conversation_id FROM stored) GROUP BY c")
@@ -153,6 +205,12 @@ def ignore(t):
     return archive.insert_or_ignore(new, _stored(t), "conversation_id", F.col("turn"))
 
 
+@query("ARC9_priority", f"WITH {STORED} SELECT conversation_id, CASE WHEN state = 'pending' AND p IS NOT NULL THEN p ELSE priority END AS priority FROM stored LEFT JOIN (SELECT conv_id, CAST(max(turn) + 500 AS INT) AS p FROM conversations GROUP BY conv_id) ON conv_id = conversation_id")
+def priority(t):
+    new = t.conversations.select(F.col("conv_id").alias("conversation_id"), (F.col("turn") + 500).alias("priority"))
+    return archive.with_new_priority(_stored(t), new).select("conversation_id", "priority")
+
+
 @query("ARC10_candidates", "SELECT d.doc_id, n_chars FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality = 1 AND d.doc_id % 6 <> 0 ORDER BY n_chars, d.doc_id LIMIT 25")
 def candidates(t):
     labelled = t.documents.join(t.labels.filter("quality = 1"), "doc_id")
@@ -185,7 +243,7 @@ def retry(t):
 
 @query("SNK1_upsert", f"WITH {STORED}, {INCOMING} SELECT conversation_id, title, digest FROM incoming UNION ALL SELECT conversation_id, title, digest FROM stored WHERE conversation_id NOT IN (SELECT conversation_id FROM incoming)")
 def upsert(t):
-    return tables.upserted(_stored(t).select("conversation_id", "title", "digest"), _incoming(t), "conversation_id")
+    return tables.upserted(_stored(t).select("conversation_id", "title", "digest"), _incoming(t).select("conversation_id", "title", "digest"), "conversation_id")
 
 
 @query("FIL3_inventory_upsert", "SELECT p_brand AS path, max_by(p_name, p_partkey) AS name, max(p_partkey) AS seen FROM part GROUP BY p_brand")
@@ -232,9 +290,9 @@ def last_of_hash(t):
     return _new(t).select("source_id", "chunk_index")
 
 
-@query("EMB4_replace_sources", f"WITH {_NEW}, {_LAST}, {_OLD} SELECT source_id, chunk_index, chunk_hash FROM last WHERE source_id % 4 = 0 UNION ALL SELECT source_id, chunk_index, chunk_hash FROM old WHERE source_id % 4 <> 0")
+@query("EMB4_replace_sources", f"WITH {_NEW}, {_LAST}, {_OLD} SELECT source_id, chunk_index, chunk_hash FROM last WHERE source_id % 8 = 0 UNION ALL SELECT source_id, chunk_index, chunk_hash FROM old WHERE source_id % 4 <> 0")
 def replace(t):
-    return embed.replace_sources(_new(t).filter("source_id % 4 = 0"), _old(t)).select("source_id", "chunk_index", "chunk_hash")
+    return embed.replace_sources(_new(t).filter("source_id % 8 = 0"), _old(t), touched=_new(t).filter("source_id % 4 = 0")).select("source_id", "chunk_index", "chunk_hash")
 
 
 @query("EMB5_embed")
