@@ -4,10 +4,12 @@ import io
 import zipfile
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tallgrass.functions import text as T
 from tallgrass.operators import archive, assets, chunking, classify, compose, embed, reports, scan, search, web
+from tallgrass.streaming import imports
 
 
 def one(spark, column, value, kind="string"):
@@ -68,10 +70,12 @@ def test_labels(spark):
 def test_merge_is_idempotent(spark):
     rows = [(k, f"t{k}", f"d{k}") for k in range(20)]
     new = spark.createDataFrame(rows, "conversation_id long, title string, digest string")
-    stored = new.withColumns({"state": F.lit("done"), "attempts": F.lit(1), "last_error": F.lit("e")})
+    stored = new.withColumns({"state": F.lit("done"), "attempts": F.lit(1), "last_error": F.lit("e"), "notes": F.lit("n")})
     assert {r.change for r in archive.diff(new, stored).collect()} == {"unchanged"}
     assert {r.state for r in archive.merge(new, stored).collect()} == {"done"}
     assert archive.merge(new, stored.limit(0)).filter("state = 'pending'").count() == 20
+    changed = archive.merge(new.withColumn("digest", F.lit("other")), stored).first()
+    assert (changed.state, changed.attempts, changed.last_error, changed.notes) == ("pending", 0, None, "n")
 
 
 def test_banner_is_put_once(spark):
@@ -86,6 +90,20 @@ def test_pages():
     assert web.read_page(html) == ("AB", "one two\nthree")
     assert "menu" not in web.read_page("<nav>menu<header>x</header>menu</nav><p>text</p>", more=True)[1]
     assert web.read_page("") == ("", "")
+    assert web.read_page("<noscript>x<title>T</title>y</noscript>z") == ("T", "z")
+
+
+def test_page_titles_fall_back_to_the_host(spark):
+    df = spark.createDataFrame([(1, "http://me@site.example:8080/a?b", "<p>x</p>"), (2, "no url", None)], "page_id long, url string, html string")
+    assert {r.page_id: r.title for r in web.page_texts(df).collect()} == {1: "me@site.example:8080", 2: "no url"}
+
+
+def test_long_texts_are_cut_in_one_pass(spark):
+    text = "".join(chr(97 + k % 26) for k in range(7_000)) + " é😀 " * 900
+    want = [p for k in range(0, len(text.strip()), 2100) if (p := text.strip()[k : k + 2400].strip())]
+    assert one(spark, chunking.overlapping(F.col("v")), text) == want
+    assert one(spark, chunking.overlapping(F.col("v"), 10, 7, False), text[:60]) == [p for k in range(0, 60, 3) if (p := text[:60][k : k + 10].strip())]
+    assert one(spark, chunking.fixed_windows(F.col("v"), 1000), text) == [text[k : k + 1000] for k in range(0, len(text), 1000)]
 
 
 def test_compose_syntax():
@@ -108,10 +126,17 @@ volumes:
   named:
 """
     got = compose.read_compose(text)
-    assert [(g["service"], g["kind"], g["raw"]) for g in got] == [("web", "service", None), ("web", "port", "[::1]:8080:80"), ("web", "port", "10.0.0.1:8443:443/udp"), ("web", "port", "9000"), ("web", "volume", "./data:/data:ro"), ("web", "volume", "named:/x"), ("db", "service", None)]
+    assert [(g["service"], g["kind"], g["raw"]) for g in got] == [("web", "service", None), ("web", "port", "[::1]:8080:80"), ("web", "port", "host_ip=10.0.0.1 published=8443 target=443/udp"), ("web", "port", "9000"), ("web", "volume", "./data:/data:ro"), ("web", "volume", "named:/x"), ("db", "service", None)]
     assert got[1]["line_no"] == 5
 
 
+def test_long_ports_are_told_as_such(spark):
+    text = "services:\n  db:\n    ports:\n      - target: 5432\n        published: 5433\n      - target: 1\n      - published: 7\n        target: 8\n  plex:\n    ports:\n      - target: 1\n        published: 2\n        host_ip: 127.0.0.1\n"
+    got = compose.ports(compose.parse(spark.createDataFrame([("p", text)], "path string, text string"))).orderBy("line_no").collect()
+    assert [(r.service, r.host_ip, r.host_port, r.container_port, r.exposure) for r in got] == [("db", "", "5433", "5432", "LAN_EXPOSED"), ("plex", "127.0.0.1", "2", "1", "LOOPBACK_ONLY")]
+    assert got[0].suggestion == "Consider long syntax host_ip: 127.0.0.1 for published port 5433." and got[1].suggestion == "Already loopback-only."
+
+
 def test_documents_in_archives():
     raw = io.BytesIO()
     w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
@@ -159,7 +184,58 @@ def test_embedding_is_tried_again(spark):
             raise OSError("busy")
         return [[1.0]] * len(texts)
 
-    assert embed.embedded(spark.createDataFrame([("a",)], "text string"), "text", flaky).first().embedding == [1.0]
+    df = spark.createDataFrame([("a",)], "text string")
+    assert embed.embedded(df, "text", flaky, pause=0).first().embedding == [1.0]
+
+    def refused(texts: pd.Series) -> list[list[float]]:
+        e = OSError("no such model")
+        e.code = 404
+        raise e
+
+    with pytest.raises(Exception, match="no such model"):
+        embed.embedded(df, "text", refused, pause=60).collect()
+
+
+def test_metadata_alone_is_not_embedded(spark):
+    rows = [(1, "a", "metadata", None, None), (2, "b", "extracted_text", None, None), (3, "c", "extracted_text", [5.0], "m")]
+    df = spark.createDataFrame(rows, "id long, text string, content_kind string, embedding array<float>, embedding_model string")
+    got = {r.id: r.embedding for r in embed.embed_missing(df, "text", embed.hashing_embedder(2), "m").collect()}
+    assert got[1] is None and got[2] is not None and got[3] == [5.0]
+
+
+def test_a_source_without_chunks_loses_those_it_had(spark):
+    old = spark.createDataFrame([(1, "x"), (2, "y")], "source_id long, text string")
+    assert embed.replace_sources(old.limit(0), old, touched=old.filter("source_id = 1")).collect() == [(2, "y")]
+
+
+def test_an_import_starts_changed_conversations_again(spark, tmp_path):
+    folder = f"file://{tmp_path}/import"
+    kind = "conversation_id long, title string, created_at string, messages array<struct<pos:int,role:string,text:string>>"
+    talk = lambda k, text: (k, f"t{k}", "", [(0, "user", text), (1, "assistant", "and an answer")])
+    imports.import_batch(spark.createDataFrame([talk(k, f"question {k}") for k in range(5)], kind), folder)
+    done = imports.current(spark, folder, "conversations").withColumn("state", F.lit("done"))
+    imports.put(done, folder, "conversations", version=2)
+    imports.put(done.select("conversation_id", F.lit("fact").alias("fact")), folder, "facts", version=2)
+    imports.import_batch(spark.createDataFrame([talk(0, "question 0"), talk(1, "another question"), talk(9, "new")], kind), folder, derived=("facts",))
+    assert {r.conversation_id: r.state for r in imports.current(spark, folder, "conversations").collect()} == {0: "done", 1: "pending", 2: "done", 3: "done", 4: "done", 9: "pending"}
+    assert {r.conversation_id for r in imports.current(spark, folder, "facts").collect()} == {0, 2, 3, 4}
+    chunks = {r.conversation_id: r.text for r in imports.current(spark, folder, "chunks").collect()}
+    assert set(chunks) == {0, 1, 2, 3, 4, 9} and "another question" in chunks[1] and imports.current(spark, folder, "chunks").filter("embedding is null").count() == 0
+
+
+def test_labels_by_a_model_are_guarded(spark):
+    weak, strong = ("UNKNOWN", 0.25, []), ("TECHNICAL", 0.86, [])
+    df = spark.createDataFrame([(1, "shared", 0.9, weak), (2, "creative", 0.9, strong), (3, "technical", 0.0, strong), (4, "what", 2.0, strong), (5, None, None, weak)], "id long, l string, c double, k struct<label:string,confidence:double,reasons:array<string>>")
+    got = {r.id: (r.g.label, r.g.confidence) for r in df.select("id", classify.guarded(F.col("l"), F.col("c"), F.col("k")).alias("g")).collect()}
+    assert got == {1: ("SHARED", 0.69), 2: ("UNKNOWN", 0.30), 3: ("TECHNICAL", 0.86), 4: ("TECHNICAL", 1.0), 5: ("UNKNOWN", 0.25)}
+
+
+def test_references_carry_what_their_message_says(spark):
+    m = '{"id": "m1", "content": {"parts": [{"asset_pointer": "file-service://file-ABCDEFGH1", "size": 7}, "look at this"]}, "metadata": {"attachments": [{"id": "file-ABCDEFGH1", "name": "p.png", "size": 8}]}}'
+    found = assets.found_references(spark.createDataFrame([("c", "n", m)], "conversation_id string, node_id string, message string"))
+    r = assets.linked(found, spark.createDataFrame([("abcdefgh1", "a")], "alias string, asset_id string")).first()
+    assert (r.original_name, r.context) == ("p.png", "look at this")
+    assert r.metadata_json == '{"asset_pointer": "file-service://file-ABCDEFGH1", "id": "file-ABCDEFGH1", "name": "p.png", "size": 7}'
 
 
 def test_line_diff(spark):
