@@ -8,6 +8,7 @@ lost executor costs no more than its own tasks.
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -31,8 +32,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of an Arrow batch: texts may be long, and both sides hold a batch whole.
+BATCH_ROWS, BATCH_KEY = 512, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again."""
+    """Write df to the shared folder and read it again. A session that leaves the size of Arrow batches to Spark
+    has small ones from here on."""
+    if df.sparkSession.conf.get(BATCH_KEY) == "10000":
+        df.sparkSession.conf.set(BATCH_KEY, BATCH_ROWS)
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -67,6 +75,12 @@ def release() -> None:
         pass
 
 
+def let_go(df: DataFrame) -> None:
+    """Let Spark delete shuffle files of tables that nothing refers to, which it does when the driver collects garbage."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a settled table that nothing will read again."""
     spark = df.sparkSession
@@ -89,8 +103,8 @@ def crc_of_id(c: Column) -> Column:
     return F.crc32(c.cast("string").cast("binary"))
 
 
-def bloom(df: DataFrame, key: Column, keys: DataFrame, keys_key: Column, bits: int = 1 << 22) -> DataFrame:
-    """Rows of df whose key may be among those of keys: all that are, and few others.
+def bloom(df: DataFrame, key: Column, keys: DataFrame, keys_key: Column, bits: int = 1 << 22, mark: str = "") -> DataFrame:
+    """Rows of df whose key may be among those of keys: all that are, and few others; with mark, all rows and which these are.
 
     The filter is one bit per hash value, so what is broadcast has bits / 64 rows at
     most, however large keys is; with very many keys it only lets more rows through.
@@ -98,5 +112,8 @@ def bloom(df: DataFrame, key: Column, keys: DataFrame, keys_key: Column, bits: i
     h = F.pmod(F.xxhash64(keys_key), F.lit(bits))
     words = keys.select(h.alias("_h")).groupBy((F.col("_h") / 64).cast("int").alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, int(_h % 64))")).alias("_b"))
     g = F.pmod(F.xxhash64(key), F.lit(bits))
-    out = df.withColumns({"_w": (g / 64).cast("int"), "_s": (g % 64).cast("int")}).join(F.broadcast(words), "_w")
-    return out.filter(F.expr("shiftright(_b, _s) & 1L") == 1).select(*[out[c] for c in df.columns])
+    out = df.withColumns({"_w": (g / 64).cast("int"), "_s": (g % 64).cast("int")}).join(F.broadcast(words), "_w", "left" if mark else "inner")
+    some = F.expr("shiftright(_b, _s) & 1L") == 1
+    if mark:
+        return out.select(*[out[c] for c in df.columns], F.coalesce(some, F.lit(False)).alias(mark))
+    return out.filter(some).select(*[out[c] for c in df.columns])

@@ -53,16 +53,31 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known, self.flat, self.used = {}, np.zeros(1 << 16, np.uint32), 0
+        # Hashes in order and the numbers of their parts; the ids of all parts one after the other.
+        self.keys, self.numbers, self.count, self.new = np.zeros(0, np.uint64), np.zeros(0, np.int32), 0, []
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.size = np.zeros(CACHE + 16, np.int64), np.zeros(CACHE + 16, np.int32)
         # The bytes of each part, eight to a number, and their length with the sign before them (-1: no part).
         self.text, self.held, self.at, self.length = np.zeros(1 << 16, np.uint64), 0, np.zeros(CACHE + 16, np.int64), np.full(CACHE + 16, -1, np.int64)
         marks = [[self.end_id], self.ids("."), self.ids(",")]
         self.add([int(END), int(STOP), int(COMMA)], *self.joined(marks))
-
-    def remember(self, keys: list[int], parts: list[bytes], lead: np.ndarray) -> None:
-        for key, part, sign in zip(keys, parts, lead.tolist()):
-            k, n = self.known[key], -(-len(part) // 8)
+        self.enter()
+
+    def enter(self) -> None:
+        """Put what add() was given into the order of keys."""
+        keys, numbers = (np.concatenate(x) for x in zip(*self.new))
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys, self.numbers, self.new = np.insert(self.keys, at, keys[order]), np.insert(self.numbers, at, numbers[order]), []
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of the part of each key, -1 where there is none."""
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.numbers[at], -1)
+
+    def remember(self, numbers: np.ndarray, parts: list[bytes], lead: np.ndarray) -> None:
+        for k, part, sign in zip(numbers.tolist(), parts, lead.tolist()):
+            n = -(-len(part) // 8)
             if self.held + n > len(self.text):
                 self.text = np.concatenate((self.text, np.zeros_like(self.text)))
             self.text[self.held : self.held + n] = np.frombuffer(part.ljust(8 * n, b"\0"), "<u8")
@@ -87,13 +102,13 @@ class Encoder:
 
     def add(self, keys: list[int], ids: np.ndarray, bounds: np.ndarray) -> None:
         """Keep ids[bounds[k]:bounds[k + 1]] as those of keys[k]."""
-        n = len(self.known)
+        n = self.count
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         self.flat[self.used : self.used + len(ids)] = ids
         self.start[n : n + len(keys)], self.size[n : n + len(keys)] = self.used + bounds[:-1], np.diff(bounds)
-        self.known.update(zip(keys, range(n, n + len(keys))))
-        self.used += len(ids)
+        self.new.append((np.array(keys, np.uint64), np.arange(n, n + len(keys), dtype=np.int32)))
+        self.used, self.count = self.used + len(ids), n + len(keys)
 
     def learn(self, keys: list[int], parts: list[bytes], lead: list[int]) -> None:
         """Encode new parts: words of letters alone together, others one by one."""
@@ -158,21 +173,20 @@ class Encoder:
         every[place] = key
         every[place[tail] + 1] = np.where(last[tail] == 0x2E, STOP, COMMA)
         u, at, back = np.unique(every, return_index=True, return_inverse=True)
-        if len(self.known) + len(u) > CACHE or self.held > TEXT:
+        if self.count + len(u) > CACHE or self.held > TEXT:
             self.clear()
-        get = self.known.get
-        number = [get(k) for k in u.tolist()]
-        missing = [k for k, x in enumerate(number) if x is None]
-        if len(missing) + len(self.known) > CACHE:
+        number = self.find(u)
+        missing = np.flatnonzero(number < 0)
+        if len(missing) + self.count > CACHE:
             return self._halves(buf, off)
-        if missing:
+        if len(missing):
             w = np.searchsorted(place, at[missing])
             keys = u[missing].tolist()
             self.learn(keys, [buf[a:b].tobytes() for a, b in zip(s[w].tolist(), e[w].tolist())], lead[w].tolist())
-            self.remember(keys, [text[a:b].tobytes() for a, b in zip(s[w].tolist(), e[w].tolist())], lead[w])
-            for k in missing:
-                number[k] = self.known[int(u[k])]
-        w = np.array(number, np.int64)[back]
+            self.enter()
+            number[missing] = self.find(u[missing])
+            self.remember(number[missing], [text[a:b].tobytes() for a, b in zip(s[w].tolist(), e[w].tolist())], lead[w])
+        w = number.astype(np.int64)[back]
         whole[row[~self.same(w[place], text, s, e - s, lead)]] = True
         size = self.size[w].astype(np.int64)
         ends = np.concatenate(([0], np.cumsum(size)))
