@@ -4,42 +4,50 @@ The model. A text is its bytes (A-Z lower-cased) and an end mark (byte 255). Eac
 eight binary decisions; each of the 255 decision nodes has its own context tree over the
 ``DEPTH`` bytes before, nearest first. A tree node's block probability is half its
 Krichevsky-Trofimov estimate plus half the product of its children's, so what a text gets
-is the mixture over all depths. ``bits_per_byte`` is its code length.
+is the mixture over all depths. Every context of every depth that the training texts have
+is in the trees, so the model grows with the corpus. ``bits_per_byte`` is the code length.
 
-The tree keeps the ``CONTEXTS`` contexts that are met most, out of those with a share of
-``SHARE`` or more in some megabyte of training text, whatever their depth; the rest of a
-kept context is one leaf. This bounds what is sent to the tasks (a table of CONTEXTS x
-256). Its counts cover every training byte.
+How it is spread. No task holds the model.
 
-The base score needs each word's training count. Words with a ``COMMON`` th of all tokens
-(so at most COMMON of them) are looked up in the task; the others meet their counts in a
-join. Words are told apart by 64-bit hashes.
+1. Texts are put into groups of about ``GROUP`` bytes. A group's distinct places (the DEPTH
+   bytes before a byte, and the byte) and distinct words are sent, with how often training
+   texts of the group have them, to shards: places by their nearest ``TOP`` bytes, words by
+   their hash.
+2. A shard adds counts up. Its trees are whole from depth TOP on; their block probabilities
+   there are summed to depths 2 and 1 by grouping, and to the root on the driver, where
+   there are 256 * 255 nodes at most.
+3. A shard gets what the upper depths say of its contexts, computes the probability of each
+   of its places, and answers the groups one after the other.
+4. A group looks the answers up place by place and adds them up for each text.
+
+The base score takes word counts from the same shards. Words are told apart by 64-bit
+hashes, places exactly.
 
 Defined results. A null text is an empty one: its end alone. Repeated rows and rows without
 an id are scored one for one; a row without an id is not learned from. Without training
-rows every bit has a half. Columns other than doc_id and text are ignored.
+rows every bit has a half. An empty table gives an empty one. Columns other than doc_id and
+text are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectors as V
-from .common import crc_of_id, settle
+from .common import crc_of_id, release, settle, trimmed
 
-DEPTH, CONTEXTS, SHARE, COMMON = 6, 16_384, 1 / 65_536, 1 << 20
+DEPTH, TOP, GROUP, SHARD, MOST_SHARDS = 6, 3, 16 << 20, 8 << 20, 1 << 14
 END_BYTE = 255
-NODES = 16
 END_WORD = np.uint64(0x6A09E667F3BCC909)
-
-
-def _slices(batch, column: int):
-    buf, off = V.text_bytes(batch.column(column))
-    for i, j in V.spans(off):
-        yield i, j, buf[off[i] : off[j]], off[i : j + 1] - off[i]
+#: Kinds of rows: texts of a group, places, words, and what upper depths say of a shard's contexts.
+TEXT, PLACE, WORD, UPPER = 0, 1, 2, 3
+ROW = "kind int, shard int, grp long, seq int, a binary, b binary"
+NAMES = ["kind", "shard", "grp", "seq", "a", "b"]
 
 
 def framed(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,117 +63,146 @@ def framed(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return out, np.flatnonzero(mask), np.concatenate(([0], np.cumsum(size + 1)))
 
 
-def often(t: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, counts) of the contexts with a share of SHARE of the places; a key is depth << 56 | bytes."""
-    code = np.zeros(len(at), np.uint64)
-    for d in range(1, DEPTH + 1):
-        code = code << np.uint64(8) | t[at - d]
-    code.sort()
-    keys, counts, least = [], [], max(2, len(at) * SHARE)
-    for d in range(1, DEPTH + 1):
-        part = code >> np.uint64(8 * (DEPTH - d))
-        edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
-        n = np.diff(edge)
-        good = n >= least
-        keys.append(part[edge[:-1][good]] | np.uint64(d << 56))
-        counts.append(n[good])
-    return np.concatenate(keys), np.concatenate(counts)
-
-
-def _merge(held: list) -> tuple[np.ndarray, np.ndarray]:
-    k, n = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
-    u, at = np.unique(k, return_inverse=True)
-    return u, np.bincount(at, n, minlength=len(u)).astype(np.int64)
+def places(t: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A number for each place: the bytes before it, the nearest first, then the byte itself."""
+    near = V.eights(t)[at - DEPTH]
+    return (near & V.KEEP[DEPTH]) << np.uint64(8) | near >> np.uint64(8 * DEPTH) & np.uint64(255)
+
+
+def tally_places(codes: np.ndarray, counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As tally(), with the mark sorted along in the code's lowest bit."""
+    marked = codes << np.uint64(1) | counted.astype(np.uint64)
+    marked.sort()
+    codes = marked >> np.uint64(1)
+    start = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+    return codes[start], np.add.reduceat((marked & np.uint64(1)).astype(np.int64), start)
+
+
+def text_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of each word, and of the end of each row."""
+    s, e, row = V.words(buf, off)
+    rows = len(off) - 1
+    return np.append(V.hashes(buf, s, e), np.full(rows, END_WORD)), np.append(row, np.arange(rows))
+
+
+def tally(keys: np.ndarray, counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct keys, how many of each are counted)."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[start], np.add.reduceat(counted[order].astype(np.int64), start) if len(start) else start
+
+
+def added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return tally(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held])) if len(held) != 1 else held[0]
+
+
+def pack(x: np.ndarray, is_sorted: bool = False) -> bytes:
+    """Numbers as bytes, all low parts first; sorted ones as steps."""
+    x = np.diff(x, prepend=x.dtype.type(0)) if is_sorted else np.ascontiguousarray(x)
+    planes = x.view(np.uint16).reshape(len(x), -1)
+    return zstandard.compress(b"".join(planes[:, i].tobytes() for i in range(planes.shape[1])), 1)
+
+
+def unpack(raw: bytes, kind, is_sorted: bool = False) -> np.ndarray:
+    data = np.frombuffer(zstandard.decompress(raw), np.uint16)
+    out = np.empty(len(data) * 2 // np.dtype(kind).itemsize, kind)
+    planes = out.view(np.uint16).reshape(len(out), -1)
+    for i in range(planes.shape[1]):
+        planes[:, i] = data[i * len(out) : (i + 1) * len(out)]
+    return np.cumsum(out, dtype=kind) if is_sorted else out
+
+
+def by_shard(kind: int, keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order of keys by shard, the shards that have any, bounds of each in that order)."""
+    shard = (V.mix(keys >> np.uint64(8 * (DEPTH + 1 - TOP)) if kind == PLACE else keys) % np.uint64(shards)).astype(np.int32)
+    order = np.argsort(shard, kind="stable")
+    shard = shard[order]
+    start = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(shard) else np.zeros(0, np.int64)
+    return order, shard[start], np.append(start, len(shard))
 
 
-def gather(docs: DataFrame) -> DataFrame:
-    """kind (word or context), key and n: word counts, and candidate contexts with counts, of all rows."""
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], NAMES)
+
+
+def gather(docs: DataFrame, shards: int) -> DataFrame:
+    """Rows of ROW from doc_id, text and train: the texts of groups, and the places and words of each, by shard."""
+
+    def flush(held, grp):
+        for kind, some in held.items():
+            if some:
+                keys, n = added(some)
+                order, which, bounds = by_shard(kind, keys, shards)
+                keys, n = keys[order], n[order]
+                yield _batch([(kind, s, grp, 0, pack(keys[i:j], True), pack(n[i:j].astype(np.uint32))) for s, i, j in zip(which.tolist(), bounds[:-1], bounds[1:])])
 
     def rows(batches):
-        held = {"word": [], "context": []}
+        grp, seq, size, held = TaskContext.get().partitionId() << 32, 0, 0, {PLACE: [], WORD: []}
         for b in batches:
-            for i, j, buf, off in _slices(b, 0):
-                s, e, _ = V.words(buf, off)
-                with np.errstate(over="ignore"):
-                    h = np.append(V.hashes(buf, s, e), np.full(j - i, END_WORD))
-                held["word"].append(np.unique(h, return_counts=True))
-                t, at, _ = framed(buf, off)
-                held["context"].append(often(t, at))
-                for kind, x in held.items():
-                    if len(x) > 12:
-                        held[kind] = [_merge(x)]
-        for kind, x in held.items():
-            if x:
-                k, n = _merge(x)
-                for i in range(0, len(k), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(k[i : i + 100_000])), pa.array(k[i : i + 100_000].view(np.int64)), pa.array(n[i : i + 100_000])], ["kind", "key", "n"])
-
-    return docs.select("text").mapInArrow(rows, "kind string, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-
-
-class Tree:
-    """Kept contexts as states: 0 is the root, a state's longer contexts are its children."""
-
-    def __init__(self, keys: list[int]) -> None:
-        self.depth, self.parent = [0], [-1]
-        number = {0: 0}
-        self.child = np.zeros((len(keys) + 1, 256), np.int16)
-        for key in sorted(keys):
-            d, code = key >> 56, key & ((1 << 56) - 1)
-            up = number.get(((d - 1) << 56 | code >> 8) if d > 1 else 0)
-            if up is None:
-                continue
-            number[key] = state = len(self.depth)
-            self.depth.append(d)
-            self.parent.append(up)
-            self.child[up, code & 255] = state
-        self.child = self.child[: len(self.depth)]
-        self.depth, self.parent = np.array(self.depth), np.array(self.parent)
-
-    def prepare(self) -> "Tree":
-        """The states of all three-byte contexts in one table, for states()."""
-        one = self.child[0]
-        two = self.child[one].astype(np.int16)
-        two = np.where((one[:, None] > 0) & (two > 0), two, one[:, None]).astype(np.int16)
-        self.three = np.repeat(two.ravel(), 256)
-        for s in np.flatnonzero(self.depth == 3):
-            up, b3 = self.parent[s], int(np.flatnonzero(self.child[self.parent[s]] == s)[0])
-            top, b2 = self.parent[up], int(np.flatnonzero(self.child[self.parent[up]] == up)[0])
-            b1 = int(np.flatnonzero(self.child[0] == top)[0])
-            self.three[b1 << 16 | b2 << 8 | b3] = s
-        self.deep = (self.depth >= 3) & (self.child > 0).any(axis=1)
-        return self
-
-    def states(self, t: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The deepest kept context of each place."""
-        w = t.astype(np.int32)
-        state = self.three[w[at - 1] << 16 | w[at - 2] << 8 | w[at - 3]].astype(np.int32)
-        flat = self.child.ravel()
-        a = np.flatnonzero(self.deep[state])
-        now = state[a]
-        for d in range(4, DEPTH + 1):
-            down = flat[now * 256 + w[at[a] - d]]
-            ok = down > 0
-            a, now = a[ok], down[ok].astype(np.int32)
-            state[a] = now
-        return state
-
-
-def count(docs: DataFrame, tree) -> DataFrame:
-    """place (state * 256 + byte) and n over all rows; each byte counts at its deepest kept context."""
+            text, bounds = V.text_bytes(b.column(1))
+            ids, known = b.column(0).fill_null(0).to_numpy(zero_copy_only=False), b.column(0).is_valid().to_numpy(zero_copy_only=False)
+            train = b.column(2).to_numpy(zero_copy_only=False)
+            for i, j in V.spans(bounds):
+                buf, off = text[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
+                t, at, o = framed(buf, off)
+                held[PLACE].append(tally_places(places(t, at), np.repeat(train[i:j], np.diff(o))))
+                h, row = text_words(buf, off)
+                held[WORD].append(tally(h, train[i:j][row]))
+                head = np.array([j - i], np.int64).tobytes() + ids[i:j].tobytes() + off.tobytes() + known[i:j].tobytes()
+                yield _batch([(TEXT, -1, grp, seq, zstandard.compress(buf.tobytes(), 3), zstandard.compress(head, 1))])
+                size, seq = size + len(buf), seq + 1
+                for kind in held:
+                    if len(held[kind]) > 6:
+                        held[kind] = [added(held[kind])]
+                if size >= GROUP:
+                    yield from flush(held, grp)
+                    grp, seq, size, held = grp + 1, 0, 0, {PLACE: [], WORD: []}
+        yield from flush(held, grp)
+
+    return settle(docs.select("doc_id", "text", "train").mapInArrow(trimmed(rows), ROW), "groups")
+
+
+def _runs(batches):
+    """(kind, shard) and an iterator over the rows of each, in which they come one after the other."""
+    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+    row = next(rows, None)
+    while row is not None:
+        key = row[:2]
+
+        def own(key=key):
+            nonlocal row
+            while row is not None and row[:2] == key:
+                yield row
+                row = next(rows, None)
+
+        mine = own()
+        yield key, mine
+        for _ in mine:
+            pass
+
+
+MODEL = f"{ROW}, total long, known long"
+
+
+def model(gathered: DataFrame, shards: int) -> DataFrame:
+    """A row of ROW for each kind and shard: all its keys and their counts; with the sum of counts and how many are not 0."""
 
     def rows(batches):
-        tr = tree.value.prepare()
-        n = np.zeros(len(tr.depth) * 256, np.int64)
-        for b in batches:
-            for _, _, buf, off in _slices(b, 0):
-                t, at, _ = framed(buf, off)
-                n += np.bincount(tr.states(t, at) * 256 + t[at], minlength=len(n))
-        some = np.flatnonzero(n)
-        for i in range(0, len(some), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(some[i : i + 100_000].astype(np.int32)), pa.array(n[some[i : i + 100_000]])], ["place", "n"])
+        for (kind, shard), mine in _runs(batches):
+            held, size = [], 0
+            for r in mine:
+                held.append((unpack(r[4], np.uint64, True), unpack(r[5], np.uint32).astype(np.int64)))
+                size += len(held[-1][0])
+                if len(held) > 8 and size > 1 << 20:
+                    held = [added(held)]
+                    size = 0
+            keys, n = added(held)
+            yield pa.RecordBatch.from_arrays([*_batch([(kind, shard, -1, 0, pack(keys, True), pack(n))]).columns, pa.array([int(n.sum())]), pa.array([int((n > 0).sum())])], [*NAMES, "total", "known"])
 
-    return docs.select("text").mapInArrow(rows, "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    sent = gathered.filter(F.col("kind") != TEXT).repartition(shards, "kind", "shard").sortWithinPartitions("kind", "shard")
+    return settle(sent.mapInArrow(trimmed(rows), MODEL), "shards")
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -177,103 +214,228 @@ def lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
 
 
+def kt_formula(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return lgamma(a + 0.5) + lgamma(b + 0.5) - lgamma(a + b + 1.0) - np.log(np.pi)
+
+
+SMALL = 64
+KT = kt_formula(*np.meshgrid(np.arange(SMALL, dtype=np.float64), np.arange(SMALL, dtype=np.float64), indexing="ij"))
+
+
 def kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Log block probability of a zeros and b ones."""
-    return lgamma(a + 0.5) + lgamma(b + 0.5) - lgamma(a + b + 1.0) - np.log(np.pi)
+    out = KT[np.minimum(a, SMALL - 1).astype(np.int64), np.minimum(b, SMALL - 1).astype(np.int64)]
+    big = np.flatnonzero((a >= SMALL) | (b >= SMALL))
+    out[big] = kt_formula(a[big].astype(np.float64), b[big].astype(np.float64))
+    return out
+
+
+def above(key: np.ndarray, level: int) -> np.ndarray:
+    """The node of one depth less: a node's number is its context, then the decisions so far."""
+    low, high = np.uint64((1 << level) - 1), np.uint64(level + 8)
+    return key >> high << np.uint64(level) | key & low
 
 
-def weigh(tree: Tree, own: np.ndarray) -> np.ndarray:
-    """log10 of the probability of each byte after each state, given the counts at deepest states."""
-    depth, parent = tree.depth, tree.parent
-    total = own.astype(np.float64)
-    own = total.copy()
-    for d in range(int(depth.max()), 0, -1):
-        s = np.flatnonzero(depth == d)
-        np.add.at(total, parent[s], total[s])
-    inner = (tree.child > 0).any(axis=1)
-    out = np.zeros((len(depth), 256), np.float32)
+def shorter(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places with a context one byte shorter, and their counts."""
+    u, at = np.unique(keys >> np.uint64(16) << np.uint64(8) | keys & np.uint64(255), return_inverse=True)
+    return u, np.bincount(at, n, minlength=len(u)).astype(np.int64)
+
+
+def trees(keys: np.ndarray, n: np.ndarray) -> list[list[dict]]:
+    """For each level of decisions the nodes of depths TOP to DEPTH: key, zeros, ones, block and stop (what is left to
+    a node's own estimate), and up, each node's place among those above."""
+    by_depth = {DEPTH: (keys, n)}
+    for d in range(DEPTH - 1, TOP - 1, -1):
+        by_depth[d] = shorter(*by_depth[d + 1])
+    out = []
     for level in range(8):
-        # Decision nodes of a level, NODES at a time, to hold little at once.
-        for k in range(0, 1 << level, NODES):
-            cut = lambda x: x.reshape(len(depth), 1 << level, 2, 128 >> level)[:, k : k + NODES].sum(axis=3)  # noqa: B023, E731
-            n, o = cut(total), cut(own)
-            here, rest = kt(n[..., 0], n[..., 1]), kt(o[..., 0], o[..., 1])
-            block, below = here.copy(), np.where(inner[:, None], rest, 0.0)
-            weight = np.ones_like(here)
-            for d in range(int(depth.max()), -1, -1):
-                s = np.flatnonzero(depth == d)
-                i = s[inner[s]]
-                block[i] = np.logaddexp(here[i], below[i]) - np.log(2)
-                weight[i] = np.exp(here[i] - np.log(2) - block[i])
-                if d:
-                    np.add.at(below, parent[s], block[s])
-            mine = weight * (n[..., 1] + 0.5) / (n.sum(axis=2) + 1)
-            left = 1 - weight
-            for d in range(1, int(depth.max()) + 1):
-                s = np.flatnonzero(depth == d)
-                mine[s] = mine[parent[s]] + left[parent[s]] * mine[s]
-                left[s] = left[s] * left[parent[s]]
-            one = mine + left * (o[..., 1] + 0.5) / (o.sum(axis=2) + 1)
-            both = np.log10(np.clip(np.stack((1 - one, one), axis=2), 1e-12, 1)).reshape(len(depth), -1)
-            at = k * (256 >> level)
-            out[:, at : at + both.shape[1] * (128 >> level)] += np.repeat(both, 128 >> level, axis=1)
+        nodes: list[dict] = []
+        for d in range(DEPTH, TOP - 1, -1):
+            k, c = by_depth[d]
+            node = k >> np.uint64(8 - level)
+            new = np.ones(len(k), bool)
+            new[1:] = node[1:] != node[:-1]
+            start = np.flatnonzero(new)
+            ones = np.add.reduceat(np.where(k >> np.uint64(7 - level) & np.uint64(1), c, 0), start) if len(k) else start
+            zeros = (np.add.reduceat(c, start) if len(k) else start) - ones
+            x = {"key": node[start], "zeros": zeros, "ones": ones, "own": kt(zeros, ones)}
+            if d == DEPTH:
+                x |= {"block": x["own"], "stop": np.ones(len(start)), "of": np.cumsum(new) - 1}
+            else:
+                below = nodes[-1]
+                below["up"] = np.searchsorted(x["key"], above(below["key"], level))
+                weigh(x, np.bincount(below["up"], below["block"], minlength=len(start)))
+            nodes.append(x)
+        out.append(nodes[::-1])
     return out
 
 
-class Lookup:
-    """Values of well-mixed 64-bit keys, by their first bits."""
+def weigh(x: dict, below: np.ndarray) -> None:
+    """Set block and stop of nodes whose children's blocks have the logarithm below."""
+    x["block"] = np.logaddexp(x["own"], below) - np.log(2)
+    x["stop"] = np.exp(x["own"] - np.log(2) - x["block"])
+
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        order = np.argsort(keys)
-        self.keys, self.values = np.append(keys[order], np.uint64(0)), np.append(values[order], 0)
-        self.start = np.searchsorted(keys[order] >> np.uint64(44), np.arange((1 << 20) + 1, dtype=np.uint64))
-        self.most = int(np.diff(self.start).max()) if len(keys) else 0
+def one(x: dict) -> np.ndarray:
+    return (x["ones"] + 0.5) / (x["zeros"] + x["ones"] + 1)
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Value of each key, 0 for an unknown one."""
-        out = np.zeros(len(h), self.values.dtype)
-        top = (h >> np.uint64(44)).astype(np.int64)
-        i, left = self.start[top], (self.start[top + 1] - self.start[top])
-        a = np.arange(len(h))
-        for k in range(self.most):
-            keep = left[a] > k
-            a = a[keep]
-            hit = self.keys[i[a] + k] == h[a]
-            out[a[hit]] = self.values[i[a[hit]] + k]
-            a = a[~hit]
-        return out
 
+def down(x: dict, said: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(what nodes and those above say of a one, the weight left to those below), from that of those above."""
+    return said + left * x["stop"] * one(x), left * (1 - x["stop"])
 
-def score(docs: DataFrame, tree, logp, common) -> DataFrame:
-    """A row for each of docs: doc_id, bytes, n_tokens, score, and what common words give of the
-    base score (logs, known); rare words stay as rare (hash) and times."""
-    schema = "doc_id long, n_bytes long, n_tokens long, score double, logs double, known long, rare array<long>, times array<int>"
+
+def logs(keys: np.ndarray, n: np.ndarray, upper: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """log10 of the probability of each place; upper has for each level the nodes of depth TOP, and said and left above them."""
+    out = np.zeros(len(keys))
+    for level, nodes in enumerate(trees(keys, n)):
+        known, said, left = upper[level]
+        at = np.searchsorted(known, nodes[0]["key"])
+        said, left = said[at], left[at]
+        for d, x in enumerate(nodes):
+            said, left = down(x, said, left) if d == 0 else down(x, said[x["up"]], left[x["up"]])
+        p = np.where(keys >> np.uint64(7 - level) & np.uint64(1), said[nodes[-1]["of"]], 1 - said[nodes[-1]["of"]])
+        out += np.log10(np.clip(p, 1e-300, 1))
+    return out
+
+
+NODE = "level int, key long, zeros long, ones long, block double"
+
+
+def top_nodes(shard_model: DataFrame) -> DataFrame:
+    """NODE of each node of depth TOP, with its shard."""
 
     def rows(batches):
-        tr, table, words = tree.value.prepare(), logp.value.ravel(), common.value
         for b in batches:
-            for i, j, buf, off in _slices(b, 1):
-                t, at, o = framed(buf, off)
-                p = np.concatenate(([0.0], np.cumsum(table[tr.states(t, at) * 256 + t[at]], dtype=np.float64)))
-                s, e, row = V.words(buf, off)
-                n = j - i
-                with np.errstate(over="ignore"):
-                    h = np.append(V.hashes(buf, s, e), np.full(n, END_WORD))
-                row = np.append(row, np.arange(n))
-                c = words.find(h)
-                logs, known = np.bincount(row, np.log10(c + 1.0), minlength=n), np.bincount(row[c > 0], minlength=n)
-                h, row = h[c == 0], row[c == 0]
-                order = np.lexsort((h, row))
-                h, row = h[order], row[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-                times = np.diff(np.append(np.flatnonzero(new), len(h))).astype(np.int32)
-                lists = np.concatenate(([0], np.cumsum(np.bincount(row[new], minlength=n)))).astype(np.int32)
-                tokens = np.bincount(np.searchsorted(off, s, "right") - 1, minlength=n) + 1 if len(s) else np.ones(n, np.int64)
-                cols = [b.column(0).slice(i, n), pa.array(np.diff(o) - 1), pa.array(tokens.astype(np.int64)), pa.array(p[o[1:]] - p[o[:-1]]), pa.array(logs), pa.array(known.astype(np.int64)), pa.ListArray.from_arrays(pa.array(lists), pa.array(h[new].view(np.int64))), pa.ListArray.from_arrays(pa.array(lists), pa.array(times))]
-                yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in schema.split(", ")])
-
-    return docs.select("doc_id", "text").mapInArrow(rows, schema)
+            for shard, keys, n in zip(*(c.to_pylist() for c in b.columns)):
+                for level, nodes in enumerate(trees(unpack(keys, np.uint64, True), unpack(n, np.int64))):
+                    x = nodes[0]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x["key"]), v, np.int32)) for v in (shard, level)] + [pa.array(x["key"].view(np.int64)), pa.array(x["zeros"]), pa.array(x["ones"]), pa.array(x["block"])], ["shard", "level", "key", "zeros", "ones", "block"])
+
+    return settle(shard_model.filter(F.col("kind") == PLACE).select("shard", "a", "b").mapInArrow(trimmed(rows), f"shard int, {NODE}"), "top-nodes")
+
+
+def _above(key: str) -> str:
+    return f"shiftleft(shiftrightunsigned({key}, level + 8), level) | ({key} & (shiftleft(1L, level) - 1))"
+
+
+def _summed(nodes: DataFrame) -> DataFrame:
+    """level, key, zeros, ones and below of the nodes one depth above."""
+    return nodes.groupBy("level", F.expr(_above("key")).alias("key")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("block").alias("below"))
+
+
+def upper_rows(nodes: DataFrame) -> DataFrame:
+    """Rows of ROW, UPPER of each shard: for its nodes of depth TOP what the root and depths 1 and 2 say, and leave."""
+
+    def weighed(batches):
+        for b in batches:
+            level, key, zeros, ones, below = (c.to_numpy() for c in b.columns)
+            x = {"zeros": zeros, "ones": ones, "own": kt(zeros, ones)}
+            weigh(x, below)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(x["block"]), pa.array(x["stop"])], ["level", "key", "zeros", "ones", "block", "stop"])
+
+    two = settle(_summed(nodes).select("level", "key", "zeros", "ones", "below").mapInArrow(weighed, f"{NODE}, stop double"), "two")
+    first = _summed(two).toPandas()  # 256 * 255 rows at most
+    table: dict[tuple[int, int], tuple[float, float]] = {}
+    for level in range(8):
+        rows = first[first["level"] == level]
+        x = {k: rows[k].to_numpy(kind) for k, kind in (("key", np.int64), ("zeros", np.int64), ("ones", np.int64), ("below", np.float64))}
+        x["own"] = kt(x["zeros"], x["ones"])
+        weigh(x, x["below"])
+        up, at = np.unique(above(x["key"].astype(np.uint64), level), return_inverse=True)
+        root = {k: np.bincount(at, x[k], minlength=len(up)) for k in ("zeros", "ones")}
+        root["own"] = kt(root["zeros"], root["ones"])
+        weigh(root, np.bincount(at, x["block"], minlength=len(up)))
+        said, left = down(root, np.zeros(len(up)), np.ones(len(up)))
+        said, left = down(x, said[at], left[at])
+        table |= {(level, k): v for k, v in zip(x["key"].tolist(), zip(said.tolist(), left.tolist()))}
+
+    def lowered(batches):
+        for b in batches:
+            level, key, zeros, ones, stop = (c.to_numpy() for c in b.columns)
+            up = [table[lv, k >> (lv + 8) << lv | k & ((1 << lv) - 1)] for lv, k in zip(level.tolist(), key.tolist())]
+            said, left = down({"zeros": zeros, "ones": ones, "stop": stop}, np.array([u[0] for u in up]), np.array([u[1] for u in up]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(said), pa.array(left)], ["level", "up", "said", "left"])
+
+    told = two.select("level", "key", "zeros", "ones", "stop").mapInArrow(lowered, "level int, up long, said double, left double")
+
+    def together(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("level", "ascending"), ("key", "ascending")])
+        level = t.column("level").to_numpy().astype(np.int64)
+        a = np.concatenate((np.bincount(level, minlength=8).astype(np.int64), t.column("key").to_numpy()))
+        b = np.concatenate((t.column("said").to_numpy(), t.column("left").to_numpy()))
+        return pa.Table.from_batches([_batch([(PLACE, t.column("shard")[0].as_py(), -1, 0, zstandard.compress(a.tobytes(), 1), zstandard.compress(b.tobytes(), 1))])])
+
+    joined = nodes.select("shard", "level", "key", F.expr(_above("key")).alias("up")).join(told, ["level", "up"])
+    return joined.select("shard", "level", "key", "said", "left").groupBy("shard").applyInArrow(together, ROW)
+
+
+def read_upper(a: bytes, b: bytes) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    head, values = np.frombuffer(zstandard.decompress(a), np.int64), np.frombuffer(zstandard.decompress(b), np.float64)
+    bounds, keys = np.concatenate(([0], np.cumsum(head[:8]))), head[8:].view(np.uint64)
+    return {k: (keys[i:j], values[i:j], values[len(keys) + i : len(keys) + j]) for k, (i, j) in enumerate(zip(bounds[:-1], bounds[1:]))}
+
+
+def answers(gathered: DataFrame, shard_model: DataFrame, upper: DataFrame, shards: int) -> DataFrame:
+    """Rows of ROW for each row of places or words of a group: in b the logs of places, or the counts of words."""
+    first = lambda df, turn: df.select(*NAMES, F.lit(turn).alias("turn"))
+    every = first(shard_model, 0).unionByName(first(upper, 1)).unionByName(first(gathered.filter(F.col("kind") != TEXT), 2))
+
+    def rows(batches):
+        for (kind, shard), mine in _runs(batches):
+            r = next(mine)
+            keys, values = unpack(r[4], np.uint64, True), unpack(r[5], np.int64)
+            for r in mine:
+                if r[6] == 1:
+                    values = logs(keys, values, read_upper(r[4], r[5])).astype(np.float32)
+                else:
+                    found = values[np.searchsorted(keys, unpack(r[4], np.uint64, True))]
+                    yield _batch([(kind, shard, r[2], 0, b"", pack(found))])
+
+    return every.repartition(shards, "kind", "shard").sortWithinPartitions("kind", "shard", "turn").mapInArrow(trimmed(rows), ROW)
+
+
+SCORED = "doc_id long, n_bytes long, n_tokens long, n_known long, logs double, score double"
+
+
+def score(gathered: DataFrame, answered: DataFrame, shards: int) -> DataFrame:
+    """SCORED of each text: its log10 probability, its words, those known, and the sum of log10(count + 1) of its words."""
+
+    def one_group(t: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(t.column(c).to_pylist() for c in NAMES)), key=lambda r: (r[0], r[3], r[1]))
+        texts, values = [r for r in rows if r[0] == TEXT], {k: [r for r in rows if r[0] == k] for k in (PLACE, WORD)}
+        slices = []
+        for r in texts:
+            head = zstandard.decompress(r[5])
+            n = int(np.frombuffer(head, np.int64, 1)[0])
+            ids, off, known = np.frombuffer(head, np.int64, n, 8), np.frombuffer(head, np.int64, n + 1, 8 + 8 * n), np.frombuffer(head, bool, n, 16 + 16 * n)
+            slices.append((np.frombuffer(zstandard.decompress(r[4]), np.uint8), off, ids, known))
+        # The keys of the group as it sent them, which the answers follow.
+        table = {}
+        for kind, make in ((PLACE, lambda buf, off: places(*framed(buf, off)[:2])), (WORD, lambda buf, off: text_words(buf, off)[0])):
+            keys = np.unique(np.concatenate([np.unique(make(buf, off)) for buf, off, _, _ in slices]))
+            order, which, bounds = by_shard(kind, keys, shards)
+            found = np.zeros(len(keys), np.float32 if kind == PLACE else np.int64)
+            for r, s, i, j in zip(values[kind], which.tolist(), bounds[:-1], bounds[1:]):
+                assert r[1] == s
+                found[order[i:j]] = unpack(r[5], found.dtype)
+            table[kind] = keys, found
+        out = []
+        for buf, off, ids, known in slices:
+            n = len(ids)
+            u, p, o = framed(buf, off)
+            keys, back = np.unique(places(u, p), return_inverse=True)
+            run = np.concatenate(([0.0], np.cumsum(table[PLACE][1][np.searchsorted(table[PLACE][0], keys)].astype(np.float64)[back])))
+            h, row = text_words(buf, off)
+            c = table[WORD][1][np.searchsorted(table[WORD][0], h)]
+            counts = [np.bincount(row, w, minlength=n) for w in (None, c > 0, np.log10(c + 1.0))]
+            cols = [pa.array(ids, mask=~known), pa.array(np.diff(o) - 1), pa.array(counts[0].astype(np.int64)), pa.array(counts[1].astype(np.int64)), pa.array(counts[2]), pa.array(run[o[1:]] - run[o[:-1]])]
+            out.append(pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in SCORED.split(", ")]))
+        release()
+        return pa.Table.from_batches(out)
+
+    return gathered.filter(F.col("kind") == TEXT).unionByName(answered).groupBy("grp").applyInArrow(one_group, SCORED)
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -281,25 +443,15 @@ def scores(docs: DataFrame) -> DataFrame:
 
     Rows whose crc32(doc_id) mod 7 is 2 are held out; the others with an id are learned from.
     """
-    spark, part = docs.sparkSession, crc_of_id(F.col("doc_id")) % 7
-    held, train = F.coalesce(part == 2, F.lit(False)), docs.filter(part != 2)
-    found = settle(gather(train), "counts")
-    vocabulary = found.filter("kind = 'word'").select(F.col("key").alias("h"), F.col("n").alias("c"))
-    n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    kept = found.filter("kind = 'context'").orderBy(F.desc("n"), "key").limit(CONTEXTS).select("key").collect()
-    tree = spark.sparkContext.broadcast(Tree([r.key for r in kept]))
-    own = np.zeros(len(tree.value.depth) * 256, np.int64)
-    counted = count(train, tree).toPandas()  # CONTEXTS x 256 rows at most
-    own[counted["place"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
-    logp = spark.sparkContext.broadcast(weigh(tree.value, own.reshape(-1, 256)))
-    top = vocabulary.filter(F.col("c") * COMMON >= n).toPandas()  # COMMON rows at most
-    common = spark.sparkContext.broadcast(Lookup(top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)))
-    rows = settle(score(docs, tree, logp, common).withColumn("u", F.monotonically_increasing_id()), "scores")
-    rare = rows.select("u", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("u", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
-    seen = rare.join(vocabulary.filter(F.col("c") * COMMON < n), "h").groupBy("u").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("more_logs"), F.sum("times").alias("more_known"))
-    out = rows.drop("rare", "times").join(seen, "u", "left")
-    logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
+    part = crc_of_id(F.col("doc_id")) % 7
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = min(MOST_SHARDS, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // SHARD))
+    gathered = gather(docs.select("doc_id", "text", F.coalesce(part != 2, F.lit(False)).alias("train")), shards)
+    shard_model = model(gathered, shards)
+    n, v = shard_model.filter(F.col("kind") == WORD).agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
+    upper = upper_rows(top_nodes(shard_model))
+    out = score(gathered, answers(gathered, shard_model, upper, shards), shards)
     return out.select(
-        "doc_id", held.alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (logs - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"), "score", (-F.col("score") / F.log10(F.lit(2.0)) / F.greatest(F.col("n_bytes"), F.lit(1))).alias("bits_per_byte"),
+        "doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("logs") - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"), "score", (-F.col("score") / F.log10(F.lit(2.0)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
     )
