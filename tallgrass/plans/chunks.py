@@ -33,7 +33,13 @@ def notes(t):
     return t.documents.select("doc_id", F.posexplode(chunking.note_chunks(F.col("text"))).alias("chunk_index", "chunk"))
 
 
-@query("CHK4_split_message")
+_PIECES = f"""WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\\n\\s*\\n'), lambda x: {TRIM.format('x')}), lambda x: x <> '') AS ps FROM documents),
+    c AS (SELECT doc_id, list_transform(ps, lambda x: list_transform(range(0, length(x), 3200), lambda s: substring(x, s + 1, 3200))) AS cs FROM p WHERE len(ps) > 0),
+    r AS (SELECT doc_id, list_reduce(cs, lambda a, x: CASE WHEN len(x) = 1 AND length(a[-1]) + length(x[1]) + 2 <= 3200 THEN list_append(a[1:len(a) - 1], a[-1] || chr(10) || chr(10) || x[1]) ELSE list_concat(a, x) END) AS pieces FROM c)
+    SELECT doc_id, CAST(unnest(range(len(pieces))) AS INT) AS piece, unnest(pieces) AS text FROM r"""
+
+
+@query("CHK4_split_message", _PIECES)
 def split(t):
     return chunking.split_messages(t.documents.select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text")), "doc_id", "text")
 
