@@ -114,9 +114,9 @@ def full_text(t):
     return search.full_text(_searchable(t), "The of", search.ITEM_COLUMNS).select("id", F.round("rank", 6).alias("rank"))
 
 
-@query("SEA7_filtered", _found(("in", "the"), "count(*) FILTER (tf > 0) = 2", f"category = 'workflow' AND {SLUG('project')} = 'src1'", 20))
+@query("SEA7_filtered", _found(("of", "the"), "count(*) FILTER (tf > 0) = 2", f"category = 'workflow' AND {SLUG('project')} = 'src11'", 20))
 def filtered(t):
-    return search.search_items(_searchable(t), _conversations(t), "The in", "src1", "workflow").select("id", F.round("rank", 6).alias("rank"), "conversation_title", "created_at")
+    return search.search_items(_searchable(t), _conversations(t), "The of", "src11", "workflow").select("id", F.round("rank", 6).alias("rank"), "conversation_title", "created_at")
 
 
 @query("SEA8_like", f"WITH {FACTS} SELECT id, statement FROM facts WHERE (statement ILIKE '%E_a%' OR evidence ILIKE '%E_a%') AND category = 'workflow' ORDER BY CAST(source_date AS BIGINT) DESC, id LIMIT 20")
