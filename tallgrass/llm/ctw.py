@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectors as V
-from .common import crc_of_id, release, settle, trimmed
+from .common import crc_of_id, let_go, release, settle, trimmed
 
 DEPTH, TOP, GROUP, SHARD, MOST_SHARDS = 6, 3, 16 << 20, 8 << 20, 1 << 14
 END_BYTE = 255
@@ -448,6 +448,7 @@ def scores(docs: DataFrame) -> DataFrame:
     shards = min(MOST_SHARDS, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // SHARD))
     gathered = gather(docs.select("doc_id", "text", F.coalesce(part != 2, F.lit(False)).alias("train")), shards)
     shard_model = model(gathered, shards)
+    let_go(shard_model)
     n, v = shard_model.filter(F.col("kind") == WORD).agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
     upper = upper_rows(top_nodes(shard_model))
     out = score(gathered, answers(gathered, shard_model, upper, shards), shards)
