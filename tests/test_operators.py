@@ -2,6 +2,7 @@
 
 import io
 import zipfile
+import zlib
 
 import pandas as pd
 import pytest
@@ -242,3 +243,20 @@ def test_line_diff(spark):
     df = spark.createDataFrame([("g", 1, "a\nb"), ("g", 2, "a\nc"), ("h", 1, "x")], "grp string, n int, text string")
     got = reports.line_diff(reports.pairs_of_newest(df, "grp", "text", "n"), "grp").collect()
     assert [(r.grp, r["diff"].splitlines()[-2:]) for r in got] == [("g", ["-b", "+c"])]
+
+
+def test_the_stand_in_for_a_model(spark):
+    """Equal texts have equal vectors of unit length: words counted with a sign at places that their hashes give."""
+    def plain(text, dim):
+        v = [0.0] * dim
+        for w in text.lower().split():
+            h = zlib.crc32(w.encode())
+            v[h % dim] += 1 if h >> 31 else -1
+        size = sum(x * x for x in v) ** 0.5
+        return [x / size if size else 0.0 for x in v]
+
+    texts = ["one two two", "One two TWO", "", "É 日本"]
+    got = embed.embedded(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "text", embed.hashing_embedder(16)).collect()
+    assert all(abs(a - b) < 1e-6 for r in got for a, b in zip(r.embedding, plain(texts[r.id], 16)))
+    by = {r.id: r.embedding for r in got}
+    assert by[0] == by[1] != by[3]
