@@ -1,6 +1,8 @@
 """The training-data operators against brute force, and on the edges of their inputs."""
 
 import collections
+import hashlib
+import math
 import os
 import re
 import sys
@@ -31,7 +33,7 @@ SCHEMA = "doc_id long, text string"
 
 def frame(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA)
-    extra = {"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long"), "u": F.lit(1), "h": F.lit("h"), "n": F.lit(2), "band": F.lit(0), "component": F.lit(5), "score": F.lit(0.5), "w": F.lit("w"), "pos": F.lit(1), "rep": F.lit(3)}
+    extra = {"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long"), "d": F.lit(0), "same": F.lit(1), "mark": F.lit(0.1), "row": F.lit(9), "gone": F.lit(0), "of_id": F.lit(0), "lost": F.lit(1), "kept_text": F.lit("k"), "dw": F.lit("z"), "u": F.lit(1), "h": F.lit("h"), "n": F.lit(2), "band": F.lit(0), "component": F.lit(5), "score": F.lit(0.5), "w": F.lit("w"), "pos": F.lit(1), "rep": F.lit(3)}
     return df.withColumns(extra)
 
 
@@ -123,6 +125,45 @@ def test_line_dedup_with_many_candidates(spark):
     assert {(r.doc_id, r.line) for r in line_dedup.removed_lines(df).collect()} == removed_by_force(rows)
 
 
+def thue_morse(n):
+    """A word and its complement, which hashes that are polynomials modulo 2 ** 64 cannot tell apart."""
+    out = [0]
+    while len(out) < n:
+        out += [1 - x for x in out]
+    return "".join("ab"[x] for x in out[:n]), "".join("ba"[x] for x in out[:n])
+
+
+@pytest.mark.parametrize("n", [512, 1000, 1024, 4096])
+def test_words_of_one_form_are_told_apart(spark, n):
+    a, b = thue_morse(n)
+    buf = np.frombuffer(f"{a} {b}".encode(), np.uint8)
+    h = V.hashes(buf, np.array([0, n + 1]), np.array([n, 2 * n + 1]))
+    assert h[0] != h[1]
+    texts = [f"{a} and words", f"{b} and words"]
+    for path, end in ((tokens.BYTE_BPE, 2), (tokens.WORD_BPE, 1)):  # 4, 8
+        for k, ids in tokens.encoded(pa.RecordBatch.from_arrays([pa.array(texts)], ["t"]), 0, path, path == tokens.WORD_BPE, end):
+            assert ids.tolist() == ids_by_force(path, texts[k], end)
+    if n != 1024:
+        return
+    df = spark.createDataFrame([(k, x) for k, x in enumerate((a, b))], SCHEMA)
+    assert line_dedup.removed_lines(df).count() == 0  # 1
+    assert {r.component_id for r in minhash.near_duplicates(df).collect()} == {0, 1}  # 6
+    train = [k for k in range(40) if zlib.crc32(str(k).encode()) % 7 != 2][0]
+    held = [k for k in range(40) if zlib.crc32(str(k).encode()) % 7 == 2][0]
+    got = {r.doc_id: r.n_known for r in ctw.scores(spark.createDataFrame([(train, a), (held, b)], SCHEMA)).collect()}
+    assert got == {train: 2, held: 1}  # 5: of the other word the end alone is known
+
+
+def test_parts_with_one_hash_get_ids_of_their_own(monkeypatch):
+    texts = ["one two three four", "five six two one", "two. six, one"]
+    want = [ids_by_force(tokens.WORD_BPE, x, 1) for x in texts]
+    enc = tokens.Encoder(tokens.WORD_BPE, True, 1)
+    monkeypatch.setattr(V, "hashes", lambda buf, s, e, lower=True: (e - s).astype(np.uint64))
+    buf, off = V.text_bytes(pa.array(texts))
+    ids, at = enc.encode(buf, off)
+    assert [ids[i:j].tolist() for i, j in zip(at[:-1], at[1:])] == want
+
+
 # 2
 
 
@@ -164,6 +205,16 @@ def test_decontamination_is_native(edges, spark):
     assert not re.search("Python|Pandas|MapInArrow", plan)
 
 
+def test_clashing_names(spark, edges, labels):
+    """Columns whose names operators use themselves are passed on as they are."""
+    taken = edges.withColumns({c: F.lit(c) for c in ("_gone", "_id", "_d", "_h", "_same", "n_lines", "n_removed", "H", "Mark")})
+    benchmark = spark.createDataFrame([(1, SHARED)], "item_id long, text string")
+    for out in (line_dedup.without_repeats(taken), decontaminate.clean(taken, benchmark), minhash.one_of_each(taken), quality.accepted(taken, labels)):
+        assert out.columns == taken.columns and {r["_gone"] for r in out.collect()} <= {"_gone"}
+    out = line_dedup.dedup_lines(taken)
+    assert out.columns == [*taken.columns, "n_lines_", "n_removed_"] and {r.n_lines for r in out.collect()} == {"n_lines"}
+
+
 # 3, 7
 
 
@@ -176,6 +227,75 @@ def test_languages(spark, edges, empty):
     assert langid.languages(edges).count() == len(EDGES) and langid.languages(empty).count() == 0
 
 
+def test_languages_by_force(spark):
+    """Each step with plain dictionaries: counts, IDF, unit vectors, centroids that are the texts themselves, cosine."""
+    rows = [(k, text, lang) for k, (text, lang) in enumerate([("der hund und die katze", "de"), ("le chien et la chatte", "fr"), ("the dog and the cat", "en"), ("il cane e la gatta", "it")] * 3)]
+    part = lambda d: zlib.crc32(str(d).encode()) % 4
+    train = [(t, g) for d, t, g in rows if part(d) != 2]
+
+    def grams(text):
+        data, out = bytes(langid.FOLD[list(text.encode())]), collections.Counter()
+        for k in range(len(data)):
+            for n, mark in ((1, 1 << 24), (2, 1 << 25), (3, 0)):
+                if k + n <= len(data):
+                    out[((int.from_bytes(data[k : k + n], "big") + mark) * 0x9E3779B1 % (1 << 32)) >> (32 - 13)] += 1
+        return out
+
+    df = collections.Counter(p for t, _ in train for p in grams(t))
+    idf = lambda p: math.log((1 + len(train)) / (1 + df[p])) + 1
+
+    def unit(text):
+        v = {p: math.log1p(n) * idf(p) for p, n in grams(text).items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {p: x / size for p, x in v.items()}
+
+    centres = {(g, t): unit(t) for t, g in set(train)}
+    got = langid.languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    for r in got:
+        v = unit(rows[r.doc_id][1])
+        near = {g: max(sum(x * c.get(p, 0) for p, x in v.items()) for (h, _), c in centres.items() if h == g) for g, _ in centres}
+        assert abs(r.score - max(near.values())) < 1e-3 and r.lang_pred == max(near, key=near.get)
+
+
+def test_many_languages_and_ties(spark):
+    rows = [(k, f"language{k % 300:03d} " * 3 + chr(0x4E00 + 7 * (k % 300)) * 8, f"l{k % 300:03d}") for k in range(1200)] + [(5000 + k, "same words here", g) for k in range(40) for g in ("aa", "bb")]
+    got = {(r.doc_id, r.lang_pred) for r in langid.languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).filter("held_out").collect()}
+    plain = [(d, g) for d, _, g in rows[:1200] if zlib.crc32(str(d).encode()) % 4 == 2]
+    assert sum(x in got for x in plain) >= 0.98 * len(plain)
+    assert {g for d, g in got if d >= 5000} == {"aa"}  # the first in order
+
+
+def test_samples_are_bounded_under_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE", 20)
+    monkeypatch.setattr(quality, "SAMPLE", 20)
+    rows = [(1, "one row many times", "en")] * 3000 + [(k, f"row {k}", "en") for k in range(2, 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.sample(df.select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))).collect()
+    assert len(got) == 20 and len({r.text for r in got}) == 20
+    marks = spark.createDataFrame([(k, k % 2) for k in range(1, 400)], "doc_id long, quality int")
+    assert quality.classify(df, marks).count() == len(rows)
+
+
+def test_quality_by_force(spark):
+    """A document's score by a plain forward pass: passages, encoder, gated attention, logistic layer."""
+    sf = "/root/testdata/sf0.001"
+    df, marks = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    m = {k: v.astype(np.float64) for k, v in quality.learn(df, marks.filter(~quality.held_out())).items()}
+    rows = df.select("doc_id", "text").limit(40).collect()
+    got = {r.doc_id: r.score for r in quality.score(df, {k: v.astype(np.float32) for k, v in m.items()}).collect()}
+    squash = lambda z: 1 / (1 + math.exp(-z))
+    for r in rows:
+        x, _ = quality.passages(*V.text_bytes(pa.array([r.text])))
+        bag, marks_of = [], []
+        for p in x.astype(np.float64):
+            h = [math.tanh(sum(p[i] * m["W"][i, j] for i in range(len(p))) + m["b"][j]) for j in range(quality.HIDDEN)]
+            gate = [math.tanh(sum(h[i] * m["V"][i, j] for i in range(len(h)))) * squash(sum(h[i] * m["U"][i, j] for i in range(len(h)))) for j in range(quality.GATE)]
+            bag.append(h)
+            marks_of.append(math.exp(sum(g * w for g, w in zip(gate, m["w"]))))
+        z = [sum(a * h[j] for a, h in zip(marks_of, bag)) / sum(marks_of) for j in range(quality.HIDDEN)]
+        assert abs(got[r.doc_id] - squash(sum(a * b for a, b in zip(z, m["c"])) + float(m["d"]))) < 1e-3
+
+
 def test_language_is_no_input(spark, edges):
     model = langid.learn(edges)
     a = {(r.doc_id, r.score) for r in langid.predict(edges, model).collect()}
@@ -268,6 +388,26 @@ def test_packing(edges, empty, documents):
     assert packing.pack(empty).count() == 0
 
 
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_packing_is_found_by_the_search(spark, folder):
+    """Crossovers make the solutions that stand, and some of them moved between islands."""
+    items = spark.read.parquet(f"/root/testdata/{folder}/documents.parquet").select(F.col("doc_id").alias("u"), (F.length("text") / 3 % 4095 + 1).cast("long").alias("length"))
+    best = packing.solve(items, packing.CAPACITY, "test").collect()
+    for r in best:
+        size, bins = np.frombuffer(r["size"], np.int32), np.frombuffer(r.best.bins, np.int32)
+        assert np.bincount(bins, size).max() <= packing.CAPACITY and bins.max() + 1 <= -(-int(size.sum()) // packing.CAPACITY) + 1
+        assert r.best.crossovers > 0 and r.best.generation > 0
+    assert sum(r.migrants for r in best) > 0
+
+
+def test_starts_of_the_search_are_unfinished():
+    size = np.random.default_rng(0).integers(1, 3000, 500)
+    least = -(-int(size.sum()) // 4096)
+    starts = [packing.fitness(size, packing.next_fit(size, np.random.default_rng(k).permutation(500), 4096), 4096)[0] for k in range(6)]
+    herd = packing.evolve(size, [], 0, 1)
+    assert min(starts) > herd[0][0][0] >= least and herd[0][3] > 0
+
+
 def test_crossover_keeps_every_piece_once():
     rng = np.random.default_rng(1)
     size = rng.integers(1, 60, 200)
@@ -295,37 +435,73 @@ def test_base_score_by_force(spark, edges, empty, documents):
     assert ctw.scores(empty).count() == 0
 
 
-def test_tree_by_force():
-    """Block probabilities by their recursion, and predictions as ratios of them."""
-    rng = np.random.default_rng(3)
-    text = bytes(rng.choice(list(b"abac"), 300).tolist())
-    buf, off = np.frombuffer(text, np.uint8), np.array([0, 300])
-    t, at, _ = ctw.framed(buf, off)
-    keys = [1 << 56 | 97, 1 << 56 | 98, 2 << 56 | 97 << 8 | 98, 2 << 56 | 97 << 8 | 97]
-    tree = ctw.Tree(keys).prepare()
-    own = np.bincount(tree.states(t, at) * 256 + t[at], minlength=len(tree.depth) * 256).reshape(-1, 256)
-    assert own.sum() == 301
-    table = ctw.weigh(tree, own)
-    assert np.allclose((10.0 ** table.astype(np.float64)).sum(axis=1), 1, atol=1e-4)
-
-    def block(counts):  # log of the weighted block probability of the first binary decision
-        split = counts.reshape(len(tree.depth), 2, 128).sum(axis=2).astype(float)
-
-        def node(s):
-            kids = [c for c in tree.child[s] if c > 0]
-            total = split[s] + sum((whole(c) for c in kids), np.zeros(2))
-            here = ctw.kt(total[0], total[1])
-            return here if not kids else np.logaddexp(here, ctw.kt(*split[s]) + sum(node(c) for c in kids)) - np.log(2)
-
-        def whole(s):
-            return split[s] + sum((whole(c) for c in tree.child[s] if c > 0), np.zeros(2))
-
-        return node(0)
-
-    for s in range(len(tree.depth)):
-        more = own.copy()
-        more[s, 200] += 1  # one more byte with first bit 1 after state s
-        assert abs(np.exp(block(more) - block(own)) - (10.0 ** table[s, 128:].astype(np.float64)).sum()) < 1e-4
+class PlainTrees:
+    """Context trees as dictionaries, by the recursion of their block probabilities."""
+
+    def __init__(self, texts):
+        self.count, self.kids = collections.Counter(), collections.defaultdict(set)
+        for text in texts:
+            for ctx, byte in self.places(text):
+                for j, bit in self.decisions(byte):
+                    for d in range(ctw.DEPTH + 1):
+                        self.count[j, ctx[:d], bit] += 1
+                        if d:
+                            self.kids[j, ctx[: d - 1]].add(ctx[:d])
+        self.block = {}
+        for j, ctx in sorted({(j, c) for j, c, _ in self.count}, key=lambda x: -len(x[1])):
+            self.block[j, ctx] = self.weighted(self.own(j, ctx), sum(self.block[j, k] for k in self.kids[j, ctx]), len(ctx))
+
+    @staticmethod
+    def places(text):
+        data = bytes(ctw.DEPTH) + text.translate(LOWER).encode() + b"\xff"
+        return [(tuple(data[k - d] for d in range(1, ctw.DEPTH + 1)), data[k]) for k in range(ctw.DEPTH, len(data))]
+
+    @staticmethod
+    def decisions(byte):
+        return [((1 << level) | (byte >> (8 - level)), byte >> (7 - level) & 1) for level in range(8)]
+
+    def own(self, j, ctx, more=(0, 0)):
+        a, b = self.count[j, ctx, 0] + more[0], self.count[j, ctx, 1] + more[1]
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    @staticmethod
+    def weighted(own, below, depth):
+        return own if depth == ctw.DEPTH else float(np.logaddexp(own, below) - math.log(2))
+
+    def score(self, text):
+        """log10 of its probability: of each decision the ratio of the root's block with it and without."""
+        total = 0.0
+        for ctx, byte in self.places(text):
+            for j, bit in self.decisions(byte):
+                new = old = 0.0
+                for d in range(ctw.DEPTH, -1, -1):
+                    was = self.block.get((j, ctx[:d]), 0.0)
+                    below = sum(self.block[j, k] for k in self.kids[j, ctx[:d]]) + new - old
+                    new, old = self.weighted(self.own(j, ctx[:d], (1 - bit, bit)), below, d), was
+                total += (new - old) / math.log(10)
+        return total
+
+
+def test_scores_are_those_of_plain_context_trees(spark):
+    part = lambda d: zlib.crc32(str(d).encode()) % 7
+    rows = [(k, ("the cat sat on the mat, and " * (1 + k % 3) + f"dog {k} É")[: 20 + 7 * k]) for k in range(14)] + [(50, None), (51, ""), (None, "no id at all"), (52, "zzzz qqq ß unseen")]
+    assert {part(d) == 2 for d, _ in rows if d is not None} == {True, False}
+    plain = PlainTrees([t or "" for d, t in rows if d is not None and part(d) != 2])
+    got = ctw.scores(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert sorted((str(r.doc_id), round(r.score, 3)) for r in got) == sorted((str(d), round(plain.score(t or ""), 3)) for d, t in rows)
+    assert all(abs(r.bits_per_byte + r.score / math.log10(2) / (len((dict(rows)[r.doc_id] or "").encode()) + 1)) < 1e-6 for r in got)
+
+
+def test_every_context_is_learned(spark):
+    """A context that is spread evenly, once in a long stretch of other text, still tells what follows."""
+    rng = np.random.default_rng(4)
+    noise = lambda k: "".join(rng.choice(list("abcdefgh "), 3000))
+    part = lambda d: zlib.crc32(str(d).encode()) % 7
+    rows = [(k, noise(k) + "XYZXYZ9" + noise(k)) for k in range(60) if part(k) != 2]
+    held = [k for k in range(60, 200) if part(k) == 2][:2]
+    rows += [(held[0], "XYZXYZ9"), (held[1], "XYZXYZ8")]
+    got = {r.doc_id: r.score for r in ctw.scores(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    assert got[held[0]] > got[held[1]] + 1
 
 
 # 6
@@ -351,6 +527,23 @@ def components_by_force(rows, width, percent):
     return sets, {d: root(d) for d in up}
 
 
+def components_by_force_indexed(rows, width, percent):
+    """components_by_force() for more rows: only documents with a shingle in common are compared."""
+    sets, at = {}, collections.defaultdict(list)
+    for d, t in rows:
+        w = words(t)
+        sets[d] = frozenset([tuple(w)] if 0 < len(w) < width else [tuple(w[i : i + width]) for i in range(len(w) - width + 1)])
+        for s in sets[d]:
+            at[s].append(d)
+    f = components.Forest()
+    for d, s in sets.items():
+        common = collections.Counter(e for x in s for e in at[x] if e < d)
+        for e, n in common.items():
+            if 100 * n >= percent * (len(s) + len(sets[e]) - n):
+                f.join(d, e)
+    return sets, {d: f.root(d) for d in sets}
+
+
 @pytest.mark.parametrize("width,percent", [(3, 85), (5, 80)])
 def test_near_duplicates_by_force(spark, edges, documents, width, percent):
     base = SHARED.split() * 2
@@ -365,6 +558,17 @@ def test_near_duplicates_by_force(spark, edges, documents, width, percent):
             assert r.kept == (r.doc_id is None or r.doc_id == r.component_id)
 
 
+def test_recall_of_near_duplicates(spark):
+    """All pairs of a table by an inverted index, against the links that components keep: at least 0.9, and printed."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    _, want = components_by_force_indexed(rows, 3, 85)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), 3, 85).collect()}
+    linked = [d for d in want if want[d] != d]
+    recall = sum(got[d] == want[d] for d in linked) / len(linked)
+    print(f"op6 on sf0.01: {recall:.4f} of {len(linked)} linked documents are in their component")
+    assert recall >= 0.9 and all(got[d] == d for d in want if want[d] == d and d not in want.values())
+
+
 def test_one_of_each(edges, empty):
     out = minhash.one_of_each(edges, 3, 85)
     ids = [r.doc_id for r in out.collect()]
@@ -417,16 +621,52 @@ def test_licence_files_as_published(spark):
     assert got == {1: "MIT", 2: "ISC", 3: "BSD-3-Clause", 4: "BSD-2-Clause"} and known.count() == known.select("digest").distinct().count()
 
 
+def test_spellings_are_of_whole_words(spark):
+    same = [("wilful", "willful"), ("wilfull", "willful"), ("the licences, licences", "the licenses licenses"), ("organisation", "ORGANIZATION"), ("copyright holder", "copyright owner"), ("sub-licence", "sublicense")]
+    apart = [("programmer", "programr"), ("programmers", "programrs"), ("relicence", "relicense")]
+    form = lambda x: spark.createDataFrame([(x,)], "t string").select(licences.canonical(F.col("t")).alias("c")).first().c
+    assert all(form(a) == form(b) for a, b in same) and all(form(a) != form(b) for a, b in apart)
+    assert re.fullmatch(licences.alternation(["ab", "abc", "x"]), "abc") and not re.fullmatch(licences.alternation(["ab", "abc", "x"]), "a")
+
+
+@pytest.mark.skipif(not os.path.exists("/usr/share/common-licenses/MPL-2.0"), reason="no licence texts here")
+def test_longer_licences_are_known(spark):
+    known = licences.known(spark, licences.TEXTS, licences.DIGESTS)
+    rows = [(k, open(f"/usr/share/common-licenses/{n}", encoding="utf-8").read()) for k, n in enumerate(("Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "MPL-2.0", "CC0-1.0"))]
+    rows += [(10 + k, "\n\n   " + t.replace("\n", "\n  ").upper()) for k, t in rows] + [(20, rows[0][1] + "more")]
+    got = {r.doc_id: r.license_id for r in licences.scan(spark.createDataFrame(rows, SCHEMA), known).collect()}
+    assert [got[k] for k in range(6)] == [got[10 + k] for k in range(6)] == ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0"] and got[20] is None
+
+
 def test_media(spark, edges, empty):
     got = media.digests(media.store_texts(edges)).collect()
     assert len(got) == len(EDGES) and media.digests(media.store_texts(empty)).count() == 0
-    by = {(r.doc_id, r.n_bytes): r for r in got}
+    want = []
     for d, t in EDGES:
         raw = (t or "").encode()
-        p = media.pad(raw)
-        r = by[d, len(raw)]
-        assert (r.payload_bytes, r.tail_crc32, r.media_bytes) == (len(p), zlib.crc32(p[-32:]), len(media.wrap(p))) and len(p) % 576 == 0
-    assert len({(r.media_sha256, r.feature) for r in got if r.n_bytes == len(SHARED)}) == 1
+        p = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+        file, n = media.wrap(p), len(p) // 576
+        start = len(file) - len(p)
+        keys = [(start + 576 * k, start + 576 * (k + 1)) for k in range(0, n, media.SYNC)]
+        ranges = hashlib.sha256(",".join(f"{a}-{b}" for a, b in keys).encode()).hexdigest()[:32]
+        feature = f"codec=raw;seconds={len(p) / media.RATE:.6f};samples={n};keyframes={len(keys)};ranges={ranges}"
+        want.append((str(d), len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(file), hashlib.sha256(file).hexdigest(), feature, "raw ", media.RATE, len(p), n, keys))
+    assert sorted(want) == sorted((str(r.doc_id), r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature, r.codec, r.timescale, r.duration, r.samples, [(k.start, k.end) for k in r.keyframes]) for r in got)
+
+
+def test_crafted_media_are_errors(spark):
+    nest = b""
+    for _ in range(3000):
+        nest = media.box(b"moov", nest)
+    good = media.wrap(media.pad(b"x" * 6000))
+    at = good.index(b"stsz") + 8
+    many = bytearray(good)
+    many[at : at + 8] = media.numbers(576, (1 << 32) - 1)
+    at = good.index(b"stss") + 8
+    none, far = bytearray(good), bytearray(good)
+    none[at + 4 : at + 8], far[at + 4 : at + 8] = media.numbers(0), media.numbers(99)
+    found = [media.describe(bytes(x)) for x in (nest, many, none, far)]
+    assert all(x["error"] and x["keyframes"] is None for x in found) and "deep" in found[0]["error"] and "sync sample" in found[2]["error"]
 
 
 def test_broken_media(spark):
@@ -444,14 +684,33 @@ def test_broken_media(spark):
         media.describe(bytes(b))
 
 
-def test_pipeline(spark, edges, sf):
+def test_pipeline(spark, edges, empty, sf, labels):
+    """Which documents each stage keeps, against its operator or brute force, and that rows keep their columns."""
     import corpus_pipeline as P
 
-    docs = edges.select("doc_id", "text", "lang", "source", "n_chars")
-    for _, stage in P.STAGES[:-1]:
-        docs = stage(spark, docs, sf)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    docs = spark.createDataFrame(docs.collect(), docs.schema)
-    check_packing(P.STAGES[-1][1](spark, docs, sf).collect(), [(r.doc_id, r.text) for r in docs.collect()])
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    for docs in (edges.select(*names), empty.select(*names)):
+        for name, stage in P.STAGES[:-1]:
+            before = docs.collect()
+            docs = stage(spark, docs, sf)
+            rows = docs.collect()
+            assert docs.columns == names and {r.doc_id for r in rows} <= {r.doc_id for r in before}
+            if name == "quality":
+                marks = spark.read.parquet(f"{sf}/labels.parquet")
+                scored = quality.classify(spark.createDataFrame(before, docs.schema), marks).collect()
+                assert sorted(str(r.doc_id) for r in rows) == sorted(str(r.doc_id) for r in scored if r.predicted)
+            elif name == "line_dedup":
+                gone = removed_by_force([(r.doc_id, r.text) for r in before if r.doc_id is not None])
+                left = {(r.doc_id, line) for r in before if r.doc_id is not None for k, line in enumerate((r.text or "").split("\n")) if (r.doc_id, k) not in gone and words(line)}
+                assert {(r.doc_id, line) for r in rows if r.doc_id is not None for line in (r.text or "").split("\n") if words(line)} <= left | {(7, x) for x in EDGES[8][1].split("\n")}
+            elif name == "near_dedup":
+                kept = [r for r in minhash.near_duplicates(spark.createDataFrame(before, docs.schema)).collect() if r.first]
+                assert len({(r.doc_id, r.h) for r in kept if r.doc_id is not None}) == sum(r.doc_id is not None for r in rows)
+            else:
+                items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+                bad = {x[0] for x in contaminated_by_force([(r.doc_id, r.text) for r in before], items) if x[4]}
+                assert [str(r.doc_id) for r in rows if r.doc_id in bad] == [] and len(rows) == sum(r.doc_id not in bad for r in before)
+            docs = spark.createDataFrame(rows, docs.schema)
+        check_packing(P.STAGES[-1][1](spark, docs, sf).collect(), [(r.doc_id, r.text) for r in docs.collect()])
     out = P.run(spark, sf)
     assert 0 < out.select("doc_id").distinct().count() < spark.read.parquet(f"{sf}/documents.parquet").count()
