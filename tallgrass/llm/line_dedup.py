@@ -42,11 +42,11 @@ from pyspark.sql import functions as F
 from . import vectors as V
 from .common import bloom, fresh, let_go, release, settle, trimmed
 
-BLOCK, MOST_BLOCKS, AT_ONCE, MORE, PERCENT, PART, LONG = 1 << 13, 1 << 12, 8, 16, 80, 1 << 18, 100
+BLOCK, MOST_BLOCKS, AT_ONCE, MORE, PERCENT, PART, LONG = 1 << 13, 1 << 12, 8, 16, 80, 1 << 19, 100
 #: Counters of words, the parts in which they are added up, steps of the logarithm, and bits of a number behind it.
 SLOTS, SLOT_PARTS, STEPS, HASH_BITS = 1 << 21, 64, 1024, np.uint64(48)
-#: Places of sets that are sent to every task; more are joined.
-BROADCAST_PLACES = 1 << 21
+#: Places of sets, or numbers of removed lines, that are sent to every task (some 16 MB); more are joined.
+BROADCAST_PLACES = 1 << 22
 PAIR_BITS = np.uint64((1 << 40) - 1)
 NO_ID = -(1 << 63)
 
@@ -226,7 +226,7 @@ def parity(number: np.ndarray, place: np.ndarray, o: np.ndarray) -> dict[str, np
 
 #: Columns of a posting, and how many are held before they are dealt out.
 POSTING = {"token": np.uint64, "place": np.uint64, "doc_id": np.int64, "row": np.int64, "line": np.int32, "slice": np.int64, "nth": np.int32, "n": np.int32, "pos": np.int32, "f": np.int64, "b0": np.uint64, "b1": np.uint64, "b2": np.uint64, "b3": np.uint64}
-HELD = 1 << 16
+HELD = 1 << 17
 #: Columns whose bytes are as good as random.
 RANDOM = ("f", "b0")
 
@@ -563,12 +563,15 @@ def _marked(docs: DataFrame, percent: int) -> tuple[DataFrame, Column]:
     row, gone, of_id, of_row = fresh(docs, "row", "gone", "of_id", "of_row")
     docs = keyed(docs, row)
     found = settle(settle(_removed(docs.select("doc_id", "text", F.col(row).alias("row")), percent), "removed").groupBy(F.col("doc_id").alias(of_id), F.col("row").alias(of_row)).agg(F.collect_set("line").alias(gone)), "removed-of")
+    here = lambda df: (F.coalesce(df["doc_id"], F.lit(NO_ID)) == F.col(of_id)) & (df[row] == F.col(of_row))
+    if (found.agg(F.sum(F.size(gone) + 8)).first()[0] or 0) <= BROADCAST_PLACES:
+        return docs.join(F.broadcast(found), here(docs), "left"), F.col(gone)
     # Rows that lose nothing, but for a few, stay where they are.
     (mark,) = fresh(docs.join(found), "mark")
     key = F.xxhash64(F.coalesce("doc_id", F.lit(NO_ID)), row)
     marked = bloom(docs, key, found, F.xxhash64(of_id, of_row), mark=mark)
     some = marked.filter(mark).drop(mark)
-    joined = some.join(found, (F.coalesce(some["doc_id"], F.lit(NO_ID)) == F.col(of_id)) & (some[row] == F.col(of_row)), "left")
+    joined = some.join(found, here(some), "left")
     rest = marked.filter(~F.col(mark)).drop(mark)
     return joined.unionByName(rest, allowMissingColumns=True), F.col(gone)
 
