@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -65,8 +66,10 @@ def release() -> None:
 
 def let_go(df: DataFrame) -> None:
     """Let Spark delete shuffle files of tables that nothing refers to, which it does when the driver collects garbage."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+    for _ in range(2):  # first what Python refers to, then what the driver does
+        gc.collect()
+        df.sparkSession._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def discard(df: DataFrame) -> None:

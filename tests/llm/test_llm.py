@@ -106,7 +106,9 @@ def test_line_dedup_keeps_rows_and_columns(edges, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
-def test_line_dedup_tells_rows_of_one_id_apart(spark):
+@pytest.mark.parametrize("sent", [1 << 22, -1])
+def test_line_dedup_tells_rows_of_one_id_apart(spark, monkeypatch, sent):
+    monkeypatch.setattr(line_dedup, "BROADCAST_PLACES", sent)  # below it tables are sent to every task, beyond it they are joined
     alone = [(7, "third start here\nunlike anything else given"), (None, "north south\neast west up")]
     rows = [(1, "first of them\nalpha beta gamma delta"), (7, "another start\nalpha beta gamma delta"), (None, "red green blue\nred green blue"), *alone]
     twins = [(None, "kappa lambda mu nu"), (None, "kappa lambda mu nu\nxi omicron pi"), (None, "kappa lambda mu nu"), (9, "rho sigma tau\nchi"), (9, "rho sigma tau\npsi")]
