@@ -396,6 +396,26 @@ def answers(gathered: DataFrame, shard_model: DataFrame, upper: DataFrame, shard
     return every.repartition(shards, "kind", "shard").sortWithinPartitions("kind", "shard", "turn").mapInArrow(trimmed(rows), ROW)
 
 
+class Spots:
+    """Where keys are in a sorted array: by a table of their hashes, and by search for those that share a hash."""
+
+    BITS = 22
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys, self.table = keys, np.zeros(1 << self.BITS, np.int32)
+        self.table[self.slot(keys)] = np.arange(len(keys), dtype=np.int32)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, all of which are there."""
+        at = self.table[self.slot(keys)]
+        other = np.flatnonzero(self.keys[at] != keys)
+        at[other] = np.searchsorted(self.keys, keys[other])
+        return at
+
+
 SCORED = "doc_id long, n_bytes long, n_tokens long, n_known long, logs double, score double"
 
 
@@ -421,12 +441,11 @@ def score(gathered: DataFrame, answered: DataFrame, shards: int) -> DataFrame:
                 assert r[1] == s
                 found[order[i:j]] = unpack(r[5], found.dtype)
             table[kind] = keys, found
-        out = []
+        out, spots = [], Spots(table[PLACE][0])
         for buf, off, ids, known in slices:
             n = len(ids)
             u, p, o = framed(buf, off)
-            keys, back = np.unique(places(u, p), return_inverse=True)
-            run = np.concatenate(([0.0], np.cumsum(table[PLACE][1][np.searchsorted(table[PLACE][0], keys)].astype(np.float64)[back])))
+            run = np.concatenate(([0.0], np.cumsum(table[PLACE][1][spots.find(places(u, p))], dtype=np.float64)))
             h, row = text_words(buf, off)
             c = table[WORD][1][np.searchsorted(table[WORD][0], h)]
             counts = [np.bincount(row, w, minlength=n) for w in (None, c > 0, np.log10(c + 1.0))]
