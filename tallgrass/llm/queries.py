@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, decontaminate, langid, licences, line_dedup, media, minhash, packing, quality, token_store
+from . import alignment, ctw, decontaminate, divergence, langid, lexical, licences, line_dedup, media, minhash, packing, quality, token_store
 from .common import table
 
 
@@ -50,7 +50,19 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.store_texts(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_benchmark_decontamination, op3_language_id, op4_token_id_output, op5_lm_scoring, op6_minhash_near_dedup, op7_quality_classifier, op8_best_fit_packing, op9_license_scans, op10_media_columns)}
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.rules(table(spark, sf_dir, "documents"))
+
+
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_benchmark_decontamination, op3_language_id, op4_token_id_output, op5_lm_scoring, op6_minhash_near_dedup, op7_quality_classifier, op8_best_fit_packing, op9_license_scans, op10_media_columns, op11_ranked_lexical_search, op12_quality_rules, op13_cross_tokenizer_alignment)}
 
 
 def _quoted(text: str) -> str:
@@ -108,5 +120,19 @@ def _line_dedup_sql() -> str:
         FROM documents d LEFT JOIN f ON d.doc_id = f.doc_id GROUP BY d.doc_id, d.text"""
 
 
+def _search_sql() -> str:
+    words = lambda c: f"regexp_extract_all(translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{lexical.TERM}')"
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words('text')} AS w FROM documents),
+        s AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d WHERE len(w) > 0),
+        q AS (SELECT item_id, w, count(*) AS times FROM (SELECT item_id, unnest({words('text')}) AS w FROM benchmark) GROUP BY ALL),
+        tf AS (SELECT r, w, count(*) AS tf FROM (SELECT r, unnest(w) AS w FROM d) WHERE w IN (SELECT w FROM q) GROUP BY ALL),
+        weight AS (SELECT w, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, s GROUP BY w, docs),
+        part AS (SELECT tf.r, d.doc_id, tf.w, weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(d.w) * docs) // terms))) AS part FROM tf JOIN weight USING (w) JOIN d ON tf.r = d.r, s),
+        sums AS (SELECT item_id, r, doc_id, CAST(sum(times * part) AS BIGINT) AS score FROM q JOIN part USING (w) GROUP BY ALL),
+        best AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM sums WHERE score > 0)
+        SELECT * FROM best WHERE rank <= 10"""
+
+
 def sql() -> dict[str, str]:
-    return {"op1_line_dedup": _line_dedup_sql(), "op2_benchmark_decontamination": _decontaminate_sql(), "op9_license_scans": _licence_sql()}
+    return {"op1_line_dedup": _line_dedup_sql(), "op2_benchmark_decontamination": _decontaminate_sql(), "op9_license_scans": _licence_sql(), "op11_ranked_lexical_search": _search_sql()}
