@@ -1,5 +1,6 @@
 """Lexical search, quality rules and cross-tokenizer alignment against brute force, and on the edges of their inputs."""
 
+import bisect
 import collections
 import hashlib
 import math
@@ -272,7 +273,7 @@ def groups_by_force(text, tokenizers):
     out = [([], []) for _ in both]
     for ids, e, k in ((x, ea, 0), (y, eb, 1)):
         for i, end in zip(ids, e):
-            out[np.searchsorted(both, end)][k].append(i)
+            out[bisect.bisect_left(both, end)][k].append(i)
     return out
 
 
