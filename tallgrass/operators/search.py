@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tallgrass.functions.text import keyword_score, lits, occurrences
+from tallgrass.sources.scratch import scratch
 
 #: Weight of the cosine, results of a search, and the constants of BM25.
 WEIGHT, LIMIT, K1, B, LEAST_IDF = 10.0, 8, 1.2, 0.75, 1e-6
@@ -114,12 +115,14 @@ def layered(facts: DataFrame, fallback: DataFrame, query: str) -> DataFrame:
     return both.join(F.broadcast(first), F.col("layer") == F.col("_first")).drop("_first")
 
 
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda x: x != "")
+def query_words(query: str, mode: str = "and") -> list[str]:
+    """The different words of a query, each of ASCII letters and digits; where any of them will do, 'or' is none."""
+    return sorted({w for w in "".join(c if c.isalnum() and c.isascii() else " " for c in query.lower()).split() if mode == "and" or w != "or"})
 
 
-def _times(words: Column, word: str) -> Column:
-    return F.size(F.filter(words, lambda x: x == word))
+def word_weight(items: int, having: int) -> float:
+    """The weight of a word that so many of the items have."""
+    return max(LEAST_IDF, math.log((items - having + 0.5) / (having + 0.5)))
 
 
 def full_text(items: DataFrame, query: str, columns: list[str], mode: str = "and", limit: int = 20, keep: Column | None = None, conversations: DataFrame | None = None) -> DataFrame:
@@ -128,22 +131,27 @@ def full_text(items: DataFrame, query: str, columns: list[str], mode: str = "and
     An item's words are those of all columns. Only their counts are gathered, in one row, over all items;
     keep then says which are wanted. With conversations (conversation_id, title, created_at), items have
     conversation_title and created_at, and those of no conversation are left out.
+
+    This reads the texts of all items, once; postings.full_text() does the same from an index.
     """
-    words = sorted({w for w in "".join(c if c.isalnum() and c.isascii() else " " for c in query.lower()).split() if mode == "and" or w != "or"})
-    text = F.concat_ws(" ", *[F.col(c) for c in columns])
-    carried = ["_keep", *(["source_conversation_id"] if conversations is not None else [])]
-    base = items.withColumn("_keep", F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))).select("id", *carried, tokens(text).alias("_t")).select("id", *carried, F.size("_t").alias("_len"), *[_times(F.col("_t"), w).alias(f"_{k}") for k, w in enumerate(words)])
-    n = base.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(f"_{k}") > 0).alias(f"_d{k}") for k in range(len(words))]).first()
-    has = [F.col(f"_{k}") > 0 for k in range(len(words))]
-    wanted = has[0] if has else F.lit(False)
-    for h in has[1:]:
-        wanted = wanted & h if mode == "and" else wanted | h
-    rank = F.lit(0.0)
+    words = query_words(query, mode)
+    carried = ["source_conversation_id"] if conversations is not None else []
+    # An array of one, taken apart, is a value that later steps cannot put in their places and work out again.
+    once = lambda c, name: F.explode(F.array(c)).alias(name)
+    low = items.select("id", *carried, (F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))).alias("_keep"), once(F.lower(F.concat_ws(" ", *[F.col(c) for c in columns])), "_low"))
+    # Words are counted where they stand: no text is cut into an array.
+    times = [F.when(F.contains("_low", F.lit(w)), F.regexp_count("_low", F.lit(f"(?<![a-z0-9]){w}(?![a-z0-9])"))).otherwise(0) for w in words]
+    counts = low.select("id", *carried, "_keep", F.regexp_count("_low", F.lit("[a-z0-9]+")).alias("_len"), F.array(*times).cast("array<int>").alias("_tf"))
+    path = scratch(items.sparkSession, "counts")
+    counts.write.parquet(path)
+    base = items.sparkSession.read.schema(counts.schema).parquet(path)
+    n = base.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.get("_tf", F.lit(k)) > 0).alias(f"_d{k}") for k in range(len(words))]).first()
+    has, rank = F.lit(mode == "and" and bool(words)), F.lit(0.0)
     for k in range(len(words)):
-        tf, df = F.col(f"_{k}"), n[f"_d{k}"]
-        idf = max(LEAST_IDF, math.log((n["_n"] - df + 0.5) / (df + 0.5)))
-        rank = rank - idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / F.lit(n["_avg"] or 1.0)))
-    found = base.filter(wanted & F.col("_keep")).select("id", *carried[1:], F.round(rank, 12).alias("rank"))
+        tf = F.get("_tf", F.lit(k))
+        has = has & (tf > 0) if mode == "and" else has | (tf > 0)
+        rank = rank - word_weight(n["_n"], n[f"_d{k}"]) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / F.lit(n["_avg"] or 1.0)))
+    found = base.filter(has & F.col("_keep")).select("id", *carried, F.round(rank, 12).alias("rank"))
     if conversations is not None:
         c = conversations.select(F.col("conversation_id").alias("source_conversation_id"), F.col("title").alias("conversation_title"), "created_at")
         found = found.join(c, "source_conversation_id")

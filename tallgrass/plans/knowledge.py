@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallgrass.functions.text import slugify
 from tallgrass.operators import knowledge, reports
 
-from .registry import query
+from .registry import query, spread
 
 _CATS = [*knowledge.CATEGORY, "custom", ""]
 _CAT_LIST = "[" + ", ".join(f"'{c}'" for c in _CATS) + "]"
@@ -24,7 +24,7 @@ def facts(t):
     """A fact for each line of each document, with the line after it as evidence."""
     id_, lines = F.col("doc_id"), F.split("text", "\n", -1)
     after = F.concat(F.slice(lines, 2, 1 << 30), F.array(F.lit("")))
-    rows = t.documents.select("doc_id", "source", "n_chars", F.posexplode(F.arrays_zip(lines.alias("s"), after.alias("e"))).alias("pos", "x"))
+    rows = spread(t.documents, "doc_id").select("doc_id", "source", "n_chars", F.posexplode(F.arrays_zip(lines.alias("s"), after.alias("e"))).alias("pos", "x"))
     project = F.when(id_ % 5 == 0, F.upper("source")).when(id_ % 5 == 1, F.concat("source", F.lit(" !"))).otherwise(F.col("source"))
     return rows.select(
         (id_ * 100_000 + F.col("pos")).alias("id"), F.concat(F.lit("c"), id_ % 97).alias("source_conversation_id"), project.alias("project"), F.element_at(F.array(*[F.lit(c) for c in _CATS]), ((id_ + F.col("pos")) % 16 + 1).cast("int")).alias("category"),

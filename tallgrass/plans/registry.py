@@ -20,6 +20,12 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df as it is, or, where it comes in fewer parts than the session has cores (a small file), dealt to all of them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def query(name: str, sql: str | None = None):
     """Register a function of Tables."""
 

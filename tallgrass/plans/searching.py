@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallgrass.functions import text as T
-from tallgrass.operators import archive, embed, search
+from tallgrass.operators import archive, embed, postings, search
 from tallgrass.sources import tables
+from tallgrass.sources.scratch import scratch
 
 from .knowledge import FACTS, SLUG, facts
 from .registry import query
@@ -119,6 +120,19 @@ def filtered(t):
     return search.search_items(_searchable(t), _conversations(t), "The of", "src11", "workflow").select("id", F.round("rank", 6).alias("rank"), "conversation_title", "created_at")
 
 
+def _index(t):
+    """An index of all facts that came in two batches."""
+    folder = scratch(t.spark, "postings")
+    for half in (0, 1):
+        postings.add_segment(_searchable(t).filter(F.pmod(F.xxhash64("source_conversation_id"), F.lit(2)) == half), folder)
+    return postings.read(t.spark, folder)
+
+
+@query("SEA7_indexed", f'SELECT id, round(rank, 6) AS rank FROM ({_bm25(("of", "the"), "count(*) FILTER (tf > 0) = 2", "true", 20)})')
+def indexed(t):
+    return postings.full_text(_index(t), "The of").select("id", F.round("rank", 6).alias("rank"))
+
+
 @query("SEA8_like", f"WITH {FACTS} SELECT id, statement FROM facts WHERE (statement ILIKE '%E_a%' OR evidence ILIKE '%E_a%') AND category = 'workflow' ORDER BY CAST(source_date AS BIGINT) DESC, id LIMIT 20")
 def like(t):
     return search.like(facts(t).withColumn("created_at", F.col("source_date").cast("long")), "E_a", category="workflow").select("id", "statement")
@@ -129,6 +143,12 @@ def errors(t):
     return search.errors(_searchable(t), _conversations(t), "the OR of OR en").select("id", F.round("rank", 6).alias("rank"), "conversation_title", "created_at")
 
 
+@query("SEA9_indexed", _found(("en", "of", "the"), "count(*) FILTER (tf > 0) > 0", "category = 'error'", 50))
+def indexed_errors(t):
+    found = postings.search_items(_index(t), _searchable(t), _conversations(t), "the OR of OR en", category="error", limit=50, mode="or")
+    return found.select("id", F.round("rank", 6).alias("rank"), "conversation_title", "created_at")
+
+
 @query("SEA10_resolve", f"WITH p AS (SELECT DISTINCT source AS name, {SLUG('source')} || '-x' AS slug FROM documents), n AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'SRC' || p_partkey % 30 WHEN 1 THEN 'src' || p_partkey % 30 || '-x' ELSE p_name END AS name FROM part) SELECT p_partkey, n.name, coalesce(p.slug, n.name) AS slug FROM n LEFT JOIN p ON lower(n.name) = lower(p.name) OR lower(n.name) = p.slug")
 def resolve(t):
     p = t.documents.select(F.col("source").alias("name"), F.concat(T.slugify(F.col("source")), F.lit("-x")).alias("slug")).distinct()

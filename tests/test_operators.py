@@ -260,3 +260,27 @@ def test_the_stand_in_for_a_model(spark):
     assert all(abs(a - b) < 1e-6 for r in got for a, b in zip(r.embedding, plain(texts[r.id], 16)))
     by = {r.id: r.embedding for r in got}
     assert by[0] == by[1] != by[3]
+
+
+def test_index_reads_and_opens_little(spark, tmp_path):
+    """Only rows of the asked terms are read, spans below the best so far stay closed, and the order of segments does not matter."""
+    from tallgrass.operators import postings, search
+
+    rows = [(k, f"usual words {'often' if k % 3 else ''} {'rare ' * (k % 7) if k % 2000 == 11 else ''}" + " filler" * (k % 40)) for k in range(20_000)]
+    items = spark.createDataFrame(rows, "id long, text string").repartition(4)
+    folder = str(tmp_path / "index")
+    assert postings.read(spark, folder) is None
+    for part in ("id % 5 = 0", "id % 5 > 0"):
+        postings.add_segment(items.filter(part), folder, ["text"])
+    index = postings.read(spark, folder)
+    for query, mode in (("rare usual", "or"), ("often rare", "and"), ("absent usual", "and"), ("absent usual", "or"), ("", "and"), ("usual", "and")):
+        want = [(r.id, round(r.rank, 9)) for r in search.full_text(items, query, ["text"], mode, 10).collect()]
+        assert [(r.id, round(r.rank, 9)) for r in postings.full_text(index, query, mode, 10).collect()] == want
+    s = postings.Search(index, "rare usual", "or")
+    best = [r.score for r in s.scores(None).orderBy(F.desc("score")).limit(5).collect()]
+    spans, near = s.bounds().count(), s.bounds().filter(F.col("bound") >= best[-1] - 1e-9).count()
+    assert 0 < near <= spans / 2
+    assert "In(term, [" in s.scores(None)._jdf.queryExecution().toString()
+    allowed = items.filter("id % 2 = 1").select("id")
+    odd = [r.id for r in postings.full_text(index, "rare usual", "or", 10, allowed).collect()]
+    assert odd == [r.id for r in search.full_text(items, "rare usual", ["text"], "or", 10, F.col("id") % 2 == 1).collect()]
