@@ -265,13 +265,17 @@ def compose_files(t):
     return got.filter("kind = 'service'").groupBy(name.alias("brand")).agg(F.count("*").alias("services"))
 
 
-@query("STR1_incremental_import", "SELECT conv_id AS conversation_id, count(*)::INT AS messages FROM conversations GROUP BY conv_id")
+@query("STR1_incremental_import", "SELECT conv_id AS conversation_id, count(*)::INT AS messages, sum(length(text))::BIGINT AS signs, md5(string_agg(text, '|' ORDER BY turn)) AS texts FROM conversations GROUP BY conv_id")
 def incremental(t):
+    """Turns of a conversation come in three runs, spread over files; the last run brings nothing new."""
     turns, folder = scratch(t.spark, "turns"), scratch(t.spark, "import")
-    t.conversations.repartition(2, "conv_id").write.parquet(turns)
-    imports.run(turns, folder, t.spark, t.conversations.schema)
-    imports.run(turns, folder, t.spark, t.conversations.schema)  # nothing new: nothing changes
-    return imports.current(t.spark, folder, "conversations").select("conversation_id", F.size("messages").alias("messages"))
+    for k in (2, 0, 1, None):
+        if k is not None:
+            t.conversations.filter(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3)) == k).repartition(3, "turn").write.mode("append").parquet(turns)
+        imports.run(turns, folder, t.spark, t.conversations.schema)
+    texts = F.transform("messages", lambda m: m.text)
+    signs = F.aggregate(texts, F.lit(0).cast("long"), lambda n, x: n + F.length(x))
+    return imports.current(t.spark, folder, "conversations").select("conversation_id", F.size("messages").alias("messages"), signs.alias("signs"), F.md5(F.array_join(texts, "|")).alias("texts"))
 
 
 @query("UDF1_embedder_hook")

@@ -2,102 +2,85 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallgrass.operators import archive, chunking, classify, embed
+from tallgrass.sources.scratch import scratch
+from tallgrass.sources.versioned import Store
 
-#: Parts of each table by the hash of a conversation's id; a run writes those again that it touches, and no others.
-BUCKETS = 64
 KEY = "conversation_id"
+STATE = "state string, attempts int, last_error string"
+#: Columns by which the last of several versions of a conversation is known, where they are given.
+ORDER = ("source_file", "position", "updated_at", "created_at")
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except Exception as e:  # the first run has no table yet
-        if "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
-
-
-def _paths(spark: SparkSession, folder: str, table: str, buckets: list[int] | None = None) -> list[str]:
-    """The newest folder of each bucket of a table."""
-    log = _read(spark, f"{folder}/current")
-    if log is None:
-        return []
-    rows = log.filter(F.col("table") == table).groupBy("bucket").agg(F.max_by("path", "version").alias("path")).collect()  # BUCKETS rows
-    return [f"{r.path}/bucket={r.bucket}" for r in rows if buckets is None or r.bucket in buckets]
-
-
-def _bucket(key: str):
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
-
-
-def _stored(spark: SparkSession, folder: str, table: str, buckets: list[int], schema) -> DataFrame:
-    paths = _paths(spark, folder, table, buckets)
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
-
-
-STATE = "state string, attempts int, last_error string"
+def united(new: Column, old: Column) -> Column:
+    """The messages of both in order of position; where both have one, the new one."""
+    kept = F.filter(F.coalesce(old, F.array()), lambda m: ~F.exists(new, lambda n: n.pos == m.pos))
+    return F.when(old.isNull(), new).otherwise(F.array_sort(F.concat(new, kept)))
 
 
-def import_batch(new: DataFrame, folder: str, model: str = "hash", derived: tuple[str, ...] = ()) -> None:
+def import_batch(new: DataFrame, folder: str, model: str = "hash", derived: tuple[str, ...] = (), unite: bool = False) -> None:
     """Merge conversations (conversation_id, title, created_at, messages) into the tables in folder: conversations with
     their state, and chunks with their vectors. Rows of tables named in derived (with a conversation_id) go where a
-    conversation has changed. Buckets are written under a new name, to which a log then points; a run that is
-    repeated after a loss finds equal digests and changes nothing."""
-    spark = new.sparkSession
-    now = new.withColumn("digest", archive.digest(F.col("title"), F.col("messages"))).withColumn("hash_version", F.lit(archive.HASH_VERSION))
-    now = archive.last_wins(now, KEY, F.col("digest")).withColumn("priority", classify.priority(F.col("title"), archive.user_text(F.col("messages"))))
-    log = _read(spark, f"{folder}/current")
-    version = (log.agg(F.max("version")).first()[0] if log is not None else 0) + 1
-    target = f"{folder}/v{version}-{uuid.uuid4().hex}"
-    touched = [r[0] for r in now.select(_bucket(KEY)).distinct().collect()]  # BUCKETS at most
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in now.schema) + ", " + STATE
-    old = _stored(spark, folder, "conversations", touched, kind)
-    changes = archive.diff(now, old, again=archive.digest(F.col("title"), F.col("messages")))
+    conversation has changed.
+
+    Of several versions of a conversation the last one holds, by the columns of ORDER that new has, then by its digest.
+    A version is the whole conversation, or, with unite, some of its messages: others that are stored stay. A run that
+    is repeated after a loss finds equal digests and changes nothing.
+    """
+    spark, store = new.sparkSession, Store(new.sparkSession, folder, KEY)
+    of = F.col("messages")
+    order = F.struct(*[F.col(c) for c in ORDER if c in new.columns], archive.digest(F.col("title"), of))
+    last = archive.last_wins(new, KEY, order)
+    old = store.read("conversations", near=last)
+    if unite and old is not None:
+        held = old.select(KEY, F.col("messages").alias("_old"))
+        last = last.join(held, KEY, "left").withColumn("messages", united(of, F.col("_old"))).drop("_old")
+    now = last.withColumn("digest", archive.digest(F.col("title"), of)).withColumn("hash_version", F.lit(archive.HASH_VERSION)).withColumn("priority", classify.priority(F.col("title"), archive.user_text(of)))
+    path = scratch(spark, "import")
+    now.write.parquet(path)
+    now = spark.read.schema(now.schema).parquet(path)
+    if old is None:
+        old = spark.createDataFrame([], ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in now.schema) + ", " + STATE)
+    changes = archive.diff(now, old, again=archive.digest(F.col("title"), of))
     changed = changes.filter("change <> 'unchanged'").select(KEY)
     chunks = chunking.chunk_conversations(now.join(changed, KEY, "left_semi")).withColumn("source_id", F.col(KEY)).withColumn("chunk_hash", embed.chat_hash(F.col(KEY), F.col("first_message"), F.col("last_message"), F.col("text")))
     key = now.schema[KEY].dataType.simpleString()
-    old_chunks = _stored(spark, folder, "chunks", touched, f"{KEY} {key}, chunk_index int, first_message int, last_message int, text string, source_id {key}, chunk_hash string, embedding array<float>, embedding_model string")
+    old_chunks = store.read("chunks", near=now)
+    if old_chunks is None:
+        old_chunks = spark.createDataFrame([], f"{KEY} {key}, chunk_index int, first_message int, last_message int, text string, source_id {key}, chunk_hash string, embedding array<float>, embedding_model string")
     reused = embed.reuse(embed.last_of_hash(chunks), old_chunks, model).drop("reused")
     made = embed.embed_missing(reused, "text", embed.hashing_embedder(), model)
-    tables = {"conversations": archive.merge(now, old, again=archive.digest(F.col("title"), F.col("messages"))), "chunks": embed.replace_sources(made, old_chunks, touched=changed.withColumnRenamed(KEY, "source_id"))}
+    merged = archive.merge(now, old, again=archive.digest(F.col("title"), of)).join(now.select(KEY), KEY, "left_semi")
+    tables = {"conversations": (merged, now), "chunks": (made, changed)}
+    updated = changes.filter("change = 'updated'").select(KEY)
     for name in derived:
-        paths = _paths(spark, folder, name, touched)
-        if paths:
-            tables[name] = archive.invalidate(spark.read.parquet(*paths), changes)
-    for name, df in tables.items():
-        put(df, folder, name, touched, version, target)
-
-
-def put(df: DataFrame, folder: str, table: str, buckets: list[int] | None = None, version: int = 0, target: str | None = None) -> None:
-    """Write df as the buckets of a table (all of them if none are named), and point to them."""
-    spark, target = df.sparkSession, f"{target or f'{folder}/v{version}-{uuid.uuid4().hex}'}/{table}"
-    buckets = list(range(BUCKETS)) if buckets is None else buckets
-    dealt = df.withColumn("bucket", _bucket(KEY)).repartition("bucket")
-    # A bucket without rows still has a folder.
-    dealt.write.partitionBy("bucket").parquet(target)
-    kept = {r[0] for r in spark.read.schema(dealt.schema).parquet(target).select("bucket").distinct().collect()} if buckets else set()
-    for k in set(buckets) - kept:
-        df.limit(0).write.parquet(f"{target}/bucket={k}")
-    spark.createDataFrame([(table, k, version, target) for k in buckets], "table string, bucket int, version long, path string").coalesce(1).write.mode("append").parquet(f"{folder}/current")
+        if name in store.tables():
+            tables[name] = (updated.limit(0), updated)
+    store.commit(tables)
+
+
+def put(df: DataFrame, folder: str, table: str) -> None:
+    """df as the whole of a table."""
+    Store(df.sparkSession, folder, KEY).commit({table: (df, df)}, whole=(table,))
 
 
 def run(turns_folder: str, folder: str, spark: SparkSession, schema, files_at_once: int = 100, derived: tuple[str, ...] = ()) -> None:
-    """Take all turns files (conv_id, turn, role, text) that have come since the last run."""
+    """Take all turns files (conv_id, turn, role, text) that have come since the last run. The turns of a conversation
+    may be in any files and runs; of a turn that comes again the last one holds, by run, then file, then row."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(turns_folder)
+    placed = stream.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("_place"))
 
     def merge(batch: DataFrame, _: int) -> None:
-        c = archive.as_messages(batch, "conv_id").withColumns({"title": F.concat(F.lit("conversation "), F.col(KEY).cast("string")), "created_at": F.lit("")})
-        import_batch(c, folder, derived=derived)
+        turns = batch.groupBy("conv_id", "turn").agg(F.max_by(F.struct("role", "text"), "_place").alias("m")).select("conv_id", "turn", "m.*")
+        c = archive.as_messages(turns, "conv_id").withColumns({"title": F.concat(F.lit("conversation "), F.col(KEY).cast("string")), "created_at": F.lit("")})
+        import_batch(c, folder, derived=derived, unite=True)
 
-    q = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    q = placed.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
 
 
 def current(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(*_paths(spark, folder, table))
+    return Store(spark, folder, KEY).read(table)

@@ -215,8 +215,8 @@ def test_an_import_starts_changed_conversations_again(spark, tmp_path):
     talk = lambda k, text: (k, f"t{k}", "", [(0, "user", text), (1, "assistant", "and an answer")])
     imports.import_batch(spark.createDataFrame([talk(k, f"question {k}") for k in range(5)], kind), folder)
     done = imports.current(spark, folder, "conversations").withColumn("state", F.lit("done"))
-    imports.put(done, folder, "conversations", version=2)
-    imports.put(done.select("conversation_id", F.lit("fact").alias("fact")), folder, "facts", version=2)
+    imports.put(done, folder, "conversations")
+    imports.put(done.select("conversation_id", F.lit("fact").alias("fact")), folder, "facts")
     imports.import_batch(spark.createDataFrame([talk(0, "question 0"), talk(1, "another question"), talk(9, "new")], kind), folder, derived=("facts",))
     assert {r.conversation_id: r.state for r in imports.current(spark, folder, "conversations").collect()} == {0: "done", 1: "pending", 2: "done", 3: "done", 4: "done", 9: "pending"}
     assert {r.conversation_id for r in imports.current(spark, folder, "facts").collect()} == {0, 2, 3, 4}
@@ -284,3 +284,54 @@ def test_index_reads_and_opens_little(spark, tmp_path):
     allowed = items.filter("id % 2 = 1").select("id")
     odd = [r.id for r in postings.full_text(index, "rare usual", "or", 10, allowed).collect()]
     assert odd == [r.id for r in search.full_text(items, "rare usual", ["text"], "or", 10, F.col("id") % 2 == 1).collect()]
+
+
+def test_imports_lose_nothing_and_take_the_last_version(spark, tmp_path):
+    """Turns in several runs make up the whole conversation, and of two versions the later one by file and position holds, however rows are dealt."""
+    folder, kind = f"file://{tmp_path}/a", "conversation_id long, title string, created_at string, messages array<struct<pos:int,role:string,text:string>>"
+    part = lambda *m: spark.createDataFrame([(1, "t", "", [(k, "user", x) for k, x in m])], kind)
+    for messages in ([(0, "a"), (1, "b")], [(2, "c")], [(1, "B")]):
+        imports.import_batch(part(*messages), folder, unite=True)
+    assert [(m.pos, m.text) for m in imports.current(spark, folder, "conversations").first().messages] == [(0, "a"), (1, "B"), (2, "c")]
+    assert "B" in imports.current(spark, folder, "chunks").first().text and imports.current(spark, folder, "chunks").count() == 1
+    imports.import_batch(part((0, "only")), folder)
+    assert [m.text for m in imports.current(spark, folder, "conversations").first().messages] == ["only"]
+    versions = [(k, "t", "", [(0, "user", f"{f}{p}")], f, p) for k in range(30) for f in ("a.json", "b.json") for p in range(3)]
+    for parts in (1, 5):
+        to = f"file://{tmp_path}/v{parts}"
+        imports.import_batch(spark.createDataFrame(versions[::-1] if parts == 5 else versions, kind + ", source_file string, position int").repartition(parts), to)
+        assert {r.messages[0].text for r in imports.current(spark, to, "conversations").collect()} == {"b.json2"}
+
+
+def test_versioned_tables_split_merge_and_clear(spark, tmp_path, monkeypatch):
+    """Buckets split as they grow, deltas count over what is below them, and files that no manifest names go."""
+    import os
+
+    from tallgrass.sources import versioned
+
+    monkeypatch.setattr(versioned, "BUCKET_ROWS", 40)
+    monkeypatch.setattr(versioned, "MOST_DELTAS", 2)
+    folder, want = f"file://{tmp_path}/t", {}
+    frame = lambda rows: spark.createDataFrame(rows, "k long, v string")
+    for run in range(7):
+        rows = {k: [f"{run}-{k}-{i}" for i in range(k % 3)] for k in range(run * 20, run * 20 + 60)}
+        want |= rows
+        touched = frame([(k, "") for k in rows])
+        versioned.Store(spark, folder, "k").commit({"t": (frame([(k, v) for k, vs in rows.items() for v in vs]), touched)})
+        store = versioned.Store(spark, folder, "k")
+        got = {}
+        for r in store.read("t").collect():
+            got.setdefault(r.k, set()).add(r.v)
+        assert got == {k: set(v) for k, v in want.items() if v}
+    leaves = store._leaves("t")
+    assert len(leaves) > 2 and all(sum(r.rows for r in v if r.base) <= 80 for v in leaves.values())
+    assert sum(0.5 ** d for d, _ in leaves) == 1  # buckets cover all keys, each once
+    near = store.read("t", near=frame([(130, "")]))
+    assert {r.v for r in near.filter("k = 130").collect()} == set(want[130]) and near.count() < store.read("t").count()
+    named = {r.path for v in store._versions() for r in store._manifest(v)} - {None}
+    there = {f"file://{d}" for d, _, _ in os.walk(tmp_path) if "_bucket=" in d}
+    assert there == named and len(store._versions()) == versioned.KEPT
+    first, second = versioned.Store(spark, folder, "k"), versioned.Store(spark, folder, "k")
+    first.commit({"t": (frame([(1, "x")]), frame([(1, "")]))})
+    with pytest.raises(RuntimeError):
+        second.commit({"t": (frame([(1, "y")]), frame([(1, "")]))})
