@@ -10,26 +10,27 @@ from tallgrass.operators.archive import text_of_parts
 from tallgrass.operators.assets import CONTROL, EXTENSION, MORE_SUFFIXES
 from tallgrass.operators.compose import COMPOSE_FILES
 from tallgrass.operators.files import category, sensitive, skipped
+from tallgrass.sources.json_arrays import elements
 
 #: An export's schema is given, never inferred: node ids are keys of mapping.
 EXPORT = "id string, conversation_id string, title string, create_time double, update_time double, current_node string, mapping map<string, variant>"
 
 
 def chat_exports(spark: SparkSession, folder: str, pattern: str = "conversations*.json") -> DataFrame:
-    """One row for each conversation of each export file, which is an array of them."""
-    df = spark.read.schema(EXPORT).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).json(folder)
-    return exports(df)
+    """One row for each conversation of each export file, which is an array of them. A large file is read by many tasks."""
+    found = elements(spark, folder, pattern).select("path", F.from_json("value", EXPORT).alias("x"))
+    return exports(found.select("x.*", F.col("path").alias("source_file")))
 
 
 def exports(df: DataFrame) -> DataFrame:
-    """Rows of EXPORT as conversations: id, title, dates as text, nodes as an array."""
+    """Rows of EXPORT and source_file as conversations: id, title, dates as text, nodes as an array."""
     get = lambda v, path, kind="string": F.try_variant_get(v, F.lit(path), kind)
     node = lambda k, v: F.struct(
         k.alias("node_id"), get(v, "$.parent").alias("parent"), F.coalesce(get(v, "$.message.author.role"), F.lit("unknown")).alias("role"),
         text_of_parts(get(v, "$.message.content.parts", "array<variant>")).alias("text"), get(v, "$.message.create_time").alias("created_at"), get(v, "$.message").alias("message"),
     )
     nodes = F.transform(F.map_entries("mapping"), lambda e: node(e.key, e.value))
-    named = df.select(F.coalesce("id", "conversation_id").alias("conversation_id"), F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled")).alias("title"), "create_time", "update_time", "current_node", nodes.alias("nodes"), F.col("_metadata.file_path").alias("source_file"))
+    named = df.select(F.coalesce("id", "conversation_id").alias("conversation_id"), F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled")).alias("title"), "create_time", "update_time", "current_node", nodes.alias("nodes"), "source_file")
     return named.filter("conversation_id is not null").select("conversation_id", "title", iso("create_time").alias("created_at"), iso("update_time").alias("updated_at"), "current_node", "nodes", "source_file")
 
 

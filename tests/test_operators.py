@@ -335,3 +335,34 @@ def test_versioned_tables_split_merge_and_clear(spark, tmp_path, monkeypatch):
     first.commit({"t": (frame([(1, "x")]), frame([(1, "")]))})
     with pytest.raises(RuntimeError):
         second.commit({"t": (frame([(1, "y")]), frame([(1, "")]))})
+
+
+def test_arrays_are_read_by_many_tasks(spark, tmp_path):
+    """Elements of arrays that are cut anywhere, inside strings, escapes and nested values too, are those of a plain parser."""
+    import json
+
+    from tallgrass.sources import json_arrays, readers
+
+    tricky = ['a "quoted" }{ [ ] , \\', "\\\\\" } ]", "}" * 40, "{" * 9, "é日本 😀 }", "\n\t}", '\\"}\\"', ""]
+    rows = [{"id": f"c{k}", "title": tricky[k % 8] * (k % 5), "mapping": {f"n{j}": {"parent": None, "message": {"author": {"role": "user"}, "content": {"parts": [tricky[(k + j) % 8] * (j + 1), {"text": "}"}]}}} for j in range(k % 4)}} for k in range(120)]
+    rows.append({"id": "long", "title": "x}" * 3000, "mapping": {}})
+    for name, value in (("conversations-1.json", json.dumps(rows)), ("conversations-2.json", json.dumps(rows[:40], indent=2, ensure_ascii=False)), ("conversations-3.json", json.dumps(rows[5])), ("conversations-4.json", "[]"), ("conversations-5.json", ""), ("conversations-6.json", "[\n" + json.dumps(rows[7]) + "\n]\n")):
+        (tmp_path / name).write_text(value)
+    want = sorted(json.dumps(r, sort_keys=True) for part in (rows, rows[:40], rows[5:6], rows[7:8]) for r in part)
+    plain = lambda df: sorted((r.conversation_id, r.title, str(sorted((n.node_id, n.text) for n in r.nodes))) for r in df.collect())
+    read = spark.read.schema(readers.EXPORT).option("multiLine", True).option("pathGlobFilter", "conversations*.json").json(str(tmp_path))
+    whole = plain(readers.exports(read.withColumn("source_file", F.col("_metadata.file_path"))))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in (97, 401, 5000, 1 << 27):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            got = json_arrays.elements(spark, str(tmp_path), "conversations*.json")
+            if size == 401:
+                assert got.rdd.getNumPartitions() > 50
+            assert sorted(json.dumps(json.loads(r.value), sort_keys=True) for r in got.collect()) == want, size
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+        assert plain(readers.chat_exports(spark, str(tmp_path))) == whole
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
