@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tallgrass.operators.ranks import numbered
+
 #: Signs of each text that a difference looks at, and its most lines.
 DIFF_SIZE, DIFF_LINES = 12_000, 220
 
@@ -77,10 +79,9 @@ PAGE = 1000
 
 def _paged(rows: DataFrame, keys: list[str], order: tuple[str, ...], line: str) -> DataFrame:
     """keys, page (from 0), n and body of rows."""
-    place = F.row_number().over(W.partitionBy(*keys).orderBy(*order, line))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("_place", F.col(line).alias("_text")))), lambda x: x["_text"])
-    numbered = rows.withColumn("_place", place).withColumn("page", F.floor((F.col("_place") - 1) / PAGE).cast("int"))
-    return numbered.groupBy(*keys, "page").agg(F.count("*").alias("n"), F.array_join(lines, "\n").alias("body"))
+    placed = numbered(rows, keys, [*order, line]).withColumn("page", F.floor((F.col("_place") - 1) / PAGE).cast("int"))
+    return placed.groupBy(*keys, "page").agg(F.count("*").alias("n"), F.array_join(lines, "\n").alias("body"))
 
 
 def routed(facts: DataFrame, documents: dict[str, tuple[str, ...]], projects: DataFrame, empty: str = "Nothing recorded yet.") -> DataFrame:
@@ -108,8 +109,7 @@ def check_rollup(results: DataFrame, ok: str = "PASS", failed: str = "FAIL") ->
 def context_pack(df: DataFrame, pack: str, path: str, text: str, budget: int, per_file: int, stop_after: bool) -> DataFrame:
     """Files of each pack in order of path, up to a budget of signs: with stop_after the one that
     passes it is the last, else the one before."""
-    cut = F.substring(text, 1, per_file)
-    w = W.partitionBy(pack).orderBy(path).rowsBetween(W.unboundedPreceding, 0)
-    run = df.select(pack, path, cut.alias("text")).withColumn("total", F.sum(F.length("text")).over(w))
-    before = F.col("total") - F.length("text")
-    return run.filter(before <= budget) if stop_after else run.filter(F.col("total") <= budget)
+    cut = df.select(pack, path, F.substring(text, 1, per_file).alias("text")).withColumn("_size", F.length("text"))
+    run = numbered(cut, [pack], [path], "_size").withColumnRenamed("_total", "total")
+    wanted = F.col("total") - F.col("_size") <= budget if stop_after else F.col("total") <= budget
+    return run.filter(wanted).drop("_size", "_place")

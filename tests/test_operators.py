@@ -366,3 +366,27 @@ def test_arrays_are_read_by_many_tasks(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_places_across_tasks(spark):
+    """A key with nearly all rows is dealt to many tasks, with the places and sums of one window."""
+    import random
+
+    from tallgrass.operators.ranks import numbered
+
+    rnd = random.Random(7)
+    rows = [(None if k % 50 == 3 else "hot" if k % 10 else f"k{k % 7}", rnd.randrange(300), k % 13, k) for k in range(6000)]
+    df = spark.createDataFrame(rows, "key string, o int, v long, id int").repartition(5)
+    got = numbered(df, ["key"], ["o"], "v")
+    assert got.columns == ["key", "o", "v", "id", "_place", "_total"]
+    found = {}
+    for r in sorted(got.collect(), key=lambda r: (r.key or "", r._place)):
+        found.setdefault(r.key, []).append(r)
+    assert sum(map(len, found.values())) == len(rows)
+    for rs in found.values():
+        assert [r._place for r in rs] == list(range(1, len(rs) + 1)) and [r.o for r in rs] == sorted(r.o for r in rs)
+        total = 0
+        for r in rs:
+            total += r.v
+            assert r._total == total
+    assert numbered(df.limit(0), ["key"], ["o"]).collect() == []
