@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,24 +91,34 @@ def split_messages(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, text).mapInArrow(rows, f"`{key}` {df.schema[key].dataType.simpleString()}, piece int, text string")
 
 
+#: Signs between two units of a chunk.
+GAP = 2
+
+
+def borders(sizes: np.ndarray, target: int) -> list[tuple[int, int]]:
+    """Ranges of units that share a chunk: as many as fit into target, each with a gap after it, one at least."""
+    ends, out, first = np.cumsum(sizes + GAP), [], 0
+    while first < len(sizes):
+        used = ends[first - 1] if first else 0
+        after = max(first + 1, int(np.searchsorted(ends, used + target, "right")))
+        out.append((first, after))
+        first = after
+    return out
+
+
 def chat_chunks(messages: list[dict], target: int = TARGET, most: int = MESSAGE, limit: int = MOST) -> list[tuple[int, int, int, str]]:
-    """(index, first message, last message, text): role-marked pieces in groups, each after
-    the first led by the last piece of the one before if that fits."""
-    units = [(m["pos"], f"[{m['role']}] {p}") for m in messages for p in split_message(m["text"] or "", most)]
-    out, group, size = [], [], 0
-    groups = []
-    for u in units:
-        if group and size + len(u[1]) + 2 > target:
-            groups.append(group)
-            group, size = [], 0
-        group.append(u)
-        size += len(u[1]) + 2
-    if group:
-        groups.append(group)
-    for k, g in enumerate(groups):
-        if k and len(groups[k - 1][-1][1]) + 2 + sum(len(u[1]) + 2 for u in g) <= limit:
-            g = [groups[k - 1][-1], *g]
-        out.append((k, min(p for p, _ in g), max(p for p, _ in g), "\n\n".join(t for _, t in g)))
+    """(index, first message, last message, text) of the chunks of a conversation. Pieces of messages, each with its
+    role, fill chunks in order; the last piece of a chunk also leads the next one where both together stay within limit."""
+    at, texts = [], []
+    for m in messages:
+        pieces = split_message(m["text"] or "", most)
+        at += [m["pos"]] * len(pieces)
+        texts += [f"[{m['role']}] {piece}" for piece in pieces]
+    sizes = np.array([len(t) for t in texts], np.int64)
+    out = []
+    for index, (first, after) in enumerate(borders(sizes, target)):
+        led = first - 1 if first and (sizes[first - 1 : after] + GAP).sum() <= limit else first
+        out.append((index, min(at[led:after]), max(at[led:after]), "\n\n".join(texts[led:after])))
     return out
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -88,52 +89,93 @@ def _uncomment(line: str) -> str:
     return line
 
 
-def read_compose(text: str) -> list[dict]:
-    """Services, ports and mounts with line numbers, by indentation. A long port begins with its target, and is left
-    out without one or if nothing is published."""
-    out: list[dict] = []
-    top, service, section, step, entry = "", "", "", 0, None
-
-    def close():
-        nonlocal entry
-        if entry and entry.get("target") and entry.get("published"):
-            long = {"host_ip": entry.get("host_ip", ""), "host_port": entry["published"], "container_port": entry["target"], "proto": entry.get("protocol", "tcp")}
-            raw = f"host_ip={long['host_ip'] or '*'} published={long['host_port']} target={long['container_port']}/{long['proto']}"
-            out.append({"service": service, "kind": "port", "raw": raw, "line_no": entry["line_no"], "long": long})
-        entry = None
+#: A service's name alone on its line.
+SERVICE = re.compile(r"([A-Za-z0-9_.-]+):")
+
 
+def _lines(text: str) -> Iterator[tuple[int, int, str]]:
+    """(number, indentation, what is there) of lines with more than a comment."""
     for n, full in enumerate(text.splitlines(), 1):
-        line = _uncomment(full).rstrip()
-        if not line.strip():
-            continue
-        depth, bare = len(line) - len(line.lstrip()), line.strip()
-        if depth == 0:
-            close()
-            top, service, section, step = bare.rstrip(":"), "", "", 0
-            continue
-        if top != "services":
-            continue
-        step = step or depth
-        if depth == step and bare.endswith(":"):
-            close()
-            service, section = bare[:-1].strip("\"'"), ""
-            out.append({"service": service, "kind": "service", "raw": None, "line_no": n})
-        elif depth == 2 * step and not bare.startswith("-"):
-            close()
-            section = bare.split(":")[0]
-        elif section in ("ports", "volumes"):
-            item = bare[1:].strip() if bare.startswith("-") else bare
-            name, colon, value = item.partition(":")
-            if bare.startswith("-"):
-                close()
-                if section == "ports" and name == "target" and colon:
-                    entry = {"line_no": n}
-            if entry is not None and colon and name.strip() in PORT_KEYS:
-                entry[name.strip()] = value.strip().strip("\"'")
-            elif bare.startswith("-"):
-                out.append({"service": service, "kind": section[:-1], "raw": item.strip("\"'"), "line_no": n})
-    close()
-    return out
+        line = _uncomment(full)
+        if line.strip():
+            yield n, len(line) - len(line.lstrip(" ")), line.strip()
+
+
+class _Block:
+    """Where a reader is: the depth of a services block and of the names in it, a service, and one of its lists."""
+
+    def __init__(self) -> None:
+        self.root = self.names = self.service = self.section = self.entry = None
+        self.rows: list[dict] = []
+        self.seen: set[str] = set()
+
+    def add(self, kind: str, line: int, raw: str | None = None, long: dict | None = None) -> None:
+        self.rows.append({"service": self.service, "kind": kind, "raw": raw, "line_no": line} | ({"long": long} if long else {}))
+
+    def end_entry(self) -> None:
+        """A long port counts if it has a target and something is published."""
+        e, self.entry = self.entry, None
+        if e and self.service and e.get("target") and e.get("published"):
+            long = {"host_ip": e.get("host_ip", ""), "host_port": e["published"], "container_port": e["target"], "proto": e.get("protocol", "tcp")}
+            self.add("port", e["line_no"], f"host_ip={long['host_ip'] or '*'} published={long['host_port']} target={long['container_port']}/{long['proto']}", long)
+
+    def leave(self, service: str | None = None) -> None:
+        self.end_entry()
+        self.service, self.section = service, None
+
+    def take(self, n: int, depth: int, bare: str) -> None:
+        listed = bare.startswith("-")
+        if bare == "services:":
+            self.leave()
+            self.root, self.names = depth, None
+        elif self.root is None:
+            return
+        elif depth <= self.root and not listed:
+            self.leave()
+            self.root = None
+        elif (name := SERVICE.fullmatch(bare)) and (self.names is None or depth <= self.names):
+            self.leave(name[1])
+            self.names = depth
+            if name[1] not in self.seen:
+                self.seen.add(name[1])
+                self.add("service", n)
+        elif self.service is not None:
+            self.take_of_service(n, depth, bare, listed)
+
+    def take_of_service(self, n: int, depth: int, bare: str, listed: bool) -> None:
+        for section in ("ports", "volumes"):
+            if bare.startswith(section + ":"):
+                self.end_entry()
+                self.section = section, depth
+                return
+        if self.section and depth <= self.section[1] and not listed:
+            self.end_entry()
+            self.section = None
+        if not self.section:
+            return
+        kind = self.section[0][:-1]
+        if bare.startswith("- "):
+            self.end_entry()
+            item = bare[2:].strip()
+            if kind == "port" and item.startswith("target:"):
+                self.entry = {"line_no": n}
+                bare = item
+            else:
+                self.add(kind, n, item.strip("\"'"))
+        key, colon, value = bare.partition(":")
+        if self.entry is not None and colon and key.strip() in PORT_KEYS:
+            self.entry[key.strip()] = value.strip().strip("\"'")
+
+
+def read_compose(text: str) -> list[dict]:
+    """Services, ports and mounts with line numbers, by indentation of any step. Services are named below a line
+    ``services:`` at any depth, the least deep names first met being those of services; sections may be at any depth below
+    them, and the entries of a list at that of its section or deeper. What stands outside such blocks, as names of volumes, counts for nothing."""
+    block = _Block()
+    for n, depth, bare in _lines(text):
+        block.take(n, depth, bare)
+    block.end_entry()
+    return block.rows
 
 
 def parse(files: DataFrame) -> DataFrame:

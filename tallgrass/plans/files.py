@@ -118,7 +118,7 @@ def extension(t):
     return _files(t).select("doc_id", assets.extension(assets.mime(F.col("path"), F.col("content")), F.col("path")).alias("ext"))
 
 
-@query("AST4_extract", f"SELECT doc_id, CASE WHEN doc_id % 10 = 9 AND doc_id % 4 IN (1, 2) THEN text ELSE '' END AS text, CASE WHEN doc_id % 10 = 9 THEN CASE WHEN doc_id % 4 IN (1, 2) THEN 'extracted' ELSE 'unsupported' END WHEN doc_id % 10 = 8 THEN 'error: BadZipFile' WHEN doc_id % 10 = 3 THEN 'unsupported' ELSE 'metadata-only' END AS status FROM documents")
+@query("AST4_extract", f"SELECT doc_id, CASE WHEN doc_id % 10 = 9 AND doc_id % 4 IN (1, 2) THEN text ELSE '' END AS text, CASE WHEN doc_id % 10 = 9 THEN CASE WHEN doc_id % 4 IN (1, 2) THEN 'extracted' ELSE 'unsupported' END WHEN doc_id % 10 = 8 THEN 'error:BadZipFile' WHEN doc_id % 10 = 3 THEN 'unsupported' ELSE 'metadata-only' END AS status FROM documents")
 def extract(t):
     f = _files(t).withColumn("mime", assets.mime(F.col("path"), F.col("content")))
     return assets.extracted(f.withColumn("path", F.col("doc_id").cast("string"))).select(F.col("path").cast("long").alias("doc_id"), "text", "status")

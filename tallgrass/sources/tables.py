@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import MapType, VariantType
 
 
 def upserted(stored: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """One row for each key: the one with the largest order, or else new before stored, of which only keys that
-    new lacks are kept, so no more than new is put in order."""
+    new lacks are kept, so no more than new is put in order. Of several new rows of a key, with the same order or without
+    any, the one whose columns are largest, from the left, holds: the result does not depend on how rows are dealt."""
+    rest = [F.desc_nulls_last(F.to_json(F.struct(c)) if isinstance(new.schema[c].dataType, (MapType, VariantType)) else c) for c in new.columns if c not in (key, order)]
     if not order:
-        first = new.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(key))).filter("_n = 1").drop("_n")
+        first = new.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*rest or [key]))).filter("_n = 1").drop("_n")
         return stored.join(new.select(key).distinct(), key, "left_anti").select(*stored.columns).unionByName(first, allowMissingColumns=True)
     both = stored.withColumn("_rank", F.lit(0)).unionByName(new.withColumn("_rank", F.lit(1)), allowMissingColumns=True)
-    w = W.partitionBy(key).orderBy(F.desc(order), F.desc("_rank"))
+    w = W.partitionBy(key).orderBy(F.desc(order), F.desc("_rank"), *rest)
     return both.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_rank")
 
 

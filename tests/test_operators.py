@@ -4,6 +4,7 @@ import io
 import zipfile
 import zlib
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -147,8 +148,8 @@ def test_documents_in_archives():
     plain = io.BytesIO()
     with zipfile.ZipFile(plain, "w") as z:
         z.writestr("a.txt", "x")
-    assert assets.extract(plain.getvalue(), "application/zip")[1:] == ("a.txt", "listed")
-    assert assets.extract(b"PK", "application/zip")[2] == "error: BadZipFile" and assets.extract(b"", "image/png")[2] == "metadata-only"
+    assert assets.extract(plain.getvalue(), "application/zip")[1:] == ("Archive contents:\na.txt", "extracted")
+    assert assets.extract(b"PK", "application/zip")[2] == "error:BadZipFile" and assets.extract(b"", "image/png")[2] == "metadata-only"
 
 
 def test_references_are_found_in_every_string():
@@ -390,3 +391,69 @@ def test_places_across_tasks(spark):
             total += r.v
             assert r._total == total
     assert numbered(df.limit(0), ["key"], ["o"]).collect() == []
+
+
+def test_large_archives_are_inflated_step_by_step():
+    """A document whose text would fill gigabytes costs what its first signs do; broken ones are errors."""
+    import tracemalloc
+
+    def docx(*parts):
+        raw = io.BytesIO()
+        with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z, z.open("word/document.xml", "w", force_zip64=True) as f:
+            for part, times in parts:
+                for _ in range(times):
+                    f.write(part)
+        return raw.getvalue()
+
+    head, word = b'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main">', b"<w:t> " + b"x" * 99_994 + b"</w:t>"
+    many = docx((head, 1), (b"<w:p><w:r>" + word + b"</w:r></w:p>", 3000), (b"</w:document>", 1))
+    one = docx((head + b"<w:p>", 1), (word, 3000), (b"</w:p></w:document>", 1))
+    blank = docx((head + b"<w:p><w:t>", 1), (b" " * 100_000, 300), (b"end</w:t></w:p></w:document>", 1))
+    tracemalloc.start()
+    for content in (many, one):
+        mime, text, status = assets.extract(content, assets.DOCX)
+        assert (mime, status, len(text)) == (assets.DOCX, "extracted", assets.MOST_TEXT) and text.startswith("xxx")
+    assert assets.extract(blank, assets.DOCX)[1] == "end"
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
+    assert assets.extract(docx((head + b"<w:p>", 1)), assets.DOCX)[2] == "error:ParseError"
+    assert assets.extract("é".encode() * 1_500_000, "text/plain")[1] == "é" * 1_000_000
+
+
+def test_chunk_borders():
+    import random
+
+    rnd = random.Random(3)
+    for _ in range(200):
+        sizes, target = [rnd.choice((1, 10, 500, 1000, 2598, 2599, 3210)) for _ in range(rnd.randrange(12))], 2600
+        groups = []
+        for n in sizes:
+            if groups and sum(groups[-1]) + 2 * len(groups[-1]) + n + 2 <= target:
+                groups[-1].append(n)
+            else:
+                groups.append([n])
+        assert [sizes[i:j] for i, j in chunking.borders(np.array(sizes, np.int64), target)] == groups
+
+
+@pytest.mark.parametrize("text, want", [
+    ("services:\n  web:\n      ports:\n        - 80:80\n", [("web", "service"), ("web", "80:80")]),
+    ("services:\n    web:\n      ports:\n      - '1:2'  # why\n", [("web", "service"), ("web", "1:2")]),
+    ("x:\n  services:\n    a:\n     ports:\n       - target: 80\n         published: \"8080\"\n         host_ip: 127.0.0.1\n    b:\n     volumes:\n     - /x:/y\n", [("a", "service"), ("a", "host_ip=127.0.0.1 published=8080 target=80/tcp"), ("b", "service"), ("b", "/x:/y")]),
+    ("services:\n a:\n  image: x\n  ports:\n  - target: 1\n  - 5:5\n  environment:\n  - A=1:2\n  volumes:\n  - ./d:/d\n", [("a", "service"), ("a", "5:5"), ("a", "./d:/d")]),
+    ("name: x\nports:\n - 1:1\n", []), ("services:\n# none\n\n", []), ("", []),
+])
+def test_compose_of_any_indentation(text, want):
+    from tallgrass.operators import compose
+
+    assert [(r["service"], "service" if r["kind"] == "service" else r["raw"]) for r in compose.read_compose(text)] == want
+
+
+def test_upsert_does_not_depend_on_parts(spark):
+    from tallgrass.sources import tables
+
+    new = spark.createDataFrame([(1, k, f"v{k % 3}") for k in range(5)], "key int, n int, v string")
+    old = spark.createDataFrame([(1, 9, "old"), (2, 9, "old")], "key int, n int, v string")
+    for parts in (1, 2, 5):
+        assert sorted(map(tuple, tables.upserted(old, new.repartition(parts), "key").collect())) == [(1, 4, "v1"), (2, 9, "old")]
+        tie = new.withColumn("seq", F.lit(3)).repartition(parts)
+        assert sorted(map(tuple, tables.upserted(old.withColumn("seq", F.lit(3)), tie, "key", "seq").select("key", "n", "v").collect())) == [(1, 4, "v1"), (2, 9, "old")]
