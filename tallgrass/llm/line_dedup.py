@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from . import vectors as V
 from .common import bloom, fresh, let_go, release, settle, trimmed
 
-BLOCK, MOST_BLOCKS, AT_ONCE, MORE, PERCENT, PART, LONG = 1 << 13, 1 << 12, 8, 16, 80, 1 << 19, 100
+BLOCK, MOST_BLOCKS, AT_ONCE, MORE, PERCENT, PART, LONG = 1 << 13, 1 << 12, 8, 256, 80, 1 << 19, 100
 #: Counters of words, the parts in which they are added up, steps of the logarithm, and bits of a number behind it.
 SLOTS, SLOT_PARTS, STEPS, HASH_BITS = 1 << 21, 64, 1024, np.uint64(48)
 #: Places of sets, or numbers of removed lines, that are sent to every task (some 16 MB); more are joined.
