@@ -154,13 +154,16 @@ def key_ranges(data: bytes, t: dict[bytes, tuple[int, int]], ranges: list[tuple[
 
 
 def describe(data: bytes | None) -> dict:
-    """What the columns of PROBED say of one file: its first track that has samples."""
+    """What the columns of PROBED say of one file: its first track that has samples. A duration of all ones, which stands
+    for an unknown one, or beyond 63 bits is null; a file whose samples are in fragments, which are not read, is an error."""
     none = dict.fromkeys(("codec", "timescale", "duration", "samples", "keyframes"))
     if data is None:
         return none | {"media_bytes": None, "error": "null"}
     try:
         tracks: dict[int, dict[bytes, tuple[int, int]]] = {}
+        fragments = False
         for path, at, end in walk(data):
+            fragments |= path == (b"moof",)
             if len(path) > 2 and path[0] == b"moov" and isinstance(path[1], tuple):
                 tracks.setdefault(path[1][1], {}).setdefault(path[-1], (at, end))
         for _, t in sorted(tracks.items()):
@@ -168,11 +171,14 @@ def describe(data: bytes | None) -> dict:
                 continue
             at = t[b"mdhd"][0]
             scale, ticks = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
+            ticks = None if ticks == (0xFFFFFFFFFFFFFFFF if data[at] == 1 else 0xFFFFFFFF) or ticks >> 63 else ticks
             ranges = sample_ranges(data, t)
+            if fragments and not ranges:
+                continue
             keys = key_ranges(data, t, ranges)
             codec = data[t[b"stsd"][0] + 12 : t[b"stsd"][0] + 16].decode("latin-1")
             return {"codec": codec, "timescale": scale, "duration": ticks, "samples": len(ranges), "keyframes": [{"start": a, "end": b} for a, b in keys], "media_bytes": len(data), "error": None}
-        return none | {"media_bytes": len(data), "error": "no track with samples"}
+        return none | {"media_bytes": len(data), "error": "samples in fragments" if fragments else "no track with samples"}
     except (ValueError, struct.error, IndexError, KeyError) as e:
         return none | {"media_bytes": len(data), "error": f"{type(e).__name__}: {e}"}
 

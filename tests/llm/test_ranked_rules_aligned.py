@@ -328,3 +328,34 @@ def test_decimal():
     out, off = alignment.decimal(ids, np.array([44, 59, 0, 124, 44, 44, 0, 0], np.uint8))
     assert bytes(out) == b"0,9;1099|100,50256,7999999" and off[-1] == len(out)
     assert len(V.words(np.zeros(0, np.uint8), np.zeros(1, np.int64))[0]) == 0
+
+
+# 10
+
+
+def box(kind, *parts):
+    body = b"".join(parts)
+    return (8 + len(body)).to_bytes(4, "big") + kind + body
+
+
+def crafted(version, ticks, fragments=False):
+    """A file of one track of 4-byte samples, written box by box by the format's description."""
+    n32 = lambda *v: b"".join(x.to_bytes(4, "big") for x in v)
+    long = n32(version << 24) + bytes(16 if version else 8) + n32(1000) + ticks.to_bytes(8 if version else 4, "big") + bytes(4)
+    count = 0 if fragments else 2
+    data = b"abcdefgh"
+    table = lambda at: box(b"stbl", box(b"stsd", n32(0, 1), box(b"raw ", bytes(28))), box(b"stts", n32(0, 1, count, 1)), box(b"stsc", n32(0, 0 if fragments else 1), b"" if fragments else n32(1, 2, 1)), box(b"stsz", n32(0, 0, count), n32(*[4] * count)), box(b"stco", n32(0, 0 if fragments else 1), b"" if fragments else n32(at)))
+    moov = lambda at: box(b"moov", box(b"trak", box(b"mdia", box(b"mdhd", long), box(b"minf", table(at)))))
+    head = box(b"ftyp", b"isom", bytes(4))
+    return head + moov(len(head) + len(moov(0)) + 8) + (box(b"moof", box(b"mfhd", n32(0, 1))) if fragments else b"") + box(b"mdat", data)
+
+
+def test_unknown_durations_and_fragments(spark):
+    from tallgrass.llm import media
+
+    files = [(1, crafted(1, (1 << 64) - 1)), (2, crafted(0, 0xFFFFFFFF)), (3, crafted(1, 5000)), (4, crafted(0, 7, True)), (5, crafted(1, 1 << 63))]
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in files], "id int, media binary")
+    got = {r.id: r for r in media.probe(df, "media", ["id"]).collect()}
+    assert [got[k].duration for k in (1, 2, 3, 5)] == [None, None, 5000, None] and all(got[k].error is None for k in (1, 2, 3, 5))
+    assert [files[2][1][a.start : a.end] for a in got[3].keyframes] == [b"abcd", b"efgh"] and got[3].codec == "raw "
+    assert got[4].error == "samples in fragments" and got[4].samples is None
