@@ -217,7 +217,7 @@ def of_conversations(linked: DataFrame, conversations: DataFrame) -> DataFrame:
 def asset_texts(assets: DataFrame, refs: DataFrame) -> DataFrame:
     """asset_id, content_kind and text: a heading, the file's own text, and its first references by date."""
     n = F.row_number().over(W.partitionBy("asset_id").orderBy("created_at", "conversation_id"))
-    line = F.concat_ws("\n", F.concat(F.lit("Original name: "), "original_name"), F.concat(F.lit("Conversation: "), "title", F.lit(" ("), "created_at", F.lit(") id="), F.col("conversation_id").cast("string")), F.when(F.col("context") != "", F.col("context")))
+    line = F.concat_ws("\n", F.when(F.col("original_name") != "", F.concat(F.lit("Original name: "), "original_name")), F.concat(F.lit("Conversation: "), F.coalesce("title", F.lit("")), F.lit(" ("), F.coalesce("created_at", F.lit("")), F.lit(") id="), F.col("conversation_id").cast("string")), F.when(F.col("context") != "", F.col("context")))
     some = refs.withColumn("n", n).filter(F.col("n") <= MOST_REFERENCES).groupBy("asset_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("l")))), lambda x: x.l), "\n").alias("refs"))
     own = F.coalesce("text", F.lit("")) != ""
     head = F.concat(F.lit("Asset file_"), "asset_id", "ext", F.lit("\nMIME type: "), "mime")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tallgrass.sources.scratch import scratch
 
+#: Rows in all that one task may as well put in order.
+FEW = 1 << 19
 #: Rows of a part are numbered from here on in the lower bits.
 PART_BITS = 33
 
@@ -17,12 +19,17 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], value: str | None
 
     Rows are dealt to tasks by ranges of (keys, order), and sorted there; equal ones come in an order that their other
     columns decide. What each part has of each key is added up over the parts before it, one row for a key and part.
-    Rows are written twice: ranges are chosen from a first look at them.
+    Rows are written twice: ranges are chosen from a first look at them. Of ``FEW`` rows or less in all none is a key
+    too large for a task, and windows do.
     """
     spark, path, sorted_path = df.sparkSession, scratch(df.sparkSession, "rows"), scratch(df.sparkSession, "ranges")
     by = [*keys, *order, "_tie"]
     df.withColumn("_tie", F.xxhash64(*df.columns)).write.parquet(path)
     held = spark.read.parquet(path)
+    if held.count() <= FEW:
+        w = W.partitionBy(*keys).orderBy(*order, "_tie")
+        sums = {"_total": F.sum(value).over(w.rowsBetween(W.unboundedPreceding, 0))} if value else {}
+        return held.withColumns({"_place": F.row_number().over(w).cast("long")} | sums).select(*df.columns, "_place", *sums)
     # The number of a row in its part, and in the upper bits that of the part.
     held.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()).write.parquet(sorted_path)
     rows = spark.read.parquet(sorted_path).withColumn("_part", F.shiftright("_at", PART_BITS))

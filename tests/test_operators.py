@@ -369,12 +369,16 @@ def test_arrays_are_read_by_many_tasks(spark, tmp_path):
             spark.conf.set(k, v)
 
 
-def test_places_across_tasks(spark):
+@pytest.mark.parametrize("few", [0, 1 << 19])
+def test_places_across_tasks(spark, few, monkeypatch):
     """A key with nearly all rows is dealt to many tasks, with the places and sums of one window."""
     import random
 
+    from tallgrass.operators import ranks
     from tallgrass.operators.ranks import numbered
 
+    monkeypatch.setattr(ranks, "FEW", few)
+
     rnd = random.Random(7)
     rows = [(None if k % 50 == 3 else "hot" if k % 10 else f"k{k % 7}", rnd.randrange(300), k % 13, k) for k in range(6000)]
     df = spark.createDataFrame(rows, "key string, o int, v long, id int").repartition(5)
@@ -448,6 +452,12 @@ def test_compose_of_any_indentation(text, want):
     assert [(r["service"], "service" if r["kind"] == "service" else r["raw"]) for r in compose.read_compose(text)] == want
 
 
+def test_references_without_names_or_dates(spark):
+    files = spark.createDataFrame([("a", ".txt", "text/plain", "")], "asset_id string, ext string, mime string, text string")
+    refs = spark.createDataFrame([("a", "", "t", "2", 1, ""), ("a", "n", None, None, 2, "c")], "asset_id string, original_name string, title string, created_at string, conversation_id int, context string")
+    assert assets.asset_texts(files, refs).first().text == "Asset file_a.txt\nMIME type: text/plain\n\nConversation references:\nOriginal name: n\nConversation:  () id=2\nc\nConversation: t (2) id=1"
+
+
 def test_upsert_does_not_depend_on_parts(spark):
     from tallgrass.sources import tables
 
