@@ -44,20 +44,21 @@ def search(chunks: DataFrame, query: str, query_vector: list[float] | None = Non
     return scored.orderBy(F.desc("score"), "source_rank", "chunk_id").limit(limit)
 
 
-def search_many(chunks: DataFrame, queries: DataFrame, limit: int = LIMIT, broadcast_rows: int = 100_000) -> DataFrame:
+def search_many(chunks: DataFrame, queries: DataFrame, limit: int = LIMIT, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """query_id, chunk_id, score and place of the best chunks for each of queries (query_id, vector).
 
     A task keeps the limit best of each query as it goes through its chunks, so what is shuffled
-    is limit rows for each query and task. Queries come to every task while there are at most
-    broadcast_rows of them; more are taken in blocks of so many.
+    is limit rows for each query and task. Queries come to every task, and to the driver, in blocks whose
+    numbers fill about broadcast_bytes, however long their vectors are.
     """
     known = queries.select("query_id", "vector").orderBy("query_id")
     out = None
-    blocks = max(1, -(-queries.count() // broadcast_rows))
+    rows, width = known.agg(F.count("*"), F.max(F.size("vector"))).first()
+    blocks = max(1, -(-rows * 8 * max(width or 0, 1) // broadcast_bytes))
     for k in range(blocks):
         part = known if blocks == 1 else known.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
         held = part.toPandas()
-        ids, q = held["query_id"].to_numpy(), np.array(held["vector"].tolist(), np.float64).reshape(len(held), -1)
+        ids, q = held["query_id"].to_numpy(), np.array(held["vector"].tolist(), np.float64).reshape(len(held), -1 if len(held) else 1)
         q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
         best = chunks.select("chunk_id", "embedding").mapInArrow(_best(chunks.sparkSession.sparkContext.broadcast((ids, q)), limit), "query_id long, chunk_id long, score double")
         out = best if out is None else out.unionByName(best)

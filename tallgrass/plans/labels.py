@@ -91,13 +91,13 @@ def routed(t):
 
 
 @query("CLS8_record_facts", """WITH stored AS (SELECT doc_id AS conversation_id, source AS project, lang AS statement, 'old' AS evidence FROM documents WHERE doc_id % 3 < 2),
-    new AS (SELECT doc_id AS conversation_id, source AS project, CASE WHEN doc_id % 4 = 0 THEN lang ELSE substring(text, 1, 20) END AS statement, 'new' AS evidence FROM documents WHERE doc_id % 3 > 0)
+    new AS (SELECT doc_id AS conversation_id, source AS project, CASE WHEN doc_id % 4 = 0 THEN lang ELSE text END AS statement, 'new' AS evidence FROM documents WHERE doc_id % 3 > 0)
     SELECT 'replace' AS how, * FROM (SELECT * FROM stored WHERE conversation_id NOT IN (SELECT conversation_id FROM new WHERE conversation_id % 5 > 0) UNION ALL SELECT * FROM new WHERE conversation_id % 5 > 0)
     UNION ALL SELECT 'add', * FROM (SELECT * FROM stored UNION ALL SELECT * FROM new n WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.conversation_id = n.conversation_id AND s.project = n.project AND s.statement = n.statement))""")
 def record(t):
     cols = [F.col("doc_id").alias("conversation_id"), F.col("source").alias("project")]
     stored = t.documents.filter("doc_id % 3 < 2").select(*cols, F.col("lang").alias("statement"), F.lit("old").alias("evidence"))
-    new = t.documents.filter("doc_id % 3 > 0").select(*cols, F.when(F.col("doc_id") % 4 == 0, F.col("lang")).otherwise(F.substring("text", 1, 20)).alias("statement"), F.lit("new").alias("evidence"))
+    new = t.documents.filter("doc_id % 3 > 0").select(*cols, F.when(F.col("doc_id") % 4 == 0, F.col("lang")).otherwise(F.col("text")).alias("statement"), F.lit("new").alias("evidence"))
     analyses = t.documents.select(F.col("doc_id").alias("conversation_id"), F.when(F.col("doc_id") % 5 > 0, "TECHNICAL").otherwise("SHARED").alias("label"))
     both = classify.replace_facts(stored, new, analyses=analyses).withColumn("how", F.lit("replace"))
     return both.unionByName(classify.add_facts(stored, new, ["conversation_id", "project", "statement"], "evidence").withColumn("how", F.lit("add")))

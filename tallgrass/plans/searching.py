@@ -320,10 +320,10 @@ def embedded(t):
     return embed.embedded(t.documents.select("doc_id", "text"), "text", embed.hashing_embedder()).select("doc_id", "embedding")
 
 
-@query("EMB6_keep_vector", "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN CASE WHEN vec_id % 2 = 0 THEN embedding[1:1] END ELSE [0.5::FLOAT] END AS embedding FROM embeddings")
+@query("EMB6_keep_vector", "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN CASE WHEN vec_id % 2 = 0 THEN embedding END ELSE [0.5::FLOAT] END AS embedding FROM embeddings")
 def keep_vector(t):
     new = t.embeddings.select("vec_id", F.when(F.col("vec_id") % 3 != 0, F.array(F.lit(0.5).cast("float"))).alias("embedding"))
-    old = t.embeddings.filter("vec_id % 2 = 0").select("vec_id", F.slice("embedding", 1, 1).alias("embedding"))
+    old = t.embeddings.filter("vec_id % 2 = 0").select("vec_id", "embedding")
     return embed.keep_vector(new, old, "vec_id")
 
 

@@ -467,3 +467,12 @@ def test_upsert_does_not_depend_on_parts(spark):
         assert sorted(map(tuple, tables.upserted(old, new.repartition(parts), "key").collect())) == [(1, 4, "v1"), (2, 9, "old")]
         tie = new.withColumn("seq", F.lit(3)).repartition(parts)
         assert sorted(map(tuple, tables.upserted(old.withColumn("seq", F.lit(3)), tie, "key", "seq").select("key", "n", "v").collect())) == [(1, 4, "v1"), (2, 9, "old")]
+
+
+def test_queries_come_in_blocks_of_bytes(spark, sf):
+    """Blocks of a few vectors give what one block does; no queries give nothing."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    chunks, q = e.select(F.col("vec_id").alias("chunk_id"), "embedding"), e.filter("vec_id % 40 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    rows = lambda size: sorted((r.query_id, r.place, r.chunk_id) for r in search.search_many(chunks, q, broadcast_bytes=size).collect())
+    assert rows(1500) == rows(64 << 20) != []
+    assert search.search_many(chunks, q.limit(0)).collect() == []
