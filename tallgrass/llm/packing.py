@@ -4,18 +4,21 @@ Texts are encoded and cut into pieces of ``CAPACITY`` ids at most. A full piece
 sequence of its own. The others are dealt at random into batches of about ``BATCH``
 pieces; each batch is solved on several islands:
 
-- A solution is a list of bins. Those of a new island put the pieces one after the other,
-  in orders from large to small that are disturbed more and more, until a bin is full
-  (next fit), so at the start none is good.
+- A solution is a list of bins. One of a new island is best fit from large to small, so no
+  result has more bins than that; the others put the pieces one after the other, in orders
+  from large to small that are disturbed more and more, until a bin is full (next fit).
 - In each generation two solutions of the better half are crossed: whole well-filled bins
   of one are taken into the other, bins that held the same pieces are emptied, and so are
-  the emptiest others; the displaced pieces are put back by best fit. A child takes the
-  place of the worst solution if it is better and no copy.
-- After an epoch each island sends its best solutions to the next island of its batch.
+  the emptiest others. One displaced piece or two take the place of one piece or two that
+  fill an open bin less well; what is displaced then is put back by best fit. A child takes
+  the place of the worst solution if it is better and no copy.
+- After an epoch each island sends its best solutions to the next island of its batch. An
+  epoch ends when a crossover has reached the least number of bins that the sum of sizes
+  allows, when ``STALE`` generations have made nothing better, or after ``GENERATIONS``.
 
 The best solution of a batch stands, except that the pieces of its emptiest bin go on to a
 last round, in which those of all batches are packed together. Fitness is the number of
-bins, then the mean square of how full they are. ``generation`` says when the solution
+bins, then, for what a crossover made, the mean square of how full they are. ``generation`` says when the solution
 that a sequence is from was made (0: a start), ``crossovers`` how many its island had made
 by then, and ``migrants`` how many of its batch's solutions came from another island.
 
@@ -37,7 +40,9 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import settle, trimmed
 
-CAPACITY, BATCH, ISLANDS, EPOCHS, POPULATION, GENERATIONS, ELITE = 4096, 4000, 3, 2, 6, 10, 2
+CAPACITY, BATCH, ISLANDS, EPOCHS, POPULATION, GENERATIONS, STALE, ELITE = 4096, 4000, 3, 2, 6, 150, 40, 2
+#: Displaced pieces of which an exchange looks at pairs.
+PAIRED = 256
 
 
 def best_fit(size: np.ndarray, order: np.ndarray, bins: np.ndarray, free: list[tuple[int, int]], next_bin: int, capacity: int) -> int:
@@ -76,25 +81,69 @@ def next_fit(size: np.ndarray, order: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
+def exchange(size: np.ndarray, bins: np.ndarray, out: np.ndarray, load: np.ndarray, capacity: int, rng) -> np.ndarray:
+    """Put one or two pieces of out for one or two neighbours of an open bin where they fill it better, no bin
+    twice; bins and load are changed in place. Returns the pieces that are out then."""
+    d = out[np.argsort(size[out], kind="stable")]
+    some = d if len(d) <= PAIRED else d[np.sort(rng.choice(len(d), PAIRED, replace=False))]
+    i, j = np.triu_indices(len(some), 1)
+    one, two = np.concatenate((d, some[i])), np.concatenate((np.full(len(d), -1), some[j]))
+    offered = np.concatenate((size[d], size[some[i]] + size[some[j]]))
+    order = np.argsort(offered, kind="stable")
+    one, two, offered = one[order], two[order], offered[order]
+    held = np.flatnonzero(bins >= 0)
+    held = held[load[bins[held]] < capacity]
+    held = held[np.argsort(bins[held], kind="stable")]
+    pairs = [(held[:-k], held[k:], bins[held[:-k]] == bins[held[k:]]) for k in (1, 2)]
+    a = np.concatenate([held, *(x[same] for x, _, same in pairs)])
+    b = np.concatenate([np.full(len(held), -1), *(y[same] for _, y, same in pairs)])
+    if not len(offered) or not len(a):
+        return out
+    home, given = bins[a], size[a] + np.where(b >= 0, size[b], 0)
+    most = given + capacity - load[home]
+    at = np.searchsorted(offered, most, "right") - 1
+    gain = np.where(at >= 0, offered[at] - given, 0)
+    better = np.flatnonzero(gain > 0)
+    gone, touched, back = set(), set(), []
+    for k in better[np.argsort((most - given - gain)[better], kind="stable")].tolist():
+        to, x, y = int(home[k]), int(one[at[k]]), int(two[at[k]])
+        if to in touched or x in gone or y in gone:
+            continue
+        touched.add(to)
+        load[to] += gain[k]
+        for p in (x, y):
+            if p >= 0:
+                gone.add(p)
+                bins[p] = to
+        for p in (int(a[k]), int(b[k])):
+            if p >= 0:
+                back.append(p)
+                bins[p] = -1
+    return np.concatenate((out[~np.isin(out, list(gone))], np.array(back, np.int64)))
+
+
 def cross(size: np.ndarray, a: np.ndarray, b: np.ndarray, capacity: int, rng) -> np.ndarray:
-    """A child of a, with well-filled whole bins of b."""
+    """A child of a, with well-filled whole bins of b: from a quarter of them to few."""
+    share = 0.5 ** rng.integers(2, 8)
     fill = np.bincount(b, size)
     good = np.flatnonzero(fill >= np.quantile(fill, 0.5))
     taken = np.zeros(len(fill), bool)
-    taken[rng.choice(good, max(1, len(good) // 4), replace=False)] = True
+    taken[rng.choice(good, max(1, int(len(good) * share)), replace=False)] = True
     moved = taken[b]
     hurt = np.zeros(a.max() + 1, bool)
     hurt[a[moved]] = True
     left = np.bincount(a, size)
     rest = np.flatnonzero(~hurt)
-    hurt[rest[np.argsort(left[rest] * rng.normal(1, 0.05, len(rest)))[: 1 + len(rest) // 10]]] = True
+    hurt[rest[np.argsort(left[rest] * rng.normal(1, 0.05, len(rest)))[: 1 + int(len(rest) * share / 2)]]] = True
     child = np.full(len(size), -1, np.int64)
     stay = ~hurt[a]
     child[stay] = a[stay]
     child[moved] = b[moved] + a.max() + 1
-    out = np.flatnonzero(child < 0)
     top = int(a.max() + b.max() + 2)
     load = np.bincount(child[child >= 0], size[child >= 0], minlength=top).astype(np.int64)
+    out = np.flatnonzero(child < 0)
+    for _ in range(3):
+        out = exchange(size, child, out, load, capacity, rng)
     used = np.flatnonzero((load > 0) & (load < capacity))
     best_fit(size, out[np.argsort(-size[out], kind="stable")], child, list(zip((capacity - load[used]).tolist(), used.tolist())), top, capacity)
     return tidy(child)
@@ -107,17 +156,26 @@ Solution = tuple[tuple[int, float], np.ndarray, int, int, bool]
 def evolve(size: np.ndarray, came: list[Solution], epoch: int, seed: int, capacity: int = CAPACITY) -> list[Solution]:
     """The solutions of one island after an epoch, the best first; came holds those it had and those sent to it."""
     rng, herd = np.random.default_rng(seed), list(came)
+    least = -(-int(size.sum()) // capacity)
     for k in range(len(herd), POPULATION):
-        bins = next_fit(size, np.argsort(-size * rng.lognormal(0, 0.3 * (k + 1), len(size)), kind="stable"), capacity)
-        herd.append((fitness(size, bins, capacity), bins, 0, 0, False))
+        if k == 0:
+            bins = np.zeros(len(size), np.int32)
+            best_fit(size, np.argsort(-size, kind="stable"), bins, [], 0, capacity)
+        else:
+            bins = next_fit(size, np.argsort(-size * rng.lognormal(0, 0.3 * k, len(size)), kind="stable"), capacity)
+        herd.append(((int(bins.max()) + 1, 0.0), bins, 0, 0, False))
     herd.sort(key=lambda s: s[0])
     del herd[POPULATION:]
+    made, stale = max(s[3] for s in herd), 0
     for g in range(epoch * GENERATIONS + 1, (epoch + 1) * GENERATIONS + 1):
+        if stale == STALE or (herd[0][0][0] == least and herd[0][3] > 0):
+            break
         i, j = rng.choice(max(2, POPULATION // 2), 2, replace=False)
         child = cross(size, herd[i][1], herd[j][1], capacity, rng)
         fit = fitness(size, child, capacity)
+        made, stale = made + 1, stale + 1 if fit >= herd[0][0] else 0
         if fit < herd[-1][0] and all(fit != s[0] for s in herd):
-            herd[-1] = (fit, child, g, g, herd[i][4] or herd[j][4])
+            herd[-1] = (fit, child, g, made, herd[i][4] or herd[j][4])
             herd.sort(key=lambda s: s[0])
     return herd
 
@@ -137,7 +195,7 @@ def _epoch(capacity: int, epoch: int):
                 size, came = np.frombuffer(r["size"], np.int32).astype(np.int64), []
                 for s in r["herd"]:
                     bins = np.frombuffer(s["bins"], np.int32)
-                    came.append((fitness(size, bins, capacity), bins, s["generation"], s["crossovers"], s["migrant"]))
+                    came.append(((int(bins.max()) + 1, fitness(size, bins, capacity)[1] if s["generation"] else 0.0), bins, s["generation"], s["crossovers"], s["migrant"]))
                 herd = evolve(size, came, epoch, r["batch"] * 1009 + r["island"] * 31 + epoch, capacity)
                 kept = [{"bins": s[1].astype(np.int32).tobytes(), "generation": s[2], "crossovers": s[3], "migrant": s[4]} for s in herd]
                 out.append({"batch": r["batch"], "island": r["island"], "ids": r["ids"], "size": r["size"], "bins": herd[0][0][0], "score": herd[0][0][1], "herd": kept})

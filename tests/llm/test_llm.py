@@ -410,6 +410,45 @@ def test_starts_of_the_search_are_unfinished():
     assert min(starts) > herd[0][0][0] >= least and herd[0][3] > 0
 
 
+def plain_best_fit(size, capacity=4096):
+    """Bins of best fit decreasing, by looking at every open bin."""
+    rooms = []
+    for n in sorted(size.tolist(), reverse=True):
+        fits = [k for k, room in enumerate(rooms) if room >= n]
+        if fits:
+            rooms[min(fits, key=lambda k: rooms[k])] -= n
+        else:
+            rooms.append(capacity - n)
+    return len(rooms)
+
+
+@pytest.mark.parametrize("kind", ["triplets", "cuts", "uniform", "small"])
+def test_search_is_never_worse_than_best_fit(kind):
+    rng = np.random.default_rng(5)
+    two = rng.integers(1025, 2048, (1000, 2))
+    cut = np.sort(rng.choice(np.arange(1, 4096), (1000, 2)), axis=1)
+    size = {"triplets": np.concatenate([two.ravel(), 4096 - two.sum(axis=1)]), "cuts": np.concatenate([cut[:, 0], cut[:, 1] - cut[:, 0], 4096 - cut[:, 1]]), "uniform": rng.integers(1, 4096, 1500), "small": rng.integers(1, 200, 1500)}[kind].astype(np.int64)
+    size = rng.permutation(size[size > 0])
+    best = min((packing.evolve(size, [], 0, k)[0] for k in range(2)), key=lambda s: s[0])
+    assert np.bincount(best[1], size).max() <= 4096 and len(best[1]) == len(size)
+    assert -(-int(size.sum()) // 4096) <= best[0][0] <= plain_best_fit(size)
+    if kind == "triplets":
+        assert best[0][0] <= 1015
+
+
+def test_exchange_moves_no_piece_twice():
+    rng = np.random.default_rng(2)
+    size = rng.integers(1, 60, 300).astype(np.int64)
+    bins = packing.next_fit(size, rng.permutation(300), 100).astype(np.int64)
+    bins[bins % 3 == 0] = -1
+    for _ in range(4):
+        load = np.bincount(bins[bins >= 0], size[bins >= 0], minlength=bins.max() + 1).astype(np.int64)
+        before = load.copy()
+        out = packing.exchange(size, bins, np.flatnonzero(bins < 0), load, 100, rng)
+        assert sorted(out.tolist()) == np.flatnonzero(bins < 0).tolist()
+        assert (load == np.bincount(bins[bins >= 0], size[bins >= 0], minlength=len(load))).all() and (load >= before).all() and load.max() <= 100
+
+
 def test_crossover_keeps_every_piece_once():
     rng = np.random.default_rng(1)
     size = rng.integers(1, 60, 200)
