@@ -8,7 +8,10 @@ one before, and its mean word length. An encoder makes a vector of it; gated att
 weighted sum. All of it is learned together, by Adam, from document labels.
 
 The model is fitted in one task on at most ``SAMPLE`` labelled texts, of the ids with the
-smallest hashes, a repeated row once; every document is scored.
+smallest hashes, a repeated row once, and on ``BAG`` passages at even distances of a longer
+one. Every document is scored on all its passages: a text of more than ``RUN`` bytes is cut
+into runs of whole passages, whose attention is added up with a running maximum, so what a
+task holds does not grow with the passages of a text.
 
 Defined results. A null or empty text, and one without words, is one passage of zeros.
 Without labels of both kinds every score is the share of label 1 (0.5 without labels). Of
@@ -19,6 +22,7 @@ scored one for one. Columns other than doc_id, text and quality are ignored.
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +34,10 @@ from .common import bloom, crc_of_id, fresh, release, settle, trimmed
 
 PASSAGE, SAMPLE, HIDDEN, GATE, EPOCHS, BAGS, RATE, DECAY, SEED = 50, 3000, 32, 16, 30, 64, 0.004, 1e-4, 7
 THRESHOLD = 0.3
+BAG, RUN = 1000, 1 << 20
 SIGNS = b" \n.,!?#$%&*|;:-'\"()/"
 KINDS = len(SIGNS) + 5
-CLASS = np.full(256, KINDS - 1, np.int64)
+CLASS = np.full(256, KINDS - 1, np.int16)
 CLASS[0x80:] = KINDS - 2
 CLASS[0x30:0x3A] = KINDS - 3
 CLASS[0x41:0x5B] = KINDS - 4
@@ -54,14 +59,22 @@ def passages(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(s):
         nth = np.arange(len(s)) - first[row]
         own = at[row] + nth // PASSAGE
-        starts = np.concatenate((s[nth % PASSAGE == 0], [len(buf)]))
-        which = own[nth % PASSAGE == 0]
-        of_byte = np.repeat(which, np.diff(starts))
-        b = buf[starts[0] :]
-        pair = CLASS[b[:-1]] * KINDS + CLASS[b[1:]]
-        same = of_byte[:-1] == of_byte[1:]
+        heads = np.flatnonzero(nth % PASSAGE == 0)
+        ends = np.minimum(np.append(s[heads[1:]], len(buf)), off[row[heads] + 1])
+        edges = np.column_stack((s[heads], ends)).ravel()  # a passage, what is between it and the next, ...
+        slots = np.column_stack((own[heads], np.full(len(heads), -1))).ravel()
         width = KINDS * KINDS
-        x[:, :width] = np.bincount((of_byte[:-1] * width + pair)[same], minlength=at[-1] * width).reshape(-1, width)
+        for lo in range(int(edges[0]), len(buf) - 1, RUN):  # pairs of neighbours within a passage, by their first byte
+            hi = min(lo + RUN, len(buf) - 1)
+            i, j = np.searchsorted(edges, (lo, hi), "right") - (1, 0)
+            held = slots[i:j][slots[i:j] >= 0]
+            if not len(held):
+                continue
+            of_byte = np.repeat(slots[i:j] - held[0], np.diff(np.clip(np.append(edges[i:j], hi + 1), lo, hi + 1)))
+            pair = CLASS[buf[lo:hi]] * KINDS + CLASS[buf[lo + 1 : hi + 1]]
+            same = (of_byte[:-1] == of_byte[1:]) & (of_byte[:-1] >= 0)
+            n = int(held[-1] - held[0]) + 1
+            x[held[0] : held[0] + n, :width] += np.bincount((of_byte[:-1] * width + pair)[same], minlength=n * width).reshape(-1, width)
         x[:, :width] = np.sqrt(x[:, :width] / np.maximum(x[:, :width].sum(axis=1), 1)[:, None])
         with np.errstate(over="ignore"):
             h = V.hashes(buf, s, e)
@@ -91,6 +104,65 @@ def forward(m: dict, x: np.ndarray, at: np.ndarray) -> dict:
     return {"h": h, "t": t, "g": g, "a": a, "z": z, "p": sigmoid(z @ m["c"] + m["d"])}
 
 
+def runs(buf: np.ndarray) -> Iterator[np.ndarray]:
+    """The passages of one text, about RUN bytes at a time."""
+    at, size = 0, RUN
+    while at + size < len(buf):
+        s, _, _ = V.words(buf[at : at + size], np.array([0, size]))
+        k = (len(s) - 1) // PASSAGE * PASSAGE  # the last word may go on, or end a passage
+        if k <= 0:
+            size *= 2
+            continue
+        yield passages(buf[at : at + s[k]], np.array([0, s[k]]))[0]
+        at, size = at + int(s[k]), RUN
+    yield passages(buf[at:], np.array([0, len(buf) - at]))[0]
+
+
+def folded(m: dict, parts: Iterable[np.ndarray]) -> float:
+    """The score of one bag whose passages come in parts."""
+    top, total, z = -np.inf, 0.0, 0.0
+    for x in parts:
+        h = np.tanh(x @ m["W"] + m["b"])
+        a = ((np.tanh(h @ m["V"]) * sigmoid(h @ m["U"])) @ m["w"]).astype(np.float64)
+        new = max(top, float(a.max()))
+        e = np.exp(a - new)
+        total, z = total * np.exp(top - new) + e.sum(), z * np.exp(top - new) + e @ h
+        top = new
+    return float(sigmoid(z / total @ m["c"] + m["d"]))
+
+
+def scores(m: dict, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The score of each text of a batch."""
+    out = [np.zeros(0)]
+    for i, j in V.spans(off, RUN):
+        if "p" in m:
+            out.append(np.full(j - i, m["p"]))
+        elif off[j] - off[i] > RUN:  # one text
+            out.append(np.array([folded(m, runs(buf[off[i] : off[j]]))]))
+        else:
+            out.append(forward(m, *passages(buf[off[i] : off[j]], off[i : j + 1] - off[i]))["p"].astype(np.float64))
+    return np.concatenate(out)
+
+
+def bags(buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Passages to learn from, and how many each text has: BAG at most, at even distances."""
+    for i, j in V.spans(off, RUN):
+        long = off[j] - off[i] > RUN
+        x, at = (None, None) if long else passages(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+        if long:
+            every = sum(len(part) for part in runs(buf[off[i] : off[j]]))
+            wanted, seen, found = np.unique(np.arange(min(BAG, every)) * every // min(BAG, every)), 0, []
+            for part in runs(buf[off[i] : off[j]]):
+                found.append(part[wanted[(wanted >= seen) & (wanted < seen + len(part))] - seen])
+                seen += len(part)
+            x, at = np.concatenate(found), np.array([0, len(wanted)])
+        n = np.diff(at)
+        if n.max() > BAG:
+            pick = np.concatenate([at[k] + (np.arange(min(BAG, n[k])) * n[k] // min(BAG, n[k])) for k in range(len(n))])
+            x, n = x[pick], np.minimum(n, BAG)
+        yield x, n
+
+
 def gradients(m: dict, x: np.ndarray, at: np.ndarray, y: np.ndarray) -> dict:
     f, sizes = forward(m, x, at), np.diff(at)
     dp = (f["p"] - y) / len(y)
@@ -134,10 +206,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
         xs, sizes, ys = [], [], []
         for b in batches:
             buf, off = V.text_bytes(b.column(0))
-            for i, j in V.spans(off):
-                x, at = passages(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+            for x, n in bags(buf, off):
                 xs.append(x)
-                sizes.append(np.diff(at))
+                sizes.append(n)
             ys.append(b.column(1).to_numpy().astype(np.float32))
         y = np.concatenate(ys) if ys else np.zeros(0, np.float32)
         if len(set(y.tolist())) < 2:
@@ -157,12 +228,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     def rows(batches):
         for b in batches:
             buf, off = V.text_bytes(b.column(2))
-            for i, j in V.spans(off):
-                if "p" in model:
-                    p = np.full(j - i, model["p"])
-                else:
-                    p = forward(model, *passages(buf[off[i] : off[j]], off[i : j + 1] - off[i]))["p"].astype(np.float64)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(p)], ["doc_id", "h", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores(model, buf, off))], ["doc_id", "h", "score"])
 
     return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(trimmed(rows), "doc_id long, h long, score double")
 
@@ -175,10 +241,9 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
-        buf, off = V.text_bytes(texts)
-        out = [forward(model, *passages(buf[off[i] : off[j]], off[i : j + 1] - off[i]))["p"] for i, j in V.spans(off)]
+        out = scores(model, *V.text_bytes(texts))
         release()
-        return pa.array(np.concatenate(out).astype(np.float64) if out else np.zeros(0))
+        return pa.array(out)
 
     (mark,) = fresh(docs, "mark")  # only texts go to Python, and only scores come back
     return docs.withColumn(mark, scored("text")).filter(F.col(mark) >= THRESHOLD).drop(mark)

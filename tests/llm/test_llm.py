@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import tracemalloc
 import os
 import re
 import sys
@@ -298,6 +299,37 @@ def test_quality_by_force(spark):
         assert abs(got[r.doc_id] - squash(sum(a * b for a, b in zip(z, m["c"])) + float(m["d"]))) < 1e-3
 
 
+@pytest.mark.parametrize("run", [64, 777, 5000])
+def test_quality_of_long_texts_comes_in_runs(documents, monkeypatch, run):
+    """Runs give the passages of the whole text, and their folded score; a text's passages don't depend on its neighbours."""
+    texts = [r.text for r in documents.select("text").limit(60).collect()] + [None, "", "   ", " a", "x" * 9000, "é " * 300, "a\n" * 51]
+    buf, off = V.text_bytes(pa.array(texts, pa.string()))
+    x, at = quality.passages(buf, off)
+    rng = np.random.default_rng(0)
+    shapes = {"W": (quality.DIM, 8), "b": 8, "V": (8, 4), "U": (8, 4), "w": 4, "c": 8, "d": ()}
+    m = {k: np.float32(rng.normal(size=s)) for k, s in shapes.items()}
+    whole = quality.forward(m, x, at)["p"]
+    monkeypatch.setattr(quality, "RUN", run)
+    monkeypatch.setattr(quality, "BAG", 3)
+    for k, text in enumerate(texts):
+        own = np.concatenate(list(quality.runs(buf[off[k] : off[k + 1]])))
+        assert (own == x[at[k] : at[k + 1]]).all() and len(own) == max(1, -(-len((text or "").encode().split()) // quality.PASSAGE))
+    assert np.abs(quality.scores(m, buf, off) - whole).max() < 1e-5
+    held = list(quality.bags(buf, off))
+    assert np.concatenate([n for _, n in held]).tolist() == np.minimum(np.diff(at), 3).tolist() and all(len(a) == n.sum() for a, n in held)
+
+
+def test_quality_of_a_very_long_text_takes_bounded_memory():
+    rng = np.random.default_rng(1)
+    m = {k: np.float32(rng.normal(size=s)) for k, s in {"W": (quality.DIM, 32), "b": 32, "V": (32, 16), "U": (32, 16), "w": 16, "c": 32, "d": ()}.items()}
+    buf = np.frombuffer(b"Some words, and 12 more of them.\n" * 1_000_000, np.uint8)
+    tracemalloc.start()
+    p = quality.scores(m, buf, np.array([0, len(buf)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 0 <= p[0] <= 1 and peak < 150 << 20
+
+
 def test_language_is_no_input(spark, edges):
     model = langid.learn(edges)
     a = {(r.doc_id, r.score) for r in langid.predict(edges, model).collect()}
