@@ -1,4 +1,4 @@
-"""Column builders for text: all are built-in expressions, so they stay in generated code."""
+"""Column builders for text: all are built-in expressions, so they stay in generated code, but for vocabularies of many terms."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallgrass.functions.terms import found
+
 
 def lits(values: Iterable) -> Column:
     return F.array(*[F.lit(v) for v in values])
@@ -25,8 +27,7 @@ def occurrences(text: Column, term: Column) -> Column:
 
 def hits(text: Column, terms: Iterable[str]) -> Column:
     """The terms that are somewhere in text, in lower case, sorted."""
-    low = F.lower(text)
-    return F.filter(lits(sorted(set(terms))), lambda t: F.contains(low, t))
+    return found(F.lower(text), sorted(set(terms)))
 
 
 def query_terms(query: str) -> list[str]:

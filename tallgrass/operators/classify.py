@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tallgrass.functions.terms import found
 from tallgrass.functions.text import hits, lits, safe_list, trim
 
 #: Words of the two vocabularies, without names of single users' projects, which users add.
@@ -48,9 +49,9 @@ def priority(title: Column, text: Column, a: Iterable[str] = TECHNICAL, b: Itera
 
 def projects_for(given: Column, text: Column, patterns: dict[str, tuple[str, ...]]) -> Column:
     """Names whose patterns occur in text, and those given, made safe for file names."""
-    low = F.lower(text)
-    found = F.array(*[F.when(F.exists(lits(p), lambda t: F.contains(low, t)), F.lit(name)) for name, p in patterns.items()])
-    every = F.array_union(F.filter(found, lambda x: x.isNotNull()), F.coalesce(given, F.array().cast("array<string>")))
+    here = found(F.lower(text), sorted({t for p in patterns.values() for t in p}))
+    named = F.array(*[F.when(F.arrays_overlap(here, lits(p).cast("array<string>")), F.lit(name)) for name, p in patterns.items()])
+    every = F.array_union(F.filter(named, lambda x: x.isNotNull()), F.coalesce(given, F.array().cast("array<string>")))
     safe = F.transform(every, lambda x: F.substring(F.regexp_replace(x, "[^A-Za-z0-9_-]+", "-"), 1, 80))
     return F.array_sort(F.array_distinct(F.filter(safe, lambda x: x != "")))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallgrass.functions.terms import found
 from tallgrass.functions.text import lines, lits, trim
 
 #: What a risky text has, what a risky script line has, and path words by audience.
@@ -16,16 +17,15 @@ AI_PATHS = ("security reports", "docker security reports", "docker hardening rep
 
 def evaluate(df: DataFrame, key: str, patterns=RISKY, text: str = "text") -> DataFrame:
     """key, status, score and findings of each text."""
-    found = F.filter(lits(patterns), lambda p: F.contains(F.lower(text), p))
     listed = F.array_join(F.transform("f", lambda p: F.concat(F.lit("Risky pattern found: `"), p, F.lit("`"))), "\n")
     some = F.size("f") > 0
-    return df.select(key, found.alias("f")).select(key, F.when(some, "warning").otherwise("pass").alias("status"), F.when(some, 70).otherwise(95).alias("score"), listed.alias("findings"))
+    return df.select(key, found(F.lower(text), patterns).alias("f")).select(key, F.when(some, "warning").otherwise("pass").alias("status"), F.when(some, 70).otherwise(95).alias("score"), listed.alias("findings"))
 
 
 def line_hits(df: DataFrame, key: str, text: str, patterns=RISKY_LINES) -> DataFrame:
     """A row for each pattern in each line; only hits are exploded."""
     rows = df.select(key, F.posexplode(lines(F.col(text))).alias("n", "l"))
-    hit = rows.select(key, (F.col("n") + 1).alias("line_no"), "l", F.explode(F.filter(lits(patterns), lambda p: F.contains(F.col("l"), p))).alias("pattern"))
+    hit = rows.select(key, (F.col("n") + 1).alias("line_no"), "l", found(F.col("l"), patterns).alias("f")).select(key, "line_no", "l", F.explode("f").alias("pattern"))
     return hit.select(key, "line_no", "pattern", F.substring(trim(F.col("l")), 1, 240).alias("line"))
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallgrass.functions.terms import found_of
 from tallgrass.operators import classify, files, scan
 
-from .registry import query
+from .registry import query, spread
 
 #: Terms that the test tables have.
 A = ("thehe", "ingand", "ofthe", "tionre", "anding", "onth", "ndre", "hein")
@@ -29,6 +30,14 @@ def keywords(t):
     return t.documents.select("doc_id", classify.by_keywords(F.col("text"), A, B).alias("k")).select("doc_id", "k.*")
 
 
+@query("CLS1_vocabulary", """WITH t AS (SELECT list(term ORDER BY term) AS every FROM (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM benchmark) WHERE length(term) > 3)
+    SELECT doc_id, len(f) AS n_terms, f[1] AS first_term, md5(array_to_string(f, ',')) AS terms_md5 FROM (SELECT doc_id, coalesce(list_filter(every, lambda w: contains(lower(text), w)), []) AS f FROM documents, t)""")
+def vocabulary(t):
+    words = t.benchmark.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("term")).filter(F.length("term") > 3)
+    hit = found_of(spread(t.documents.select("doc_id", "text"), "doc_id"), F.lower("text"), words)
+    return hit.select("doc_id", F.size("terms").alias("n_terms"), F.get("terms", F.lit(0)).alias("first_term"), F.md5(F.array_join("terms", ",")).alias("terms_md5"))
+
+
 @query("CLS2_priority", f"SELECT doc_id, CASE WHEN len(ha) >= 2 AND len(ha) > len(hb) THEN 100 + len(ha) WHEN len(hb) >= 2 AND len(hb) > len(ha) THEN 15 + len(hb) ELSE 0 END AS priority FROM (SELECT doc_id, list_filter({_list(A)}, lambda t: contains(lower(source || chr(10) || text), t)) AS ha, list_filter({_list(B)}, lambda t: contains(lower(source || chr(10) || text), t)) AS hb FROM documents)")
 def priority(t):
     return t.documents.select("doc_id", classify.priority(F.col("source"), F.col("text"), A, B).alias("priority"))

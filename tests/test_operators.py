@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tallgrass.functions import terms as M
 from tallgrass.functions import text as T
 from tallgrass.operators import archive, assets, chunking, classify, compose, embed, reports, scan, search, web
 from tallgrass.streaming import imports
@@ -476,3 +477,31 @@ def test_queries_come_in_blocks_of_bytes(spark, sf):
     rows = lambda size: sorted((r.query_id, r.place, r.chunk_id) for r in search.search_many(chunks, q, broadcast_bytes=size).collect())
     assert rows(1500) == rows(64 << 20) != []
     assert search.search_many(chunks, q.limit(0)).collect() == []
+
+
+def test_terms_of_large_vocabularies(spark):
+    """The automaton gives what looking for each term gives: overlapping, nested, repeated and empty ones, in any script."""
+    texts = ["ushers", "she said he", "", None, "naïve 漢字かな", "a" * 50, "aab" * 20, "\U0001f600 x\ny"]
+    terms = ("he", "she", "hers", "us", "", "aa", "aaa", "ab", "漢字", "字か", "\U0001f600", "x\ny", "he", "absent")
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, v string")
+    for some in (terms, ("", ""), ("he",), ()):
+        want = {k: [] if s is None else [t for t in some if t in s] for k, s in enumerate(texts)}
+        for many in (0, 64):
+            assert {r.k: r.f for r in df.select("k", M.found(F.col("v"), some, many).alias("f")).collect()} == want
+    table = spark.createDataFrame([(t,) for t in terms] + [(None,)], "term string")
+    for size in (2, None):
+        got = {r.k: r.terms for r in M.found_of(df, F.col("v"), table, size=size).collect()}
+        assert got == {k: [] if s is None else sorted(t for t in set(terms) if t in s) for k, s in enumerate(texts)}
+    assert M.found_of(df, F.col("v"), table.limit(0)).filter(F.size("terms") > 0).count() == 0
+
+
+def test_labels_and_scans_by_large_vocabularies(spark, monkeypatch):
+    """Labels, projects, risks and lines are the same by the automaton."""
+    df = spark.createDataFrame([(1, "Docker on Linux\nrm -rf / and sudo rm\n"), (2, "glitter wings\n| bash curl \n"), (3, None), (4, "")], "k int, text string")
+    names = {"One": ("docker", "linux"), "Two": ("wings",), "None": ()}
+    def every():
+        labels = df.select("k", classify.by_keywords(F.col("text")).alias("l"), classify.projects_for(F.array(F.lit("x")), F.col("text"), names).alias("p"))
+        return labels.orderBy("k").collect(), scan.evaluate(df, "k").orderBy("k").collect(), scan.line_hits(df, "k", "text").orderBy("k", "line_no", "pattern").collect()
+    plain = every()
+    monkeypatch.setattr(M, "MANY", 0)
+    assert every() == plain and len(plain[2]) == 4
