@@ -3,10 +3,10 @@
 import collections
 import hashlib
 import math
-import tracemalloc
 import os
 import re
 import sys
+import tracemalloc
 import zlib
 
 import duckdb
