@@ -58,7 +58,7 @@ def notes(t):
 
 @query("SRC3_attachments", f"SELECT source, bucket, sha256(whole) AS sha, strlen(whole) AS size FROM ({_WHOLE})")
 def attachments(t):
-    return readers.attachments(t.spark, _written(t, t.documents, "attachments")).select(*_source(), "sha", F.octet_length("content").cast("long").alias("size"))
+    return readers.attachments(t.spark, _written(t, t.documents, "attachments")).select(*_source(), "sha", "size")
 
 
 @query("SRC4_inventory", f"SELECT source, bucket, strlen(whole) AS size, 'Documents' AS category, 0 AS sensitive FROM ({_WHOLE})")

@@ -10,6 +10,7 @@ from tallgrass.operators.archive import text_of_parts
 from tallgrass.operators.assets import CONTROL, EXTENSION, MORE_SUFFIXES
 from tallgrass.operators.compose import COMPOSE_FILES
 from tallgrass.operators.files import category, sensitive, skipped
+from tallgrass.sources.digests import contents
 from tallgrass.sources.json_arrays import elements
 
 #: An export's schema is given, never inferred: node ids are keys of mapping.
@@ -35,9 +36,8 @@ def exports(df: DataFrame) -> DataFrame:
 
 
 def file_hashes(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """path and sha of each file; contents do not leave the scan."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
-    return df.select("path", F.sha2("content", 256).alias("sha"))
+    """path and sha of each file of any size; contents do not leave the scan."""
+    return contents(spark, folder, pattern, head=0).select("path", "sha")
 
 
 def notes(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,13 +47,14 @@ def notes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def attachments(spark: SparkSession, folder: str) -> DataFrame:
-    """path, content and sha of what may be an attachment."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "content")
+    """path, content and sha of what may be an attachment, its size, and if content is whole: of a file beyond
+    digests.LARGEST it is the beginning, which gives its type and its text if it is plain, but no list of an archive."""
+    df = contents(spark, folder)
     name = F.element_at(F.split("path", "/"), -1)
     ending = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
     wanted = ending.isin(".dat", *EXTENSION.values(), *MORE_SUFFIXES) | F.startswith(name, F.lit("file_")) | F.startswith(name, F.lit("file-"))
     control = F.lower(name).isin(*CONTROL) | F.lower(name).rlike(r"^conversations-.*\.json$")
-    return df.filter(wanted & ~control).withColumn("sha", F.sha2("content", 256))
+    return df.filter(wanted & ~control)
 
 
 def inventory(spark: SparkSession, folder: str) -> DataFrame:

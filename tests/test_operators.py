@@ -1,5 +1,6 @@
 """Behaviours that the queries over the tables do not reach."""
 
+import hashlib
 import io
 import zipfile
 import zlib
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from tallgrass.functions import terms as M
 from tallgrass.functions import text as T
 from tallgrass.operators import archive, assets, chunking, classify, compose, embed, reports, scan, search, web
+from tallgrass.sources import digests, readers
 from tallgrass.streaming import imports
 
 
@@ -505,3 +507,34 @@ def test_labels_and_scans_by_large_vocabularies(spark, monkeypatch):
     plain = every()
     monkeypatch.setattr(M, "MANY", 0)
     assert every() == plain and len(plain[2]) == 4
+
+
+def test_files_of_any_size_are_hashed(spark, tmp_path, monkeypatch):
+    """One digest whatever way a file is read; a file that no value can hold takes steps."""
+    (tmp_path / "empty.txt").touch()  # no reader of Spark lists it
+    held = {"a.txt": b"a", "b c.txt": b"abc" * 1000, "d%20e.txt": b"x" * 5000, "f.zip": b"PK\x03\x04" + bytes(6000), "chat.html": b"no attachment"}
+    (tmp_path / "in").mkdir()
+    for name, content in held.items():
+        (tmp_path / "in" / name).write_bytes(content)
+    monkeypatch.setattr(digests, "STEP", 700)
+    for largest in (-1, 4000, 1 << 28):
+        monkeypatch.setattr(digests, "LARGEST", largest)
+        got = {r.path.split("/")[-1]: r for r in digests.contents(spark, str(tmp_path), head=1000).collect()}
+        assert {k: r.sha for k, r in got.items()} == {k: hashlib.sha256(v).hexdigest() for k, v in held.items()}
+        for k, v in held.items():
+            assert got[k].size == len(v) and got[k].whole == (len(v) <= largest) and bytes(got[k].content) == (v if got[k].whole else v[:1000])
+        found = readers.attachments(spark, str(tmp_path)).select("path", "sha", assets.mime(F.col("path"), F.col("content")).alias("mime")).collect()
+        assert {(r.path.split("/")[-1], r.mime) for r in found} == {("a.txt", "text/plain"), ("b c.txt", "text/plain"), ("d%20e.txt", "text/plain"), ("f.zip", "application/zip")}
+
+
+def test_a_file_beyond_two_gib(spark, tmp_path):
+    with open(tmp_path / "large.dat", "wb") as f:
+        f.truncate((1 << 31) + 10)
+    digest = hashlib.sha256()
+    for _ in range(1 << 11):
+        digest.update(bytes(1 << 20))
+    digest.update(bytes(10))
+    (row,) = readers.file_hashes(spark, str(tmp_path)).collect()
+    assert row.sha == digest.hexdigest()
+    (row,) = readers.attachments(spark, str(tmp_path)).select("size", "whole", F.length("content").alias("n")).collect()
+    assert (row["size"], row.whole, row.n) == ((1 << 31) + 10, False, digests.HEAD)
