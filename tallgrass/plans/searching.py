@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallgrass.functions import text as T
 from tallgrass.operators import archive, embed, postings, search
-from tallgrass.sources import tables
+from tallgrass.sources import ranged, tables
 from tallgrass.sources.scratch import scratch
 
 from .knowledge import FACTS, SLUG, facts
@@ -266,6 +266,23 @@ def upsert(t):
     return tables.upserted(_stored(t).select("conversation_id", "title", "digest"), _incoming(t).select("conversation_id", "title", "digest"), "conversation_id")
 
 
+_NEAR = "o_orderkey BETWEEN (SELECT max(o_orderkey) FROM orders) // 5 * 2 AND (SELECT max(o_orderkey) FROM orders) // 5 * 2 + (SELECT max(o_orderkey) FROM orders) // 100"
+
+
+@query("SNK1_merged_files", f"SELECT o_orderkey, CASE WHEN {_NEAR} THEN o_totalprice + 2 ELSE o_totalprice END AS o_totalprice, CASE WHEN {_NEAR} THEN 2 ELSE 0 END AS seq FROM orders WHERE o_orderkey IS NOT NULL")
+def merged_files(t):
+    """One per cent of the orders, those of a range of keys, change twice in a table of fifty files or more."""
+    rows = t.orders.select("o_orderkey", "o_totalprice", F.lit(0).alias("seq"))
+    n, top = rows.agg(F.count("*"), F.max("o_orderkey")).first()
+    store = ranged.Ranged(t.spark, scratch(t.spark, "ranged"), "o_orderkey", "seq", min(ranged.FILE_ROWS, n // 50 + 1))
+    store.merge(rows)
+    near = rows.filter(F.col("o_orderkey").between(top // 5 * 2, top // 5 * 2 + top // 100)) if top is not None else rows.limit(0)
+    again = F.explode(F.array(F.lit(2), F.lit(1)))
+    store.merge(near.withColumn("seq", again).withColumn("o_totalprice", F.col("o_totalprice") + F.col("seq")))
+    held = store.read()
+    return rows if held is None else held.select(*rows.columns)
+
+
 @query("FIL3_inventory_upsert", "SELECT p_brand AS path, max_by(p_name, p_partkey) AS name, max(p_partkey) AS seen FROM part GROUP BY p_brand")
 def inventory(t):
     rows = t.part.select(F.col("p_brand").alias("path"), F.col("p_name").alias("name"), F.col("p_partkey").alias("seen"))

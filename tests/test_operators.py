@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tallgrass.functions import terms as M
 from tallgrass.functions import text as T
 from tallgrass.operators import archive, assets, chunking, classify, compose, embed, reports, scan, search, web
-from tallgrass.sources import digests, readers
+from tallgrass.sources import digests, ranged, readers
 from tallgrass.streaming import imports
 
 
@@ -538,3 +538,35 @@ def test_a_file_beyond_two_gib(spark, tmp_path):
     assert row.sha == digest.hexdigest()
     (row,) = readers.attachments(spark, str(tmp_path)).select("size", "whole", F.length("content").alias("n")).collect()
     assert (row["size"], row.whole, row.n) == ((1 << 31) + 10, False, digests.HEAD)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_merges_write_few_files_anew(spark, tmp_path, kind):
+    """One per cent of changed keys in a range; one result under any partitioning; new columns; a merge that comes too late."""
+    key = F.col("id").cast(kind) if kind == "long" else F.lpad(F.col("id").cast("string"), 6, "0")
+    base = spark.range(10_000).select(key.alias("k"), F.lit(0).alias("seq"), F.concat(F.lit("v"), "id").alias("v"))
+    table = lambda: ranged.Ranged(spark, str(tmp_path), "k", "seq", 100)
+    assert table().read() is None and table().merge(base.limit(0)) == {"files": 0, "rewritten": 0, "rows": 0}
+    table().merge(base.unionByName(base.limit(1).withColumn("k", F.lit(None).cast(kind))))
+    late, store = table(), table()
+    assert 80 <= len(store.files) <= 130 and sum(f.rows for f in store.files) == 10_000
+    assert all(a.largest < b.least for a, b in zip(store.files, store.files[1:]))
+    some = base.filter(F.col("v").isin(*[f"v{k}" for k in range(4000, 4100)]))
+    changes = some.select("k", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("seq"), F.lit("x").alias("v"), F.lit("more").alias("w")).withColumn("v", F.concat("v", "seq"))
+    tied = changes.filter("seq = 5").withColumn("v", F.lit("x49"))
+    before = {f.path for f in store.files}
+    said = store.merge(changes.unionByName(tied).repartition(7))
+    assert said["files"] == len(before) and said["rewritten"] <= 4 and len(before - {f.path for f in store.files}) == said["rewritten"]
+    got = {r.k: (r.seq, r.v, r.w) for r in table().read().collect()}
+    mine = {r.k for r in some.select("k").collect()}
+    assert sorted(table().read().columns) == ["k", "seq", "v", "w"]
+    assert len(got) == 10_000 and all(got[k] == (5, "x5", "more") for k in mine)
+    assert all(v[0] == 0 and v[2] is None for k, v in got.items() if k not in mine)
+    with pytest.raises(RuntimeError):
+        late.merge(some)
+    store.merge(some.withColumn("seq", F.lit(3)))  # older than what is stored
+    assert {r.v for r in store.read().filter(F.col("k").isin(*mine)).collect()} == {"x5"}
+    beyond = spark.range(20_000, 20_350).select(key.alias("k"), F.lit(1).alias("seq"), F.lit("n").alias("v"))
+    store.merge(beyond)
+    assert store.read().count() == 10_350 and all(a.largest < b.least for a, b in zip(store.files, store.files[1:]))
+    assert max(f.rows for f in store.files) < 300
