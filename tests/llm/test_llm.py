@@ -787,3 +787,40 @@ def test_pipeline(spark, edges, empty, sf, labels):
         check_packing(P.STAGES[-1][1](spark, docs, sf).collect(), [(r.doc_id, r.text) for r in docs.collect()])
     out = P.run(spark, sf)
     assert 0 < out.select("doc_id").distinct().count() < spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_pipeline_stages_keep_and_remove_exactly(spark, sf, documents):
+    """Line dedup, near-dedup and decontamination against brute force on both sides: texts, ids and signs, no more and no fewer."""
+    import corpus_pipeline as P
+
+    stages, names = dict(P.STAGES), ["doc_id", "text", "lang", "source", "n_chars"]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    own = " ".join(f"own{k}" for k in range(60))
+    planted = [(5000, own + "\n" + SHARED), (5001, own.replace("own7 ", "other ")), (5002, "Fresh line of words here.\n" + SHARED + "\nLast line of it."), (5003, SHARED), (5004, "Before it " + items[0][1] + " and after"), (5005, None), (5006, ""), (5007, own + "\n" + SHARED + " end")]
+    rows = planted + [(r.doc_id, r.text) for r in documents.select("doc_id", "text").limit(120).collect()]
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("doc_id", "text", "'en' lang", "'s' source", "cast(length(text) as bigint) n_chars").repartition(3)
+
+    gone, want = removed_by_force(rows), {}
+    for d, text in rows:
+        lines = (text or "").split("\n")
+        left = [x for k, x in enumerate(lines) if (d, k) not in gone]
+        if len(left) == len(lines) or words("\n".join(left)):
+            want[d] = text if len(left) == len(lines) else "\n".join(left)
+    assert len(gone) >= 3 and not {5003, 5007} & set(want) and want[5002] == "Fresh line of words here.\nLast line of it."
+    out = stages["line_dedup"](spark, docs, sf)
+    got = out.collect()
+    assert out.columns == names and {r.doc_id: r.text for r in got} == want and len(got) == len(want)
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got)
+
+    for name in ("near_dedup", "decontamination"):  # of the texts as they are, so that copies are there
+        if name == "near_dedup":
+            _, of = components_by_force_indexed(rows, 5, 80)
+            keep = {d for d, c in of.items() if c == d}
+            assert {5000, 5001} <= keep and 5007 not in keep
+        else:
+            keep = {d for d, _ in rows} - {x[0] for x in contaminated_by_force(rows, items) if x[4]}
+            assert 5004 not in keep
+        out = stages[name](spark, docs, sf)
+        got = out.collect()
+        assert out.columns == names and sorted((r.doc_id, r.text) for r in got if r.text is not None) == sorted((d, x) for d, x in rows if d in keep and x is not None)
+        assert {r.doc_id for r in got} == keep and len(got) == len(keep)
