@@ -5,6 +5,7 @@ import hashlib
 import math
 import os
 import re
+import struct
 import sys
 import tracemalloc
 import zlib
@@ -757,6 +758,114 @@ def test_broken_media(spark):
         media.describe(bytes(b))
 
 
+def read_plainly(file):
+    """Payload, timescale, duration and sync samples of a one-track file by another reader: tables are found by name, not by walking."""
+    at = lambda name, k=0: file.index(name) + 8 + k
+    u32 = lambda p, n=1: [int.from_bytes(file[p + 4 * k : p + 4 * k + 4], "big") for k in range(n)]
+    even, n = u32(at(b"stsz"), 2)
+    chunks = u32(at(b"co64"))[0]
+    starts = [int.from_bytes(file[at(b"co64", 4 + 8 * k) :][:8], "big") for k in range(chunks)]
+    runs = [u32(at(b"stsc", 4 + 12 * k), 3) for k in range(u32(at(b"stsc"))[0])]
+    per = [max(r for r in runs if r[0] <= k + 1)[1] for k in range(chunks)]
+    samples = [(s + even * j, s + even * (j + 1)) for s, c in zip(starts, per) for j in range(c)]
+    assert len(samples) == n
+    sync = u32(at(b"stss", 4), u32(at(b"stss"))[0])
+    scale, duration = u32(at(b"mdhd", 16))[0], int.from_bytes(file[at(b"mdhd", 20) :][:8], "big")
+    return b"".join(file[a:b] for a, b in samples), scale, duration, [samples[k - 1] for k in sync]
+
+
+def test_stored_texts_by_another_reader():
+    for n in (0, 1, 576, 577, 8 * 576, 50_000):
+        p = media.pad(bytes(k % 251 for k in range(n)))
+        file = media.wrap(p)
+        payload, scale, duration, keys = read_plainly(file)
+        d = media.describe(file)
+        assert payload == p == media.read_payload(file) and (scale, duration) == (d["timescale"], d["duration"]) == (48_000, len(p))
+        assert keys == [(k["start"], k["end"]) for k in d["keyframes"]] and d["tracks"][0]["handler"] == "soun" and len(d["tracks"]) == 1
+
+
+def movie(tracks, extra=b""):
+    """A file of tracks (id, handler, codec, timescale, duration, sizes of samples, sync samples), all bytes in one mdat."""
+    def moov(base):
+        out = []
+        for ident, handler, codec, scale, duration, sizes, sync in tracks:
+            table = [media.full(b"stsd", media.numbers(1), media.box(codec, bytes(8))), media.full(b"stts", media.numbers(1, len(sizes), 10))]
+            table += [media.full(b"stsz", media.numbers(0, len(sizes), *sizes)), media.full(b"stsc", media.numbers(1, 1, len(sizes), 1)), media.full(b"stco", media.numbers(1, base))]
+            table += [media.full(b"stss", media.numbers(len(sync), *sync))] if sync is not None else []
+            mdia = media.box(b"mdia", media.full(b"mdhd", media.numbers(0, 0, scale, duration)), media.full(b"hdlr", media.numbers(0), handler), media.box(b"minf", media.box(b"stbl", *table)))
+            out.append(media.box(b"trak", media.full(b"tkhd", media.numbers(0, 0, ident)), mdia))
+            base += sum(sizes)
+        return media.box(b"moov", *out, extra)
+
+    head = media.box(b"ftyp", b"isom")
+    return head + moov(len(head) + len(moov(0)) + 8) + media.box(b"mdat", bytes(sum(sum(t[5]) for t in tracks)))
+
+
+def flagged(kind, flags, *values):
+    return media.box(kind, media.numbers(flags, *values))
+
+
+def test_all_tracks_of_a_file(spark):
+    file = movie([(7, b"soun", b"mp4a", 44100, 30, [5, 6, 7], None), (9, b"vide", b"avc1", 90000, 40, [50, 20, 30, 60], [1, 4]), (11, b"text", b"tx3g", 1000, 0, [], None)])
+    base = len(file) - 178
+    d = media.describe(file)
+    assert d["error"] is None and (d["codec"], d["samples"], d["duration"]) == ("avc1", 4, 40)
+    assert [(k["start"] - base, k["end"] - base) for k in d["keyframes"]] == [(18, 68), (118, 178)]
+    assert [(t["track_id"], t["handler"], t["codec"], t["timescale"], t["samples"], len(t["keyframes"])) for t in d["tracks"]] == [(7, "soun", "mp4a", 44100, 3, 3), (9, "vide", "avc1", 90000, 4, 2), (11, "text", "tx3g", 1000, 0, 0)]
+    row = media.probe(spark.createDataFrame([(1, file), (2, None)], "id long, data binary"), "data", ["id"]).orderBy("id").collect()
+    assert [t.codec for t in row[0].tracks] == ["mp4a", "avc1", "tx3g"] and row[1].tracks is None and row[0].codec == "avc1"
+    sound = media.describe(movie([(1, b"vide", b"avc1", 1, 0, [], None), (2, b"soun", b"mp4a", 8000, 2, [4, 4], None)]))
+    assert sound["codec"] == "mp4a" and sound["samples"] == 2  # a video track without samples doesn't stand for the file
+
+
+def test_sample_sizes_of_few_bits():
+    for bits, body in ((4, b"\x53\x70"), (8, b"\x05\x03\x07"), (16, b"\0\x05\0\x03\0\x07")):
+        table = media.full(b"stz2", bytes(3) + bytes([bits]), media.numbers(3), body)
+        start = table.index(b"stz2") + 4
+        assert media.sample_sizes(table, {b"stz2": (start, len(table))}) == [5, 3, 7]
+    with pytest.raises(ValueError):
+        media.sample_sizes(table[:-1], {b"stz2": (start, len(table) - 1)})
+
+
+def test_fragments_have_samples():
+    """Two fragments of two tracks: bases, defaults of trex and tfhd, sizes by sample, first flags and both kinds of marks."""
+    trex = lambda ident, d, s, f: media.full(b"trex", media.numbers(ident, 1, d, s, f))
+    head = movie([(1, b"soun", b"mp4a", 100, 0, [], None), (2, b"vide", b"avc1", 1000, 0xFFFFFFFF, [], [])], media.box(b"mvex", trex(1, 20, 4, 0), trex(2, 40, 10, media.NO_SYNC)))
+    # The first: data after the box; the sound's run follows the video's by default.
+    def first(offset):
+        video = media.box(b"traf", flagged(b"tfhd", 0x20000, 2), flagged(b"trun", 0x1 | 0x4, 3, offset, 0))  # first flags: sync
+        sound = media.box(b"traf", flagged(b"tfhd", 0, 1), flagged(b"trun", 0x200, 2, 6, 8))
+        return media.box(b"moof", media.full(b"mfhd", media.numbers(1)), video, sound)
+
+    one = first(len(first(0)) + 8) + media.box(b"mdat", bytes(30 + 14))
+    at = len(head) + len(first(0)) + 8
+    # The second: an absolute base, durations, sizes and marks of each sample, then a run that goes on after it.
+    def second(base):
+        runs = [flagged(b"trun", 0x100 | 0x200 | 0x400, 2, 7, 3, media.NO_SYNC, 9, 5, 0), flagged(b"trun", 0, 1)]
+        return media.box(b"moof", media.box(b"traf", media.box(b"tfhd", struct.pack(">IIQI", 0x1 | 0x10, 2, base, 11)), *runs))
+
+    late = len(head) + len(one) + len(second(0)) + 8
+    file = head + one + second(late) + media.box(b"mdat", bytes(19))
+    d = media.describe(file)
+    assert d["error"] is None and (d["codec"], d["samples"], d["duration"], d["timescale"]) == ("avc1", 6, 3 * 40 + 7 + 9 + 40, 1000)
+    assert [(k["start"], k["end"]) for k in d["keyframes"]] == [(at, at + 10), (late + 3, late + 8)]
+    sound = d["tracks"][0]
+    assert (sound["samples"], sound["duration"]) == (2, 40) and [(k["start"], k["end"]) for k in sound["keyframes"]] == [(at + 30, at + 36), (at + 36, at + 44)]
+    # What is wrong is an error and stops nothing: no such track, data beyond the file, more samples than bytes.
+    wrong = [media.box(b"traf", flagged(b"tfhd", 0x20000, 5), flagged(b"trun", 0, 1)), media.box(b"traf", flagged(b"tfhd", 0x20000, 2), flagged(b"trun", 0x1, 1, 1 << 30))]
+    wrong += [media.box(b"traf", flagged(b"tfhd", 0x20000 | 0x10, 2, 0), flagged(b"trun", 0, 1 << 31)), media.box(b"traf", flagged(b"trun", 0, 1))]
+    wrong += [media.box(b"traf", flagged(b"tfhd", 0x20000, 2), flagged(b"trun", 0x200, 1 << 8))]
+    for traf in wrong:
+        d = media.describe(head + media.box(b"moof", traf) + bytes(0))
+        assert d["error"] and d["keyframes"] is None and d["tracks"] is None
+    random = np.random.default_rng(1)
+    for _ in range(300):
+        b = bytearray(file)
+        for k in random.integers(len(head) - 100, len(file), 3):
+            b[k] = random.integers(0, 256)
+        media.describe(bytes(b))
+
+
 def test_pipeline(spark, edges, empty, sf, labels):
     """Which documents each stage keeps, against its operator or brute force, and that rows keep their columns."""
     import corpus_pipeline as P
