@@ -7,10 +7,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tallgrass.sources.scratch import scratch
+
 #: Signs of a text that are embedded, codes of answers after which a call is made again, and the longest wait.
 INPUT, TRANSIENT, LONGEST = 8_000, frozenset((429, 500, 502, 503, 504)), 8
 
@@ -93,6 +95,40 @@ def reuse(new: DataFrame, old: DataFrame, model: str, embedding_on: bool = True)
     return joined.select(*new.columns, F.when(fits, F.col("_old.embedding")).alias("embedding"), F.when(fits, F.col("_old.embedding_model")).otherwise(F.lit(model)).alias("embedding_model"), fits.alias("reused"))
 
 
+#: Pointers of 16 bytes and a file's name that every task may be sent; with more of them, rows move to their pointers.
+SENT_POINTERS = 250_000
+
+
+def stored_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """The chunks of a Parquet folder, with the place of each row in its files as at (file, row)."""
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("at")
+    return spark.read.parquet(folder).select("*", at)
+
+
+def located(new: DataFrame, stored: DataFrame, model: str, embedding_on: bool = True) -> DataFrame:
+    """What reuse() says of new, with the place (at) of the stored vector instead of the vector, so that only hashes and
+    places are shuffled. Of several stored chunks of a hash the one with the largest index counts, then the last place;
+    null hashes have no vector."""
+    same = F.col("embedding_model") == model
+    known = stored.filter("embedding is not null").select("chunk_hash", F.struct(same.alias("same"), "chunk_index", "at", F.col("embedding_model").alias("model")).alias("_old"))
+    last = known.groupBy("chunk_hash").agg(F.max("_old").alias("_old"))
+    fits = F.col("_old").isNotNull() & (F.coalesce(F.col("_old.same"), F.lit(False)) | F.lit(not embedding_on))
+    joined = new.join(last, "chunk_hash", "left")
+    return joined.select(*new.columns, F.when(fits, F.col("_old.at")).alias("at"), F.when(fits, F.col("_old.model")).otherwise(F.lit(model)).alias("embedding_model"), fits.alias("reused"))
+
+
+def fetched(found: DataFrame, stored: DataFrame) -> DataFrame:
+    """found (of located()) with the vectors at its places. Few places are sent to the scan, which then gives no other
+    vector to a shuffle; with more than SENT_POINTERS of them places and vectors meet by a shuffle."""
+    spark, path = found.sparkSession, scratch(found.sparkSession, "places")
+    found.filter("at is not null").select("at.file", "at.row").distinct().write.parquet(path)
+    places = spark.read.parquet(path)
+    few = places.count() <= SENT_POINTERS
+    vectors = stored.select(F.col("at.file").alias("file"), F.col("at.row").alias("row"), "embedding")
+    wanted = vectors.join(F.broadcast(places) if few else places, ["file", "row"], "left_semi").select(F.struct("file", "row").alias("at"), "embedding")
+    return found.join(wanted, "at", "left").select(*found.columns, "embedding").drop("at")
+
+
 def replace_sources(new: DataFrame, stored: DataFrame, source: str = "source_id", touched: DataFrame | None = None) -> DataFrame:
     """The chunk table after an import: all chunks of touched sources (those of new if none are named) are the new
     ones, so a touched source without chunks loses those it had."""

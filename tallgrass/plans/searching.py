@@ -317,6 +317,15 @@ def reuse(t):
     return embed.reuse(_new(t), _old(t), "m1").select("source_id", "chunk_index", F.coalesce("reused", F.lit(False)).alias("reused"), F.get("embedding", F.lit(0)).cast("double").alias("v"))
 
 
+@query("EMB2_reuse_stored", f"WITH {_NEW}, {_LAST}, {_OLD} SELECT l.source_id, l.chunk_index, coalesce(o.v IS NOT NULL AND o.embedding_model = 'm1', false) AS reused, CASE WHEN o.embedding_model = 'm1' THEN o.v END AS v FROM last l LEFT JOIN old o ON l.chunk_hash = o.chunk_hash AND o.v IS NOT NULL")
+def reuse_stored(t):
+    """As EMB2_reuse, from an index that lies in files: vectors are fetched by their places."""
+    folder = scratch(t.spark, "index")
+    _old(t).write.parquet(folder)
+    stored = embed.stored_vectors(t.spark, folder)
+    return embed.fetched(embed.located(_new(t), stored, "m1"), stored).select("source_id", "chunk_index", "reused", F.get("embedding", F.lit(0)).cast("double").alias("v"))
+
+
 @query("EMB2_reuse_without_model", f"WITH {_NEW}, {_LAST}, {_OLD} SELECT l.source_id, l.chunk_index, o.v IS NOT NULL AS reused FROM last l LEFT JOIN old o ON l.chunk_hash = o.chunk_hash")
 def reuse_off(t):
     return embed.reuse(_new(t), _old(t), "m1", embedding_on=False).select("source_id", "chunk_index", F.coalesce("reused", F.lit(False)).alias("reused"))

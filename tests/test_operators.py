@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import re
 import zipfile
 import zlib
 
@@ -213,6 +214,27 @@ def test_a_source_without_chunks_loses_those_it_had(spark):
     assert embed.replace_sources(old.limit(0), old, touched=old.filter("source_id = 1")).collect() == [(2, "y")]
 
 
+def test_stored_vectors_are_fetched_by_place(spark, tmp_path, monkeypatch):
+    new = spark.createDataFrame([(k, h) for k, h in enumerate(["a", "b", "c", "d", "a", None, "tie"])], "id long, chunk_hash string")
+    old = [("a", 1, "m", [1.0, 2.0]), ("a", 2, "x", [9.0, 9.0]), ("b", 1, "x", [3.0, 3.0]), ("c", 1, "m", None), ("d", 3, "m", [4.0, 4.0]), ("d", 5, "m", [5.0, 5.0]), ("unused", 1, "m", [7.0, 7.0]), (None, 1, "m", [8.0, 8.0]), ("tie", 1, None, [6.0, 6.0])]
+    folder = str(tmp_path / "index")
+    spark.createDataFrame(old, "chunk_hash string, chunk_index int, embedding_model string, embedding array<float>").repartition(3).write.parquet(folder)
+    stored = embed.stored_vectors(spark, folder)
+    for most in (embed.SENT_POINTERS, 0):  # places sent to the scan, and by a shuffle
+        monkeypatch.setattr(embed, "SENT_POINTERS", most)
+        for on in (True, False):
+            at = embed.located(new, stored, "m", on)
+            got = {r.id: (r.embedding, r.embedding_model, r.reused) for r in embed.fetched(at, stored).collect()}
+            want = {r.id: (r.embedding, r.embedding_model, r.reused) for r in embed.reuse(new, spark.read.parquet(folder), "m", on).collect()}
+            assert {k: v[:2] for k, v in got.items()} == {k: v[:2] for k, v in want.items()} and got[0] == got[4] == ([1.0, 2.0], "m", True)
+            assert got[3][0] == [5.0, 5.0] and got[1] == (([3.0, 3.0], "x", True) if not on else (None, "m", False)) and got[2] == got[5] == (None, "m", False)
+        empty = embed.fetched(embed.located(new.limit(0), stored, "m"), stored)
+        assert empty.collect() == [] and empty.columns == ["id", "chunk_hash", "embedding_model", "reused", "embedding"]
+    plan = embed.located(new, stored, "m")._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    dealt = [part for part in plan.split("\n\n") if re.match(r"\(\d+\) Exchange", part.strip())]
+    assert dealt and not any(re.search(r"embedding#", part) for part in dealt)
+
+
 def test_an_import_starts_changed_conversations_again(spark, tmp_path):
     folder = f"file://{tmp_path}/import"
     kind = "conversation_id long, title string, created_at string, messages array<struct<pos:int,role:string,text:string>>"
