@@ -6,7 +6,7 @@ import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Tags whose text is left out, in either form, and the most signs of the second.
@@ -73,14 +73,32 @@ def read_page(html: str, more: bool = False) -> tuple[str, str]:
     return (spaced if more else plain)(events(html))
 
 
-def page_texts(pages: DataFrame, more: bool = False) -> DataFrame:
-    """page_id, url, title and text of each page; a title falls back to the host as the url names it (with user and port), or to the url."""
+def is_html(url: Column, content_type: Column) -> Column:
+    """Whether an answer is read as HTML: its type says so, or its url ends with .html or a slash; null is neither."""
+    return F.coalesce(F.contains(content_type, F.lit("text/html")), F.lit(False)) | F.coalesce(F.lower(url).rlike(r"(\.html|/)\z"), F.lit(False))
+
+
+def last_of_path(url: Column) -> Column:
+    """What follows the last slash of the path of a url; the url where that is nothing."""
+    path = F.regexp_replace(F.regexp_replace(url, r"(?s)[?#].*", ""), r"^([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/]*)?", "")
+    last = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?s);.*", "")
+    return F.when(last != "", last).otherwise(url)
+
+
+def page_texts(pages: DataFrame, more: bool = False, content_type: str | None = None) -> DataFrame:
+    """page_id, url, title and text of each page; a title falls back to the host as the url names it (with user and port), or to the url.
+
+    With the name of a column of content types, pages that are not HTML keep their text as it is and are titled by their
+    path; without one all are read as HTML. A null page has an empty text.
+    """
 
     def rows(batches):
         for b in batches:
-            found = [read_page(h or "", more) for h in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([t for t, _ in found], pa.string()), pa.array([x for _, x in found], pa.string())], ["page_id", "url", "title", "text"])
+            found = [read_page(h or "", more) if web else (None, h or "") for h, web in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([t for t, _ in found], pa.string()), pa.array([x for _, x in found], pa.string()), b.column(3)], ["page_id", "url", "title", "text", "is_html"])
 
-    out = pages.select("page_id", "url", "html").mapInArrow(rows, "page_id long, url string, title string, text string")
+    web = is_html(F.col("url"), F.col(content_type)) if content_type else F.lit(True)
+    out = pages.select("page_id", "url", "html", web.alias("is_html")).mapInArrow(rows, "page_id long, url string, title string, text string, is_html boolean")
     fallback = F.col("url") if more else F.coalesce(F.try_parse_url("url", F.lit("AUTHORITY")), F.col("url"))
-    return out.withColumn("title", F.when(F.col("title") != "", F.col("title")).otherwise(fallback))
+    title = F.when(~F.col("is_html"), last_of_path(F.col("url"))).when(F.col("title") != "", F.col("title")).otherwise(fallback)
+    return out.withColumn("title", title).drop("is_html")

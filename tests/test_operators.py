@@ -104,6 +104,18 @@ def test_page_titles_fall_back_to_the_host(spark):
     assert {r.page_id: r.title for r in web.page_texts(df).collect()} == {1: "me@site.example:8080", 2: "no url"}
 
 
+def test_pages_that_are_not_html_are_kept(spark):
+    raw = "<title>T</title>\n\n\n\n# as  it is"
+    rows = [("http://h/a/notes.md?v=1#x", "text/plain"), ("http://h/a/page.HTML", None), ("http://h/dir/", "text/plain"), ("http://h", None), ("http://h/x", "TEXT/HTML"), ("http://h/x", "text/html; charset=utf-8"), ("http://h/a;b=c", ""), (None, None), ("http://h/f?q=a/", None), ("http://h/a.html\n", "")]
+    df = spark.createDataFrame([(k, u, raw, t) for k, (u, t) in enumerate(rows)] + [(20, "http://h/f.txt", None, None)], "page_id long, url string, html string, kind string")
+    got = {r.page_id: (r.title, r.text) for r in web.page_texts(df, content_type="kind").collect()}
+    as_html = ("T", web.read_page(raw)[1])
+    assert got[0] == ("notes.md", raw) and got[1] == got[2] == got[5] == as_html and got[3] == ("http://h", raw) and got[4] == ("x", raw)
+    assert got[6] == ("a", raw) and got[7] == (None, raw) and got[8] == as_html and got[20] == ("f.txt", "")
+    assert got[9][1] == raw and len(got) == len(rows) + 1
+    assert all(r.text == as_html[1] for r in web.page_texts(df.filter("page_id < 20")).collect())
+
+
 def test_long_texts_are_cut_in_one_pass(spark):
     text = "".join(chr(97 + k % 26) for k in range(7_000)) + " é😀 " * 900
     want = [p for k in range(0, len(text.strip()), 2100) if (p := text.strip()[k : k + 2400].strip())]
