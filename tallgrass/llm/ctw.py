@@ -434,7 +434,7 @@ def score(gathered: DataFrame, answered: DataFrame, shards: int) -> DataFrame:
         # The keys of the group as it sent them, which the answers follow.
         table = {}
         for kind, make in ((PLACE, lambda buf, off: places(*framed(buf, off)[:2])), (WORD, lambda buf, off: text_words(buf, off)[0])):
-            keys = np.unique(np.concatenate([np.unique(make(buf, off)) for buf, off, _, _ in slices]))
+            keys = V.keys_of(np.concatenate([V.keys_of(make(buf, off)) for buf, off, _, _ in slices]))
             order, which, bounds = by_shard(kind, keys, shards)
             found = np.zeros(len(keys), np.float32 if kind == PLACE else np.int64)
             for r, s, i, j in zip(values[kind], which.tolist(), bounds[:-1], bounds[1:]):
