@@ -21,11 +21,26 @@ def _buckets(df):
     return df.count() // IN_FILE + 1
 
 
+#: Buckets that a task writes, some tens of files each.
+BUCKETS_OF_TASK = 20
+
+
+def _dealt(df, buckets, *keys):
+    """df dealt by keys to tasks by how many files they write, not by bytes: Spark would give them all to a few."""
+    return df.repartition(max(4 * df.sparkSession.sparkContext.defaultParallelism, buckets // BUCKETS_OF_TASK), *keys)
+
+
+def _many(writer):
+    """A writer of many folders, each put in its place by its own task and not, one after the other, by the driver."""
+    return writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+
+
 def _written(t, df, name):
     """A folder with text files for each source, a bucket of its texts in each: in order, each with a line end."""
     path = scratch(t.spark, name)
-    rows = df.withColumn("bucket", F.col("doc_id") % F.lit(_buckets(df)))
-    rows.repartition("source", "bucket").sortWithinPartitions("source", "bucket", "doc_id").select("source", "bucket", "text").write.partitionBy("source", "bucket").text(path)
+    n = _buckets(df)
+    rows = _dealt(df.withColumn("bucket", F.col("doc_id") % F.lit(n)), n, "source", "bucket")
+    _many(rows.sortWithinPartitions("source", "bucket", "doc_id").select("source", "bucket", "text").write).partitionBy("source", "bucket").text(path)
     return path
 
 
@@ -259,7 +274,8 @@ def candidates(t):
 def compose_files(t):
     path = scratch(t.spark, "compose")
     named = F.split(F.replace("path", F.lit("#"), F.lit("-")), "/")
-    _compose(t).select(F.get(named, F.lit(0)).alias("brand"), F.get(named, F.lit(1)).alias("part"), "text").repartition("brand", "part").write.partitionBy("brand", "part").text(path)
+    files = _compose(t).select(F.get(named, F.lit(0)).alias("brand"), F.get(named, F.lit(1)).alias("part"), "text")
+    _many(_dealt(files, _buckets(t.part), "brand", "part").write).partitionBy("brand", "part").text(path)
     got = compose.parse(readers.compose_files(t.spark, path, "*.txt", ()))
     name = F.concat(F.regexp_extract("compose_file", "brand=([^/]*)", 1), F.lit("/"), F.regexp_extract("compose_file", "part=([^/]*)", 1))
     return got.filter("kind = 'service'").groupBy(name.alias("brand")).agg(F.count("*").alias("services"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,9 +42,30 @@ def file_hashes(spark: SparkSession, folder: str, pattern: str = "*") -> DataFra
     return contents(spark, folder, pattern, head=0).select("path", "sha")
 
 
+#: Tasks for each core that list folders; Spark's own bound, 10,000, makes one of nearly every folder.
+LISTERS, LISTER_KEY = 4, "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+def _listed(spark: SparkSession, load: Callable[[], DataFrame]) -> DataFrame:
+    """What load gives, whose files are listed by a few tasks for each core."""
+    before = spark.conf.get(LISTER_KEY)
+    spark.conf.set(LISTER_KEY, min(int(before), LISTERS * spark.sparkContext.defaultParallelism))
+    try:
+        return load()
+    finally:
+        spark.conf.set(LISTER_KEY, before)
+
+
+def whole_texts(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """path and text of each file. Files are read as bytes: Spark's text source looks for codecs anew for every whole
+    file, one task at a time in an executor."""
+    df = _listed(spark, lambda: spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder))
+    return df.select(F.col("_metadata.file_path").alias("path"), F.col("content").cast("string").alias("text"))
+
+
 def notes(spark: SparkSession, folder: str) -> DataFrame:
     """path and text of notes."""
-    df = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    df = whole_texts(spark, folder)
     return df.filter(~skipped(F.col("path")))
 
 
@@ -70,7 +93,7 @@ SKIP_FOLDERS = (".git", ".cache", "node_modules", "venv", ".venv", "__pycache__"
 
 def compose_files(spark: SparkSession, folder: str, pattern: str = "*compose.y*ml", names: tuple[str, ...] = COMPOSE_FILES) -> DataFrame:
     """path and text of compose files; with no names, of all files that fit the pattern."""
-    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder, wholetext=True)
+    df = whole_texts(spark, folder, pattern)
     parts = F.split(F.col("path"), "/")
     named = F.element_at(parts, -1).isin(*names) if names else F.lit(True)
-    return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).filter(named & ~F.arrays_overlap(parts, F.array(*[F.lit(x) for x in SKIP_FOLDERS])))
+    return df.filter(named & ~F.arrays_overlap(parts, F.array(*[F.lit(x) for x in SKIP_FOLDERS])))
