@@ -97,17 +97,20 @@ def diff(incoming: DataFrame, stored: DataFrame, key: str = "conversation_id", d
 STATE = {"state": "pending", "attempts": 0, "last_error": None, "claimed_at": None, "processed_at": None}
 
 
-def merge(incoming: DataFrame, stored: DataFrame, key: str = "conversation_id", again: Column | None = None) -> DataFrame:
+def merge(incoming: DataFrame, stored: DataFrame, key: str = "conversation_id", again: Column | None = None, rest: bool = True) -> DataFrame:
     """The new snapshot, with all columns of stored. What the import says of titles, dates, files, texts and priority
-    holds; unchanged rows keep their state, updated ones start again; rows that the import lacks stay."""
+    holds; unchanged rows keep their state, updated ones start again; rows that the import lacks stay, or, without rest, are
+    left out, and then only what the import does not say is read and shuffled of stored."""
     new, old = diff(incoming, stored, key, again=again).alias("n"), stored.alias("s")
     same = F.col("n.change") == "unchanged"
-    joined = new.join(old, F.col(f"n.{key}") == F.col(f"s.{key}"), "full_outer")
+    joined = new.join(old, F.col(f"n.{key}") == F.col(f"s.{key}"), "full_outer" if rest else "left")
     kinds = dict(stored.dtypes)
 
     def column(c: str) -> Column:
         if c in STATE:
             return F.when(F.col(f"n.{key}").isNull() | same, F.col(f"s.{c}")).otherwise(F.lit(STATE[c]).cast(kinds[c])).alias(c)
+        if c in incoming.columns and not rest:
+            return F.col(f"n.{c}").alias(c)
         if c in incoming.columns:
             return F.when(F.col(f"n.{key}").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"s.{c}")).alias(c)
         return F.col(f"s.{c}")

@@ -103,10 +103,13 @@ class Store:
 
     def _change(self, table: str, rows: DataFrame, touched: DataFrame, seq: int) -> tuple[set, list[tuple]]:
         """(buckets that are written anew, new rows of the manifest) for rows, all that touched keys have from now on."""
-        gone = touched.select(self.key).distinct().join(rows.select(self.key), self.key, "left_anti").withColumn("_gone", F.lit(True))
-        path = scratch(self.spark, "delta")
-        rows.withColumn("_gone", F.lit(False)).unionByName(gone, allowMissingColumns=True).withColumn("_seq", F.lit(seq).cast("long")).write.parquet(path)
-        delta = self.spark.read.parquet(path)
+        path, own = scratch(self.spark, "delta"), {"_seq": F.lit(seq).cast("long")}
+        rows.withColumns({"_gone": F.lit(False)} | own).write.parquet(path)
+        written = self.spark.read.parquet(path)  # rows are not made again for their keys
+        gone = touched.select(self.key).distinct().join(written.select(self.key), self.key, "left_anti").withColumns({"_gone": F.lit(True)} | own)
+        marks = scratch(self.spark, "gone")
+        gone.write.parquet(marks)
+        delta = written.unionByName(self.spark.read.parquet(marks), allowMissingColumns=True)
         leaves = self._leaves(table) or {(0, 0): []}
         counts = {(r._depth, r._prefix): r["count"] for r in self._placed(delta.select(self.key), leaves).groupBy("_depth", "_prefix").count().collect()}
         anew, deeper = {}, {}

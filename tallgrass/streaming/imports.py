@@ -21,6 +21,12 @@ def united(new: Column, old: Column) -> Column:
     return F.when(old.isNull(), new).otherwise(F.array_sort(F.concat(new, kept)))
 
 
+def _settled(df: DataFrame, name: str) -> DataFrame:
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def import_batch(new: DataFrame, folder: str, model: str = "hash", derived: tuple[str, ...] = (), unite: bool = False) -> None:
     """Merge conversations (conversation_id, title, created_at, messages) into the tables in folder: conversations with
     their state, and chunks with their vectors. Rows of tables named in derived (with a conversation_id) go where a
@@ -34,14 +40,13 @@ def import_batch(new: DataFrame, folder: str, model: str = "hash", derived: tupl
     of = F.col("messages")
     order = F.struct(*[F.col(c) for c in ORDER if c in new.columns], archive.digest(F.col("title"), of))
     last = archive.last_wins(new, KEY, order)
+    last = _settled(last, "batch")  # it is looked at twice
     old = store.read("conversations", near=last)
     if unite and old is not None:
         held = old.select(KEY, F.col("messages").alias("_old"))
         last = last.join(held, KEY, "left").withColumn("messages", united(of, F.col("_old"))).drop("_old")
     now = last.withColumn("digest", archive.digest(F.col("title"), of)).withColumn("hash_version", F.lit(archive.HASH_VERSION)).withColumn("priority", classify.priority(F.col("title"), archive.user_text(of)))
-    path = scratch(spark, "import")
-    now.write.parquet(path)
-    now = spark.read.schema(now.schema).parquet(path)
+    now = _settled(now, "import")
     if old is None:
         old = spark.createDataFrame([], ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in now.schema) + ", " + STATE)
     changes = archive.diff(now, old, again=archive.digest(F.col("title"), of))
@@ -52,8 +57,9 @@ def import_batch(new: DataFrame, folder: str, model: str = "hash", derived: tupl
     if old_chunks is None:
         old_chunks = spark.createDataFrame([], f"{KEY} {key}, chunk_index int, first_message int, last_message int, text string, source_id {key}, chunk_hash string, embedding array<float>, embedding_model string")
     reused = embed.reuse(embed.last_of_hash(chunks), old_chunks, model).drop("reused")
-    made = embed.embed_missing(reused, "text", embed.hashing_embedder(), model)
-    merged = archive.merge(now, old, again=archive.digest(F.col("title"), of)).join(now.select(KEY), KEY, "left_semi")
+    # Chunks with and without a vector go different ways from here on.
+    made = embed.embed_missing(_settled(reused, "chunks"), "text", embed.hashing_embedder(), model)
+    merged = archive.merge(now, old, again=archive.digest(F.col("title"), of), rest=False)
     tables = {"conversations": (merged, now), "chunks": (made, changed)}
     updated = changes.filter("change = 'updated'").select(KEY)
     for name in derived:
