@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -41,13 +43,25 @@ def links(analyses: DataFrame, projects: DataFrame) -> DataFrame:
 def items(*facts: DataFrame) -> DataFrame:
     """Facts of all tables with one set of categories; of the same fact the first by table and id. Facts of a table
     without temporal_status have an unknown one."""
+    return _items(facts, "_same", lambda *c: F.xxhash64(*c)).drop("_same")
+
+
+def fingerprinted(*facts: DataFrame) -> DataFrame:
+    """items() with their fingerprint, by which they are dealt to tasks: an upsert need not deal them again."""
+    return _items(facts, "fingerprint", fingerprint)
+
+
+def _items(facts: tuple[DataFrame, ...], name: str, same: Callable[..., Column]) -> DataFrame:
+    """items() and, under name, what same() says of conversation, slug, category and statement. Rows are dealt and put in order by it
+    before they are by their texts; what shares a project shares a slug."""
     given = lambda c, default: F.coalesce(F.nullif(c, F.lit("")), F.lit(default))
     rows = None
     for rank, df in enumerate(facts):
         one = df.withColumn("rank", F.lit(rank))
         rows = one if rows is None else rows.unionByName(one, allowMissingColumns=True)
     rows = rows.withColumns({"category": category(F.col("category")), "status": given("temporal_status", "unknown"), "confidence": given("confidence", "UNKNOWN"), "source_date": given("source_date", ""), "title": F.lit(""), "project_slug": slugify(F.col("project"))})
-    w = W.partitionBy("source_conversation_id", "project", "category", "statement").orderBy("rank", "id")
+    rows = rows.withColumn(name, same(F.col("source_conversation_id"), F.col("project_slug"), F.col("category"), F.col("statement"))).repartition(name)
+    w = W.partitionBy(name, "source_conversation_id", "project", "category", "statement").orderBy("rank", "id")
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "temporal_status")
 
 
@@ -67,7 +81,9 @@ def populated(normal: DataFrame) -> DataFrame:
 def upsert(normal: DataFrame, stored: DataFrame) -> DataFrame:
     """The item table (fingerprint, FIRST, LAST) after normal: a fingerprint's first title, category and project stay;
     its last evidence, status, confidence and date win."""
-    new = normal.withColumnRenamed("project_slug", "slug").withColumn("fingerprint", fingerprint(F.col("source_conversation_id"), F.col("slug"), F.col("category"), F.col("statement")))
+    new = normal.withColumnRenamed("project_slug", "slug")
+    if "fingerprint" not in new.columns:
+        new = new.withColumn("fingerprint", fingerprint(F.col("source_conversation_id"), F.col("slug"), F.col("category"), F.col("statement")))
     seq = F.struct("rank", "id")
     last = new.groupBy("fingerprint").agg(F.min_by(F.struct(*FIRST), seq).alias("a"), F.max_by(F.struct(*LAST), seq).alias("b"))
     old = stored.select("fingerprint", F.struct(*FIRST).alias("_a"), F.struct(*LAST).alias("_b"))

@@ -88,7 +88,7 @@ _MADE = f"""made AS (SELECT sha256(concat_ws(chr(31), source_conversation_id, sl
 
 
 def _upserted(t):
-    normal = knowledge.items(*_split_facts(t))
+    normal = knowledge.fingerprinted(*_split_facts(t))
     empty = normal.limit(0).select(F.lit("").alias("fingerprint"), "source_conversation_id", F.lit("").alias("slug"), "category", "title", "statement", "evidence", "status", "confidence", "source_date")
     made = knowledge.upsert(normal, empty)
     stored = made.filter("ascii(fingerprint) % 2 = 0").withColumns({"title": F.lit("kept"), "evidence": F.lit("old"), "status": F.lit("old"), "confidence": F.lit("LOW"), "source_date": F.lit("0")})
