@@ -10,6 +10,8 @@ from tallgrass.sources.scratch import scratch
 
 #: Rows in all that one task may as well put in order.
 FEW = 1 << 19
+#: Keys of parts that every task may be sent; with more of them rows move to theirs.
+SENT_PARTS = 100_000
 #: Rows of a part are numbered from here on in the lower bits.
 PART_BITS = 33
 
@@ -39,6 +41,11 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], value: str | None
     before = {"_before": "_n"} | ({"_sum_before": "_sum"} if value else {})
     parts = parts.withColumns({new: F.coalesce(F.sum(old).over(earlier), F.lit(0)) for new, old in before.items()})
     parts = parts.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_part").alias("_of_part"), "_first", *before)
+    parts_path = scratch(spark, "parts")
+    parts.write.parquet(parts_path)
+    parts = spark.read.schema(parts.schema).parquet(parts_path)
+    if parts.count() <= SENT_PARTS:
+        parts = F.broadcast(parts)
     same = F.col("_part") == F.col("_of_part")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tallgrass.operators.ranks import numbered
+from tallgrass.operators.ranks import SENT_PARTS, numbered
+from tallgrass.sources.scratch import scratch
 
 #: Signs of each text that a difference looks at, and its most lines.
 DIFF_SIZE, DIFF_LINES = 12_000, 220
@@ -86,9 +87,17 @@ def _paged(rows: DataFrame, keys: list[str], order: tuple[str, ...], line: str)
 
 def routed(facts: DataFrame, documents: dict[str, tuple[str, ...]], projects: DataFrame, empty: str = "Nothing recorded yet.") -> DataFrame:
     """Bodies for each project and document, page by page, from the facts of the document's categories."""
+    path = scratch(projects.sparkSession, "projects")
+    projects.write.parquet(path)
+    projects = projects.sparkSession.read.schema(projects.schema).parquet(path)
+    few = projects.count() * len(documents) <= SENT_PARTS
     wanted = projects.select("project", F.explode(F.array(*[F.lit(d) for d in documents])).alias("document"))
     named = facts.join(F.broadcast(_documents(facts, documents)), "category").select("project", "document", "id", "statement")
     body = _paged(named, ["project", "document"], ("id",), "statement").drop("n")
+    if few:  # bodies stay where they are; facts of other projects and documents make none
+        none = wanted.join(body.select("project", "document").distinct(), ["project", "document"], "left_anti")
+        found = body.join(F.broadcast(wanted), ["project", "document"]).select("project", "document", "page", "body")
+        return found.unionByName(none.select("project", "document", F.lit(0).alias("page"), F.lit(empty).alias("body")))
     return wanted.join(body, ["project", "document"], "left").select("project", "document", F.coalesce("page", F.lit(0)).alias("page"), F.coalesce("body", F.lit(empty)).alias("body"))
 
 
