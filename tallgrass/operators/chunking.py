@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallgrass.functions.text import trim
+from tallgrass.sources.batches import small, trimmed
 
 #: Sizes in signs.
 EXTRACT, CHUNK, OVERLAP, NOTE = 12_000, 2_400, 300, 60_000
@@ -88,7 +89,7 @@ def split_messages(df: DataFrame, key: str, text: str) -> DataFrame:
                     p.append(piece)
             yield pa.RecordBatch.from_arrays([pa.array(k, b.schema.field(0).type), pa.array(n, pa.int32()), pa.array(p, pa.string())], [key, "piece", "text"])
 
-    return df.select(key, text).mapInArrow(rows, f"`{key}` {df.schema[key].dataType.simpleString()}, piece int, text string")
+    return small(df.select(key, text)).mapInArrow(trimmed(rows), f"`{key}` {df.schema[key].dataType.simpleString()}, piece int, text string")
 
 
 #: Signs between two units of a chunk.
@@ -133,4 +134,4 @@ def chunk_conversations(conversations: DataFrame) -> DataFrame:
             types = [b.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(cols, types)], ["conversation_id", "chunk_index", "first_message", "last_message", "text"])
 
-    return conversations.select("conversation_id", "messages").mapInArrow(rows, f"conversation_id {kind}, chunk_index int, first_message int, last_message int, text string")
+    return small(conversations.select("conversation_id", "messages")).mapInArrow(trimmed(rows), f"conversation_id {kind}, chunk_index int, first_message int, last_message int, text string")
