@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tallgrass.sources.batches import release, small
 from tallgrass.sources.scratch import scratch
 
 #: Signs of a text that are embedded, codes of answers after which a call is made again, and the longest wait.
@@ -57,8 +58,7 @@ def embedded(df: DataFrame, text: str, embedder: Embedder, name: str = "embeddin
     """df with a vector for the first INPUT signs of text. A call that fails in passing (without a code, or with one
     of TRANSIENT) is made again after 1, 2, 4 and at most LONGEST times pause seconds."""
 
-    @F.pandas_udf("array<float>")
-    def run(texts: pd.Series) -> pd.Series:
+    def called(texts: pd.Series) -> pd.Series:
         for k in range(tries):
             try:
                 return pd.Series(embedder(texts.fillna("")))
@@ -69,7 +69,12 @@ def embedded(df: DataFrame, text: str, embedder: Embedder, name: str = "embeddin
                 time.sleep(pause * min(2**k, LONGEST))
         raise AssertionError
 
-    return df.withColumn(name, run(F.substring(text, 1, INPUT)))
+    @F.pandas_udf("array<float>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from map(called, batches)
+        release()
+
+    return small(df).withColumn(name, run(F.substring(text, 1, INPUT)))
 
 
 def embed_missing(chunks: DataFrame, text: str, embedder: Embedder, model: str) -> DataFrame:
