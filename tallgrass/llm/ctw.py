@@ -31,6 +31,8 @@ text are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -42,6 +44,9 @@ from . import vectors as V
 from .common import crc_of_id, let_go, release, settle, trimmed
 
 DEPTH, TOP, GROUP, SHARD, MOST_SHARDS = 6, 3, 16 << 20, 8 << 20, 1 << 14
+#: Framed bytes whose places are computed at a time, keys that are merged at a time, sorted arrays that wait to be merged,
+#: and bytes of rows in a batch.
+PIECE, RANGE, HELD, SENT = 5 << 16, 1 << 16, 16, 1 << 20
 END_BYTE = 255
 END_WORD = np.uint64(0x6A09E667F3BCC909)
 #: Kinds of rows: texts of a group, places, words, and what upper depths say of a shard's contexts.
@@ -51,31 +56,39 @@ NAMES = ["kind", "shard", "grp", "seq", "a", "b"]
 
 
 def framed(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes with DEPTH zeros before and an end mark after each text, places to predict, their offsets)."""
+    """(bytes with DEPTH zeros before and an end mark after each text, which of them to predict, offsets of texts among those)."""
     rows, size = len(off) - 1, np.diff(off)
     out = np.zeros(len(buf) + rows * (DEPTH + 1), np.uint8)
-    row = np.repeat(np.arange(rows), size)
-    out[np.arange(len(buf)) + row * (DEPTH + 1) + DEPTH] = V.LOWER[buf]
     ends = off[1:] + np.arange(1, rows + 1) * (DEPTH + 1) - 1
-    out[ends] = END_BYTE
     mask = np.ones(len(out), bool)
     mask[(off[:-1] + np.arange(rows) * (DEPTH + 1))[:, None] + np.arange(DEPTH)] = False
-    return out, np.flatnonzero(mask), np.concatenate(([0], np.cumsum(size + 1)))
+    mask[ends] = False
+    out[mask] = V.LOWER[buf]
+    out[ends], mask[ends] = END_BYTE, True
+    return out, mask, np.concatenate(([0], np.cumsum(size + 1)))
 
 
-def places(t: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A number for each place: the bytes before it, the nearest first, then the byte itself."""
-    near = V.eights(t)[at - DEPTH]
-    return (near & V.KEEP[DEPTH]) << np.uint64(8) | near >> np.uint64(8 * DEPTH) & np.uint64(255)
+def places(t: np.ndarray, mask: np.ndarray) -> Iterator[np.ndarray]:
+    """A number for each place, PIECE bytes at a time: the bytes before it, the nearest first, then the byte itself."""
+    for k in range(DEPTH, len(t), PIECE):
+        near = V.eights(t[k - DEPTH : k + PIECE])[np.flatnonzero(mask[k : k + PIECE])]
+        codes = near & V.KEEP[DEPTH]
+        codes <<= np.uint64(8)
+        near >>= np.uint64(8 * DEPTH)
+        near &= np.uint64(255)
+        codes |= near
+        yield codes
 
 
 def tally_places(codes: np.ndarray, counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """As tally(), with the mark sorted along in the code's lowest bit."""
-    marked = codes << np.uint64(1) | counted.astype(np.uint64)
-    marked.sort()
-    codes = marked >> np.uint64(1)
+    """As tally(), with the mark sorted along in the code's lowest bit; codes are overwritten."""
+    codes <<= np.uint64(1)
+    codes |= counted
+    codes.sort()
+    marks = (codes & np.uint64(1)).astype(np.uint8)
+    codes >>= np.uint64(1)
     start = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
-    return codes[start], np.add.reduceat((marked & np.uint64(1)).astype(np.int64), start)
+    return codes[start], np.add.reduceat(marks, start, dtype=np.int64)
 
 
 def text_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,8 +106,30 @@ def tally(keys: np.ndarray, counted: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[start], np.add.reduceat(counted[order].astype(np.int64), start) if len(start) else start
 
 
+def ranges(held: list[np.ndarray]) -> Iterator[list[slice]]:
+    """Slices of sorted arrays, one of each, that hold the same range of keys: about RANGE of them, whatever they are."""
+    step = RANGE >> 6
+    cuts = np.sort(np.concatenate([k[::step] for k in held]))[64::64]
+    bounds = [np.concatenate(([0], np.searchsorted(k, cuts), [len(k)])).tolist() for k in held]
+    for i in range(len(cuts) + 1):
+        yield [slice(b[i], b[i + 1]) for b in bounds]
+
+
 def added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    return tally(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held])) if len(held) != 1 else held[0]
+    """(sorted distinct keys, the sum of their counts) of some such pairs, merged range by range."""
+    if len(held) == 1:
+        return held[0]
+    kind = held[0][1].dtype
+    out = []
+    for part in ranges([k for k, _ in held]):
+        keys, n = tally(np.concatenate([k[i] for (k, _), i in zip(held, part)]), np.concatenate([n[i] for (_, n), i in zip(held, part)]))
+        out.append((keys, n.astype(kind)))
+    return np.concatenate([k for k, _ in out]), np.concatenate([n for _, n in out])
+
+
+def different(held: list[np.ndarray]) -> np.ndarray:
+    """The different keys of some sorted arrays, in order, merged range by range."""
+    return np.concatenate([V.keys_of(np.concatenate([k[i] for k, i in zip(held, part)])) for part in ranges(held)]) if len(held) != 1 else held[0]
 
 
 def pack(x: np.ndarray, is_sorted: bool = False) -> bytes:
@@ -113,13 +148,20 @@ def unpack(raw: bytes, kind, is_sorted: bool = False) -> np.ndarray:
     return np.cumsum(out, dtype=kind) if is_sorted else out
 
 
-def by_shard(kind: int, keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order of keys by shard, the shards that have any, bounds of each in that order)."""
-    shard = (V.mix(keys >> np.uint64(8 * (DEPTH + 1 - TOP)) if kind == PLACE else keys) % np.uint64(shards)).astype(np.int32)
+def by_shard(kind: int, keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, where its keys are) of sorted keys, for each shard that has any."""
+    if not len(keys):
+        return
+    dealt = keys >> np.uint64(8 * (DEPTH + 1 - TOP)) if kind == PLACE else keys
+    start = np.flatnonzero(np.concatenate(([True], dealt[1:] != dealt[:-1])))  # of keys that stay together
+    shard = (V.mix(dealt[start]) % np.uint64(shards)).astype(np.int32)
+    size = np.diff(start, append=len(keys))
     order = np.argsort(shard, kind="stable")
-    shard = shard[order]
-    start = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(shard) else np.zeros(0, np.int64)
-    return order, shard[start], np.append(start, len(shard))
+    shard, start, size = shard[order], start[order], size[order]
+    bounds = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard)).tolist()
+    for i, j in zip(bounds[:-1], bounds[1:]):
+        n = size[i:j]
+        yield int(shard[i]), np.repeat(start[i:j] - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -127,16 +169,33 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], NAMES)
 
 
+def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows of ROW in batches of about SENT bytes."""
+    some, size = [], 0
+    for r in rows:
+        some.append(r)
+        size += len(r[4]) + len(r[5])
+        if size >= SENT:
+            yield _batch(some)
+            some, size = [], 0
+    if some:
+        yield _batch(some)
+
+
 def gather(docs: DataFrame, shards: int) -> DataFrame:
     """Rows of ROW from doc_id, text and train: the texts of groups, and the places and words of each, by shard."""
 
+    def keep(some, keys, n):
+        some.append((keys, n.astype(np.uint32)))
+        if len(some) > HELD:
+            some[:] = [added(some)]
+
     def flush(held, grp):
         for kind, some in held.items():
             if some:
                 keys, n = added(some)
-                order, which, bounds = by_shard(kind, keys, shards)
-                keys, n = keys[order], n[order]
-                yield _batch([(kind, s, grp, 0, pack(keys[i:j], True), pack(n[i:j].astype(np.uint32))) for s, i, j in zip(which.tolist(), bounds[:-1], bounds[1:])])
+                some.clear()
+                yield from _batches((kind, s, grp, 0, pack(keys[at], True), pack(n[at])) for s, at in by_shard(kind, keys, shards))
 
     def rows(batches):
         grp, seq, size, held = TaskContext.get().partitionId() << 32, 0, 0, {PLACE: [], WORD: []}
@@ -146,16 +205,17 @@ def gather(docs: DataFrame, shards: int) -> DataFrame:
             train = b.column(2).to_numpy(zero_copy_only=False)
             for i, j in V.spans(bounds):
                 buf, off = text[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
-                t, at, o = framed(buf, off)
-                held[PLACE].append(tally_places(places(t, at), np.repeat(train[i:j], np.diff(o))))
+                t, mask, o = framed(buf, off)
+                counted, done = np.repeat(train[i:j], np.diff(o)), 0
+                for codes in places(t, mask):
+                    done += len(codes)
+                    if len(codes):
+                        keep(held[PLACE], *tally_places(codes, counted[done - len(codes) : done]))
                 h, row = text_words(buf, off)
-                held[WORD].append(tally(h, train[i:j][row]))
+                keep(held[WORD], *tally(h, train[i:j][row]))
                 head = np.array([j - i], np.int64).tobytes() + ids[i:j].tobytes() + off.tobytes() + known[i:j].tobytes()
                 yield _batch([(TEXT, -1, grp, seq, zstandard.compress(buf.tobytes(), 3), zstandard.compress(head, 1))])
                 size, seq = size + len(buf), seq + 1
-                for kind in held:
-                    if len(held[kind]) > 6:
-                        held[kind] = [added(held[kind])]
                 if size >= GROUP:
                     yield from flush(held, grp)
                     grp, seq, size, held = grp + 1, 0, 0, {PLACE: [], WORD: []}
@@ -242,13 +302,12 @@ def shorter(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return u, np.bincount(at, n, minlength=len(u)).astype(np.int64)
 
 
-def trees(keys: np.ndarray, n: np.ndarray) -> list[list[dict]]:
-    """For each level of decisions the nodes of depths TOP to DEPTH: key, zeros, ones, block and stop (what is left to
-    a node's own estimate), and up, each node's place among those above."""
+def trees(keys: np.ndarray, n: np.ndarray) -> Iterator[list[dict]]:
+    """For each level of decisions, one after the other, the nodes of depths TOP to DEPTH: key, zeros, ones, block and
+    stop (what is left to a node's own estimate), and up, each node's place among those above."""
     by_depth = {DEPTH: (keys, n)}
     for d in range(DEPTH - 1, TOP - 1, -1):
         by_depth[d] = shorter(*by_depth[d + 1])
-    out = []
     for level in range(8):
         nodes: list[dict] = []
         for d in range(DEPTH, TOP - 1, -1):
@@ -267,8 +326,7 @@ def trees(keys: np.ndarray, n: np.ndarray) -> list[list[dict]]:
                 below["up"] = np.searchsorted(x["key"], above(below["key"], level))
                 weigh(x, np.bincount(below["up"], below["block"], minlength=len(start)))
             nodes.append(x)
-        out.append(nodes[::-1])
-    return out
+        yield nodes[::-1]
 
 
 def weigh(x: dict, below: np.ndarray) -> None:
@@ -297,6 +355,7 @@ def logs(keys: np.ndarray, n: np.ndarray, upper: dict[int, tuple[np.ndarray, np.
             said, left = down(x, said, left) if d == 0 else down(x, said[x["up"]], left[x["up"]])
         p = np.where(keys >> np.uint64(7 - level) & np.uint64(1), said[nodes[-1]["of"]], 1 - said[nodes[-1]["of"]])
         out += np.log10(np.clip(p, 1e-300, 1))
+        del nodes, x  # before those of the next level are made
     return out
 
 
@@ -403,10 +462,14 @@ class Spots:
 
     def __init__(self, keys: np.ndarray) -> None:
         self.keys, self.table = keys, np.zeros(1 << self.BITS, np.int32)
-        self.table[self.slot(keys)] = np.arange(len(keys), dtype=np.int32)
+        for i in range(0, len(keys), RANGE):
+            part = keys[i : i + RANGE]
+            self.table[self.slot(part)] = np.arange(i, i + len(part), dtype=np.int32)
 
     def slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
+        x = keys * np.uint64(0x9E3779B97F4A7C15)
+        x >>= np.uint64(64 - self.BITS)
+        return x.view(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The place of each key, all of which are there."""
@@ -423,33 +486,46 @@ def score(gathered: DataFrame, answered: DataFrame, shards: int) -> DataFrame:
     """SCORED of each text: its log10 probability, its words, those known, and the sum of log10(count + 1) of its words."""
 
     def one_group(t: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(t.column(c).to_pylist() for c in NAMES)), key=lambda r: (r[0], r[3], r[1]))
-        texts, values = [r for r in rows if r[0] == TEXT], {k: [r for r in rows if r[0] == k] for k in (PLACE, WORD)}
+        kinds, which, seq = (t.column(c).to_pylist() for c in ("kind", "shard", "seq"))
+        order = sorted(range(len(kinds)), key=lambda i: (kinds[i], seq[i], which[i]))
+        of = {k: [i for i in order if kinds[i] == k] for k in (TEXT, PLACE, WORD)}
+        a, b = t.column("a"), t.column("b")
         slices = []
-        for r in texts:
-            head = zstandard.decompress(r[5])
+        for i in of[TEXT]:
+            head = zstandard.decompress(b[i].as_buffer())
             n = int(np.frombuffer(head, np.int64, 1)[0])
             ids, off, known = np.frombuffer(head, np.int64, n, 8), np.frombuffer(head, np.int64, n + 1, 8 + 8 * n), np.frombuffer(head, bool, n, 16 + 16 * n)
-            slices.append((np.frombuffer(zstandard.decompress(r[4]), np.uint8), off, ids, known))
+            slices.append((np.frombuffer(zstandard.decompress(a[i].as_buffer()), np.uint8), off, ids, known))
         # The keys of the group as it sent them, which the answers follow.
         table = {}
-        for kind, make in ((PLACE, lambda buf, off: places(*framed(buf, off)[:2])), (WORD, lambda buf, off: text_words(buf, off)[0])):
-            keys = V.keys_of(np.concatenate([V.keys_of(make(buf, off)) for buf, off, _, _ in slices]))
-            order, which, bounds = by_shard(kind, keys, shards)
+        for kind, make in ((PLACE, lambda buf, off: places(*framed(buf, off)[:2])), (WORD, lambda buf, off: [text_words(buf, off)[0]])):
+            held = []
+            for buf, off, _, _ in slices:
+                for keys in make(buf, off):
+                    held.append(V.keys_of(keys))
+                    if len(held) > HELD:
+                        held = [different(held)]
+            keys = different(held)
+            del held
             found = np.zeros(len(keys), np.float32 if kind == PLACE else np.int64)
-            for r, s, i, j in zip(values[kind], which.tolist(), bounds[:-1], bounds[1:]):
-                assert r[1] == s
-                found[order[i:j]] = unpack(r[5], found.dtype)
+            for i, (shard, at) in zip(of[kind], by_shard(kind, keys, shards)):
+                assert which[i] == shard
+                found[at] = unpack(b[i].as_buffer(), found.dtype)
             table[kind] = keys, found
         out, spots = [], Spots(table[PLACE][0])
         for buf, off, ids, known in slices:
             n = len(ids)
-            u, p, o = framed(buf, off)
-            run = np.concatenate(([0.0], np.cumsum(table[PLACE][1][spots.find(places(u, p))], dtype=np.float64)))
+            u, mask, o = framed(buf, off)
+            run, done, total = np.zeros(n + 1), 0, 0.0  # run: of the slice, up to each text's end
+            for codes in places(u, mask):
+                sums = np.cumsum(np.concatenate(([total], table[PLACE][1][spots.find(codes)])))
+                i, j = np.searchsorted(o, (done, done + len(codes)), "right")
+                run[i:j] = sums[o[i:j] - done]
+                done, total = done + len(codes), sums[-1]
             h, row = text_words(buf, off)
             c = table[WORD][1][np.searchsorted(table[WORD][0], h)]
             counts = [np.bincount(row, w, minlength=n) for w in (None, c > 0, np.log10(c + 1.0))]
-            cols = [pa.array(ids, mask=~known), pa.array(np.diff(o) - 1), pa.array(counts[0].astype(np.int64)), pa.array(counts[1].astype(np.int64)), pa.array(counts[2]), pa.array(run[o[1:]] - run[o[:-1]])]
+            cols = [pa.array(ids, mask=~known), pa.array(np.diff(o) - 1), pa.array(counts[0].astype(np.int64)), pa.array(counts[1].astype(np.int64)), pa.array(counts[2]), pa.array(run[1:] - run[:-1])]
             out.append(pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in SCORED.split(", ")]))
         release()
         return pa.Table.from_batches(out)

@@ -10,6 +10,7 @@ import struct
 import sys
 import time
 import tracemalloc
+import types
 import zlib
 
 import duckdb
@@ -580,6 +581,111 @@ def test_every_context_is_learned(spark):
     assert got[held[0]] > got[held[1]] + 1
 
 
+class Frame:
+    """Stands for tables and keeps what tasks would run."""
+
+    def __init__(self):
+        self.tasks = []
+
+    def __getattr__(self, name):
+        return lambda *args: (self.tasks.append(args[0]) if name in ("mapInArrow", "applyInArrow") else None, self)[1]
+
+
+def context_tasks(monkeypatch, shards=12):
+    """What a task of ctw.gather() and one of ctw.score() run."""
+    docs, answered = Frame(), Frame()
+    monkeypatch.setattr(ctw, "settle", lambda df, name: df)
+    monkeypatch.setattr(ctw, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    ctw.gather(docs, shards)
+    ctw.score(answered, answered, shards)
+    return docs.tasks[0], answered.tasks[0]
+
+
+def context_batches(texts, rows=512):
+    for i in range(0, len(texts), rows):
+        part = texts[i : i + rows]
+        yield pa.RecordBatch.from_arrays([pa.array(range(i, i + len(part)), pa.int64()), pa.array(part, pa.string()), pa.array([k % 3 > 0 for k in range(len(part))])], ["doc_id", "text", "train"])
+
+
+def context_answers(rows):
+    """Rows of texts as they are, and for those of places and words something told by their keys."""
+    for r in rows:
+        keys = None if r["kind"] == ctw.TEXT else V.mix(ctw.unpack(r["a"], np.uint64, True))
+        some = keys if keys is None else (-(keys % np.uint64(1000)).astype(np.float32) if r["kind"] == ctw.PLACE else (keys % np.uint64(5)).astype(np.int64))
+        yield tuple(r.values()) if keys is None else (r["kind"], r["shard"], r["grp"], 0, b"", ctw.pack(some))
+
+
+def test_places_are_the_same_in_pieces_of_any_size(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = ["The cat É sat ", "", None, "x", "ab " * 400, *("".join(rng.choice(list("aBc dé\n"), n)) for n in rng.integers(0, 300, 60))]
+    data = [bytes(ctw.DEPTH) + (t or "").translate(LOWER).encode() + b"\xff" for t in texts]
+    codes = [[int.from_bytes(d[k - ctw.DEPTH : k], "little") << 8 | d[k] for k in range(ctw.DEPTH, len(d))] for d in data]
+    seen = []
+    for piece, some, held, sent in ((ctw.PIECE, ctw.RANGE, ctw.HELD, ctw.SENT), (300, 64, 2, 100)):
+        for name, x in (("PIECE", piece), ("RANGE", some), ("HELD", held), ("SENT", sent)):
+            monkeypatch.setattr(ctw, name, x)
+        gather, group = context_tasks(monkeypatch)
+        rows = [r for b in gather(context_batches(texts, 20)) for r in b.to_pylist()]
+        count = collections.Counter()
+        for r in rows:
+            if r["kind"] == ctw.PLACE:
+                count.update(dict(zip(ctw.unpack(r["a"], np.uint64, True).tolist(), ctw.unpack(r["b"], np.uint32).tolist())))
+        assert count == collections.Counter(c for k, x in enumerate(codes) for c in x if k % 20 % 3) and set(count) == {c for x in codes for c in x}
+        got = group(pa.Table.from_batches([ctw._batch(list(context_answers(rows)))])).to_pylist()
+        value = lambda x: -int((V.mix(np.array(x, np.uint64)) % np.uint64(1000)).sum())
+        assert [(r["doc_id"], r["score"]) for r in got] == [(k, float(value(x))) for k, x in enumerate(codes)]
+        seen.append((rows, got))
+    assert seen[1:] == seen[:-1]
+
+
+def test_keys_are_merged_range_by_range():
+    rng = np.random.default_rng(5)
+    held = [ctw.tally(np.concatenate((rng.integers(0, top, n), np.full(3, 7))).astype(np.uint64), rng.random(n + 3) < 0.5) for n, top in ((300_000, 1 << 50), (200_000, 1 << 18), (9, 9), (0, 1), (150_000, 1 << 50))]
+    count = collections.Counter()
+    for k, n in held:
+        count.update(dict(zip(k.tolist(), n.tolist())))
+    keys, n = ctw.added(held)
+    assert keys.tolist() == sorted(count) and n.tolist() == [count[k] for k in sorted(count)]
+    assert np.array_equal(ctw.different([k for k, _ in held]), keys)
+    parts = [sum(s.stop - s.start for s in p) for p in ctw.ranges([k for k, _ in held])]
+    assert sum(parts) == sum(len(k) for k, _ in held) and max(parts) < 1.5 * ctw.RANGE
+    for kind in (ctw.PLACE, ctw.WORD):
+        dealt = dict(ctw.by_shard(kind, keys, 50))
+        assert list(dealt) == sorted(dealt) and np.array_equal(np.sort(np.concatenate(list(dealt.values()))), np.arange(len(keys)))
+        of = V.mix(keys >> np.uint64(8 * (ctw.DEPTH + 1 - ctw.TOP)) if kind == ctw.PLACE else keys) % np.uint64(50)
+        assert all(np.array_equal(at, np.flatnonzero(of == s)) for s, at in dealt.items())
+
+
+def traced_peak(run):
+    """Bytes that run() holds at most above what was there."""
+    tracemalloc.start(1)
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_group_of_contexts_takes_little_memory(spark, monkeypatch):
+    """Two tasks and the JVM of an executor of 3 GB share it: a task's own arrays stay below 20 bytes for a byte of its group."""
+    rng = np.random.default_rng(6)
+    known = ["".join(rng.choice(list("etaoinshrdlu"), n)) for n in rng.integers(2, 9, 20_000)]
+    texts = [" ".join(known[k] for k in rng.integers(0, len(known), 240)) for _ in range(ctw.GROUP // 1200)]
+    gather, _ = context_tasks(monkeypatch)
+    assert traced_peak(lambda: [len(b) for b in gather(context_batches(texts))]) < 20 * ctw.GROUP
+
+
+def test_trees_hold_one_level_of_decisions():
+    keys = V.keys_of(np.random.default_rng(7).integers(0, 1 << 56, 100_000).astype(np.uint64) & np.uint64(0x0F1F0F1F0F1F0F))
+    n = np.arange(len(keys)) % 5
+    upper = {}
+    for level, nodes in enumerate(ctw.trees(keys, n)):
+        known = nodes[0]["key"]
+        upper[level] = known, np.full(len(known), 0.3), np.full(len(known), 0.4)
+    del nodes
+    assert traced_peak(lambda: ctw.logs(keys, n, upper)) < 600 * len(keys)
+
+
 # 6
 
 
