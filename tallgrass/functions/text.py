@@ -113,7 +113,11 @@ def excerpt(c: Column, size: int = 900) -> Column:
     return F.substring(F.replace(c, F.lit("\n"), F.lit(" ")), 1, size)
 
 
-def lines(c: Column) -> Column:
+#: What ends a line in text editors.
+LINE_ENDS = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029]"
+
+
+def lines(c: Column, ends: str = LINE_ENDS) -> Column:
     """Lines as text editors see them: also after other line ends, and none after the last end."""
-    parts = F.split(c, r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029]", -1)
+    parts = F.split(c, ends, -1)
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)

@@ -160,7 +160,7 @@ def banner(t):
 
 @query("SCN6_report_counts", f"SELECT doc_id, count(*) FILTER (contains(line, 'hein')) AS exposed, count(*) FILTER (contains(line, 'hein') AND contains(line, 'onth')) AS private, count(*) FILTER (contains(lower(line), 'warning') OR contains(lower(line), 'failed')) AS warnings FROM ({_LINES}) GROUP BY doc_id")
 def report_counts(t):
-    return scan.report_counts(t.documents, "doc_id", "text", "hein", "onth")
+    return scan.report_counts(t.documents, "doc_id", "text", "hein", "onth", ends="\n")
 
 
 _NAME = "p_name || ['.png', '.PY', '.mp4', '.md', '.zip', '.xyz', '', '.csv', '.deb', '.flac'][p_partkey % 10 + 1]"
